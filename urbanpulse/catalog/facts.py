@@ -50,7 +50,7 @@ MEASURES = ("road_temperature", "precipitation_intensity", "wind_speed", "relati
 COUNTS = ("public_transport_activity", "flight_activity", "traffic_incident_count")
 
 
-def rounded(fact: DataFrame, *keys: str) -> DataFrame:
+def fact_columns(fact: DataFrame, *keys: str) -> DataFrame:
     return fact.select(*keys, clock(F.col("minute")), *[r6(F.col(c), c) for c in MEASURES], *COUNTS)
 
 
@@ -64,17 +64,17 @@ def minute_activity(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"{fact_sql('hour')} SELECT {FACT_ROUNDED} FROM fact")
 def hourly_fact(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(minute_fact(feeds(events(spark, sf)), unit="hour"))
+    return fact_columns(minute_fact(feeds(events(spark, sf)), unit="hour"))
 
 
 @register(f"{fact_sql('minute')} SELECT {FACT_ROUNDED} FROM fact")
 def minute_fact_table(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(minute_fact(feeds(events(spark, sf))))
+    return fact_columns(minute_fact(feeds(events(spark, sf))))
 
 
 @register(f"{fact_sql('hour', OVERLAPPING)} SELECT period, {FACT_ROUNDED} FROM fact")
 def period_fact_table(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(period_fact(feeds(events(spark, sf)), OVERLAPPING, "hour"), "period")
+    return fact_columns(period_fact(feeds(events(spark, sf)), OVERLAPPING, "hour"), "period")
 
 
 @register(f"{fact_sql('minute')} SELECT strftime(minute, '%Y-%m-%d %H:%M:%S') AS minute, "

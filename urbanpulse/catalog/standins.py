@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanpulse.fixed import Period, days
+from urbanpulse.functions.rounding import rounded
 from urbanpulse.session import utc
 
 JANUARY = (
@@ -36,7 +37,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r6(column: Column, name: str) -> Column:
-    return F.round(column, 6).alias(name)
+    return rounded(column, 6).alias(name)
 
 
 def clock(column: Column, name: str = "minute") -> Column:

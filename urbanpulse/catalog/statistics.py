@@ -21,6 +21,7 @@ from urbanpulse.catalog.standins import (
     table,
 )
 from urbanpulse.fixed import INDEX_VARIANTS
+from urbanpulse.functions.rounding import rounded
 from urbanpulse.operators import correlate, peak
 from urbanpulse.operators.minute_fact import minute_fact, weather_minutes, with_zone
 from urbanpulse.plans.impact import period_fact, summary_row
@@ -113,7 +114,7 @@ def _pair_stats(pairs: dict[str, tuple[str, str]], label: str, source: str) -> s
 
 
 def _p6(df: DataFrame) -> DataFrame:
-    return df.withColumn("p", F.round("p", 6))
+    return df.withColumn("p", rounded("p", 6))
 
 
 MODE_PAIRS = {
@@ -152,8 +153,8 @@ def ols_single(spark: SparkSession, sf: str) -> DataFrame:
     covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y, var_pop(y) AS syy
   FROM (SELECT period, mean_delay_sec AS y, road_temperature AS x1, wind_speed AS x2 FROM fact WHERE mean_delay_sec IS NOT NULL)
   GROUP BY period),
-b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM m),
-o AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, (b1 * s1y + b2 * s2y) / syy AS r2 FROM b)
+beta AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM m),
+o AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, (b1 * s1y + b2 * s2y) / syy AS r2 FROM beta)
 SELECT period, 'intercept' AS term, round(b0, 6) AS coefficient, round(r2, 6) AS r_squared, CAST(n AS BIGINT) AS n FROM o
 UNION ALL SELECT period, 'road_temperature', round(b1, 6), round(r2, 6), CAST(n AS BIGINT) FROM o
 UNION ALL SELECT period, 'wind_speed', round(b2, 6), round(r2, 6), CAST(n AS BIGINT) FROM o""")
@@ -209,7 +210,7 @@ SELECT period, {label}, n1 AS n_peak, n2 AS n_offpeak, round(m1, 3) AS mean_peak
 
 
 def _welch6(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in ("df", "p")})
+    return df.withColumns({c: rounded(c, 6) for c in ("df", "p")})
 
 
 @register(f"{PERIOD_INDEXED}, split AS ({_split_sql(peak.METRICS, 'indexed')}), {welch_sql()}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from urbanpulse.fixed import NORMAL_95, TRIVIAL_P, TRIVIAL_RATIO_BAND
+from urbanpulse.functions.rounding import rounded
 from urbanpulse.functions.tdist import t_quantile, t_two_sided_p
 
 
@@ -41,10 +42,10 @@ def pearson_columns(r: Column, n: Column, digits: int = 3) -> list[Column]:
     z = F.atanh(F.when(inside, r))
     half = F.lit(NORMAL_95) / F.sqrt(F.greatest((n - 3).cast("double"), F.lit(1.0)))
     return [
-        F.round(r, digits).alias("r"),
+        rounded(r, digits).alias("r"),
         p.alias("p"),
-        F.round(F.tanh(z - half), digits).alias("ci_low"),
-        F.round(F.tanh(z + half), digits).alias("ci_high"),
+        rounded(F.tanh(z - half), digits).alias("ci_low"),
+        rounded(F.tanh(z + half), digits).alias("ci_high"),
     ]
 
 
@@ -75,14 +76,14 @@ def welch_columns(digits: int = 3) -> list[Column]:
     p = t_two_sided_p(t, df)
     reach = t_quantile(F.lit(0.975), df) * se
     return [
-        F.round(m1, digits).alias("mean_peak"),
-        F.round(m2, digits).alias("mean_offpeak"),
-        F.round(ratio, digits).alias("ratio"),
-        F.round(t, digits).alias("welch_t"),
+        rounded(m1, digits).alias("mean_peak"),
+        rounded(m2, digits).alias("mean_offpeak"),
+        rounded(ratio, digits).alias("ratio"),
+        rounded(t, digits).alias("welch_t"),
         df.alias("df"),
         p.alias("p"),
-        F.round(m1 - m2 - reach, digits).alias("ci_low"),
-        F.round(m1 - m2 + reach, digits).alias("ci_high"),
+        rounded(m1 - m2 - reach, digits).alias("ci_low"),
+        rounded(m1 - m2 + reach, digits).alias("ci_high"),
         ((F.abs(ratio - 1) < TRIVIAL_RATIO_BAND) & (p < TRIVIAL_P)).alias("trivial_effect"),
         F.when(enough, "ok").otherwise("insufficient data").alias("status"),
     ]

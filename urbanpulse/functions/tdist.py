@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _continued_fraction(a: float, b: float, x: float) -> float:
@@ -78,11 +79,11 @@ def _rowwise(fn, first: pd.Series, second: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(two_sided_p, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_quantile(q: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(quantile, q, df)

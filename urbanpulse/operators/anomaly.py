@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanpulse.fixed import BOX_EPSILON, BOX_WHISKER, ROLLING_ROWS, SCORE_BINS
+from urbanpulse.functions.rounding import rounded
 from urbanpulse.operators.forest import detect
 from urbanpulse.operators.quantiles import exact_quantiles
 from urbanpulse.session import beside
@@ -57,7 +58,7 @@ def detect_anomalies(rows: DataFrame, group: Sequence[str], features: Sequence[s
 def precision(anomaly: Column, known: Column) -> Column:
     """Share of detected rows that are known anomalies; 0 when none is detected."""
     hit = F.count_if(anomaly & F.coalesce(known, F.lit(False)))
-    return F.round(F.coalesce(F.try_divide(hit, F.count_if(anomaly)), F.lit(0.0)), 2)
+    return rounded(F.coalesce(F.try_divide(hit, F.count_if(anomaly)), F.lit(0.0)), 2)
 
 
 def anomaly_summary(scored: DataFrame, group: Sequence[str] = ("period", "mode")) -> DataFrame:
@@ -67,9 +68,9 @@ def anomaly_summary(scored: DataFrame, group: Sequence[str] = ("period", "mode")
     known = precision(F.col("anomaly"), F.col("injected")) if "injected" in scored.columns else F.lit(None).cast("double")
     return scored.groupBy(*group).agg(
         n.alias("hours"), F.count_if("anomaly").alias("anomalies"),
-        F.round(F.count_if("anomaly") * 100.0 / n, 2).alias("anomaly_rate_pct"),
-        F.round(F.avg(score), 4).alias("score_mean"), F.round(deviation, 4).alias("score_std"),
-        F.round(F.min(score), 4).alias("score_min"), known.alias("precision"))
+        rounded(F.count_if("anomaly") * 100.0 / n, 2).alias("anomaly_rate_pct"),
+        rounded(F.avg(score), 4).alias("score_mean"), rounded(deviation, 4).alias("score_std"),
+        rounded(F.min(score), 4).alias("score_min"), known.alias("precision"))
 
 
 def anomaly_heatmap(scored: DataFrame, hour: str = "hour", group: Sequence[str] = ("mode",)) -> DataFrame:

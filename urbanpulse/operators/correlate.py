@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urbanpulse.fixed import INTERPRETATION, MIN_PEARSON_ROWS, MIN_REGRESSION_ROWS, WINSOR_TAILS
 from urbanpulse.functions.stats import pair_count, paired, pearson_columns, safe_corr
@@ -127,6 +128,13 @@ def zone_correlations(zone_weather: DataFrame, fact: DataFrame, keys: Sequence[s
     )
 
 
+FIT = T.StructType([
+    T.StructField("intercept", T.DoubleType()),
+    T.StructField("coefficients", T.ArrayType(T.DoubleType())),
+    T.StructField("r_squared", T.DoubleType()),
+])
+
+
 def simple_regression(fact: DataFrame, y: str, x: str, keys: Sequence[str] = (),
                       min_rows: int = MIN_REGRESSION_ROWS) -> DataFrame:
     """Least squares on one predictor, all from built-in aggregates; none for a constant response."""
@@ -139,7 +147,7 @@ def simple_regression(fact: DataFrame, y: str, x: str, keys: Sequence[str] = (),
         F.when(enough, F.avg(py) - slope * F.avg(px)).alias("intercept"), F.when(enough, fit).alias("r_squared"))
 
 
-@F.pandas_udf("struct<intercept:double,coefficients:array<double>,r_squared:double>")
+@F.pandas_udf(FIT)
 def _solve(means: pd.Series, cross: pd.Series) -> pd.DataFrame:
     """Normal equations of one result row; the last variable is the response."""
     rows = []

@@ -21,6 +21,7 @@ from urbanpulse.fixed import (
     OUTAGE_FACTOR,
     THROUGHPUT_FILES,
 )
+from urbanpulse.functions.rounding import rounded
 from urbanpulse.operators.quantiles import exact_quantiles, order_statistics
 from urbanpulse.session import beside
 
@@ -69,15 +70,15 @@ def gap_stats(arrivals: DataFrame, nominal: Column, keys: Sequence[str] = ("sour
     w, g = F.col("n"), F.col("gap_s")
     plain = gaps.groupBy(*keys).agg(
         F.sum(w).alias("n_gaps"),
-        F.round(F.sum(g * w) / F.sum(w), 1).alias("mean_gap_s"), F.round(F.max(g), 1).alias("max_gap_s"),
-        F.round(100.0 * F.sum(F.when(g <= ON_TIME_FACTOR * nominal, w).otherwise(0)) / F.sum(w), 1)
+        rounded(F.sum(g * w) / F.sum(w), 1).alias("mean_gap_s"), rounded(F.max(g), 1).alias("max_gap_s"),
+        rounded(100.0 * F.sum(F.when(g <= ON_TIME_FACTOR * nominal, w).otherwise(0)) / F.sum(w), 1)
         .alias("pct_within_2x_nominal"),
         F.sum(F.when(g > OUTAGE_FACTOR * nominal, w).otherwise(0)).alias("n_outage_gaps_gt10x"))
     files = arrivals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"))
     stats = plain.join(quantiles.drop("n"), keys)
     return files.join(stats, keys, "left").select(
-        *keys, "n_files", "n_gaps", F.round("median_gap_s", 1).alias("median_gap_s"), "mean_gap_s",
-        F.round("p95_gap_s", 1).alias("p95_gap_s"), "max_gap_s", "pct_within_2x_nominal", "n_outage_gaps_gt10x",
+        *keys, "n_files", "n_gaps", rounded("median_gap_s", 1).alias("median_gap_s"), "mean_gap_s",
+        rounded("p95_gap_s", 1).alias("p95_gap_s"), "max_gap_s", "pct_within_2x_nominal", "n_outage_gaps_gt10x",
         F.when(F.col("n_files") < 2, "insufficient data").otherwise("ok").alias("status"))
 
 
@@ -88,9 +89,9 @@ def throughput(files: DataFrame, nominal: Column, keys: Sequence[str] = ("source
     picked = files.withColumn("_k", first).where(F.col("_k") <= sample)
     mean = F.avg("n_rows")
     return picked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_files_sampled"), F.round(mean, 1).alias("mean_records_per_file"),
-        F.round(F.percentile("n_rows", 0.5), 1).alias("median_records_per_file"),
-        F.round(mean * (60.0 / F.max(nominal)), 1).alias("records_per_min"),
+        F.count(F.lit(1)).alias("n_files_sampled"), rounded(mean, 1).alias("mean_records_per_file"),
+        rounded(F.percentile("n_rows", 0.5), 1).alias("median_records_per_file"),
+        rounded(mean * (60.0 / F.max(nominal)), 1).alias("records_per_min"),
         (mean * (60.0 / F.max(nominal))).alias("_per_min"))
 
 
@@ -115,8 +116,8 @@ def throughput_stats(files: DataFrame, nominal: Column, keys: Sequence[str] = ("
     cycles = files_per_cycle(cycle_files if cycle_files is not None else files, nominal, keys)
     joined = throughput(files, nominal, keys).join(cycles, keys, "left")
     return joined.withColumns({
-        "aggregate_records_per_min": F.round(F.col("_per_min") * F.col("files_per_cycle"), 1),
-        "files_per_cycle": F.round("files_per_cycle", 1),
+        "aggregate_records_per_min": rounded(F.col("_per_min") * F.col("files_per_cycle"), 1),
+        "files_per_cycle": rounded("files_per_cycle", 1),
     }).drop("_per_min")
 
 
@@ -134,10 +135,10 @@ def latency_stats(samples: DataFrame, keys: Sequence[str] = ("source",), rounds:
     """
     keys = list(keys)
     plain = samples.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_records"), F.round(F.avg("latency_s"), 1).alias("mean_latency_s"),
-        F.round(F.max("latency_s"), 1).alias("max_latency_s"))
+        F.count(F.lit(1)).alias("n_records"), rounded(F.avg("latency_s"), 1).alias("mean_latency_s"),
+        rounded(F.max("latency_s"), 1).alias("max_latency_s"))
     quantiles = exact_quantiles(samples, keys, "latency_s", {"median_latency_s": 0.5, "p95_latency_s": 0.95},
                                 rounds=rounds)
     return plain.join(quantiles.drop("n"), keys).select(
-        *keys, "n_records", F.round("median_latency_s", 1).alias("median_latency_s"), "mean_latency_s",
-        F.round("p95_latency_s", 1).alias("p95_latency_s"), "max_latency_s")
+        *keys, "n_records", rounded("median_latency_s", 1).alias("median_latency_s"), "mean_latency_s",
+        rounded("p95_latency_s", 1).alias("p95_latency_s"), "max_latency_s")

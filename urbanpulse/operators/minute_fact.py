@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from urbanpulse.fixed import OPTIONAL_WEATHER, TEMPERATURE_LIMITS
 from urbanpulse.functions.nested import optional
+from urbanpulse.functions.rounding import rounded
 from urbanpulse.functions.stats import min_max_scaled
 from urbanpulse.functions.times import as_instant, bucket, epoch_seconds, plausible_epoch
+from urbanpulse.session import materialise
 
 INDEX_COLUMNS = ("bikes_in_use", "public_transport_activity", "flight_activity")
 
@@ -153,9 +155,12 @@ def _filled(name: str) -> Column:
 def _scaled(fact: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
     """The table with the span of each column beside it, and the 0..1 expression of each column.
 
-    The spans are one small aggregate. With keys it is joined back on them (one row per
-    period); without, it is read as a scalar subquery.
+    The fact is needed twice, for the spans and for itself, so it is written once first: the
+    feeds behind it are scanned a single time. Its size is set by minutes, not by the data.
+    With keys the spans are joined back on them (one row per period); without, they are a
+    scalar subquery.
     """
+    fact = materialise(fact)
     ends = {f"_lo_{c}": F.min(_filled(c)) for c in columns} | {f"_hi_{c}": F.max(_filled(c)) for c in columns}
     spans = [e.alias(n) for n, e in ends.items()]
     if keys:
@@ -207,6 +212,6 @@ def temperature_summary(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     t = F.when(~F.isnan("road_temperature"), F.col("road_temperature"))
     deviation = F.when(F.count(t) > 1, F.sqrt(F.try_divide(F.var_pop(t) * F.count(t), F.count(t) - 1)))
     return fact.groupBy(*keys).agg(
-        F.round(F.min(t), 1).alias("min_c"), F.round(F.max(t), 1).alias("max_c"),
-        F.round(F.avg(t), 1).alias("mean_c"),
-        F.round(F.coalesce(deviation, F.lit(0.0)), 1).alias("std_c"), F.count(t).alias("n_readings"))
+        rounded(F.min(t), 1).alias("min_c"), rounded(F.max(t), 1).alias("max_c"),
+        rounded(F.avg(t), 1).alias("mean_c"),
+        rounded(F.coalesce(deviation, F.lit(0.0)), 1).alias("std_c"), F.count(t).alias("n_readings"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanpulse.fixed import ISLAND_NEIGHBOURS, LISA_ALPHA, MIN_ZONES, PERMUTATIONS, ZONE_SEED
+from urbanpulse.functions.rounding import rounded
 from urbanpulse.session import materialise
 
 BLOCK = 37
@@ -200,8 +201,8 @@ def moran(zones: DataFrame, metric: str, group: Sequence[str] = ("city",), permu
     counts = permutation_counts(lag, group, permutations, seed)
     overall = counts.groupBy(*group).agg(F.first("draws").alias("_draws"), F.first("global_reached").alias("_reached"))
     glob = global_moran(lag, group).join(overall, group).select(
-        *group, F.lit(metric).alias("metric"), "n_zones", F.round("avg_neighbours", 2).alias("avg_neighbours"),
-        F.round("I", 4).alias("I"), F.round("EI", 4).alias("EI"),
+        *group, F.lit(metric).alias("metric"), "n_zones", rounded("avg_neighbours", 2).alias("avg_neighbours"),
+        rounded("I", 4).alias("I"), rounded("EI", 4).alias("EI"),
         F.when(F.col("I").isNotNull(), folded_p(F.col("_reached"), F.col("_draws"))).alias("p_sim"))
     p = folded_p(F.col("local_reached"), F.col("draws"))
     loc = local_moran(lag, group).join(counts, [*group, "zone_id"]).select(

@@ -22,6 +22,7 @@ from urbanpulse.fixed import (
     SOURCE_LABELS,
 )
 from urbanpulse.functions.nested import field_path, first_match, last_match, optional, top
+from urbanpulse.functions.rounding import rounded
 from urbanpulse.functions.times import (
     after_2000,
     as_instant,
@@ -325,5 +326,5 @@ def zero_timestamp_share(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("timestamp") == 0).alias("n_zero"),
-        F.round(F.try_divide(F.count_if(F.col("timestamp") == 0) * 100.0, F.count(F.lit(1))), 4).alias("pct_zero"),
+        rounded(F.try_divide(F.count_if(F.col("timestamp") == 0) * 100.0, F.count(F.lit(1))), 4).alias("pct_zero"),
     )

@@ -11,9 +11,9 @@ from urbanpulse.fixed import CELL_KM, CITIES, KM_PER_DEGREE, MIN_STOPS_PER_CELL
 from urbanpulse.functions.geo import cell_box, cell_index, lat_step, lon_step, near_centre, zone_name
 from urbanpulse.functions.times import is_peak
 from urbanpulse.session import small_side
-from urbanpulse.sources.schemas import struct
+from urbanpulse.sources.schemas import REAL, each, struct
 
-CITY_SCHEMA = struct("city string, operator string, lat_c double, lon_c double, dlat double, dlon double")
+CITY_SCHEMA = struct({**each("city operator"), **each("lat_c lon_c dlat dlon", REAL)})
 MAX_CELLS_PER_CITY = 100_000
 
 

@@ -19,7 +19,6 @@ from urbanpulse.operators.minute_fact import (
     with_zone,
 )
 from urbanpulse.operators.periods import effective_time, part_of_day, with_periods
-from urbanpulse.session import materialise
 from urbanpulse.sources.snapshots import read_normalized_table
 
 KEY = ("period",)
@@ -64,8 +63,8 @@ class Impact:
 
 def analyse(spark: SparkSession, feeds: dict[str, DataFrame], periods: Sequence[Period], unit: str = "minute",
             hours: tuple[int, int] | None = None, location_zone: DataFrame | None = None) -> Impact:
-    """All period statistics over one materialised fact table."""
-    fact = materialise(period_fact(feeds, periods, unit, hours))
+    """All period statistics over one fact table, which is written once (see `with_index`)."""
+    fact = period_fact(feeds, periods, unit, hours)
     correlations = correlate.weather_correlations(fact, KEY)
     by_zone = zone_corr = None
     if location_zone is not None:

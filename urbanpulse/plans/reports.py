@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanpulse.fixed import KMEANS_ZONES, LATENCY_DAYS, PERMUTATIONS, Period
+from urbanpulse.fixed import CELL_KM, KMEANS_ZONES, LATENCY_DAYS, MIN_STOPS_PER_CELL, PERMUTATIONS, Period
 from urbanpulse.functions.geo import in_box
+from urbanpulse.functions.rounding import rounded
 from urbanpulse.functions.stats import pair_count, safe_corr
 from urbanpulse.operators import anomaly, health, zones
 from urbanpulse.operators.kmeans import kmeans_zones
@@ -20,9 +21,10 @@ WINDOW_CITY = ("period", "city")
 
 
 def spatial_report(updates: DataFrame, stops: DataFrame, cities: DataFrame, periods: Sequence[Period],
-                   permutations: int = PERMUTATIONS) -> dict[str, DataFrame]:
+                   permutations: int = PERMUTATIONS, cell_km: float = CELL_KM,
+                   min_stops: int = MIN_STOPS_PER_CELL) -> dict[str, DataFrame]:
     """Zone activity, delay and peak ratio per window and city, each with global and local Moran's I."""
-    zoned = materialise(zones.grid_zones(stops, cities))
+    zoned = materialise(zones.grid_zones(stops, cities, cell_km, min_stops))
     placed = with_periods(updates, F.col("minute"), periods)
     summary = zones.zone_summary(zoned)
     activity = materialise(zones.zones_with_metrics(summary, zones.zone_activity(placed, zoned, ("period",)), ("period",)))
@@ -58,7 +60,7 @@ def zonal_correlations(updates: DataFrame, stops: DataFrame, temperature: DataFr
     def pair(metric: str) -> list[Column]:
         n, t = pair_count(F.col("road_temperature"), F.col(metric)), F.col("road_temperature")
         return [n.alias(f"n_{metric}"),
-                F.when(n >= min_rows, F.round(safe_corr(t, F.col(metric)), digits)).alias(f"r_{metric}")]
+                F.when(n >= min_rows, rounded(safe_corr(t, F.col(metric)), digits)).alias(f"r_{metric}")]
 
     correlations = joined.groupBy(*keys, "zone").agg(*pair("pt_activity"), *pair("pt_delay_mean"))
     centroids = zoned.groupBy("zone").agg(

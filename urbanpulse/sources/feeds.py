@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from urbanpulse.functions.nested import clean_lists, flatten
 from urbanpulse.functions.times import iso_timestamp
 from urbanpulse.session import utc
-from urbanpulse.sources.schemas import RAW, struct
+from urbanpulse.sources.schemas import RAW, TEXT, WHOLE, each, rows, struct
 
 # Child tags of a flight element; `status` carries attributes.
 FLIGHT_TAGS = (
@@ -20,13 +20,13 @@ FLIGHT_TAGS = (
 )
 FLIGHT_STATUS_ATTRIBUTES = ("code", "time")
 
-JOURNEY = struct(
-    "RecordedAtTime string, LineRef string, DirectionRef string, OperatorRef string, Monitored string, "
-    "DataSource string, FramedVehicleJourneyRef struct<DataFrameRef:string,DatedVehicleJourneyRef:string>, "
-    "EstimatedCalls struct<EstimatedCall:array<struct<StopPointRef:string,StopPointName:string,"
-    "DestinationDisplay:string,AimedArrivalTime:string,ExpectedArrivalTime:string,ArrivalStatus:string,"
-    "AimedDepartureTime:string,ExpectedDepartureTime:string,DepartureStatus:string>>>"
-)
+JOURNEY = struct({
+    **each("RecordedAtTime LineRef DirectionRef OperatorRef Monitored DataSource"),
+    "FramedVehicleJourneyRef": each("DataFrameRef DatedVehicleJourneyRef"),
+    "EstimatedCalls": {"EstimatedCall": rows(each(
+        "StopPointRef StopPointName DestinationDisplay AimedArrivalTime ExpectedArrivalTime ArrivalStatus "
+        "AimedDepartureTime ExpectedDepartureTime DepartureStatus"))},
+})
 
 
 def blank_to_null(text: Column) -> Column:
@@ -43,8 +43,8 @@ def xml(spark: SparkSession, path: str | list[str], row_tag: str, schema: T.Stru
 
 
 def flight_schema(tags: Iterable[str] = FLIGHT_TAGS) -> T.StructType:
-    status = ",".join(["_VALUE:string", *(f"_{a}:string" for a in FLIGHT_STATUS_ATTRIBUTES)])
-    return struct(", ".join([*(f"{t} string" for t in tags), f"status struct<{status}>", "_uniqueID string"]))
+    status = {"_VALUE": TEXT, **{f"_{a}": TEXT for a in FLIGHT_STATUS_ATTRIBUTES}}
+    return struct({**{t: TEXT for t in tags}, "status": status, "_uniqueID": TEXT})
 
 
 def flights_from(df: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def read_flights(spark: SparkSession, path: str) -> DataFrame:
 
 def read_airports(spark: SparkSession, path: str) -> DataFrame:
     """Airport names with a three-letter code."""
-    names = xml(spark, path, "airportName", struct("_code string, _name string"))
+    names = xml(spark, path, "airportName", struct(each("_code _name")))
     return names.select(F.col("_code").alias("code"), F.col("_name").alias("name")).where(F.length("code") == 3)
 
 
@@ -132,16 +132,16 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
 def read_bike_feed(spark: SparkSession, path: str, station: T.StructType = RAW["bikes"]) -> DataFrame:
     """Bike documents: `data.stations[]` gives a row per station, otherwise `data` is one row."""
     inner = T.StructType([T.StructField("stations", T.ArrayType(station)), *station.fields])
-    document = T.StructType([T.StructField("last_updated", T.LongType()), T.StructField("data", inner)])
+    document = struct({"last_updated": WHOLE, "data": inner})
     docs = utc(spark).read.schema(document).option("multiLine", True).json(path)
     names = [f.name for f in station.fields if f.name != "last_updated"]
     single = F.struct(*[F.col(f"data.{n}").alias(n) for n in station.fieldNames()])
-    rows = docs.select(
+    listed = docs.select(
         F.explode(F.coalesce(F.col("data.stations"), F.when(F.col("data").isNotNull(), F.array(single)),
                              F.array().cast(T.ArrayType(station)))).alias("s"),
         F.col("last_updated"),
     )
-    return rows.select(*[F.col(f"s.{n}").alias(n) for n in names], "last_updated")
+    return listed.select(*[F.col(f"s.{n}").alias(n) for n in names], "last_updated")
 
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -164,39 +164,39 @@ def situation_records(situations: DataFrame, records: str) -> DataFrame:
 
 def read_situations(spark: SparkSession, path: str, schema: T.StructType,
                     row_tag: str = "ns12:situation", records: str = "ns12:situationRecord") -> DataFrame:
-    rows = xml(spark, path, row_tag, schema, ignore_namespace=False, attribute_prefix="@")
-    return situation_records(rows, records)
+    found = xml(spark, path, row_tag, schema, ignore_namespace=False, attribute_prefix="@")
+    return situation_records(found, records)
 
 
 def site_measurement_schema() -> T.StructType:
     """Nested form of the road-weather document: its dotted raw columns are struct paths."""
     quantity = RAW["road_weather"]["ns10:physicalQuantity"].dataType
-    return T.StructType([
-        T.StructField("ns10:measurementSiteReference", T.StructType([T.StructField("@id", T.StringType())])),
-        T.StructField("ns10:measurementTimeDefault", T.StructType([T.StructField("ns10:timeValue", T.StringType())])),
-        T.StructField("ns10:physicalQuantity", quantity),
-    ])
+    return struct({
+        "ns10:measurementSiteReference": {"@id": TEXT},
+        "ns10:measurementTimeDefault": {"ns10:timeValue": TEXT},
+        "ns10:physicalQuantity": quantity,
+    })
 
 
 def read_road_weather(spark: SparkSession, path: str) -> DataFrame:
     """Site measurements, one row per site, nested names joined by dots."""
-    rows = xml(spark, path, "ns10:siteMeasurements", site_measurement_schema(), False, "@")
-    return flatten(rows)
+    found = xml(spark, path, "ns10:siteMeasurements", site_measurement_schema(), False, "@")
+    return flatten(found)
 
 
 def read_weather_sites(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Measurement-site reference table."""
-    rows = xml(spark, path, "ns10:measurementSite", schema, False, "@")
-    return flatten(clean_lists(rows))
+    found = xml(spark, path, "ns10:measurementSite", schema, False, "@")
+    return flatten(clean_lists(found))
 
 
 def read_travel_times(spark: SparkSession, path: str) -> DataFrame:
     """The whole travel-time document as one row that holds the list of quantities."""
     name = "ns2:messageContainer.ns2:payload.ns10:physicalQuantity"
     quantity = RAW["travel_times"][name].dataType
-    payload = T.StructType([T.StructField("ns10:physicalQuantity", quantity)])
-    rows = xml(spark, path, "ns2:payload", payload, False, "@")
-    return rows.select(F.col("`ns10:physicalQuantity`").alias(name))
+    payload = struct({"ns10:physicalQuantity": quantity})
+    found = xml(spark, path, "ns2:payload", payload, False, "@")
+    return found.select(F.col("`ns10:physicalQuantity`").alias(name))
 
 
 def read_stops(spark: SparkSession, path: str) -> DataFrame:

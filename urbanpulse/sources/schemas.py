@@ -4,86 +4,100 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+TEXT, WHOLE, REAL, FLAG, INSTANT = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
 
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
 
+def struct(fields: dict) -> T.StructType:
+    """Struct type from a dict of names to types; a nested dict is a nested struct."""
+    return T.StructType([
+        T.StructField(name, struct(kind) if isinstance(kind, dict) else kind) for name, kind in fields.items()
+    ])
 
-STOP_UPDATES = (
-    "array<struct<stop_id:string,arrival_delay:bigint,departure_delay:bigint,stop_point_name:string,"
-    "destination_display:string,arrival_status:string,departure_status:string>>"
-)
+
+def each(names: str, kind: T.DataType = TEXT) -> dict:
+    """Several fields of one type, names separated by blanks."""
+    return {name: kind for name in names.split()}
+
+
+def rows(fields: dict) -> T.ArrayType:
+    return T.ArrayType(struct(fields))
+
+
+_WEATHER_DATA = {
+    "ns10:roadSurfaceConditionMeasurements": {"roadSurfaceTemperature": {"temperature": TEXT}},
+    "ns10:temperature": {"airTemperature": {"temperature": TEXT}, "dewPointTemperature": {"temperature": TEXT}},
+    "ns10:precipitationDetail": {"precipitationIntensity": {"millimetresPerHourIntensity": TEXT}},
+    "ns10:wind": {
+        "windSpeed": {"windSpeed": TEXT}, "windDirectionBearing": {"directionBearing": TEXT},
+        "maximumWindSpeed": {"windSpeed": TEXT},
+    },
+    "ns10:humidity": {"relativeHumidity": {"percentage": TEXT}},
+}
+_TRAVEL_DATA = {
+    "ns10:measurementOrCalculationTime": {"ns10:period": {"startOfPeriod": TEXT, "endOfPeriod": TEXT}},
+    "ns10:freeFlowTravelTime": {"ns10:duration": TEXT},
+    "ns10:freeFlowSpeed": {"speed": TEXT},
+    "ns10:trafficStatus": {"ns10:trafficStatusValue": TEXT},
+}
+STOP_UPDATES = rows({
+    "stop_id": TEXT, **each("arrival_delay departure_delay", WHOLE),
+    **each("stop_point_name destination_display arrival_status departure_status"),
+})
 
 RAW = {
-    "flights": struct(
-        "airline string, flight_id string, airport string, schedule_time string, arr_dep string, "
-        "status string, status_code string, status_time string, delayed string, uniqueID string"
-    ),
-    "trips": struct(
-        "id string, type string, trip_id string, route_id string, timestamp bigint, start_date string, "
-        f"start_time string, stop_time_updates {STOP_UPDATES}, direction_ref string, operator_ref string, "
-        "monitored string, data_source string"
-    ),
-    "bikes": struct(
-        "station_id string, is_installed boolean, is_renting boolean, is_returning boolean, "
-        "last_reported bigint, num_vehicles_available bigint, num_bikes_available bigint, "
-        "num_docks_available bigint, last_updated bigint"
-    ),
-    "bike_stations": struct("station_id string, capacity bigint"),
-    "vehicle_positions": struct(
-        "id string, type string, trip_id string, latitude double, longitude double, timestamp bigint"
-    ),
-    "alerts": struct("id string, type string, cause string, effect string"),
-    "stops": struct("stop_id string, stop_lat double, stop_lon double"),
-    "road_weather": struct(
-        "`ns10:measurementSiteReference.@id` string, `ns10:measurementTimeDefault.ns10:timeValue` string, "
-        "`ns10:physicalQuantity` array<struct<`@index`:string,`ns10:physicalQuantity`:struct<`@xsi:type`:string,"
-        "`ns10:basicData`:struct<"
-        "`ns10:roadSurfaceConditionMeasurements`:struct<roadSurfaceTemperature:struct<temperature:string>>,"
-        "`ns10:temperature`:struct<airTemperature:struct<temperature:string>,"
-        "dewPointTemperature:struct<temperature:string>>,"
-        "`ns10:precipitationDetail`:struct<precipitationIntensity:struct<millimetresPerHourIntensity:string>>,"
-        "`ns10:wind`:struct<windSpeed:struct<windSpeed:string>,"
-        "windDirectionBearing:struct<directionBearing:string>,maximumWindSpeed:struct<windSpeed:string>>,"
-        "`ns10:humidity`:struct<relativeHumidity:struct<percentage:string>>>>>>"
-    ),
-    "travel_times": struct(
-        "`ns2:messageContainer.ns2:payload.ns10:physicalQuantity` array<struct<"
-        "`ns10:pertinentLocation`:struct<`ns8:predefinedLocationReference`:struct<`@id`:string>>,"
-        "`ns10:basicData`:struct<"
-        "`ns10:measurementOrCalculationTime`:struct<`ns10:period`:struct<startOfPeriod:string,endOfPeriod:string>>,"
-        "`ns10:freeFlowTravelTime`:struct<`ns10:duration`:string>,"
-        "`ns10:freeFlowSpeed`:struct<speed:string>,"
-        "`ns10:trafficStatus`:struct<`ns10:trafficStatusValue`:string>>>>"
-    ),
+    "flights": struct(each(
+        "airline flight_id airport schedule_time arr_dep status status_code status_time delayed uniqueID")),
+    "trips": struct({
+        **each("id type trip_id route_id"), "timestamp": WHOLE, **each("start_date start_time"),
+        "stop_time_updates": STOP_UPDATES, **each("direction_ref operator_ref monitored data_source"),
+    }),
+    "bikes": struct({
+        "station_id": TEXT, **each("is_installed is_renting is_returning", FLAG),
+        **each("last_reported num_vehicles_available num_bikes_available num_docks_available last_updated", WHOLE),
+    }),
+    "bike_stations": struct({"station_id": TEXT, "capacity": WHOLE}),
+    "vehicle_positions": struct({
+        **each("id type trip_id"), **each("latitude longitude", REAL), "timestamp": WHOLE}),
+    "alerts": struct(each("id type cause effect")),
+    "stops": struct({"stop_id": TEXT, **each("stop_lat stop_lon", REAL)}),
+    "road_weather": struct({
+        "ns10:measurementSiteReference.@id": TEXT, "ns10:measurementTimeDefault.ns10:timeValue": TEXT,
+        "ns10:physicalQuantity": rows({
+            "@index": TEXT, "ns10:physicalQuantity": {"@xsi:type": TEXT, "ns10:basicData": _WEATHER_DATA}}),
+    }),
+    "travel_times": struct({
+        "ns2:messageContainer.ns2:payload.ns10:physicalQuantity": rows({
+            "ns10:pertinentLocation": {"ns8:predefinedLocationReference": {"@id": TEXT}},
+            "ns10:basicData": _TRAVEL_DATA}),
+    }),
 }
 
 NORMALIZED = {
-    "flights": struct(
-        "airline string, flight_id string, airport string, schedule_time string, location string, "
-        "metric_value string, timestamp timestamp, metric_name string, source string, status_time timestamp, "
-        "delayed string, delay_minutes double, uniqueID string"
-    ),
-    "bikes": struct(
-        "location string, metric_value double, num_bikes_available bigint, num_docks_available bigint, "
-        "is_renting boolean, is_returning boolean, timestamp timestamp, source string, capacity bigint, "
-        "is_installed boolean, num_vehicles_available bigint"
-    ),
-    "road_weather": struct(
-        "location string, metric_name string, metric_value double, timestamp timestamp, source string, "
-        "road_temperature double, air_temperature double, precipitation_intensity double, wind_speed double, "
-        "wind_direction_bearing double, max_wind_speed double, relative_humidity double, "
-        "dew_point_temperature double, measurement_type string"
-    ),
-    "travel_times": struct(
-        "location_id string, period_start timestamp, period_end timestamp, free_flow_travel_time_sec double, "
-        "free_flow_speed_kmh double, traffic_status string, source string"
-    ),
-    "situations": struct(
-        "date string, minute timestamp, situation_type string, location_id string, event_count bigint, source string"
-    ),
-    "trips": struct(
-        "trip_id string, route_id string, timestamp bigint, start_date string, start_time string, "
-        "max_arrival_delay_sec bigint, max_departure_delay_sec bigint, departure_timestamp bigint"
-    ),
+    "flights": struct({
+        **each("airline flight_id airport schedule_time location metric_value"), "timestamp": INSTANT,
+        **each("metric_name source"), "status_time": INSTANT, "delayed": TEXT, "delay_minutes": REAL,
+        "uniqueID": TEXT,
+    }),
+    "bikes": struct({
+        "location": TEXT, "metric_value": REAL, **each("num_bikes_available num_docks_available", WHOLE),
+        **each("is_renting is_returning", FLAG), "timestamp": INSTANT, "source": TEXT, "capacity": WHOLE,
+        "is_installed": FLAG, "num_vehicles_available": WHOLE,
+    }),
+    "road_weather": struct({
+        **each("location metric_name"), "metric_value": REAL, "timestamp": INSTANT, "source": TEXT,
+        **each("road_temperature air_temperature precipitation_intensity wind_speed wind_direction_bearing "
+               "max_wind_speed relative_humidity dew_point_temperature", REAL),
+        "measurement_type": TEXT,
+    }),
+    "travel_times": struct({
+        "location_id": TEXT, **each("period_start period_end", INSTANT),
+        **each("free_flow_travel_time_sec free_flow_speed_kmh", REAL), **each("traffic_status source"),
+    }),
+    "situations": struct({
+        "date": TEXT, "minute": INSTANT, **each("situation_type location_id"), "event_count": WHOLE, "source": TEXT,
+    }),
+    "trips": struct({
+        **each("trip_id route_id"), "timestamp": WHOLE, **each("start_date start_time"),
+        **each("max_arrival_delay_sec max_departure_delay_sec departure_timestamp", WHOLE),
+    }),
 }

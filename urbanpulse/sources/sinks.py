@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanpulse.functions.times import folder_date
-from urbanpulse.sources.schemas import struct
+from urbanpulse.sources.schemas import each, struct
 
-LEDGER = struct("source string, key string")
+LEDGER = struct(each("source key"))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
