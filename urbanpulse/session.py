@@ -43,6 +43,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: later branches and lost executors re-read it."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanpulse.functions.times import folder_date
+from urbanpulse.session import path_exists
 from urbanpulse.sources.schemas import each, struct
 
 LEDGER = struct(each("source key"))
@@ -22,15 +23,15 @@ def write_documents(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_normalized(df: DataFrame, base: str, run: str, feed: str, date_column: str = "date") -> None:
-    """Append one run of a feed under feed=/date=/run=.
+    """Append one run of a feed to its table, under <base>/<feed>/date=/run=.
 
     The run name is derived from its input files, and only the partitions of this run are
     overwritten: repeating a run that died half-way replaces its own output.
     """
-    out = df.withColumns({"feed": F.lit(feed), "run": F.lit(run), "date": F.col(date_column).cast("date")})
+    out = df.withColumns({"run": F.lit(run), "date": F.col(date_column).cast("date")})
     (
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("feed", "date", "run").parquet(base)
+        .partitionBy("date", "run").parquet(f"{base.rstrip('/')}/{feed}")
     )
 
 
@@ -45,9 +46,10 @@ def overwrite_csv(df: DataFrame, path: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
     """Files already processed; an absent ledger is empty."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    ledger = spark.read.schema(LEDGER).parquet(path) if exists else spark.createDataFrame([], LEDGER)
+    if path_exists(spark, path):
+        ledger = spark.read.schema(LEDGER).parquet(path)
+    else:
+        ledger = spark.createDataFrame([], LEDGER)
     return ledger.where(F.col("source") == source) if source else ledger
 
 

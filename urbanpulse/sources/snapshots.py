@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from urbanpulse.fixed import FILE_NAME_TESTS, RAW_LAYOUT, REQUIRED_COLUMNS
 from urbanpulse.functions.times import bucket, folder_date
-from urbanpulse.session import utc
-from urbanpulse.sources.schemas import RAW
+from urbanpulse.session import path_exists, utc
+from urbanpulse.sources.schemas import NORMALIZED, RAW
 
 FILE = "_file"
 FILE_TIME = "_file_time"
@@ -137,9 +137,15 @@ def read_normalized_files(spark: SparkSession, folder: str, feed: str,
 
 def read_normalized_table(spark: SparkSession, base: str, feed: str,
                           dates: tuple[str, str] | None = None) -> DataFrame:
-    """Normalized table partitioned by feed and date: the window prunes partitions, else all are read."""
-    utc(spark)
-    df = spark.read.parquet(base).where(F.col("feed") == feed)
+    """A feed's normalized table, partitioned by date: the window prunes partitions, else all are read.
+
+    A feed that was never written is empty.
+    """
+    path = f"{base.rstrip('/')}/{feed}"
+    schema = T.StructType([f for f in NORMALIZED[feed].fields if f.name != "date"]).add("date", "date").add("run", "string")
+    if not path_exists(utc(spark), path):
+        return spark.createDataFrame([], schema)
+    df = spark.read.schema(schema).parquet(path)
     if dates:
         inside = df.where(F.col("date").between(F.lit(dates[0]).cast("date"), F.lit(dates[1]).cast("date")))
         return df if inside.isEmpty() else inside
