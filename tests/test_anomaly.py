@@ -38,11 +38,20 @@ def test_samples_are_bounded_and_blocks_agree(spark):
     assert len(sizes) == 12 and max(sizes) <= 64 and min(sizes) >= 60
     trees = forest.grow_forest(big, ["g"], ["x", "y"], "id", trees=12, sample=64)
     whole = forest.score_forest(big, trees, ["g"], ["x", "y"], "id")
-    split = forest.score_forest(big, trees, ["g"], ["x", "y"], "id", block_rows=100)
+    split = forest.score_forest(big, trees, ["g"], ["x", "y"], "id", block_rows=100, broadcast_bytes=0)
     both = whole.join(split.select("id", F.col("if_score").alias("other")), "id")
     assert both.count() == 3000 and both.where(F.abs(F.col("if_score") - F.col("other")) > 1e-12).count() == 0
 
 
+def test_large_groups_draw_from_a_pool(spark, monkeypatch):
+    monkeypatch.setattr(forest, "POOL_PER_SAMPLE", 1)
+    big = spark.range(5000).select(F.lit("g").alias("g"), F.col("id"), F.rand(1).alias("x"))
+    drawn = forest.draw_samples(big, ["g"], "id", trees=10, sample=64).persist()
+    sizes = [r["count"] for r in drawn.groupBy("tree").count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 64 and min(sizes) >= 60
+    assert 300 < drawn.select("id").distinct().count() <= 640
+
+
 def test_average_path():
     assert list(forest.average_path(np.array([0, 1, 2]))) == [0, 0, 1]
     assert forest.average_path(256) == pytest.approx(10.2445, abs=1e-3)

@@ -11,6 +11,7 @@ from urbanpulse.operators import anomaly
 from urbanpulse.operators.periods import with_periods
 from urbanpulse.operators.quantiles import exact_quantiles
 from urbanpulse.plans.reports import anomaly_report
+from urbanpulse.session import materialise
 
 register = Register()
 
@@ -19,11 +20,16 @@ FEATURES = ("load", "delay", "headway")
 
 
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    """Three features per window, event type and hour; the delay is missing where no value is below 20."""
+    """Three features per window, event type and hour; the delay is missing where no value is below 20.
+
+    Written once, since imputation, scaling and detection each read it.
+    """
     placed = with_periods(events(spark, sf), F.col("ts"), JANUARY)
-    return placed.groupBy("period", F.col("event_type").alias("mode"), F.date_trunc("hour", "ts").alias("hour")).agg(
+    return materialise(placed.groupBy(
+        "period", F.col("event_type").alias("mode"), F.date_trunc("hour", "ts").alias("hour")
+    ).agg(
         F.sum("value").alias("load"), F.avg(F.when(F.col("value") < 20, F.col("value"))).alias("delay"),
-        F.avg("k").alias("headway"))
+        F.avg("k").alias("headway")))
 
 
 HOURLY = f"""WITH {EV}, {periods_sql(JANUARY)}, hourly AS (SELECT period, event_type AS mode, date_trunc('hour', ts) AS hour,

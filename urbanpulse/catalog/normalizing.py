@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urbanpulse.catalog import Register
 from urbanpulse.catalog.standins import EV, clock, events, r6, table
@@ -12,6 +13,7 @@ from urbanpulse.functions.times import epoch_seconds, folder_date, service_depar
 from urbanpulse.operators import normalize
 from urbanpulse.operators.dedup import keep_last
 from urbanpulse.operators.unify import align, unify
+from urbanpulse.session import spread
 from urbanpulse.sources.feeds import JOURNEY, flight_schema, flights_from, situation_records, trips_from
 from urbanpulse.sources.schemas import RAW
 from urbanpulse.sources.sinks import files_by_date, merge_listings, not_processed
@@ -24,6 +26,12 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def parsed_once(parser: Column, text: DataFrame) -> DataFrame:
+    """Fields of a parsed document. The one-item explode keeps later filters from being pushed
+    into the parser, which would parse every row once per filter."""
+    return text.select(F.explode(F.array(parser)).alias("d")).select("d.*")
+
+
 # ---- flights -----------------------------------------------------------------------------------
 
 @register("""SELECT CAST(o_orderkey AS VARCHAR) AS uniqueID, o_orderpriority AS airline,
@@ -75,7 +83,7 @@ def xml_flights(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")).alias("airline"),
         (F.col("user_id") % 7).cast("string").alias("gate"), F.lit(" ").alias("airport"), coded.alias("status"))
     text = events(spark, sf).select(F.to_xml(element, {"rowTag": "flight"}).alias("x"))
-    parsed = text.select(F.from_xml("x", flight_schema(), {"rowTag": "flight"}).alias("f")).select("f.*")
+    parsed = parsed_once(F.from_xml("x", flight_schema(), {"rowTag": "flight"}), text)
     flights = flights_from(parsed).where(F.col("airport").isNull())
     return flights.groupBy("airline", F.col("gate").cast("bigint").alias("gate")).agg(
         F.count(F.lit(1)).alias("n"), F.count("status").alias("n_status"), F.count_distinct("status_code").alias("n_codes"),
@@ -198,7 +206,7 @@ def zero_timestamps(spark: SparkSession, sf: str) -> DataFrame:
   FROM lineitem WHERE l_linenumber < 7) GROUP BY route_id""")
 def xml_journeys(spark: SparkSession, sf: str) -> DataFrame:
     """Every line written as an estimated journey and parsed back; lines without a trip id are dropped."""
-    line = table(spark, sf, "lineitem").withColumn("d", F.timestamp_seconds(
+    line = spread(table(spark, sf, "lineitem")).withColumn("d", F.timestamp_seconds(
         F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + (F.col("l_suppkey") % 24) * 3600 + (F.col("l_partkey") % 60) * 60))
 
     def at(shift: Column) -> Column:
@@ -215,7 +223,7 @@ def xml_journeys(spark: SparkSession, sf: str) -> DataFrame:
                  ).alias("FramedVehicleJourneyRef"),
         F.struct(F.array(call).alias("EstimatedCall")).alias("EstimatedCalls"))
     text = line.select(F.to_xml(journey, {"rowTag": "EstimatedVehicleJourney"}).alias("x"))
-    parsed = text.select(F.from_xml("x", JOURNEY, {"rowTag": "EstimatedVehicleJourney"}).alias("j")).select("j.*")
+    parsed = parsed_once(F.from_xml("x", JOURNEY, {"rowTag": "EstimatedVehicleJourney"}), text)
     update = F.col("stop_time_updates")[0]
     return trips_from(parsed).groupBy("route_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(update["arrival_delay"]).alias("arrival_delay"),
@@ -287,16 +295,22 @@ def road_weather_quantities(spark: SparkSession, sf: str) -> DataFrame:
     kind = RAW["road_weather"]["ns10:physicalQuantity"].dataType.elementType
     line = table(spark, sf, "lineitem")
 
-    def quantity(index: str, *path: str, value: Column) -> Column:
-        for name in reversed(path):
-            value = F.struct(value.alias(name))
-        inner = F.struct(value.alias("ns10:basicData")).alias("ns10:physicalQuantity")
-        return F.from_json(F.to_json(F.struct(F.lit(index).alias("@index"), inner)), kind)
-
-    road = quantity("road", "ns10:roadSurfaceConditionMeasurements", "roadSurfaceTemperature", "temperature",
-                    value=F.when(F.col("l_linenumber") > 1, F.col("l_quantity").cast("string")).otherwise("abc"))
-    wind = quantity("wind", "ns10:wind", "windSpeed", "windSpeed",
-                    value=F.when(F.col("l_linenumber") < 6, F.col("l_tax").cast("string")).otherwise(""))
+    def filled(dtype: T.DataType, path: tuple[str, ...], value: Column) -> Column:
+        """A struct of the declared type with one leaf set and all else null."""
+        if not path:
+            return value
+        return F.struct(*[
+            (filled(f.dataType, path[1:], value) if f.name == path[0] else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in dtype.fields])
+
+    def quantity(index: str, path: tuple[str, ...], value: Column) -> Column:
+        inner = filled(kind["ns10:physicalQuantity"].dataType, ("ns10:basicData", *path), value)
+        return F.struct(F.lit(index).alias("@index"), inner.alias("ns10:physicalQuantity"))
+
+    road = quantity("road", normalize.WEATHER_PATHS["road_temperature"],
+                    F.when(F.col("l_linenumber") > 1, F.col("l_quantity").cast("string")).otherwise("abc"))
+    wind = quantity("wind", normalize.WEATHER_PATHS["wind_speed"],
+                    F.when(F.col("l_linenumber") < 6, F.col("l_tax").cast("string")).otherwise(""))
     raw = line.select(
         F.col("l_suppkey").cast("string").alias("ns10:measurementSiteReference.@id"),
         F.concat(iso(F.col("l_shipdate")), F.lit(".250Z")).alias("ns10:measurementTimeDefault.ns10:timeValue"),

@@ -12,7 +12,7 @@ from urbanpulse.fixed import BOX_EPSILON, BOX_WHISKER, ROLLING_ROWS, SCORE_BINS
 from urbanpulse.functions.rounding import rounded
 from urbanpulse.operators.forest import detect
 from urbanpulse.operators.quantiles import exact_quantiles
-from urbanpulse.session import beside
+from urbanpulse.session import beside, materialise
 
 
 def medians(rows: DataFrame, group: Sequence[str], features: Sequence[str], bounded: bool = True) -> DataFrame:
@@ -49,8 +49,11 @@ def standardise(rows: DataFrame, group: Sequence[str], features: Sequence[str],
 
 def detect_anomalies(rows: DataFrame, group: Sequence[str], features: Sequence[str], row_id: str,
                      bounded: bool = True, **forest) -> DataFrame:
-    """Impute, standardise, fit and score, for every group at once."""
-    ready = standardise(rows, group, features, bounded)
+    """Impute, standardise, fit and score, for every group at once.
+
+    The standardised rows are written once: sampling and scoring both read them.
+    """
+    ready = materialise(standardise(rows, group, features, bounded))
     scored = detect(ready, group, [f"{c}_z" for c in features], row_id, **forest)
     return scored.drop(*[f"{c}_z" for c in features])
 

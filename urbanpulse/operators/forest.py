@@ -2,8 +2,8 @@
 
 Training needs at most 256 rows per tree. They are drawn by hash inside the scan: a row
 is sent on only for the trees it may belong to, so the exchange holds the samples and not
-the data. Each (group, tree) is built in its own task. Scoring brings a group's trees to
-blocks of rows; a group of any size is split over many blocks.
+the data. Each (group, block of trees) is built in its own task. Scoring leaves rows where
+they are while the model is small, and else splits a group of any size over blocks.
 """
 
 from __future__ import annotations
@@ -18,11 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanpulse.fixed import FOREST_SAMPLE, FOREST_SEED, FOREST_THRESHOLD, FOREST_TREES
-from urbanpulse.session import beside
+from urbanpulse.session import BROADCAST_BYTES, beside, path_bytes, written
 
 BLOCK_ROWS = 20_000
+POOL_PER_SAMPLE = 4
 EULER = 0.5772156649015329
-TREE = "feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>, sample bigint"
+TREE_BLOCK = 25
+BLOCK = ("tree_block int, trees int, sample bigint, feature array<int>, cut array<double>, `left` array<int>, "
+         "`right` array<int>, depth array<double>")
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -42,64 +45,71 @@ def draw_samples(rows: DataFrame, group: Sequence[str], row_id: str, trees: int
                  sample: int = FOREST_SAMPLE, seed: int = FOREST_SEED) -> DataFrame:
     """Up to `sample` rows per group and tree: those with the smallest hash of (row, tree).
 
-    A row passes on to a tree only below a threshold that lets about sample + 8 sqrt(sample)
-    rows through; the exact smallest are then ranked among those few.
+    In a large group the trees draw from a common random pool, told by one hash per row, so
+    nearly all rows cost no more than that. A pool row passes on to a tree only below a
+    threshold that lets about sample + 8 sqrt(sample) rows through; the exact smallest are
+    then ranked among those few.
     """
     group = list(group)
     size = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    reach = F.lit(float(sample + 8 * math.sqrt(sample))) / F.col("_n")
+    pool = F.least(F.col("_n"), F.lit(POOL_PER_SAMPLE * trees * sample)).cast("double")
+    pooled = beside(rows, size, group).where(hash_share(F.col(row_id), F.lit(seed)) * F.col("_n") < pool)
+    reach = F.lit(float(sample + 8 * math.sqrt(sample))) / pool
     offers = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
                     lambda t: F.struct(t.alias("tree"), hash_share(F.col(row_id), t, F.lit(seed)).alias("h"))),
         lambda o: o["h"] < reach,
     )
-    offered = beside(rows, size, group).withColumn("_o", F.explode(offers)).select(
+    offered = pooled.withColumn("_o", F.explode(offers)).select(
         *rows.columns, F.col("_o.tree").alias("tree"), F.col("_o.h").alias("_h"))
     rank = F.row_number().over(W.partitionBy(*group, "tree").orderBy("_h", row_id))
     return offered.withColumn("_k", rank).where(F.col("_k") <= sample).drop("_k", "_h")
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator) -> tuple[list, list, list, list, list]:
-    """One isolation tree in arrays; a leaf has feature -1 and its expected depth."""
-    limit = math.ceil(math.log2(max(len(x), 2)))
-    feature, cut, left, right, depth = [], [], [], [], []
-
-    def node() -> int:
-        for column, value in ((feature, -1), (cut, 0.0), (left, -1), (right, -1), (depth, 0.0)):
-            column.append(value)
-        return len(feature) - 1
-
-    todo = [(node(), np.arange(len(x)), 0)]
-    while todo:
-        me, rows, level = todo.pop()
-        spread = np.ptp(x[rows], axis=0) if len(rows) else np.zeros(x.shape[1])
-        usable = np.flatnonzero(spread > 0)
-        if level >= limit or len(rows) <= 1 or len(usable) == 0:
-            depth[me] = float(level + average_path(len(rows)))
-            continue
-        f = int(rng.choice(usable))
-        column = x[rows, f]
-        at = float(rng.uniform(column.min(), column.max()))
-        below = column <= at
-        if below.all():
-            at = float(np.nextafter(column.max(), -np.inf))
-            below = column <= at
-        feature[me], cut[me] = f, at
-        left[me], right[me] = node(), node()
-        todo += [(right[me], rows[~below], level + 1), (left[me], rows[below], level + 1)]
-    return feature, cut, left, right, depth
+def _grow(x: np.ndarray, tree: np.ndarray, trees: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """Isolation trees in shared arrays, all trees growing level by level.
+
+    Node t is the root of tree t; a leaf has feature -1 and its expected depth.
+    """
+    size = np.bincount(tree, minlength=trees)
+    limit = np.ceil(np.log2(np.maximum(size, 2)))
+    node, owner = tree.copy(), np.arange(trees)
+    first, level, parts = 0, 0, []
+    while len(owner):
+        here, width = node - first, len(owner)
+        count = np.bincount(here, minlength=width)
+        by_node = x[np.argsort(here, kind="stable")]
+        start = np.cumsum(count) - count
+        low, high = np.minimum.reduceat(by_node, start), np.maximum.reduceat(by_node, start)
+        varies = high > low
+        split = varies.any(axis=1) & (count > 1) & (level < limit[owner])
+        # the k-th varying feature, k drawn evenly, and an even draw inside its span
+        k = np.floor(rng.random(width) * varies.sum(axis=1)) + 1
+        feature = np.argmax(np.cumsum(varies, axis=1) >= k[:, None], axis=1)
+        lo, hi = low[np.arange(width), feature], high[np.arange(width), feature]
+        with np.errstate(invalid="ignore"):
+            cut = np.where(split, lo + rng.random(width) * (hi - lo), 0.0)
+        cut = np.where(split & (cut >= hi), np.nextafter(hi, -np.inf), cut)
+        child = first + width + 2 * (np.cumsum(split) - 1)
+        parts.append((np.where(split, feature, -1), cut, np.where(split, child, -1), np.where(split, child + 1, -1),
+                      np.where(split, 0.0, level + average_path(count))))
+        moving = split[here]
+        x, here = x[moving], here[moving]
+        below = x[np.arange(len(x)), feature[here]] <= cut[here]
+        node = np.where(below, child[here], child[here] + 1)
+        first, level, owner = first + width, level + 1, np.repeat(owner[split], 2)
+    return dict(zip(("feature", "cut", "left", "right", "depth"), (np.concatenate(p) for p in zip(*parts))))
 
 
 def _build(group: Sequence[str], features: Sequence[str], row_id: str, seed: int):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id, kind="stable")
-        rng = np.random.default_rng([seed, int(pdf["tree"].iloc[0])])
-        arrays = _grow(pdf[list(features)].to_numpy(dtype=float), rng)
+        pdf = pdf.sort_values(["tree", row_id], kind="stable")
+        numbers, tree = np.unique(pdf["tree"].to_numpy(), return_inverse=True)
+        block = int(pdf["tree_block"].iloc[0])
+        arrays = _grow(pdf[list(features)].to_numpy(dtype=float), tree, len(numbers), np.random.default_rng([seed, block]))
         out = {g: [pdf[g].iloc[0]] for g in group}
-        out["tree"] = [int(pdf["tree"].iloc[0])]
-        out |= {name: [value] for name, value in zip(("feature", "cut", "left", "right", "depth"), arrays)}
-        out["sample"] = [len(pdf)]
-        return pd.DataFrame(out)
+        out |= {"tree_block": [block], "trees": [len(numbers)], "sample": [int(np.bincount(tree).max())]}
+        return pd.DataFrame(out | {name: [values] for name, values in arrays.items()})
 
     return build
 
@@ -110,61 +120,88 @@ def _group_schema(rows: DataFrame, group: Sequence[str]) -> str:
 
 def grow_forest(rows: DataFrame, group: Sequence[str], features: Sequence[str], row_id: str,
                 trees: int = FOREST_TREES, sample: int = FOREST_SAMPLE, seed: int = FOREST_SEED) -> DataFrame:
-    """One row per group and tree."""
+    """One row per group and block of trees; a task sees at most TREE_BLOCK samples."""
     drawn = draw_samples(rows.select(*group, row_id, *features), group, row_id, trees, sample, seed)
-    return drawn.groupBy(*group, "tree").applyInPandas(
-        _build(group, features, row_id, seed), f"{_group_schema(rows, group)}, tree int, {TREE}")
-
-
-def _mean_depth(x: np.ndarray, forest: pd.DataFrame) -> np.ndarray:
-    """Mean expected depth of each row over the trees, all rows stepping down together."""
-    total = np.zeros(len(x))
-    every = np.arange(len(x))
-    for tree in forest.itertuples():
-        feature, cut = np.asarray(tree.feature), np.asarray(tree.cut)
-        left, right, depth = np.asarray(tree.left), np.asarray(tree.right), np.asarray(tree.depth)
-        at = np.zeros(len(x), dtype=int)
-        while True:
-            inner = feature[at] >= 0
-            if not inner.any():
-                break
-            f = np.where(inner, feature[at], 0)
-            down = np.where(x[every, f] <= cut[at], left[at], right[at])
-            at = np.where(inner, down, at)
-        total += depth[at]
-    return total / max(len(forest), 1)
-
-
-def _score(names: Sequence[str], features: Sequence[str]):
+    blocked = drawn.withColumn("tree_block", F.floor(F.col("tree") / TREE_BLOCK).cast("int"))
+    return blocked.groupBy(*group, "tree_block").applyInPandas(
+        _build(group, features, row_id, seed), f"{_group_schema(rows, group)}, {BLOCK}")
+
+
+def _total_depth(x: np.ndarray, block) -> np.ndarray:
+    """Summed expected depth of each row over a block of trees, all stepping down together."""
+    feature, cut, left, right, depth = (np.asarray(a) for a in (block.feature, block.cut, block.left, block.right, block.depth))
+    at = np.tile(np.arange(block.trees), (len(x), 1))
+    every = np.arange(len(x))[:, None]
+    while True:
+        f = feature[at]
+        inner = f >= 0
+        if not inner.any():
+            return depth[at].sum(axis=1)
+        down = np.where(x[every, np.where(inner, f, 0)] <= cut[at], left[at], right[at])
+        at = np.where(inner, down, at)
+
+
+def _raw_score(x: np.ndarray, forest: pd.DataFrame) -> np.ndarray:
+    """Anomaly score in (0, 1). Blocks are added in a fixed order, so sums do not depend on arrival."""
+    ordered = forest.sort_values("tree_block")
+    mean = sum(_total_depth(x, block) for block in ordered.itertuples()) / int(ordered["trees"].sum())
+    scale = float(average_path(int(ordered["sample"].max())))
+    return np.exp2(-mean / scale) if scale > 0 else np.full(len(x), 0.5)
+
+
+def _score_blocks(names: Sequence[str], features: Sequence[str]):
     def score(rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
         out = rows[list(names)].copy()
-        if len(rows) == 0 or len(forest) == 0:
-            out["raw_score"] = np.full(len(rows), np.nan)
-            return out
-        scale = float(average_path(int(forest["sample"].max())))
-        mean = _mean_depth(rows[list(features)].to_numpy(dtype=float), forest)
-        out["raw_score"] = np.exp2(-mean / scale) if scale > 0 else np.full(len(rows), 0.5)
+        known = len(rows) > 0 and len(forest) > 0
+        x = rows[list(features)].to_numpy(dtype=float)
+        out["raw_score"] = _raw_score(x, forest) if known else np.full(len(rows), np.nan)
         return out
 
     return score
 
 
+def _score_in_place(forests, group: Sequence[str], names: Sequence[str], features: Sequence[str]):
+    def score(batches):
+        known = forests.value
+        for rows in batches:
+            raw = np.full(len(rows), np.nan)
+            x = rows[list(features)].to_numpy(dtype=float)
+            for key, at in rows.groupby(list(group), dropna=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                if key in known:
+                    raw[at] = _raw_score(x[at], known[key])
+            out = rows[list(names)].copy()
+            out["raw_score"] = raw
+            yield out
+
+    return score
+
+
 def score_forest(rows: DataFrame, forest: DataFrame, group: Sequence[str], features: Sequence[str],
-                 row_id: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 row_id: str, block_rows: int = BLOCK_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Adds if_score (lower is more anomalous), if_label (-1 or 1) and anomaly.
 
-    `row_id` identifies a row of its group; it also places the row in a block.
+    A group's forest has a fixed size, so few groups make a small model: it is broadcast and
+    rows are scored where they are. A larger model is joined instead, to blocks of rows that
+    `row_id` (which identifies a row of its group) spreads over the cluster.
     """
-    group = list(group)
-    size = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = F.ceil(F.col("_n") / F.lit(float(block_rows))).cast("bigint")
-    placed = beside(rows, size, group).withColumn("_block", F.pmod(F.xxhash64(F.col(row_id)), blocks)).drop("_n")
-    spread = forest.join(size, group).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).drop("_n")
-    keys = [*group, "_block"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    scored = placed.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(
-        _score(rows.columns, features), f"{schema}, raw_score double")
+    group, spark = list(group), rows.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", raw_score double"
+    path = written(forest)
+    forest = spark.read.schema(forest.schema).parquet(path)
+    if path_bytes(spark, path) <= broadcast_bytes:
+        model = {k if isinstance(k, tuple) else (k,): part for k, part in forest.toPandas().groupby(group, dropna=False)}
+        scored = rows.mapInPandas(
+            _score_in_place(spark.sparkContext.broadcast(model), group, rows.columns, features), schema)
+    else:
+        size = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+        blocks = F.ceil(F.col("_n") / F.lit(float(block_rows))).cast("bigint")
+        placed = beside(rows, size, group).withColumn("_block", F.pmod(F.xxhash64(F.col(row_id)), blocks)).drop("_n")
+        copies = forest.join(size, group).withColumn(
+            "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).drop("_n")
+        keys = [*group, "_block"]
+        scored = placed.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(
+            _score_blocks(rows.columns, features), schema)
     # a score above the threshold is an anomaly; the decision value is its distance below it
     decision = F.lit(FOREST_THRESHOLD) - F.col("raw_score")
     return scored.withColumn("if_score", decision).withColumn(

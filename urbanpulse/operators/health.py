@@ -23,11 +23,11 @@ from urbanpulse.fixed import (
 )
 from urbanpulse.functions.rounding import rounded
 from urbanpulse.operators.quantiles import exact_quantiles, order_statistics
-from urbanpulse.session import beside
+from urbanpulse.session import beside, materialise
 
 
 def consecutive(instants: DataFrame, keys: Sequence[str] = ("source",), time: str = "at",
-                slot: str = "hour") -> DataFrame:
+                slot: str = "minute") -> DataFrame:
     """Neighbouring distinct instants of a source: (keys, since, until, gap_s).
 
     Inside a slot the earlier one is a short window; between slots it is the end of the
@@ -51,7 +51,7 @@ def distinct_instants(arrivals: DataFrame, keys: Sequence[str], time: str) -> Da
 
 
 def arrival_gaps(arrivals: DataFrame, keys: Sequence[str] = ("source",), time: str = "last_modified",
-                 slot: str = "hour") -> DataFrame:
+                 slot: str = "minute") -> DataFrame:
     """Gap lengths in seconds with how often each occurs: (keys, gap_s, n)."""
     keys = list(keys)
     instants = distinct_instants(arrivals, keys, time)
@@ -61,12 +61,11 @@ def arrival_gaps(arrivals: DataFrame, keys: Sequence[str] = ("source",), time: s
     return positive.unionByName(zero).groupBy(*keys, "gap_s").agg(F.sum("n").alias("n"))
 
 
-def gap_stats(arrivals: DataFrame, nominal: Column, keys: Sequence[str] = ("source",), time: str = "last_modified",
-              rounds: int = 1) -> DataFrame:
+def gap_stats(arrivals: DataFrame, nominal: Column, keys: Sequence[str] = ("source",), time: str = "last_modified") -> DataFrame:
     """Inter-arrival statistics per source; `nominal` is the expected interval in seconds (an expression of the keys)."""
     keys = list(keys)
-    gaps = arrival_gaps(arrivals, keys, time)
-    quantiles = exact_quantiles(gaps, keys, "gap_s", {"median_gap_s": 0.5, "p95_gap_s": 0.95}, "n", rounds)
+    gaps = materialise(arrival_gaps(arrivals, keys, time))
+    quantiles = exact_quantiles(gaps, keys, "gap_s", {"median_gap_s": 0.5, "p95_gap_s": 0.95}, "n")
     w, g = F.col("n"), F.col("gap_s")
     plain = gaps.groupBy(*keys).agg(
         F.sum(w).alias("n_gaps"),
@@ -96,11 +95,11 @@ def throughput(files: DataFrame, nominal: Column, keys: Sequence[str] = ("source
 
 
 def files_per_cycle(files: DataFrame, nominal: Column, keys: Sequence[str] = ("source",), cycles: int = CYCLES,
-                    min_files: int = MIN_CYCLE_FILES, rounds: int = 1) -> DataFrame:
+                    min_files: int = MIN_CYCLE_FILES) -> DataFrame:
     """Files in a few cycles from the middle arrival, per cycle; null below the minimum of files."""
     keys = list(keys)
     timed = files.select(*keys, F.unix_micros(F.col("last_modified").cast("timestamp")).alias("_t"), nominal.alias("_i"))
-    middle = order_statistics(timed, keys, "_t", {"_mid": lambda n: F.floor(n / 2)}, rounds=rounds)
+    middle = order_statistics(timed, keys, "_t", {"_mid": lambda n: F.floor(n / 2)})
     span = F.col("_t").between(F.col("_mid"), F.col("_mid") + F.col("_i") * (cycles * 1_000_000))
     return beside(timed, middle, keys).groupBy(*keys).agg(
         F.when(F.max("n") >= min_files, F.count_if(span) / F.lit(float(cycles))).alias("files_per_cycle"))
@@ -128,7 +127,7 @@ def latencies(rows: DataFrame, event_epoch: Column, arrival: Column, keys: Seque
         (F.col("latency_s") >= 0) & (F.col("latency_s") < MAX_LATENCY_SECONDS))
 
 
-def latency_stats(samples: DataFrame, keys: Sequence[str] = ("source",), rounds: int = 1) -> DataFrame:
+def latency_stats(samples: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
     """Count, median, mean, 95th percentile and maximum, rounded to one digit.
 
     All values lie in the one-hour band, so buckets separate them well.
@@ -137,8 +136,7 @@ def latency_stats(samples: DataFrame, keys: Sequence[str] = ("source",), rounds:
     plain = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_records"), rounded(F.avg("latency_s"), 1).alias("mean_latency_s"),
         rounded(F.max("latency_s"), 1).alias("max_latency_s"))
-    quantiles = exact_quantiles(samples, keys, "latency_s", {"median_latency_s": 0.5, "p95_latency_s": 0.95},
-                                rounds=rounds)
+    quantiles = exact_quantiles(samples, keys, "latency_s", {"median_latency_s": 0.5, "p95_latency_s": 0.95})
     return plain.join(quantiles.drop("n"), keys).select(
         *keys, "n_records", rounded("median_latency_s", 1).alias("median_latency_s"), "mean_latency_s",
         rounded("p95_latency_s", 1).alias("p95_latency_s"), "max_latency_s")

@@ -13,65 +13,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from urbanpulse.session import beside
+from urbanpulse.session import beside, materialise
 
 BUCKETS = 1024
+# rows of an interval that one task may rank
+FEW = 50_000
 
 
 def order_statistics(df: DataFrame, by: Sequence[str], value: str, picks: dict[str, Callable[[Column], Column]],
-                     weight: str | None = None, rounds: int = 2) -> DataFrame:
+                     weight: str | None = None, rounds: int | None = None) -> DataFrame:
     """Per group: `n` and, for each pick, the value at its 0-based rank (a function of n).
 
-    `weight` says how many times a row counts. Null and NaN values are left out.
+    `weight` says how many times a row counts. Null and NaN values are left out. The rounds
+    follow from the largest group unless given: each divides what is left by the bucket count.
     """
     by = list(by)
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(
         *by, v.alias("_v"), (F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")).alias("_w")
     )
-    span = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("n"))
-    wanted = F.explode(F.array(*[
+    span = materialise(rows.groupBy(*by).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("n"), F.count(F.lit(1)).alias("_rows")))
+    if rounds is None:
+        largest, rounds = span.agg(F.max("_rows")).first()[0] or 0, 0
+        while largest > FEW:
+            largest, rounds = largest // BUCKETS, rounds + 1
+    wanted = F.array(*[
         F.struct(F.lit(name).alias("pick"), rank(F.col("n")).cast("bigint").alias("rank"))
         for name, rank in picks.items()
-    ])).alias("_p")
-    state = span.select(*by, "n", wanted, "_lo", "_hi").select(
-        *by, "n", F.col("_p.pick").alias("_pick"), F.col("_p.rank").alias("_rank"), "_lo", "_hi",
-        F.lit(0).cast("bigint").alias("_before"),
-    )
+    ])
+    # one row per interval still searched, with the picks it holds; `_id` tells a group's intervals apart
+    state = span.select(*by, F.lit(0).cast("bigint").alias("_id"), "n", "_lo", "_hi", F.lit(0).cast("bigint").alias("_before"),
+                        wanted.alias("_picks"))
+
     def inside() -> DataFrame:
-        """Rows inside the interval of each pick; the state is one short array per group."""
-        packed = state.groupBy(*by).agg(
-            F.collect_list(F.struct("n", "_pick", "_rank", "_lo", "_hi", "_before")).alias("_s"))
-        hits = F.filter(F.col("_s"), lambda s: F.col("_v").between(s["_lo"], s["_hi"]))
-        return beside(rows, packed, by).select(*by, "_v", "_w", F.explode(hits).alias("_k"))
+        """Rows inside an interval; the intervals of a group are one short array."""
+        packed = state.groupBy(*by).agg(F.collect_list(F.struct("_id", "_lo", "_hi")).alias("_s"))
+        hit = F.filter(F.col("_s"), lambda s: F.col("_v").between(s["_lo"], s["_hi"]))
+        # intervals are disjoint, so a row is in one at most
+        return beside(rows, packed, by).select(*by, "_v", "_w", F.get(hit, F.lit(0)).alias("_k")).where(
+            F.col("_k").isNotNull()).select(*by, "_v", "_w", "_k._id", "_k._lo", "_k._hi")
 
     def locate(counted: DataFrame, order: str) -> DataFrame:
-        """Keep the bucket that holds the wanted rank."""
-        running = W.partitionBy(*by, "_pick").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return (
-            counted.withColumn("_through", F.col("_before") + F.sum("_w").over(running))
-            .withColumn("_start", F.col("_through") - F.col("_w"))
-            .where((F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_through")))
-        )
-
-    known = ["_k.n", "_k._pick", "_k._rank", "_k._before"]
+        """Keep the buckets that hold a wanted rank, with those picks."""
+        joined = beside(counted, state.select(*by, "_id", "n", "_before", "_picks"), [*by, "_id"])
+        running = W.partitionBy(*by, "_id").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        through = joined.withColumn("_through", F.col("_before") + F.sum("_w").over(running))
+        start = F.col("_through") - F.col("_w")
+        here = F.filter("_picks", lambda p: (p["rank"] >= start) & (p["rank"] < F.col("_through")))
+        return through.withColumns({"_start": start, "_here": here}).where(F.size("_here") > 0)
+
     for _ in range(rounds):
-        share = F.try_divide(F.col("_v") - F.col("_k._lo"), F.col("_k._hi") - F.col("_k._lo"))
+        share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
         place = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1)).alias("_bucket")
-        counted = inside().groupBy(*by, *known, place).agg(
+        counted = inside().groupBy(*by, "_id", place).agg(
             F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        state = locate(counted, "_bucket").select(
-            *by, "n", "_pick", "_rank", "_lo", "_hi", F.col("_start").alias("_before"))
-    final = inside().groupBy(*by, *known, "_v").agg(F.sum("_w").alias("_w"))
-    found = locate(final, "_v")
+        kept = locate(counted, "_bucket")
+        state = materialise(kept.select(
+            *by, (F.col("_id") * BUCKETS + F.col("_bucket")).alias("_id"), "n", "_lo", "_hi",
+            F.col("_start").alias("_before"), F.col("_here").alias("_picks")))
+    final = inside().groupBy(*by, "_id", "_v").agg(F.sum("_w").alias("_w"))
+    found = locate(final, "_v").select(*by, "n", "_v", F.explode("_here").alias("_p"))
     return found.groupBy(*by).agg(
         F.first("n").alias("n"),
-        *[F.max(F.when(F.col("_pick") == name, F.col("_v"))).alias(name) for name in picks],
+        *[F.max(F.when(F.col("_p.pick") == name, F.col("_v"))).alias(name) for name in picks],
     )
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float],
-                    weight: str | None = None, rounds: int = 2) -> DataFrame:
+                    weight: str | None = None, rounds: int | None = None) -> DataFrame:
     """Quantiles with linear interpolation between neighbouring ranks, one column per named probability."""
     picks: dict[str, Callable[[Column], Column]] = {}
     for name, p in probabilities.items():

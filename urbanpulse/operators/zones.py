@@ -34,10 +34,10 @@ def with_cells(stops: DataFrame, cities: DataFrame, cell_km: float = CELL_KM) ->
     whole degrees of latitude (an equi join), then tested exactly.
     """
     if "city" in stops.columns:
-        joined = stops.join(small_side(cities, 10_000), "city")
+        joined = stops.join(small_side(cities), "city")
     else:
         degrees = F.sequence(F.floor(F.col("lat_c") - F.col("dlat")), F.floor(F.col("lat_c") + F.col("dlat")))
-        near = small_side(cities.withColumn("_degree", F.explode(degrees)), 10_000)
+        near = small_side(cities.withColumn("_degree", F.explode(degrees)))
         joined = stops.withColumn("_degree", F.floor("stop_lat")).join(near, "_degree").drop("_degree")
     c = F.col
     inside = joined.where(
@@ -71,7 +71,7 @@ def zone_summary(zoned: DataFrame, min_stops: int = 0) -> DataFrame:
 def zone_boxes(zones: DataFrame, cities: DataFrame, cell_km: float = CELL_KM) -> DataFrame:
     """Edges of each zone's cell."""
     c = F.col
-    return zones.join(small_side(cities, 10_000), "city").select(
+    return zones.join(small_side(cities), "city").select(
         *zones.columns, *cell_box(c("cx"), c("cy"), c("lat_c"), c("lon_c"), c("dlat"), c("dlon"), cell_km))
 
 

@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Largest table on disk (compressed) that is broadcast.
+BROADCAST_BYTES = 16 << 20
+
 
 def utc(spark: SparkSession) -> SparkSession:
     """All clocks in the feeds are UTC; make the session agree."""
@@ -43,32 +46,58 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: later branches and lost executors re-read it."""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    system, target = _file_system(spark, path)
+    return system.getContentSummary(target).getLength()
+
+
+def written(df: DataFrame) -> str:
+    """Write a table under a new name in the shared folder; returns its path."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
-def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """A join side computed once and broadcast only when its counted rows allow.
+def materialise(df: DataFrame) -> DataFrame:
+    """Write once to the shared folder and read back: later branches and lost executors re-read it."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A join side computed once, and broadcast only when what was written is small.
 
     Above the limit it stays a plain table: the join shuffles and AQE splits hot keys.
     """
-    table = materialise(df)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    spark, path = df.sparkSession, written(df)
+    table = spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(table) if path_bytes(spark, path) <= max_bytes else table
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a small input over all cores before work that is heavy per row.
+
+    A file with one row group is read by one task. Inputs with more partitions than cores,
+    as on a cluster, are left as they are: nothing is exchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
 
 
-def beside(df: DataFrame, table: DataFrame, keys: Sequence[str], max_groups: int = 100_000) -> DataFrame:
+def beside(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Put a group table (one row per key) beside every row of its group; null keys match.
 
-    The rows are not exchanged while the groups are few.
+    The rows are not exchanged while the group table is small.
     """
-    right = small_side(table, max_groups).withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    right = small_side(table).withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
     return df.join(right, reduce(lambda a, b: a & b, same)).drop(*[f"_right_{k}" for k in keys])
