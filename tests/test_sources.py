@@ -148,6 +148,22 @@ def test_incremental_normalization(spark, tmp_path):
     assert impact.correlations.first()["temperature_vs_bikes"] is None
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from urbanpulse.__main__ import main, periods_of, parser
+
+    raw_zone(spark, tmp_path / "raw")
+    out, ledger = str(tmp_path / "n"), str(tmp_path / "l")
+    main(["normalize", "--raw", str(tmp_path / "raw"), "--out", out, "--ledger", ledger, "--all", "--only-trips"])
+    assert "trips: 2 files" in capsys.readouterr().out
+    main(["normalize", "--raw", str(tmp_path / "raw"), "--out", out, "--ledger", ledger, "--start-date", "2026-01-31"])
+    args = ["analyze", "--tables", out, "--start-date", "2026-01-31", "--end-date", "2026-01-31", "--part-of-day", "6-12"]
+    main([*args, "--summary-csv", str(tmp_path / "csv"), "--output-dir", str(tmp_path / "result")])
+    line = spark.read.option("header", True).csv(str(tmp_path / "csv")).first()
+    assert line["part_of_day"] == "6-12" and line["sample_size_minutes"] == "1"
+    assert spark.read.parquet(str(tmp_path / "result/fact")).count() == 1
+    assert len(periods_of(parser().parse_args(["analyze", "--tables", "x", "--mode", "compare", "--periods", "four_windows"]))) == 4
+
+
 def test_listing_and_names(spark, tmp_path):
     raw_zone(spark, tmp_path)
     put(tmp_path / "avinor/normalized/x.parquet", "junk")
@@ -180,7 +196,10 @@ def test_normalized_files_by_name(spark, tmp_path):
 def test_unreadable_file_is_skipped(spark, tmp_path):
     raw_zone(spark, tmp_path)
     put(tmp_path / "avinor/2026-01-31/BAD_120000.parquet", "not parquet")
-    assert snapshots.scan_feed(spark, str(tmp_path), "flights").count() == 3
+    read = snapshots.scan_feed(spark, str(tmp_path), "flights")
+    assert read.count() == 3
+    lost = snapshots.unread_files(snapshots.listing(spark, str(tmp_path / "avinor")), read)
+    assert [r["key"][-18:] for r in lost.collect()] == ["BAD_120000.parquet"]
 
 
 def test_csv_and_ledger(spark, tmp_path):

@@ -54,7 +54,7 @@ def feeds(ev: DataFrame) -> dict[str, DataFrame]:
         "road_weather": of("view").select(
             F.col("user_id").cast("string").alias("location"), F.col("ts").alias("timestamp"),
             F.col("value").alias("road_temperature"), (F.col("k") / 10.0).alias("precipitation_intensity"),
-            (F.col("user_id") / 10.0).alias("wind_speed"), (F.col("value") + F.col("k")).alias("relative_humidity")),
+            (F.col("user_id") / 10.0).alias("wind_speed"), (F.col("value") * F.col("k") / 10.0).alias("relative_humidity")),
         "bikes": of("click").select(F.col("ts").alias("timestamp"), F.col("value").alias("metric_value")),
         "flights": of("error").select(F.col("ts").alias("timestamp")),
         "trips": of("purchase").select(
@@ -99,7 +99,7 @@ def fact_sql(unit: str = "hour", periods: tuple[Period, ...] | None = None) -> s
     group = "GROUP BY ALL"
     return f"""WITH {EV}, {source},
 w AS (SELECT {m}, avg(value) AS road_temperature, avg(k / 10.0) AS precipitation_intensity,
-             avg(user_id / 10.0) AS wind_speed, avg(value + k) AS relative_humidity
+             avg(user_id / 10.0) AS wind_speed, avg(value * k / 10.0) AS relative_humidity
       FROM src WHERE event_type = 'view' AND value BETWEEN -50 AND 50 {group}),
 b AS (SELECT {m}, sum(value) AS bikes_in_use FROM src WHERE event_type = 'click' {group}),
 f AS (SELECT {m}, CAST(count(*) AS BIGINT) AS flight_activity FROM src WHERE event_type = 'error' {group}),

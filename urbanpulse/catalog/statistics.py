@@ -163,9 +163,41 @@ def ols_two(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("period", "term", r6(F.col("coefficient"), "coefficient"), r6(F.col("r_squared"), "r_squared"), "n")
 
 
-@register()
+def _projected(target: str, steps: int) -> str:
+    """Coefficients of a column on the residuals e1..e(steps), per period."""
+    return ", ".join(f"sum({target} * e{i}) OVER w / sum(e{i} * e{i}) OVER w AS {target}_{i}" for i in range(1, steps + 1))
+
+
+def _residual(target: str, steps: int) -> str:
+    return " - ".join([target, *[f"{target}_{i} * e{i}" for i in range(1, steps + 1)]])
+
+
+OVER_PERIOD = "WINDOW w AS (PARTITION BY period)"
+
+
+@register(f"""{fact_sql('hour', JANUARY)}, c AS (
+  SELECT period, mean_delay_sec - avg(mean_delay_sec) OVER w AS y, road_temperature - avg(road_temperature) OVER w AS x1,
+    precipitation_intensity - avg(precipitation_intensity) OVER w AS x2, wind_speed - avg(wind_speed) OVER w AS x3,
+    relative_humidity - avg(relative_humidity) OVER w AS x4, avg(mean_delay_sec) OVER w AS my, avg(road_temperature) OVER w AS m1,
+    avg(precipitation_intensity) OVER w AS m2, avg(wind_speed) OVER w AS m3, avg(relative_humidity) OVER w AS m4
+  FROM fact WHERE mean_delay_sec IS NOT NULL {OVER_PERIOD}),
+s1 AS (SELECT *, x1 AS e1 FROM c),
+s2 AS (SELECT *, {_residual('x2', 1)} AS e2 FROM (SELECT *, {_projected('x2', 1)} FROM s1 {OVER_PERIOD})),
+s3 AS (SELECT *, {_residual('x3', 2)} AS e3 FROM (SELECT *, {_projected('x3', 2)} FROM s2 {OVER_PERIOD})),
+s4 AS (SELECT *, {_residual('x4', 3)} AS e4 FROM (SELECT *, {_projected('x4', 3)} FROM s3 {OVER_PERIOD})),
+g AS (SELECT *, {_projected('y', 4)}, sum(y * y) OVER w AS yy, sum(e1 * e1) OVER w AS q1, sum(e2 * e2) OVER w AS q2,
+  sum(e3 * e3) OVER w AS q3, sum(e4 * e4) OVER w AS q4, count(*) OVER w AS n FROM s4 {OVER_PERIOD}),
+one AS (SELECT DISTINCT ON (period) * FROM g),
+back AS (SELECT *, y_4 AS b4, y_3 - x4_3 * y_4 AS b3, y_2 - x3_2 * (y_3 - x4_3 * y_4) - x4_2 * y_4 AS b2 FROM one),
+solved AS (SELECT *, y_1 - x2_1 * b2 - x3_1 * b3 - x4_1 * b4 AS b1,
+  (y_1 * y_1 * q1 + y_2 * y_2 * q2 + y_3 * y_3 * q3 + y_4 * y_4 * q4) / yy AS r2 FROM back)
+SELECT period, term, round(b, 6) AS coefficient, round(r2, 6) AS r_squared, CAST(n AS BIGINT) AS n FROM (
+  SELECT *, 'intercept' AS term, my - b1 * m1 - b2 * m2 - b3 * m3 - b4 * m4 AS b FROM solved
+  UNION ALL SELECT *, 'road_temperature', b1 FROM solved UNION ALL SELECT *, 'precipitation_intensity', b2 FROM solved
+  UNION ALL SELECT *, 'wind_speed', b3 FROM solved UNION ALL SELECT *, 'relative_humidity', b4 FROM solved)""")
 def ols_weather(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.regression(january(spark, sf), keys=KEY)
+    out = correlate.regression(january(spark, sf), keys=KEY)
+    return out.select("period", "term", r6(F.col("coefficient"), "coefficient"), r6(F.col("r_squared"), "r_squared"), "n")
 
 
 @register(f"""{PERIOD_INDEXED}, c AS (SELECT period, {", ".join(

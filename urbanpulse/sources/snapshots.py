@@ -91,6 +91,11 @@ def file_counts(rows: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     return rows.groupBy(*by, FILE, FILE_TIME).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def unread_files(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Listed files that gave no row: unreadable or empty ones, to be counted per run."""
+    return files.join(rows.select(F.col(FILE).alias("key")).distinct(), "key", "left_anti")
+
+
 def latest_file(files: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """The newest file (per group), found by a map-side combinable maximum."""
     newest = F.max_by("key", F.struct("last_modified", "key")).alias("key")
