@@ -62,7 +62,9 @@ def test_bike_json_shapes(spark, tmp_path):
     many = put(tmp_path / "a.json", json.dumps({"last_updated": 7, "data": {"stations": [{"station_id": "1", "num_bikes_available": 3}, {"station_id": "2"}]}}))
     single = put(tmp_path / "b.json", json.dumps({"last_updated": 8, "data": {"station_id": "9"}}))
     assert [(r["station_id"], r["last_updated"]) for r in feeds.read_bike_feed(spark, many).collect()] == [("1", 7), ("2", 7)]
-    assert [r["station_id"] for r in feeds.read_bike_feed(spark, single).collect()] == ["9"]
+    assert [(r["station_id"], r["last_updated"]) for r in feeds.read_bike_feed(spark, single).collect()] == [("9", 8)]
+    bare = put(tmp_path / "c.json", json.dumps({"last_updated": 9, "station_id": "5"}))
+    assert [(r["station_id"], r["last_updated"]) for r in feeds.read_bike_feed(spark, bare).collect()] == [("5", 9)]
 
 
 def test_vehicle_alert_and_document(spark, tmp_path):

@@ -14,7 +14,15 @@ from urbanpulse.operators import normalize
 from urbanpulse.operators.dedup import keep_last
 from urbanpulse.operators.unify import align, unify
 from urbanpulse.session import spread
-from urbanpulse.sources.feeds import JOURNEY, flight_schema, flights_from, situation_records, trips_from
+from urbanpulse.sources.feeds import (
+    JOURNEY,
+    bike_document,
+    bikes_from,
+    flight_schema,
+    flights_from,
+    situation_records,
+    trips_from,
+)
 from urbanpulse.sources.schemas import RAW
 from urbanpulse.sources.sinks import files_by_date, merge_listings, not_processed
 from urbanpulse.sources.snapshots import FOLDER_DATE, feed_of, latest_file
@@ -266,6 +274,22 @@ def station_capacities(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.station_capacity(info)
 
 
+@register(f"""WITH {EV} SELECT event_type AS station_id, CAST(sum(CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n,
+  CAST(sum(CASE WHEN user_id % 2 = 0 THEN 2 * k + 1 ELSE k END) AS BIGINT) AS bikes,
+  CAST(sum(CASE WHEN user_id % 2 = 0 THEN 2 * user_id ELSE user_id END) AS BIGINT) AS updated FROM ev GROUP BY event_type""")
+def bike_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as bike documents: a two-station list for even users, a single record for the others."""
+    one = F.struct(F.col("event_type").alias("station_id"), F.col("k").alias("num_bikes_available"))
+    two = F.struct(F.col("event_type").alias("station_id"), (F.col("k") + 1).alias("num_bikes_available"))
+    even = F.col("user_id") % 2 == 0
+    text = events(spark, sf).select(F.when(even, F.to_json(F.struct(
+        F.col("user_id").alias("last_updated"), F.struct(F.array(one, two).alias("stations")).alias("data")))
+    ).otherwise(F.to_json(F.struct(F.col("user_id").alias("last_updated"), one.alias("data")))).alias("x"))
+    rows = bikes_from(parsed_once(F.from_json("x", bike_document()), text))
+    return rows.groupBy("station_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("num_bikes_available").alias("bikes"), F.sum("last_updated").alias("updated"))
+
+
 # ---- road weather, travel times, situations ----------------------------------------------------
 
 @register("""SELECT l_shipmode_key AS location, CAST(count(*) AS BIGINT) AS n, round(sum(metric_value), 6) AS total,

@@ -52,9 +52,12 @@ def distinct_instants(arrivals: DataFrame, keys: Sequence[str], time: str) -> Da
 
 def arrival_gaps(arrivals: DataFrame, keys: Sequence[str] = ("source",), time: str = "last_modified",
                  slot: str = "minute") -> DataFrame:
-    """Gap lengths in seconds with how often each occurs: (keys, gap_s, n)."""
+    """Gap lengths in seconds with how often each occurs: (keys, gap_s, n).
+
+    The instants feed three branches, so they are written once.
+    """
     keys = list(keys)
-    instants = distinct_instants(arrivals, keys, time)
+    instants = materialise(distinct_instants(arrivals, keys, time))
     positive = consecutive(instants, keys, "at", slot).select(*keys, "gap_s", F.lit(1).cast("bigint").alias("n"))
     # arrivals at the same instant are gaps of zero
     zero = instants.where(F.col("n") > 1).select(*keys, F.lit(0.0).alias("gap_s"), (F.col("n") - 1).alias("n"))

@@ -73,29 +73,34 @@ def departure_known(trips: DataFrame) -> Column:
     return trips.select(F.coalesce(F.max(F.col("departure_timestamp") > 0), F.lit(False)).alias("k")).scalar()
 
 
-def activity_rows(trips: DataFrame, keys: Sequence[str] = (), unit: str = "minute", clock: str = "auto") -> DataFrame:
-    """Trips by departure minute; by timestamp when no trip has a departure (or as told by `clock`)."""
+def trip_rows(trips: DataFrame, keys: Sequence[str] = (), unit: str = "minute", clock: str = "auto") -> DataFrame:
+    """Activity and delay measures of trips from a single scan.
+
+    Activity counts by departure minute; by timestamp when no trip has a departure (or as told
+    by `clock`). Delays sit on the departure, else the timestamp; implausible epochs are left
+    out. The two may fall in different minutes, so a trip gives a row for each.
+    """
     departure, own = F.col("departure_timestamp").cast("bigint"), epoch_seconds(F.col("timestamp"))
     if clock == "auto":
-        epoch = F.when(departure_known(trips), departure).otherwise(own)
+        activity = F.when(departure_known(trips), departure).otherwise(own)
     else:
-        epoch = departure if clock == "departure" else own
-    rows = trips.withColumn("_epoch", epoch).where(F.col("_epoch") > 0)
-    return rows.select(
-        *keys, bucket(F.timestamp_seconds("_epoch"), unit).alias("minute"),
-        F.lit(1).cast("bigint").alias("public_transport_activity"))
+        activity = departure if clock == "departure" else own
+    delay = F.when(departure > 0, departure).otherwise(own)
 
+    def row(epoch: Column, count: Column, late: Column, late_arrival: Column) -> Column:
+        return F.struct(
+            epoch.alias("epoch"), count.cast("bigint").alias("public_transport_activity"),
+            late.cast("double").alias("mean_delay_sec"), late_arrival.cast("double").alias("mean_arrival_delay_sec"))
 
-def delay_rows(trips: DataFrame, keys: Sequence[str] = (), unit: str = "minute") -> DataFrame:
-    """Trip delays on the departure, else the timestamp; implausible epochs are left out."""
-    departure, own = F.col("departure_timestamp").cast("bigint"), epoch_seconds(F.col("timestamp"))
-    epoch = F.when(departure > 0, departure).otherwise(own)
-    rows = trips.withColumn("_epoch", epoch).where(plausible_epoch(F.col("_epoch")))
-    return rows.select(
-        *keys, bucket(F.timestamp_seconds("_epoch"), unit).alias("minute"),
-        F.col("max_departure_delay_sec").cast("double").alias("mean_delay_sec"),
-        optional(rows, "max_arrival_delay_sec", "double").alias("mean_arrival_delay_sec"),
-    )
+    none = F.lit(None)
+    both = F.array(
+        row(F.when(activity > 0, activity), F.lit(1), none, none),
+        row(F.when(plausible_epoch(delay), delay), none, F.col("max_departure_delay_sec"),
+            optional(trips, "max_arrival_delay_sec", "double")))
+    placed = trips.select(*keys, F.explode(both).alias("r")).where(F.col("r.epoch").isNotNull())
+    return placed.select(
+        *keys, bucket(F.timestamp_seconds("r.epoch"), unit).alias("minute"), "r.public_transport_activity",
+        "r.mean_delay_sec", "r.mean_arrival_delay_sec")
 
 
 def travel_rows(travel: DataFrame, keys: Sequence[str] = (), unit: str = "minute") -> DataFrame:
@@ -132,7 +137,7 @@ def minute_fact(feeds: dict[str, DataFrame], keys: Sequence[str] = (), unit: str
     if "flights" in feeds:
         parts.append(flight_rows(feeds["flights"], keys, unit))
     if "trips" in feeds:
-        parts += [activity_rows(feeds["trips"], keys, unit, clock), delay_rows(feeds["trips"], keys, unit)]
+        parts.append(trip_rows(feeds["trips"], keys, unit, clock))
     if "travel_times" in feeds:
         parts.append(travel_rows(feeds["travel_times"], keys, unit))
     if "situations" in feeds:

@@ -129,19 +129,27 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW["alerts"]).json(path).where(F.col("type") == "alert")
 
 
+def bike_document(station: T.StructType = RAW["bikes"]) -> T.StructType:
+    """A bike document: a station list under `data`, one record under `data`, or one record alone."""
+    own = {f.name: f.dataType for f in station.fields}
+    return struct({**own, "last_updated": WHOLE, "data": {"stations": T.ArrayType(station), **own}})
+
+
+def bikes_from(documents: DataFrame, station: T.StructType = RAW["bikes"]) -> DataFrame:
+    """Rows of bike documents: one per listed station, else one for the record; all carry `last_updated`."""
+    names = [n for n in station.fieldNames() if n != "last_updated"]
+
+    def record(prefix: str):
+        return F.array(F.struct(*[F.col(prefix + n).alias(n) for n in names]))
+
+    listed = F.transform("data.stations", lambda s: F.struct(*[s[n].alias(n) for n in names]))
+    found = F.coalesce(listed, F.when(F.col("data").isNotNull(), record("data.")), record(""))
+    return documents.select(F.explode(found).alias("s"), "last_updated").select("s.*", "last_updated")
+
+
 def read_bike_feed(spark: SparkSession, path: str, station: T.StructType = RAW["bikes"]) -> DataFrame:
-    """Bike documents: `data.stations[]` gives a row per station, otherwise `data` is one row."""
-    inner = T.StructType([T.StructField("stations", T.ArrayType(station)), *station.fields])
-    document = struct({"last_updated": WHOLE, "data": inner})
-    docs = utc(spark).read.schema(document).option("multiLine", True).json(path)
-    names = [f.name for f in station.fields if f.name != "last_updated"]
-    single = F.struct(*[F.col(f"data.{n}").alias(n) for n in station.fieldNames()])
-    listed = docs.select(
-        F.explode(F.coalesce(F.col("data.stations"), F.when(F.col("data").isNotNull(), F.array(single)),
-                             F.array().cast(T.ArrayType(station)))).alias("s"),
-        F.col("last_updated"),
-    )
-    return listed.select(*[F.col(f"s.{n}").alias(n) for n in names], "last_updated")
+    documents = utc(spark).read.schema(bike_document(station)).option("multiLine", True).json(path)
+    return bikes_from(documents, station)
 
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
