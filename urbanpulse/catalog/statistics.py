@@ -99,12 +99,14 @@ P_SQL = """(SELECT 1 - 2 * (abs({t}) / 3000.0) * sum(
   FROM generate_series(0, 1000) AS g(i))"""
 
 
-def pearson_sql(pairs: str) -> str:
-    """Final select over `stats(period, <label>, n, r)`."""
+def pearson_sql(label: str) -> str:
+    """Final select over `stats(period, <label>, n, r)`; fewer than four pairs have no statistics."""
     t = "(r * sqrt(n - 2) / sqrt(1 - r * r))"
-    return f"""SELECT period, {pairs}, n, round(r, 3) AS r, round({P_SQL.format(t=t, df='(n - 2.0)')}, 6) AS p,
-  round(tanh(atanh(r) - 1.96 / sqrt(n - 3)), 3) AS ci_low, round(tanh(atanh(r) + 1.96 / sqrt(n - 3)), 3) AS ci_high,
-  'ok' AS status FROM stats"""
+    return f"""SELECT period, {label}, n, round(r, 3) AS r, CASE WHEN abs(r) < 1 THEN round({P_SQL.format(t=t, df='(n - 2.0)')}, 6) END AS p,
+  CASE WHEN abs(r) < 1 THEN round(tanh(atanh(r) - 1.96 / sqrt(n - 3)), 3) END AS ci_low,
+  CASE WHEN abs(r) < 1 THEN round(tanh(atanh(r) + 1.96 / sqrt(n - 3)), 3) END AS ci_high,
+  CASE WHEN n >= 4 THEN 'ok' ELSE 'insufficient data' END AS status
+FROM (SELECT period, {label}, n, CASE WHEN n >= 4 THEN r END AS r FROM stats)"""
 
 
 def _pair_stats(pairs: dict[str, tuple[str, str]], label: str, source: str) -> str:
@@ -139,10 +141,11 @@ def delay_robustness(spark: SparkSession, sf: str) -> DataFrame:
     return _p6(correlate.delay_robustness(january(spark, sf), KEY))
 
 
-@register(f"""{fact_sql('hour', JANUARY)} SELECT period, regr_count(mean_delay_sec, road_temperature)::BIGINT AS n,
-  round(regr_slope(mean_delay_sec, road_temperature), 6) AS slope,
-  round(regr_intercept(mean_delay_sec, road_temperature), 6) AS intercept,
-  round(regr_r2(mean_delay_sec, road_temperature), 6) AS r_squared FROM fact GROUP BY period""")
+@register(f"""{fact_sql('hour', JANUARY)}, fit AS (SELECT period, regr_count(mean_delay_sec, road_temperature)::BIGINT AS n,
+    regr_slope(mean_delay_sec, road_temperature) AS slope, regr_intercept(mean_delay_sec, road_temperature) AS intercept,
+    regr_r2(mean_delay_sec, road_temperature) AS r_squared FROM fact GROUP BY period)
+SELECT period, n, CASE WHEN n > 10 THEN round(slope, 6) END AS slope, CASE WHEN n > 10 THEN round(intercept, 6) END AS intercept,
+  CASE WHEN n > 10 THEN round(r_squared, 6) END AS r_squared FROM fit""")
 def ols_single(spark: SparkSession, sf: str) -> DataFrame:
     out = correlate.simple_regression(january(spark, sf), "mean_delay_sec", "road_temperature", KEY)
     return out.select("period", "n", *[r6(F.col(c), c) for c in ("slope", "intercept", "r_squared")])
@@ -154,7 +157,7 @@ def ols_single(spark: SparkSession, sf: str) -> DataFrame:
   FROM (SELECT period, mean_delay_sec AS y, road_temperature AS x1, wind_speed AS x2 FROM fact WHERE mean_delay_sec IS NOT NULL)
   GROUP BY period),
 beta AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM m),
-o AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, (b1 * s1y + b2 * s2y) / syy AS r2 FROM beta)
+o AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, (b1 * s1y + b2 * s2y) / syy AS r2 FROM beta WHERE n > 10)
 SELECT period, 'intercept' AS term, round(b0, 6) AS coefficient, round(r2, 6) AS r_squared, CAST(n AS BIGINT) AS n FROM o
 UNION ALL SELECT period, 'road_temperature', round(b1, 6), round(r2, 6), CAST(n AS BIGINT) FROM o
 UNION ALL SELECT period, 'wind_speed', round(b2, 6), round(r2, 6), CAST(n AS BIGINT) FROM o""")
@@ -187,7 +190,7 @@ s3 AS (SELECT *, {_residual('x3', 2)} AS e3 FROM (SELECT *, {_projected('x3', 2)
 s4 AS (SELECT *, {_residual('x4', 3)} AS e4 FROM (SELECT *, {_projected('x4', 3)} FROM s3 {OVER_PERIOD})),
 g AS (SELECT *, {_projected('y', 4)}, sum(y * y) OVER w AS yy, sum(e1 * e1) OVER w AS q1, sum(e2 * e2) OVER w AS q2,
   sum(e3 * e3) OVER w AS q3, sum(e4 * e4) OVER w AS q4, count(*) OVER w AS n FROM s4 {OVER_PERIOD}),
-one AS (SELECT DISTINCT ON (period) * FROM g),
+one AS (SELECT DISTINCT ON (period) * FROM g WHERE n > 10),
 back AS (SELECT *, y_4 AS b4, y_3 - x4_3 * y_4 AS b3, y_2 - x3_2 * (y_3 - x4_3 * y_4) - x4_2 * y_4 AS b2 FROM one),
 solved AS (SELECT *, y_1 - x2_1 * b2 - x3_1 * b3 - x4_1 * b4 AS b1,
   (y_1 * y_1 * q1 + y_2 * y_2 * q2 + y_3 * y_3 * q3 + y_4 * y_4 * q4) / yy AS r2 FROM back)
@@ -226,26 +229,39 @@ def _split_sql(metrics: dict[str, str], source: str, label: str = "metric") -> s
         for k, c in metrics.items())
 
 
+# Log density of the t distribution at x, and its distribution function by Simpson's rule.
+DENSITY = ("exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - 0.5 * ln({df} * pi()) - ({df} + 1) / 2 * ln(1 + {x} * {x} / {df}))")
+BELOW = ("(SELECT 0.5 + ({t} / 3000.0) * sum((CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * "
+         + DENSITY.format(df="{df}", x="({t} * i / 1000.0)") + ") FROM generate_series(0, 1000) AS g(i))")
+
+
 def welch_sql(label: str = "metric") -> str:
-    # t quantile by its expansion around the normal quantile, good to 1e-7 from 40 degrees of freedom
-    z = 1.959963984540054
-    terms = " + ".join([
-        f"{z}", f"({z**3 + z}) / (4 * df)", f"({5 * z**5 + 16 * z**3 + 3 * z}) / (96 * df * df)",
-        f"({3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z}) / (384 * df * df * df)"])
-    return f"""welch AS (SELECT *, v1 / n1 AS a, v2 / n2 AS b, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
-  pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df FROM split),
-tested AS (SELECT *, {P_SQL.format(t='t', df='df')} AS p, ({terms}) * sqrt(a + b) AS reach FROM welch)
+    """Test over `split`. The t quantile is found by Newton's method from the normal one, which
+    approaches it from below since the distribution function is concave there."""
+    step = f"t - ({BELOW.format(t='t', df='df')} - 0.975) / {DENSITY.format(df='df', x='t')}"
+    return f"""checked AS (SELECT *, n1 >= 2 AND n2 >= 2 AS ok FROM split),
+welch AS (SELECT *, v1 / n1 + v2 / n2 AS s2, CASE WHEN ok THEN m1 / nullif(m2, 0) END AS ratio,
+    CASE WHEN ok THEN (m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0) END AS t,
+    CASE WHEN ok THEN pow(v1 / n1 + v2 / n2, 2) / nullif(pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1), 0) END AS df FROM checked),
+newton AS (SELECT DISTINCT df, 1.959963984540054::DOUBLE AS t, 0 AS step FROM welch WHERE df IS NOT NULL
+  UNION ALL SELECT df, {step}, step + 1 FROM newton WHERE step < 30),
+tested AS (SELECT welch.*, CASE WHEN t IS NOT NULL THEN {P_SQL.format(t='welch.t', df='welch.df')} END AS p, q.q * sqrt(s2) AS reach
+  FROM welch LEFT JOIN (SELECT df, t AS q FROM newton WHERE step = 30) q ON q.df = welch.df)
 SELECT period, {label}, n1 AS n_peak, n2 AS n_offpeak, round(m1, 3) AS mean_peak, round(m2, 3) AS mean_offpeak,
-  round(m1 / m2, 3) AS ratio, round(t, 3) AS welch_t, round(df, 6) AS df, round(p, 6) AS p,
+  round(ratio, 3) AS ratio, round(t, 3) AS welch_t, round(df, 6) AS df, round(p, 6) AS p,
   round(m1 - m2 - reach, 3) AS ci_low, round(m1 - m2 + reach, 3) AS ci_high,
-  abs(m1 / m2 - 1) < 0.02 AND p < 0.05 AS trivial_effect, 'ok' AS status FROM tested"""
+  abs(ratio - 1) < 0.02 AND p < 0.05 AS trivial_effect, CASE WHEN ok THEN 'ok' ELSE 'insufficient data' END AS status FROM tested"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _welch6(df: DataFrame) -> DataFrame:
     return df.withColumns({c: rounded(c, 6) for c in ("df", "p")})
 
 
-@register(f"{PERIOD_INDEXED}, split AS ({_split_sql(peak.METRICS, 'indexed')}), {welch_sql()}")
+@register(recursive(f"{PERIOD_INDEXED}, split AS ({_split_sql(peak.METRICS, 'indexed')}), {welch_sql()}"))
 def peak_offpeak_welch(spark: SparkSession, sf: str) -> DataFrame:
     return _welch6(peak.peak_offpeak(january(spark, sf), keys=KEY))
 
@@ -254,7 +270,7 @@ VARIANT_SQL = f"{fact_sql('hour', JANUARY)}, variants AS (SELECT period, minute,
     f"{index_sql(c, 'PARTITION BY period')} AS {v}" for v, c in INDEX_VARIANTS.items()) + " FROM fact)"
 
 
-@register(f"{VARIANT_SQL}, split AS ({_split_sql({v: v for v in INDEX_VARIANTS}, 'variants', 'variant')}), {welch_sql('variant')}")
+@register(recursive(f"{VARIANT_SQL}, split AS ({_split_sql({v: v for v in INDEX_VARIANTS}, 'variants', 'variant')}), {welch_sql('variant')}"))
 def variant_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return _welch6(peak.variant_peaks(january(spark, sf), KEY))
 
@@ -271,7 +287,7 @@ RATIO_METRICS = {k: c for k, c in peak.METRICS.items() if k != "delay"}
 @register(f"""{PERIOD_INDEXED}, split AS ({_split_sql(RATIO_METRICS, 'indexed')})
 SELECT metric, round((sum(n1 * m1) / sum(n1)) / (sum(n2 * m2) / sum(n2)), 6) AS weighted_ratio,
   round(min(m1 / m2), 6) AS range_min, round(max(m1 / m2), 6) AS range_max, CAST(count(*) AS BIGINT) AS n_windows
-FROM split GROUP BY metric""")
+FROM split WHERE n1 >= 2 AND n2 >= 2 GROUP BY metric""")
 def pooled_ratio(spark: SparkSession, sf: str) -> DataFrame:
     out = peak.pooled_ratio(peak.window_ratios(january(spark, sf), RATIO_METRICS, KEY))
     return out.select("metric", *[r6(F.col(c), c) for c in ("weighted_ratio", "range_min", "range_max")], "n_windows")
