@@ -5,10 +5,13 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urbanpulse.plans.impact import analyse_table
-from urbanpulse.fixed import days
+from urbanpulse.fixed import Period, days
+from urbanpulse.operators.health import nominal_interval
 from urbanpulse.plans.normalization import normalize_all, normalize_feed
+from urbanpulse.plans.reports import health_report
 from urbanpulse.sources import feeds, sinks, snapshots
 from urbanpulse.sources.schemas import RAW, each, rows, struct
 from urbanpulse.streaming import feeds as streams
@@ -97,6 +100,13 @@ def test_datex_xml(spark, tmp_path):
     assert (row["location_id"], row["free_flow_travel_time_sec"]) == ("R7", 33.0)
 
 
+def test_weather_sites(spark, tmp_path):
+    path = put(tmp_path / "sites.xml", """<p xmlns:ns10="u"><ns10:measurementSite id="1"><ns10:name>A</ns10:name><ns10:lane>x</ns10:lane><ns10:lane>y</ns10:lane></ns10:measurementSite></p>""")
+    schema = struct({**each("@id ns10:name"), "ns10:lane": T.ArrayType(T.StringType())})
+    row = feeds.read_weather_sites(spark, path, schema).first()
+    assert (row["@id"], row["ns10:name"], row["ns10:lane"]) == ("1", "A", "x,y")
+
+
 def test_stops_csv(spark, tmp_path):
     path = put(tmp_path / "stops.csv", "stop_id,stop_name,stop_lat,stop_lon\na,A,60.1,10.2\nb,B,,10.2\n")
     assert [tuple(r) for r in feeds.read_stops(spark, path).collect()] == [("a", 60.1, 10.2)]
@@ -176,6 +186,10 @@ def test_listing_and_names(spark, tmp_path):
     rows_in = snapshots.scan(spark, str(tmp_path / "avinor"), RAW["flights"], dates=("2026-01-31", "2026-01-31"))
     assert rows_in.count() == 3
     assert sorted(r["n_rows"] for r in snapshots.file_counts(rows_in).collect()) == [1, 2]
+    table = snapshots.file_table(rows_in, "flights")
+    health = health_report(spark, table, (Period("all", datetime(2020, 1, 1), datetime(2100, 1, 1)),), nominal_interval(F.col("source")))
+    assert health["robustness"].first()["n_files"] == 2
+    assert health["throughput"].first()["mean_records_per_file"] == 1.5 and health["throughput"].first()["records_per_min"] == 0.5
     assert snapshots.rows_of_latest_file(rows_in).count() == 2
     updates = snapshots.stop_rows(snapshots.scan_feed(spark, str(tmp_path), "trips"), "RUT")
     assert updates.count() == 1 and updates.first()["operator"] == "RUT" and updates.first()["arrival_delay"] == 30

@@ -21,7 +21,7 @@ from urbanpulse.catalog.standins import (
     r6,
     table,
 )
-from urbanpulse.fixed import INDEX_VARIANTS
+from urbanpulse.fixed import INDEX_VARIANTS, days
 from urbanpulse.functions.times import plausible_epoch
 from urbanpulse.operators.minute_fact import (
     coverage,
@@ -32,7 +32,7 @@ from urbanpulse.operators.minute_fact import (
     with_variants,
     with_zone,
 )
-from urbanpulse.operators.periods import effective_time, in_window, part_of_day, with_period_table, with_periods
+from urbanpulse.operators.periods import effective_time, in_window, with_period_table, with_periods
 from urbanpulse.plans.impact import period_fact
 from urbanpulse.sources.snapshots import profile
 
@@ -154,8 +154,6 @@ def weather_profile(spark: SparkSession, sf: str) -> DataFrame:
 @register("""SELECT event_type AS mode, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total FROM events
   WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 23:59:59' GROUP BY event_type""")
 def window_filter(spark: SparkSession, sf: str) -> DataFrame:
-    from urbanpulse.fixed import days
-
     p = days("window", "2024-01-05", "2024-01-20")
     kept = events(spark, sf).where(in_window(F.col("ts"), p.start, p.end))
     return kept.groupBy(F.col("event_type").alias("mode")).agg(

@@ -32,10 +32,6 @@ def bucket(ts: Column, unit: str = "minute") -> Column:
     return F.date_trunc(unit, ts)
 
 
-def text_minute(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
-
-
 def minutes_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(6e7)
 

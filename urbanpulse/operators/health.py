@@ -17,6 +17,7 @@ from urbanpulse.fixed import (
     CYCLES,
     MAX_LATENCY_SECONDS,
     MIN_CYCLE_FILES,
+    NOMINAL_INTERVAL_SECONDS,
     ON_TIME_FACTOR,
     OUTAGE_FACTOR,
     THROUGHPUT_FILES,
@@ -64,6 +65,12 @@ def arrival_gaps(arrivals: DataFrame, keys: Sequence[str] = ("source",), time: s
     return positive.unionByName(zero).groupBy(*keys, "gap_s").agg(F.sum("n").alias("n"))
 
 
+def nominal_interval(source: Column) -> Column:
+    """Expected seconds between snapshots of a feed."""
+    known = F.create_map(*[F.lit(x) for pair in NOMINAL_INTERVAL_SECONDS.items() for x in pair])
+    return known[source]
+
+
 def gap_stats(arrivals: DataFrame, nominal: Column, keys: Sequence[str] = ("source",), time: str = "last_modified") -> DataFrame:
     """Inter-arrival statistics per source; `nominal` is the expected interval in seconds (an expression of the keys)."""
     keys = list(keys)

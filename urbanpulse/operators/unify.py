@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanpulse.functions.nested import optional, top
+from urbanpulse.functions.nested import top
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATS = (T.FloatType, T.DoubleType)
@@ -79,5 +79,3 @@ def align(frames: list[DataFrame], schema: T.StructType | None = None) -> DataFr
     schema = schema or frames[0].schema
     return reduce(lambda a, b: a.unionByName(b), [project(df, schema) for df in frames])
 
-
-__all__ = ["RULES", "align", "optional", "project", "unified_schema", "unify"]

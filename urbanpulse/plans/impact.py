@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from urbanpulse.fixed import Period
 from urbanpulse.operators import correlate, peak
 from urbanpulse.operators.minute_fact import (
-    coverage,
     minute_fact,
     temperature_summary,
     weather_minutes,
@@ -106,12 +105,10 @@ def analyse_table(spark: SparkSession, base: str, periods: Sequence[Period], **o
     return analyse(spark, {n: df for n, df in feeds.items() if not df.isEmpty()}, periods, **options)
 
 
-def summary_row(correlations: DataFrame, periods: DataFrame | None = None, hours: str = "") -> DataFrame:
+def summary_row(correlations: DataFrame, hours: str = "") -> DataFrame:
     """The line kept per analysis: part of day, seven temperature correlations and the sample size."""
     names = ("bikes", "public_transport", "flight_activity", "multimodal", "delay", "travel_time", "traffic_incidents")
     return correlations.select(
         "period", F.lit(hours).alias("part_of_day"), *[f"temperature_vs_{n}" for n in names], "sample_size_minutes")
 
 
-__all__ = ["Impact", "analyse", "analyse_table", "coverage", "feeds_in_periods", "period_fact", "period_status",
-           "summary_row"]

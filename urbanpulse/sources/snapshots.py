@@ -91,6 +91,12 @@ def file_counts(rows: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     return rows.groupBy(*by, FILE, FILE_TIME).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def file_table(rows: DataFrame, source: str) -> DataFrame:
+    """The scanned files of a feed as the health report takes them: source, key, last_modified, n_rows."""
+    return file_counts(rows).select(
+        F.lit(source).alias("source"), F.col(FILE).alias("key"), F.col(FILE_TIME).alias("last_modified"), "n_rows")
+
+
 def unread_files(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Listed files that gave no row: unreadable or empty ones, to be counted per run."""
     return files.join(rows.select(F.col(FILE).alias("key")).distinct(), "key", "left_anti")
