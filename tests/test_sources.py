@@ -160,6 +160,18 @@ def test_incremental_normalization(spark, tmp_path):
     assert impact.correlations.first()["temperature_vs_bikes"] is None
 
 
+def test_long_file_lists_are_joined(spark, tmp_path, monkeypatch):
+    from urbanpulse.plans import normalization
+
+    raw_zone(spark, tmp_path / "raw")
+    both = []
+    for name, limit in (("named", 10), ("joined", 0)):
+        monkeypatch.setattr(normalization, "MAX_NAMED_FILES", limit)
+        normalize_feed(spark, str(tmp_path / "raw"), str(tmp_path / name), str(tmp_path / f"{name}-ledger"), "trips", all_dates=True)
+        both.append(sorted(map(str, snapshots.read_normalized_table(spark, str(tmp_path / name), "trips").collect())))
+    assert both[0] == both[1] and len(both[0]) == 1
+
+
 def test_command_line(spark, tmp_path, capsys):
     from urbanpulse.__main__ import main, periods_of, parser
 

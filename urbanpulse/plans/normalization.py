@@ -20,24 +20,23 @@ from urbanpulse.sources.schemas import NORMALIZED
 from urbanpulse.sources.sinks import (
     in_interval,
     mark_processed,
-    merge_listings,
     not_processed,
     read_ledger,
     run_name,
     with_file_date,
     write_normalized,
 )
-from urbanpulse.sources.snapshots import FILE, FOLDER_DATE, listing, scan_feed
+from urbanpulse.sources.snapshots import FILE, FOLDER_DATE, any_of, listing, scan_feed
 
 FEEDS = ("flights", "bikes", "road_weather", "travel_times", "situations", "trips")
+MAX_NAMED_FILES = 20_000
 
 
 def new_files(spark: SparkSession, raw: str, feed: str, ledger: str, start: str | None, end: str | None,
               rerun_all: bool, all_dates: bool) -> DataFrame:
     """Files of a feed inside the interval that the ledger does not hold."""
     folder, patterns = RAW_LAYOUT[feed]
-    found = merge_listings(*[listing(spark, f"{raw.rstrip('/')}/{folder}", p) for p in patterns])
-    dated = with_file_date(found)
+    dated = with_file_date(listing(spark, f"{raw.rstrip('/')}/{folder}", any_of(patterns)))
     if not all_dates:
         dated = dated.where(in_interval(F.col("date"), start, end))
     return not_processed(dated, read_ledger(spark, ledger, feed), rerun_all)
@@ -68,15 +67,19 @@ def normalize_feed(spark: SparkSession, raw: str, out: str, ledger: str, feed: s
     """Process the new files of a feed; returns how many there were.
 
     The file list is fixed first. Its digest names the run, so a run repeated after a crash
-    between data and ledger overwrites its own output instead of doubling it.
+    between data and ledger overwrites its own output instead of doubling it. A usual run names
+    its files to the reader, so processed ones are not opened; a very long list is joined.
     """
     files = materialise(new_files(spark, raw, feed, ledger, start, end, rerun_all, all_dates))
     count = files.count()
     if count == 0:
         return 0
     span = files.agg(F.min("date").cast("string").alias("lo"), F.max("date").cast("string").alias("hi")).first()
-    rows = scan_feed(spark, raw, feed, (span["lo"], span["hi"]))
-    rows = rows.join(files.select(F.col("key").alias(FILE)), FILE, "left_semi")
+    if count <= MAX_NAMED_FILES:
+        rows = scan_feed(spark, raw, feed, files=[r["key"] for r in files.select("key").toLocalIterator()])
+    else:
+        rows = scan_feed(spark, raw, feed, (span["lo"], span["hi"]))
+        rows = rows.join(files.select(F.col("key").alias(FILE)), FILE, "left_semi")
     write_normalized(normalized(spark, raw, feed, rows), out, run_name(files), feed)
     mark_processed(files, ledger, feed)
     return count

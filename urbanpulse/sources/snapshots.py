@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,25 +35,26 @@ def with_file_columns(df: DataFrame, row_index: bool = True) -> DataFrame:
     return df.withColumns(extra)
 
 
-def scan(spark: SparkSession, folder: str, schema: T.StructType | None = None,
+def any_of(patterns: Iterable[str]) -> str:
+    """One glob for several, so that a file that fits two of them is read once."""
+    patterns = list(patterns)
+    return patterns[0] if len(patterns) == 1 else "{" + ",".join(patterns) + "}"
+
+
+def scan(spark: SparkSession, folder: str | list[str], schema: T.StructType | None = None,
          patterns: Iterable[str] = ("*.parquet",), dates: tuple[str, str] | None = None,
          skip_normalized: bool = True) -> DataFrame:
-    """Parquet snapshots under a folder, pruned by file-name globs and an inclusive folder-date range.
+    """Parquet snapshots under a folder (or named files), pruned by globs and an inclusive folder-date range.
 
     Unreadable files are skipped. Folder dates and names are file metadata, so Spark drops
     the files before opening them.
     """
-    utc(spark)
-
-    def one(pattern: str) -> DataFrame:
-        reader = (
-            spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-            .option("ignoreCorruptFiles", True)
-        )
-        reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", True)
-        return with_file_columns(reader.parquet(folder))
-
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p) for p in patterns])
+    reader = (
+        utc(spark).read.option("recursiveFileLookup", True).option("pathGlobFilter", any_of(patterns))
+        .option("ignoreCorruptFiles", True)
+    )
+    reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", True)
+    df = with_file_columns(reader.parquet(*([folder] if isinstance(folder, str) else folder)))
     if skip_normalized:
         df = df.where(~F.col(FILE).contains("normalized"))
     if dates:
@@ -62,10 +62,11 @@ def scan(spark: SparkSession, folder: str, schema: T.StructType | None = None,
     return df
 
 
-def scan_feed(spark: SparkSession, base: str, feed: str, dates: tuple[str, str] | None = None) -> DataFrame:
+def scan_feed(spark: SparkSession, base: str, feed: str, dates: tuple[str, str] | None = None,
+              files: list[str] | None = None) -> DataFrame:
     """Raw rows of one feed by its landing layout and declared schema (situations keep their own columns)."""
     folder, patterns = RAW_LAYOUT[feed]
-    return scan(spark, f"{base.rstrip('/')}/{folder}", RAW.get(feed), patterns, dates)
+    return scan(spark, files or f"{base.rstrip('/')}/{folder}", RAW.get(feed), patterns, dates)
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.parquet",
