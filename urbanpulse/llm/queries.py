@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanpulse.llm import token_counts, tokens
+from urbanpulse.llm import decontaminate, repeats, token_counts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +19,33 @@ def op1_bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.digests(tokens.round_trip(table(spark, folder, "documents")))
 
 
+def op6_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_bpe_codes, op9_token_counts)}
-ORACLES: dict[str, str] = {}
+def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_bpe_codes, op6_benchmark_leaks, op9_token_counts, op10_repeated_bytes)}
+# Words of five-word shingles: between white space, lower-cased, letters and digits only.
+LEAKS_SQL = """
+WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'),
+             w -> regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')), w -> w <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'),
+             w -> regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')), w -> w <> '') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(5, len(w)) AS n, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS s
+      FROM (SELECT item_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS s
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id FROM (SELECT doc_id, item_id, count(*) AS c FROM s JOIN i USING (n, s) GROUP BY ALL)
+        JOIN (SELECT item_id, count(*) AS q FROM i GROUP BY ALL) USING (item_id) WHERE c >= 0.8 * q)
+SELECT doc_id, count(item_id) AS n_items, coalesce(list(item_id ORDER BY item_id) FILTER (item_id IS NOT NULL), []) AS item_ids,
+       count(item_id) > 0 AS contaminated
+FROM documents LEFT JOIN hit USING (doc_id) GROUP BY doc_id
+"""
+ORACLES: dict[str, str] = {"op6_benchmark_leaks": LEAKS_SQL}

@@ -47,11 +47,13 @@ class Memory:
             self.slots, self.values = Slots(), None
         known = len(self.slots)
         at = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+        if not len(at):
+            return self.describe([])
         if len(self.slots) > known:
             new = list(self.slots)[known:] if known < len(self.slots) // 2 else last_keys(self.slots, len(self.slots) - known)
             rows = self.describe(new)
             self.values = rows if self.values is None else np.concatenate([self.values, rows])
-        return self.values[at] if self.values is not None else self.describe([])
+        return self.values[at]
 
 
 def last_keys(table: dict, n: int) -> list[str]:
@@ -79,12 +81,12 @@ def slices(sizes: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int
         yield begin, len(sizes)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches with their texts as strings; null is the empty text."""
     for batch in batches:
         sizes = batch.column(column)
         lengths = [x or 0 for x in pa.compute.binary_length(sizes).to_pylist()]
-        for a, b in slices(lengths):
+        for a, b in slices(lengths, most):
             part = batch.slice(a, b - a)
             yield part, [t or "" for t in part.column(column).to_pylist()]
 

@@ -31,7 +31,10 @@ from urbanpulse.llm.text import Memory, runs, space_split, text_slices
 from urbanpulse.session import checkpoint_dir
 
 LEXICON_WORDS = 65_536
-COUNTED = 400_000  # distinct pieces counted by a task before it hands them on
+SLICE_CHARS = 1_000_000
+REMEMBERED = 120_000  # distinct pieces whose ids a task holds
+DECODED = 256  # documents decoded at a time
+COUNTED = 200_000  # distinct pieces counted by a task before it hands them on
 
 # The word pattern of vocabularies with word ends; a fixed value. Pieces hold no white space.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")
@@ -71,7 +74,7 @@ def count_words(batches, path: str):
         counts.clear()
         return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
-    for _, texts in text_slices(batches):
+    for _, texts in text_slices(batches, most=SLICE_CHARS):
         for text in texts:
             counts.update(pieces_of(text, special))
         if len(counts) > COUNTED:
@@ -112,7 +115,7 @@ class WordIds:
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon):
         self.vocab, self.lexicon = vocab, lexicon
-        self.words = Memory(self.encode)
+        self.words = Memory(self.encode, REMEMBERED)
 
     def encode(self, words: list[str]) -> np.ndarray:
         place = self.lexicon.find(words)
@@ -141,8 +144,8 @@ class WordIds:
 def encode_batches(batches, path: str, lexicon: str):
     vocab = vocabulary(path)
     special = special_pattern(vocab)
-    memory = Memory(WordIds(vocab, Lexicon(SparkFiles.get(lexicon))))
-    for part, texts in text_slices(batches):
+    memory = Memory(WordIds(vocab, Lexicon(SparkFiles.get(lexicon))), REMEMBERED)
+    for part, texts in text_slices(batches, most=SLICE_CHARS):
         pieces = [pieces_of(t, special) for t in texts]
         packed = memory([p for ps in pieces for p in ps]).tolist() if any(pieces) else []
         rows, at = [], 0
@@ -162,7 +165,7 @@ def encode(docs: DataFrame, lexicon: str, path: str | None = None) -> DataFrame:
 def decode_batches(batches, path: str):
     tokens = vocabulary(path).tokens
     names = [tokens.get(i) for i in range(max(tokens) + 1)]
-    for batch in batches:
+    for batch in (b.slice(k, DECODED) for b in batches for k in range(0, b.num_rows, DECODED)):
         texts = [" ".join(map(names.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
