@@ -5,15 +5,17 @@ A bucket holds the places whose next bytes are equal. Buckets of 1-grams are ref
 each refinement is reused by the next. Names are computed from the contents, so every task gives
 the same bucket the same name, and only buckets that hold several documents are refined further:
 
-1. Every 50-byte string is filed under one of its 16-grams, the one of least rank, so a text
-   shows up in the exchange with about one place in 17 (`anchors`), and a bucket that
+1. Every 50-byte string is filed under one of its 20-grams, the one of least rank, so a text
+   shows up in the exchange with about one place in 15 (its anchors), and a bucket that
    lies in one document only is finished there.
 2. Places of a shared bucket are refined to the whole surroundings that strings filed there can
    reach. If a smaller document has the same surroundings, all these strings go.
 3. The rest, mostly the ends of repeated passages, is refined to the 50-byte strings themselves.
 
-A task settles equal surroundings among its own documents first and sends one row for each bucket
-and kind of surroundings, so a passage in a third of all documents reaches no task as one group.
+A task settles what is equal among its own documents first and sends one entry for each bucket, each kind of
+surroundings and each string, so that even of a passage in a third of all documents no task receives more
+entries than there are batches. Entries travel packed: those of one batch and one part are sorted,
+their names differenced and compressed.
 All steps read the input texts, never what is left of them.
 
 Null and empty texts have nothing to remove. Rows with a null doc_id neither remove nor lose
@@ -36,7 +38,7 @@ from urbanpulse.llm.text import runs, slices
 from urbanpulse.session import materialise
 
 SPAN = 50
-GRAM = 16
+GRAM = 20
 WIDTH = SPAN - GRAM + 1  # 16-grams in a string
 PLACE_BITS = np.uint64(31)
 PLACE = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
@@ -75,7 +77,7 @@ class Places:
         strings = np.maximum(self.lengths - SPAN + 1, 0)
         self.strings = runs(self.starts, strings)  # where 50-byte strings begin
         self.doc = np.repeat(np.arange(len(raw)), strings)
-        rank = self.buckets[GRAM] * np.uint64(0xD6E8FEB86659FD93)
+        rank = self.gram_buckets() * np.uint64(0xD6E8FEB86659FD93)
         least = ((rank >> PLACE_BITS) << PLACE_BITS) | np.arange(len(data), dtype=np.uint64)
         size = 1
         while 2 * size <= WIDTH and len(least) > size:
@@ -88,6 +90,13 @@ class Places:
         self.anchor, self.anchor_doc = filed[new], self.doc[new]
         self.of_string = np.cumsum(new) - 1  # the anchor that each string is filed under
 
+    def gram_buckets(self) -> np.ndarray:
+        """Buckets of the q-grams at all places: 16 bytes, refined by those that follow."""
+        out = self.buckets[16].copy()
+        if len(out) > 16:
+            out[:-16] = mix(out[:-16], self.buckets[GRAM - 16][16:])
+        return out
+
     def name(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Names of byte ranges of 16 to 127 bytes: two buckets that overlap."""
         out = np.zeros(len(start), np.uint64)
@@ -101,7 +110,7 @@ class Places:
         begin = np.maximum(self.starts[self.anchor_doc], self.anchor - WIDTH + 1)
         end = np.minimum((self.starts + self.lengths)[self.anchor_doc], self.anchor + SPAN)
         where = mix(self.anchor.astype(np.uint64) - begin.astype(np.uint64), self.name(begin, end - begin))
-        gram = self.buckets[GRAM][self.anchor]
+        gram = self.gram_buckets()[self.anchor]
         return (gram & np.uint64(NAME)).astype(np.int64), (mix(gram, where) & np.uint64(NAME)).astype(np.int64)
 
 
@@ -137,21 +146,67 @@ def settle(gram: np.ndarray, name: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
             np.concatenate([d, d[marks], doc[later]]))
 
 
-def anchor_rows(batches):
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of numbers, first all lowest ones, then all second ones and so on."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, n).T).view("<u8").reshape(n)
+
+
+def pack(name: np.ndarray, more: np.ndarray, doc: np.ndarray) -> bytes:
+    """Entries sorted by name."""
+    docs, own = np.unique(doc, return_inverse=True)
+    parts = [np.diff(name, prepend=np.uint64(0)), more.astype(np.uint64), own.astype(np.uint64), docs.view(np.uint64)]
+    head = np.array([len(name), len(docs)], "<i8").tobytes()
+    return head + zstandard.ZstdCompressor(1).compress(b"".join(map(planes, parts)))
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, docs = np.frombuffer(blob[:16], "<i8").tolist()
+    data = zstandard.ZstdDecompressor().decompress(blob[16:])
+    name, more, own = (from_planes(data[8 * n * k:8 * n * (k + 1)], n) for k in range(3))
+    return np.cumsum(name, dtype=np.uint64), more, from_planes(data[24 * n:], docs).view(np.int64)[own.astype(np.int64)]
+
+
+def packed_parts(part: np.ndarray, name: np.ndarray, more: np.ndarray, doc: np.ndarray):
+    """(part, blob) rows; part: where each entry goes."""
+    order = np.lexsort((name, part))
+    part, name, more, doc = part[order], name[order], more[order], doc[order]
+    bounds = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+    blobs = [pack(name[a:b], more[a:b], doc[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+
+def whole_parts(batches):
+    """The entries of one part after the other, from rows sorted by part."""
+    held, part = [], None
+    for batch in batches:
+        for own, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
+            if own != part and held:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            part = own
+            held.append(unpack(blob))
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def anchor_rows(batches, parts: int):
     for batch in batches:
         grams, names, docs = [], [], []
-        for part in byte_slices([batch]):
-            places = Places(raw_texts(part.column("text")))
+        for piece in byte_slices([batch]):
+            places = Places(raw_texts(piece.column("text")))
             gram, name = places.surroundings()
             grams.append(gram)
             names.append(name)
-            docs.append(part.column("doc_id").to_numpy()[places.anchor_doc])
+            docs.append(piece.column("doc_id").to_numpy()[places.anchor_doc])
         if grams and sum(map(len, grams)):
             gram, name, kind, doc = settle(np.concatenate(grams), np.concatenate(names), np.concatenate(docs))
-            for a in range(0, len(gram), 100_000):
-                rows = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[rows]), pa.array(name[rows] * 4 + kind[rows]), pa.array(doc[rows])], ["gram", "name", "doc"])
+            g, n, k = gram.astype(np.uint64), name.astype(np.uint64), kind.astype(np.uint64)
+            spread = np.where(kind >= SETTLED, mix(g, n), mix(g, g)) % np.uint64(parts)
+            yield packed_parts(spread.astype(np.int64), g, n * np.uint64(4) + k, doc)
 
 
 def judge(gram: np.ndarray, name: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,25 +227,12 @@ def judge(gram: np.ndarray, name: np.ndarray, kind: np.ndarray, doc: np.ndarray)
 
 
 def judged_rows(batches):
-    """Stream over rows sorted by bucket; the last bucket of a batch waits for the next one."""
-    rest = None
-    for batch in batches:
-        held = [batch.column(i).to_numpy() for i in range(3)]
-        if rest is not None:
-            held = [np.concatenate(x) for x in zip(rest, held)]
-        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        rest = [x[cut:] for x in held]
-        if cut:
-            yield verdict_batch([x[:cut] for x in held])
-    if rest is not None and len(rest[0]):
-        yield verdict_batch(rest)
-
-
-def verdict_batch(columns: list[np.ndarray]) -> pa.RecordBatch:
-    gram, packed, doc = columns
-    order = np.lexsort((doc, packed >> 2, gram))
-    doc, name, verdict = judge(gram[order], (packed >> 2)[order], (packed & 3)[order], doc[order])
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(name * 2 + verdict)], ["doc_id", "verdict"])
+    for gram, packed, doc in whole_parts(batches):
+        name = packed >> np.uint64(2)
+        order = np.lexsort((doc, name, gram))
+        kind = (packed & np.uint64(3)).astype(np.int64)
+        doc, name, verdict = judge(gram[order], name[order], kind[order], doc[order])
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(name.astype(np.int64) * 2 + verdict)], ["doc_id", "verdict"])
 
 
 def covered(places: Places, gone: np.ndarray) -> np.ndarray:
@@ -213,60 +255,77 @@ def outcome(places: Places, hidden: np.ndarray) -> list[tuple[int, int, int, str
     return out
 
 
-def first_look(batches):
-    """Apply verdicts. A document with strings left to refine keeps them, what has gone, and its text."""
-    squeeze = zstandard.ZstdCompressor(3).compress
+def looked_at(batch: pa.RecordBatch):
+    """Slices of a batch: places, strings that go by the verdicts, strings that are left open."""
     unsqueeze = zstandard.ZstdDecompressor().decompress
+    raws = [unsqueeze(b) if b else b"" for b in batch.column("text").to_pylist()]
+    for a, b in slices([len(r) for r in raws], SLICE_BYTES):
+        piece, places = batch.slice(a, b - a), Places(raws[a:b])
+        name = places.surroundings()[1]
+        lists = piece.column("verdicts")
+        said = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(b - a), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())
+        known = mix(owner.astype(np.uint64), (said >> 1).astype(np.uint64))
+        here = mix(places.anchor_doc.astype(np.uint64), name.astype(np.uint64))
+        goes = np.isin(here, known[said % 2 == ALL_GO])
+        opens = np.isin(here, known[said % 2 == REFINE]) & ~goes
+        yield piece, places, places.strings[goes[places.of_string]], np.flatnonzero(opens[places.of_string])
+
+
+def string_names(places: Places, at: np.ndarray) -> np.ndarray:
+    return places.name(places.strings[at], np.full(len(at), SPAN))
+
+
+def string_rows(batches, parts: int):
+    """The open 50-byte strings; of equal ones in a batch only the smallest document's, and who loses to it."""
     for batch in batches:
-        blobs = batch.column("text").to_pylist()
-        raws = [unsqueeze(b) if b else b"" for b in blobs]
-        for a, b in slices([len(r) for r in raws], SLICE_BYTES):
-            part = batch.slice(a, b - a)
-            places = Places(raws[a:b])
-            gram, name = places.surroundings()
-            lists = part.column("verdicts")
-            said = lists.flatten().to_numpy()
-            owner = np.repeat(np.arange(b - a), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())
-            key = lambda d, n: mix(d.astype(np.uint64), n.astype(np.uint64))
-            at_anchor = key(places.anchor_doc, name)
-            all_go = np.isin(at_anchor, key(owner, said >> 1)[said % 2 == ALL_GO])
-            refine = np.isin(at_anchor, key(owner, said >> 1)[said % 2 == REFINE]) & ~all_go
-            gone = places.strings[all_go[places.of_string]] if len(places.anchor) else places.strings
-            open_strings = refine[places.of_string] if len(places.anchor) else np.zeros(0, bool)
-            at = places.strings[open_strings]
-            names = places.name(at, np.full(len(at), SPAN)).astype(np.int64)
-            where, own = at - places.starts[places.doc[open_strings]], places.doc[open_strings]
-            hidden = covered(places, gone)
-            rows = outcome(places, hidden)
-            pending = np.bincount(own, minlength=b - a) > 0
-            ends = np.cumsum(np.bincount(own, minlength=b - a))
-            starts = [0, *ends[:-1].tolist()]
-            take = lambda i, x: x[starts[i]:int(ends[i])] if pending[i] else None
-            bits = [np.packbits(hidden[s:s + n]).tobytes() if p else None for s, n, p in zip(places.starts, places.lengths, pending)]
-            yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))],
-                pa.array([take(i, names) for i in range(b - a)], pa.list_(pa.int64())),
-                pa.array([take(i, where) for i in range(b - a)], pa.list_(pa.int32())),
-                pa.array([squeeze(x) if x else None for x in bits], pa.binary()),
-                pa.array([blobs[a + i] if pending[i] else None for i in range(b - a)], pa.binary()),
-            ], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "names", "places", "hidden", "text"])
-
-
-def last_look(batches):
-    """Documents that had strings refined: what went before and what goes now."""
+        names, docs = [], []
+        for piece, places, _, opens in looked_at(batch):
+            names.append(string_names(places, opens))
+            docs.append(piece.column("doc_id").to_numpy()[places.doc[opens]])
+        if names and sum(map(len, names)):
+            name, doc = np.concatenate(names), np.concatenate(docs)
+            order = np.lexsort((doc, name))
+            name, doc = name[order], doc[order]
+            again = np.concatenate([[False], (name[1:] == name[:-1]) & (doc[1:] == doc[:-1])])
+            name, doc = name[~again], doc[~again]
+            first = np.concatenate([[True], name[1:] != name[:-1]])
+            spread = np.where(first, name, mix(name, doc.astype(np.uint64))) % np.uint64(parts)
+            yield packed_parts(spread.astype(np.int64), name, ~first, doc)
+
+
+def lost_strings(batches):
+    for name, lost, doc in whole_parts(batches):
+        order = np.lexsort((doc, lost, name))
+        name, lost, doc = name[order], lost[order] > 0, doc[order]
+        first = np.concatenate([[True], name[1:] != name[:-1]])
+        least = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+        gone = lost | (doc > least)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(name[gone].view(np.int64))], ["doc_id", "name"])
+
+
+def final_rows(batches):
+    """Take out what goes, of documents that have verdicts; others stay whole."""
     unsqueeze = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        rows = []
-        for bits, blob, gone in zip(*[batch.column(c).to_pylist() for c in ("hidden", "text", "gone")]):
-            places = Places.__new__(Places)
-            places.raw = [unsqueeze(blob)]
-            places.lengths, places.starts = np.array([len(places.raw[0])]), np.zeros(1, np.int64)
-            hidden = np.unpackbits(np.frombuffer(unsqueeze(bits), np.uint8), count=len(places.raw[0])).astype(bool)
-            rows += outcome(places, hidden | covered(places, np.array(gone or [], np.int64)))
-        columns = list(zip(*rows)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        said = pa.compute.is_valid(batch.column("verdicts"))
+        whole = batch.filter(pa.compute.invert(said))
+        raws = [unsqueeze(b) if b else b"" for b in whole.column("text").to_pylist()]
+        yield result_batch(whole, [(len(r), 0, 0, hashlib.sha256(r).hexdigest()) for r in raws])
+        for piece, places, gone, opens in looked_at(batch.filter(said)):
+            lists = piece.column("gone")
+            owner = np.repeat(np.arange(len(piece)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())
+            lost = mix(owner.astype(np.uint64), lists.flatten().to_numpy().view(np.uint64))
+            here = mix(places.doc[opens].astype(np.uint64), string_names(places, opens))
+            more = places.strings[opens[np.isin(here, lost)]]
+            yield result_batch(piece, outcome(places, covered(places, np.concatenate([gone, more]))))
+
+
+def result_batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [(), (), (), ()]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns, types)],
+                                      ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def squeezed(batches):
@@ -279,22 +338,21 @@ def squeezed(batches):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def dealt(packed: DataFrame, parts: int) -> DataFrame:
+    return packed.repartition(parts, "part").sortWithinPartitions("part")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * partitions
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sent = rows.where("doc_id IS NOT NULL").mapInArrow(anchor_rows, "gram long, name long, doc long")
-    kind = F.col("name").bitwiseAND(F.lit(3))
-    spread = F.when(kind >= SETTLED, F.xxhash64("gram", "name", F.when(kind == SETTLED, F.col("doc")))).otherwise(F.col("gram"))
-    judged = (sent.withColumn("spread", spread).repartition("spread").drop("spread").sortWithinPartitions("gram")
-              .mapInArrow(judged_rows, "doc_id long, verdict long"))
+    sent = rows.where("doc_id IS NOT NULL").mapInArrow(lambda b: anchor_rows(b, parts), "part int, blob binary")
+    judged = dealt(sent, partitions).mapInArrow(judged_rows, "doc_id long, verdict long")
     verdicts = materialise(judged.groupBy("doc_id").agg(F.collect_set("verdict").alias("verdicts")))
-    looked = materialise(
-        rows.mapInArrow(squeezed, "doc_id long, text binary").join(verdicts, "doc_id", "left")
-        .mapInArrow(first_look, RESULT + ", names array<long>, places array<int>, hidden binary, text binary"))
-    open_docs = looked.where("text IS NOT NULL")
-    strings = open_docs.select("doc_id", F.explode(F.arrays_zip("names", "places")).alias("s")).select("doc_id", "s.names", "s.places")
-    least = strings.groupBy("names").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    gone = (strings.join(least, "names").where(F.col("doc_id") > F.col("least"))
-            .groupBy("doc_id").agg(F.collect_set("places").alias("gone")))
-    last = open_docs.select("doc_id", "hidden", "text").join(gone, "doc_id", "left").mapInArrow(last_look, RESULT)
-    return looked.where("text IS NULL").select(*last.columns).union(last)
+    # both uses below share one exchange of the texts
+    texts = rows.mapInArrow(squeezed, "doc_id long, text binary").repartition(partitions, "doc_id")
+    strings = texts.join(verdicts, "doc_id").mapInArrow(lambda b: string_rows(b, parts), "part int, blob binary")
+    lost = dealt(strings, partitions).mapInArrow(lost_strings, "doc_id long, name long")
+    gone = lost.groupBy("doc_id").agg(F.collect_list("name").alias("gone"))
+    return texts.join(verdicts, "doc_id", "left").join(gone, "doc_id", "left").mapInArrow(final_rows, RESULT)
