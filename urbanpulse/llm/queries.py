@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanpulse.llm import decontaminate, repeats, token_counts, tokens
+from urbanpulse.llm import decontaminate, language, repeats, token_counts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.digests(tokens.round_trip(table(spark, folder, "documents")))
 
 
+def op5_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 def op6_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -31,13 +35,13 @@ def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_bpe_codes, op6_benchmark_leaks, op9_token_counts, op10_repeated_bytes)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_bpe_codes, op5_languages, op6_benchmark_leaks, op9_token_counts, op10_repeated_bytes)}
 # Words of five-word shingles: between white space, lower-cased, letters and digits only.
 LEAKS_SQL = """
 WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'),
-             w -> regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')), w -> w <> '') AS w FROM documents),
+             lambda w: regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'),
-             w -> regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')), w -> w <> '') AS w FROM benchmark),
+             lambda w: regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')), lambda w: w <> '') AS w FROM benchmark),
 i AS (SELECT DISTINCT item_id, least(5, len(w)) AS n, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS s
       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM b WHERE len(w) > 0)),
 s AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS s
