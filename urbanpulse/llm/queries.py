@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanpulse.llm import decontaminate, language, repeats, token_counts, tokens
+from urbanpulse.llm import decontaminate, language, quality, repeats, token_counts, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,14 @@ def op6_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scored(table(spark, folder, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
 
@@ -35,7 +43,8 @@ def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_bpe_codes, op5_languages, op6_benchmark_leaks, op9_token_counts, op10_repeated_bytes)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (
+    op1_bpe_codes, op5_languages, op6_benchmark_leaks, op7_toxicity, op8_quality, op9_token_counts, op10_repeated_bytes)}
 # Words of five-word shingles: between white space, lower-cased, letters and digits only.
 LEAKS_SQL = """
 WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'),
