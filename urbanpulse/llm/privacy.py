@@ -18,7 +18,6 @@ Null and empty texts stay as they are; rows that repeat are replaced each, also
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

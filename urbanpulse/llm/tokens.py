@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from urbanpulse.llm.bpe import Vocabulary, vocabulary
 from urbanpulse.llm.lexicon import Lexicon, compile_lexicon
 from urbanpulse.llm.text import Memory, runs, space_split, text_slices
-from urbanpulse.session import checkpoint_dir
+from urbanpulse.session import checkpoint_dir, materialise
 
 LEXICON_WORDS = 65_536
 SLICE_CHARS = 1_000_000
@@ -83,10 +83,20 @@ def count_words(batches, path: str):
 
 
 def frequent_words(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> list[str]:
-    """The `words` most frequent words over all documents (ties by the word); at most so many reach the driver."""
+    """At most `words` words, the most frequent ones over all documents.
+
+    Counts are first tallied in logarithmic bins, so that only words of the bins taken reach the driver.
+    """
     partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lambda b: count_words(b, path), "word string, n long")
-    top = partial.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [row.word for row in top.collect()]
+    counts = materialise(partial.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+                         .withColumn("bin", F.floor(F.log2("n") * 16).cast("int")))
+    least, taken = None, 0
+    for row in counts.groupBy("bin").count().orderBy(F.desc("bin")).collect():
+        taken += row["count"]
+        if taken > words:
+            break
+        least = row.bin
+    return [] if least is None else [r.word for r in counts.where(F.col("bin") >= least).select("word").collect()]
 
 
 def ship(spark: SparkSession, data: bytes) -> str:
