@@ -1,20 +1,25 @@
 """Exact Jaccard join of documents on word shingles by universe-partition pigeonhole (operator 3).
 
-Documents are sets of hashed 3-word shingles. Sets fall into size bands so that partners lie in the same or the
-next band. For a pair of bands at most H shingles may differ, so tokens are hashed into segments, each
-segment is given a budget of 0, 1 or 2 with a sum above H, and some segment differs in fewer tokens than its
-budget: budget 1 is met by equal segments, budget 2 also by segments that are equal up to one deleted token.
-The allocation of each band is the cheapest one: a signature costs one row and the rows it is expected to meet,
-which follow from the number of documents of the band and the tokens of a segment. A segment's name is the sum of its
-tokens' hashes, so a deletion is a subtraction.
+Documents are sets of hashed word shingles. Sets fall into size bands so that partners lie in the same or the
+next band. For a pair of bands at most H tokens may differ, so tokens are hashed into segments, each
+segment is given a budget, and some segment differs in fewer tokens than its budget if the budgets sum up to more than
+H: budget 1 is met by equal segments, budget 2 also by segments that are equal up to one deleted token. A segment's
+name is the sum of its tokens' hashes, so a deletion is a subtraction.
+
+Only a subset of a document's segments is filed: segments without tokens, which many documents share, have budget
+0. To make up for them there are `spare` more segments than H asks for; the few documents with more empty segments
+than that file the empty ones too, so two such documents still meet. The allocation of each band is the cheapest
+one: a signature costs one row and the rows it is expected to meet, which follow from the number of documents of
+the band and the tokens of a segment.
 
 Documents with the same set are one class. Classes that share a signature are candidates: first each with one
-leader of the signature, then, where the links found leave a signature's classes in several
-components, with a second leader, and at last all pairs of different components. Pairs are verified exactly on the
-words. So large groups of near copies cost a few pairs for each class, and no link between components is missed.
+leader of the signature. Where such a pair turns out not to be linked, the classes around its leader are looked at again:
+in each of their signatures the components found so far are compared through a second leader, and at last all pairs
+of different components. Pairs are verified exactly on the words. So large groups of near copies cost a few pairs
+for each class, and no link between components is missed.
 
 Texts without words, and null texts, have no shingles and link with nothing. Rows that repeat a doc_id are
-joined each; a null doc_id takes part, but names no component unless it is alone in it. Only doc_id and text are read; an
+joined each; a null doc_id takes part, but names a component only if no other does (null then). Only doc_id and text are read; an
 empty table gives an empty result.
 """
 
@@ -34,7 +39,9 @@ from urbanpulse.llm.text import Memory, slices
 from urbanpulse.session import materialise
 
 WORDS, PERCENT = 3, 90
+RARITY = 3.0
 SLICE_CHARS = 1_000_000
+LEADER, SECOND, ALL = range(3)  # how the classes of a signature are paired
 
 
 class Rule:
@@ -59,16 +66,25 @@ class Rule:
         return bool(both) and 100 * both >= self.percent * (len(a) + len(b) - both)
 
 
-def allocate(size: int, differ: int, documents: int) -> tuple[int, int]:
-    """Numbers of segments with budget 1 and with budget 2, at the least cost for sets of this size."""
-    best = (math.inf, 0, 0)
+def allocate(size: float, differ: int, documents: int) -> tuple[int, int, int]:
+    """Segments with budget 1 and with budget 2, and how many spare ones are among the former, at the least cost.
+
+    RARITY is how much rarer each further token makes it that unrelated documents agree on a segment.
+    """
+    best = (math.inf, 0, 0, 0)
     most = (differ + 2) // 2
     for two in sorted({round(most * k / 8) for k in range(9)}):
-        one = max(0, differ + 1 - 2 * two)
-        tokens = size / (one + two)
-        empty = documents * math.exp(-tokens)  # documents that share the name of a segment without tokens
-        cost = one * (1 + empty) + two * (1 + tokens) * (1 + empty * (1 + tokens))
-        best = min(best, (cost, one, two))
+        one, spare = max(0, differ + 1 - 2 * two), 0
+        for _ in range(20 if one > 1 else 0):
+            empty = (one + spare) * math.exp(-size / (one + spare + two))
+            if (wanted := math.ceil(empty + 4 * math.sqrt(empty))) <= spare:
+                break
+            spare = wanted
+        tokens = size / (one + spare + two)
+        met = documents * math.exp(-RARITY * tokens)
+        deep = documents * math.exp(-tokens)  # files with empty segments, as these have no spare ones
+        cost = (one + spare) * (1 + met) + two * (1 + tokens) * (1 + (met + deep) * (1 + tokens))
+        best = min(best, (cost, one + spare, two, spare))
     return best[1:]
 
 
@@ -119,54 +135,98 @@ def set_rows(batches, n: int):
                                          ["doc_id", "n_shingles", "class"])
 
 
-def signatures(tokens: np.ndarray, band: int, plan: tuple[int, int]) -> np.ndarray:
-    """Names of the segments, and of the one-deletion neighbourhoods of those with budget 2, which come first."""
-    one, two = plan
+def signatures(tokens: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.ndarray:
+    """Names of the segments that are filed, and of the one-deletion neighbourhoods of those with budget 2, which come first."""
+    one, two, spare = plan
     segment = (mix(np.array([band], np.uint64), tokens) % np.uint64(one + two)).astype(np.int64)
     names = mix(tokens, tokens)
     sums = np.zeros(one + two, np.uint64)
     np.add.at(sums, segment, names)
+    filed = np.bincount(segment, minlength=one + two) > 0
+    filed[:two] = True
+    if (~filed).sum() > spare:
+        filed[:] = True
     place = np.arange(one + two, dtype=np.uint64) + np.uint64(band << 32)
-    out = [mix(place, sums)]
+    out = [mix(place[filed], sums[filed])]
     if two:
         deep = np.flatnonzero(segment < two)
         out.append(mix(place[segment[deep]], sums[segment[deep]] - names[deep]))
     return np.unique(np.concatenate(out)) if two else out[0]
 
 
-def signature_rows(batches, rule: Rule, plans: dict[int, tuple[int, int]], parts: int):
+def filed(sets, rule: Rule, plans: dict[int, tuple[int, int, int]], parts: int):
+    """One packed row for each part, from (class, component, set) triples."""
+    names, owners, components_ = [], [], []
+    for name, component, tokens in sets:
+        band = rule.band(len(tokens))
+        for scheme in (band, band - 1):
+            if scheme in plans:
+                own = signatures(tokens, scheme, plans[scheme])
+                names.append(own)
+                owners.append(np.full(len(own), name))
+                components_.append(np.full(len(own), component))
+    if names:
+        sig = np.concatenate(names)
+        more = np.concatenate(components_).view(np.uint64)
+        yield packed_parts((sig % np.uint64(parts)).astype(np.int64), sig, more, np.concatenate(owners))
+
+
+def signature_rows(batches, rule: Rule, plans: dict[int, tuple[int, int, int]], parts: int):
+    """Signatures of the different sets of each batch."""
     memory = Memory(word_names)
     for batch in batches:
-        seen, names, owners = set(), [], []
+        seen: dict[int, np.ndarray] = {}
         for _, tokens in sets_of(batch, memory, rule.words):
-            if not len(tokens) or (name := class_name(tokens)) in seen:
-                continue
-            seen.add(name)
-            band = rule.band(len(tokens))
-            for scheme in (band, band - 1):
-                if scheme in plans:
-                    own = signatures(tokens, scheme, plans[scheme])
-                    names.append(own)
-                    owners.append(np.full(len(own), name))
-        if names:
-            sig = np.concatenate(names)
-            yield packed_parts((sig % np.uint64(parts)).astype(np.int64), sig, np.zeros(len(sig), np.uint64), np.concatenate(owners))
-
-
-def shared_rows(batches):
-    """(signature, class, leader) of signatures that several classes have."""
-    for sig, _, name in whole_parts(batches):
+            if len(tokens):
+                seen.setdefault(class_name(tokens), tokens)
+        yield from filed(((c, 0, s) for c, s in seen.items()), rule, plans, parts)
+
+
+def signature_rows_again(batches, rule: Rule, plans: dict[int, tuple[int, int, int]], parts: int):
+    """Signatures of (class, component, text), texts compressed."""
+    memory, unsqueeze = Memory(word_names), zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts = pa.array([unsqueeze(t) for t in batch.column("text").to_pylist()], pa.binary())
+        rows = pa.RecordBatch.from_arrays([texts], ["text"])
+        names, parts_ = batch.column("class").to_pylist(), batch.column("component").to_pylist()
+        yield from filed(((names[i], parts_[i], s) for i, s in sets_of(rows, memory, rule.words)), rule, plans, parts)
+
+
+def candidate_rows(batches, how: int):
+    """Different pairs (u, v), u > v, of classes that share a signature and lie in different components."""
+    for sig, component, name in whole_parts(batches):
         order = np.lexsort((name, sig))
-        sig, name = sig[order], name[order]
+        sig, component, name = sig[order], component[order], name[order]
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])
-        sig, name = sig[fresh], name[fresh]
+        sig, component, name = sig[fresh], component[fresh], name[fresh]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
-        group = np.cumsum(first) - 1
-        several = np.bincount(group)[group] > 1
-        leader = name[np.flatnonzero(first)][group]
-        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (sig.view(np.int64), name, leader)], ["sig", "class", "leader"])
+        starts, group = np.flatnonzero(first), np.cumsum(first) - 1
+        if how == ALL:
+            several = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts) if len(starts) else starts
+            ends = np.append(starts[1:], len(sig))
+            for k in np.flatnonzero(several).tolist():
+                own, parts = name[starts[k]:ends[k]], component[starts[k]:ends[k]]
+                for i in range(1, len(own)):
+                    other = own[:i][parts[:i] != parts[i]]
+                    if len(other):
+                        yield pair_batch(np.full(len(other), own[i]), other)
+            continue
+        if how == LEADER:
+            chosen = starts
+        else:  # the last one in an order of their own
+            rank = np.lexsort((mix(name.view(np.uint64), name.view(np.uint64)), group))
+            chosen = rank[np.append(starts[1:], len(sig)) - 1] if len(starts) else starts
+        leader = chosen[group] if len(starts) else group
+        pairs = (name != name[leader]) if how == LEADER else (component != component[leader])
+        u, v = np.maximum(name, name[leader])[pairs], np.minimum(name, name[leader])[pairs]
+        both = np.unique(np.stack([u, v]), axis=1)
+        yield pair_batch(both[0], both[1])
+
+
+def pair_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def word_set(text: bytes, n: int) -> set:
@@ -189,62 +249,67 @@ def verified(batches, rule: Rule):
 
 
 def squeezed_class_texts(batches, n: int):
-    """Texts of the rows whose class is the one asked for."""
+    """Texts of the rows whose class is the one asked for, or any if none is."""
     memory, squeeze = Memory(word_names), zstandard.ZstdCompressor(3).compress
     for batch in batches:
-        same = [len(s) > 0 and class_name(s) == c for (_, s), c in zip(sets_of(batch, memory, n), batch.column("class").to_pylist())]
-        kept = batch.filter(pa.array(same, pa.bool_()))
-        texts = [squeeze(t) for t in kept.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([kept.column("class"), pa.array(texts, pa.binary())], ["class", "text"])
+        names = [class_name(s) if len(s) else None for _, s in sets_of(batch, memory, n)]
+        same = [c is not None and c == (c if asked is None else asked) for c, asked in zip(names, batch.column("class").to_pylist())]
+        texts = [squeeze(t) for t in batch.column("text").filter(pa.array(same, pa.bool_())).cast(pa.binary()).to_pylist()]
+        kept = [c for c, s in zip(names, same) if s]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(texts, pa.binary())], ["class", "text"])
 
 
-def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(u, component) of the classes that have links, joined by all links between similar classes."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = {r.n_shingles: r["count"] for r in sets.where("n_shingles > 0").groupBy("n_shingles").count().toLocalIterator()}
+def plans_of(sets: DataFrame, rule: Rule) -> dict[int, tuple[int, int, int]]:
+    """The allocation of each band, from the sizes of all sets; one row for each size and no more is read."""
     bands: dict[int, list[int]] = {}
-    for size, n in sizes.items():
-        own = bands.setdefault(rule.band(size), [0, 0])
-        own[0] += n
-        own[1] += size * n
+    for row in sets.where("n_shingles > 0").groupBy("n_shingles").count().toLocalIterator():
+        own = bands.setdefault(rule.band(row.n_shingles), [0, 0])
+        own[0] += row["count"]
+        own[1] += row.n_shingles * row["count"]
     plans = {}
     for band in {b for own in bands for b in (own, own - 1) if b >= 0}:
-        mine = [bands.get(b, [0, 0]) for b in (band, band + 1)]
-        n, total = (sum(x) for x in zip(*mine))
+        n, total = (sum(x) for x in zip(*[bands.get(b, [0, 0]) for b in (band, band + 1)]))
         plans[band] = allocate(total / n, rule.differ(band), n)
+    return plans
+
+
+def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(u, component) of the classes that have links, joined by all links between similar classes."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plans = plans_of(sets, rule)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def candidates(packed: DataFrame, how: int) -> DataFrame:
+        return materialise(dealt(packed, partitions).mapInArrow(lambda b: candidate_rows(b, how), "u long, v long").distinct())
+
     packed = texts.select("text").mapInArrow(lambda b: signature_rows(b, rule, plans, 2 * partitions), "part int, blob binary")
-    members = materialise(dealt(packed, partitions).mapInArrow(shared_rows, "sig long, class long, leader long"))
-    wanted = members.select("class").distinct().join(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
-    unnamed = sets.where("doc_id IS NULL").select("class").distinct()
-    asked = texts.where("doc_id IS NOT NULL").join(wanted, "doc_id")
-    alone = wanted.where("doc_id IS NULL").select("class").join(unnamed, "class")
-    if not alone.isEmpty():  # classes of rows without doc_id only
-        asked = asked.unionByName(texts.where("doc_id IS NULL").crossJoin(F.broadcast(alone)))
-    known = materialise(asked.mapInArrow(lambda b: squeezed_class_texts(b, rule.words), "class long, text binary").dropDuplicates(["class"]))
+    tested = candidates(packed, LEADER)
+    asked = tested.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    wanted = asked.join(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
+    rows = texts.where("doc_id IS NOT NULL").join(wanted, "doc_id")
+    if not wanted.where("doc_id IS NULL").isEmpty():  # classes of rows without a doc_id only
+        rows = rows.unionByName(texts.where("doc_id IS NULL").withColumn("class", F.lit(None).cast("long")))
+    known = materialise(rows.mapInArrow(lambda b: squeezed_class_texts(b, rule.words), "class long, text binary").dropDuplicates(["class"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         u = known.select(F.col("class").alias("u"), F.col("text").alias("u_text"))
         v = known.select(F.col("class").alias("v"), F.col("text").alias("v_text"))
-        full = pairs.join(u, "u").join(v, "v")
-        return full.mapInArrow(lambda b: verified(b, rule), "u long, v long")
+        return pairs.join(u, "u").join(v, "v").mapInArrow(lambda b: verified(b, rule), "u long, v long")
 
-    tested = materialise(members.where("class <> leader").select(F.col("class").alias("u"), F.col("leader").alias("v")).distinct())
     found = materialise(verify(tested))
     parts = components(found)
-    for last in (False, True):
-        own = members.select("sig", "class").join(parts.withColumnRenamed("u", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        spread = own.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct(
-            F.xxhash64("class"), "class", "component")).alias("second")).where("lo <> hi")
-        open_ = own.join(spread, "sig")
-        if last:
-            a, b = open_.select("sig", F.col("class").alias("u"), F.col("component").alias("cu")), open_.select("sig", F.col("class").alias("v"), F.col("component").alias("cv"))
-            pairs = a.join(b, "sig").where("u > v AND cu <> cv").select("u", "v")
-        else:
-            pairs = open_.where("component <> second.component").select(
-                F.greatest("class", "second.class").alias("u"), F.least("class", "second.class").alias("v"))
-        pairs = materialise(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
+    # signatures with a failed pair have its leader v; all their classes were paired with it or are it
+    failed = tested.join(found, ["u", "v"], "left_anti")
+    ends = failed.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    around = tested.select(F.col("u").alias("class"), F.col("v").alias("other")).union(tested.select("v", "u"))
+    again = materialise(around.join(ends.withColumnRenamed("class", "other"), "other", "left_semi").select("class").union(ends).distinct())
+    if again.isEmpty():
+        return parts
+    open_texts = known.join(again, "class", "left_semi")
+    for how in (SECOND, ALL):
+        own = open_texts.join(parts.withColumnRenamed("u", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"), "text")
+        packed = own.mapInArrow(lambda b: signature_rows_again(b, rule, plans, 2 * partitions), "part int, blob binary")
+        pairs = materialise(candidates(packed, how).join(tested, ["u", "v"], "left_anti"))
         more = materialise(verify(pairs))
         if not more.isEmpty():
             found = found.union(more)

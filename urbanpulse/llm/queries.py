@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanpulse.llm import decontaminate, language, privacy, quality, repeats, token_counts, tokens, toxicity
+from urbanpulse.llm import (
+    decontaminate, jaccard, language, neighbours, privacy, quality, repeats, token_counts, tokens, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,14 @@ def op1_bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.digests(tokens.round_trip(table(spark, folder, "documents")))
 
 
+def op2_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, folder, "documents"))
+
+
 def op4_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return privacy.surrogate_texts(table(spark, folder, "documents"))
 
@@ -48,8 +57,8 @@ def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_bpe_codes, op4_surrogates, op5_languages, op6_benchmark_leaks, op7_toxicity, op8_quality, op9_token_counts,
-    op10_repeated_bytes)}
+    op1_bpe_codes, op2_near_vectors, op3_jaccard_join, op4_surrogates, op5_languages, op6_benchmark_leaks, op7_toxicity,
+    op8_quality, op9_token_counts, op10_repeated_bytes)}
 # Words of five-word shingles: between white space, lower-cased, letters and digits only.
 LEAKS_SQL = """
 WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'),
