@@ -187,3 +187,23 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -
         found = found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
     return found.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
                         (F.size("item_ids") > 0).alias("contaminated"))
+
+
+def clean_batches(batches, rows: list[tuple[int, str]], column: str):
+    items = Items(rows)
+    for part, texts in text_slices(batches, column, SLICE_CHARS):
+        yield part.filter(pa.array([not own for own in items.search(texts)], pa.bool_()))
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -> DataFrame:
+    """The rows of `docs`, with all their columns whatever their names, whose text contains no item; nothing is shuffled."""
+    spark = docs.sparkSession
+    left = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{[c.lower() for c in docs.columns].index('text')}"
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    blocks = max(1, -(-items.count() // block))
+    for k in range(blocks):
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
+        left = left.mapInArrow(lambda b, sent=sent: clean_batches(b, sent.value, text), left.schema)
+    return left.toDF(*docs.columns)
