@@ -98,7 +98,7 @@ def phrases(table: PairTable, chars: np.ndarray, lengths: np.ndarray) -> np.ndar
     counts, state = np.ones(len(order), np.int64), np.zeros(len(order), np.int32)
     for step in range(int(sizes[0])):
         n = int(np.searchsorted(-sizes, -step))  # words longer than step
-        char, at = chars[starts[:n] + step], state[:n]
+        char, at = chars[starts[:n] + step], state[:n].copy()
         arc = table.ranks(at, char)
         stuck = np.flatnonzero(arc >= len(table.merged))
         state[:n] = table.merged[np.minimum(arc, len(table.merged) - 1)]
