@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from urbanpulse.fixed import PERIOD_SETS, Period, days
 from urbanpulse.functions import tdist
+from urbanpulse.functions.rounding import rounded
 from urbanpulse.functions.stats import safe_corr
 from urbanpulse.operators import correlate, peak
-from urbanpulse.operators.minute_fact import minute_fact, valid_temperature, with_index, with_variants
+from urbanpulse.operators.minute_fact import minute_fact, records_per_source, valid_temperature, with_index, with_variants
 from urbanpulse.operators.periods import day_end, in_window, part_of_day, window_bounds, with_period_table, with_periods
 from urbanpulse.operators.quantiles import exact_quantiles
 from urbanpulse.plans.impact import analyse, period_fact
+from urbanpulse.session import materialise
 
 T0 = datetime(2026, 1, 30, 8)
 
@@ -174,3 +176,51 @@ def test_whole_analysis(spark):
     assert out.correlations.count() == 1 and out.interpretation.count() == 5 and out.robustness.count() == 3
     assert out.interactions.count() == 6 and out.regression.count() > 0 and out.zone_correlations.count() == 1
     assert out.pooled.count() >= 0 and out.variants.count() == 2 and out.temperature.first()["n_readings"] == 30
+
+
+def test_clock_is_chosen_for_each_period(spark):
+    """One period's trips have departures, the other's have none."""
+    f = feeds(spark, 4)
+    late = F.col("timestamp") >= int(minute(2).replace(tzinfo=timezone.utc).timestamp())
+    f["trips"] = f["trips"].withColumn("departure_timestamp", F.when(~late, F.col("departure_timestamp")))
+    utc = lambda i, micros=0: (minute(i) - timedelta(microseconds=micros)).replace(tzinfo=timezone.utc)
+    two = (Period("departures", utc(0), utc(2, 1)), Period("none", utc(2), utc(4)))
+    both = {(r["period"], r["minute"]): r["public_transport_activity"] for r in period_fact(f, two).collect()}
+    alone = {(r["period"], r["minute"]): r["public_transport_activity"] for p in two for r in period_fact(f, (p,)).collect()}
+    assert both == alone and set(both.values()) == {1} and len(both) == 4
+
+
+def test_records_per_source_count_minutes_without_weather(spark):
+    f = feeds(spark, 3)
+    f["road_weather"] = f["road_weather"].limit(1)
+    got = {r["source"]: (r["n_records"], r["n_minutes"]) for r in records_per_source(f).collect()}
+    assert got == {"road_weather": (1, 1), "bikes": (4, 3), "trips": (3, 3)}
+
+
+def test_long_period_lists(spark):
+    rows = spark.createDataFrame([(minute(i), minute(i).date()) for i in range(5)], "ts timestamp, date date")
+    many = [Period(f"p{i}", T0 + timedelta(days=i), T0 + timedelta(days=i, hours=1)) for i in range(-150, 150)]
+    short = [p for p in many if p.name in ("p0", "p1")]
+    for folder in (None, F.col("date")):
+        long, few = (sorted(map(str, with_periods(rows, F.col("ts"), ps, folder).collect())) for ps in (many, short))
+        assert long == few and len(few) == 5
+
+
+def test_rounding_at_both_ends(spark):
+    row = spark.range(1).select(
+        rounded(F.lit(1e27), 1).alias("large"), rounded(F.lit(-2.5e300), 2).alias("larger"), rounded(F.lit(1.25), 1).alias("tie"),
+        rounded(F.lit(float("nan")), 1).alias("nan"), rounded(F.lit(None).cast("double"), 1).alias("none"), rounded(F.lit(1e-13), 3).alias("small")).first()
+    assert tuple(row) == (1e27, -2.5e300, 1.3, None, None, 0.0)
+
+
+def test_quantiles_with_one_outlier_stay_split(spark, monkeypatch):
+    from urbanpulse.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", 500)
+    values = np.append(np.random.default_rng(0).random(20_000), 1e9)
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
+    seen = []
+    monkeypatch.setattr(quantiles, "materialise", lambda d: seen.append(out := materialise(d)) or out)
+    got = exact_quantiles(df, ["g"], "v", {"q": 0.5}).first()["q"]
+    assert got == pytest.approx(np.quantile(values, 0.5), abs=0)
+    assert seen[-1].agg(F.max("_rows")).first()[0] <= 500

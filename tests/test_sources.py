@@ -137,7 +137,7 @@ def test_incremental_normalization(spark, tmp_path):
     raw, out, ledger = tmp_path / "raw", str(tmp_path / "normalized"), str(tmp_path / "ledger")
     raw_zone(spark, raw)
     done = normalize_all(spark, str(raw), out, ledger, "2026-01-31", "2026-01-31")
-    assert done == {"flights": 2, "bikes": 1, "road_weather": 1, "travel_times": 0, "situations": 1, "trips": 2}
+    assert {f: n.read for f, n in done.items()} == {"flights": 2, "bikes": 1, "road_weather": 1, "travel_times": 0, "situations": 1, "trips": 2}
     flights = snapshots.read_normalized_table(spark, out, "flights")
     assert {(r["uniqueID"], r["delay_minutes"]) for r in flights.collect()} == {("u1", 30.0), ("u2", None)}
     assert {str(r["date"]) for r in flights.collect()} == {"2026-01-31"}
@@ -146,9 +146,9 @@ def test_incremental_normalization(spark, tmp_path):
     assert len(trips) == 1 and trips[0]["timestamp"] == 1769850001 and trips[0]["max_departure_delay_sec"] == 40
     assert snapshots.read_normalized_table(spark, out, "situations").count() == 1
     assert snapshots.read_normalized_table(spark, out, "travel_times").count() == 0
-    assert set(normalize_all(spark, str(raw), out, ledger, "2026-01-31", "2026-01-31").values()) == {0}
+    assert set(normalize_all(spark, str(raw), out, ledger, "2026-01-31", "2026-01-31").values()) == {(0, 0)}
     parquet(spark, raw / "avinor/2026-02-01/OSL_100000.parquet", [("OSL", "2026-02-01T10:00:00Z", None, "u1", "D")], FLIGHT)
-    assert normalize_feed(spark, str(raw), out, ledger, "flights", all_dates=True) == 1
+    assert normalize_feed(spark, str(raw), out, ledger, "flights", all_dates=True) == (1, 0)
     assert snapshots.read_normalized_table(spark, out, "flights").count() == 3
     # a run that died before its ledger entry overwrites its own output
     before = snapshots.read_normalized_table(spark, out, "trips").count()
@@ -160,16 +160,30 @@ def test_incremental_normalization(spark, tmp_path):
     assert impact.correlations.first()["temperature_vs_bikes"] is None
 
 
-def test_long_file_lists_are_joined(spark, tmp_path, monkeypatch):
+def test_runs_lose_and_double_nothing(spark, tmp_path, monkeypatch):
+    """A blank, a % and a bracket in names, an unreadable file, a crash before the ledger entry, a file that comes after it."""
     from urbanpulse.plans import normalization
 
-    raw_zone(spark, tmp_path / "raw")
-    both = []
-    for name, limit in (("named", 10), ("joined", 0)):
-        monkeypatch.setattr(normalization, "MAX_NAMED_FILES", limit)
-        normalize_feed(spark, str(tmp_path / "raw"), str(tmp_path / name), str(tmp_path / f"{name}-ledger"), "trips", all_dates=True)
-        both.append(sorted(map(str, snapshots.read_normalized_table(spark, str(tmp_path / name), "trips").collect())))
-    assert both[0] == both[1] and len(both[0]) == 1
+    raw, out, ledger = tmp_path / "raw zone 100%", str(tmp_path / "n"), str(tmp_path / "l")
+    raw_zone(spark, raw)
+    parquet(spark, raw / "avinor/2026-01-31/OSL [a]+_120000.parquet", [("OSL", "2026-01-31T13:00:00Z", None, "u3", "D")], FLIGHT)
+    put(raw / "avinor/2026-01-31/BAD_130000.parquet", "not parquet")
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(normalization, "mark_processed", crash)
+        with pytest.raises(RuntimeError):
+            normalize_feed(spark, str(raw), out, ledger, "flights", all_dates=True)
+    parquet(spark, raw / "avinor/2026-01-31/OSL_140000.parquet", [("OSL", "2026-01-31T15:00:00Z", None, "u4", "D")], FLIGHT)
+    assert normalize_feed(spark, str(raw), out, ledger, "flights", all_dates=True) == (4, 2)
+    ids = lambda: sorted(r["uniqueID"] for r in snapshots.read_normalized_table(spark, out, "flights").collect())
+    assert ids() == ["u1", "u2", "u3", "u4"]
+    assert {r["key"][-18:] for r in sinks.read_unread(spark, ledger).collect()} == {"BAD_130000.parquet"}
+    assert normalize_feed(spark, str(raw), out, ledger, "flights", all_dates=True) == (0, 1)
+    assert normalize_feed(spark, str(raw), out, ledger, "flights", all_dates=True, rerun_all=True) == (4, 1)
+    assert ids() == ["u1", "u2", "u3", "u4"]
 
 
 def test_command_line(spark, tmp_path, capsys):

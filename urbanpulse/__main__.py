@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     n.add_argument("--start-date")
     n.add_argument("--end-date")
     n.add_argument("--all", action="store_true", help="all dates instead of today")
-    n.add_argument("--re-run-all", action="store_true", help="ignore the ledger")
+    n.add_argument("--re-run-all", action="store_true", help="take all files again and replace what their dates hold")
     n.add_argument("--only-trips", action="store_true", help="transit delays only")
     a = commands.add_parser("analyze", help="weather impact for one window or a set of periods")
     a.add_argument("--tables", required=True)
@@ -79,7 +79,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         done = normalize_all(spark, args.raw, args.out, args.ledger, args.start_date, args.end_date,
                              args.re_run_all, args.all, args.only_trips)
         for feed, files in done.items():
-            print(f"{feed}: {files} files")
+            print(f"{feed}: {files.read} files" + f", {files.unread} unread" * (files.unread > 0))
     elif args.command == "inspect":
         for feed in FEEDS:
             print(feed)

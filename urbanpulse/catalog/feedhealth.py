@@ -63,7 +63,7 @@ FILES = """files AS (SELECT event_type AS source, strftime(ts, '%Y-%m-%d/%H') ||
 
 @register(f"""WITH {FILES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY last_modified, key) AS r,
     count(*) OVER (PARTITION BY source) AS n FROM files),
-sampled AS (SELECT source, count(*) AS nf, avg(n_rows) AS mean, median(n_rows) AS med FROM ranked WHERE r <= 30 GROUP BY source),
+sampled AS (SELECT source, count(*) AS nf, avg(n_rows) AS mean, median(n_rows) AS med FROM ranked GROUP BY source),
 mid AS (SELECT source, any_value(n) AS n, any_value(last_modified) FILTER (r = n // 2 + 1) AS t FROM ranked GROUP BY source),
 cyc AS (SELECT source, CASE WHEN any_value(mid.n) >= 20 THEN count(*) FILTER (epoch_us(last_modified) BETWEEN epoch_us(t) AND epoch_us(t) + 5000000 * {INTERVAL}) / 5.0 END AS c
   FROM files JOIN mid USING (source) GROUP BY source)

@@ -110,8 +110,6 @@ NOMINAL_INTERVAL_SECONDS = {"trips": 60, "flights": 180, "bikes": 180, "road": 1
 ON_TIME_FACTOR = 2
 OUTAGE_FACTOR = 10
 MAX_LATENCY_SECONDS = 3600
-THROUGHPUT_FILES = 30
-LATENCY_DAYS = 2
 CYCLES = 5
 MIN_CYCLE_FILES = 20
 

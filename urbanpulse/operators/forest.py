@@ -197,7 +197,7 @@ def score_forest(rows: DataFrame, forest: DataFrame, group: Sequence[str], featu
         size = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
         blocks = F.ceil(F.col("_n") / F.lit(float(block_rows))).cast("bigint")
         placed = beside(rows, size, group).withColumn("_block", F.pmod(F.xxhash64(F.col(row_id)), blocks)).drop("_n")
-        copies = forest.join(size, group).withColumn(
+        copies = beside(forest, size, group).withColumn(
             "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).drop("_n")
         keys = [*group, "_block"]
         scored = placed.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(

@@ -20,7 +20,6 @@ from urbanpulse.fixed import (
     NOMINAL_INTERVAL_SECONDS,
     ON_TIME_FACTOR,
     OUTAGE_FACTOR,
-    THROUGHPUT_FILES,
 )
 from urbanpulse.functions.rounding import rounded
 from urbanpulse.operators.quantiles import exact_quantiles, order_statistics
@@ -92,16 +91,23 @@ def gap_stats(arrivals: DataFrame, nominal: Column, keys: Sequence[str] = ("sour
 
 
 def throughput(files: DataFrame, nominal: Column, keys: Sequence[str] = ("source",),
-               sample: int = THROUGHPUT_FILES) -> DataFrame:
-    """Records per file over the first files of each source (a bounded sample by design)."""
-    first = F.row_number().over(W.partitionBy(*keys).orderBy("last_modified", "key"))
-    picked = files.withColumn("_k", first).where(F.col("_k") <= sample)
-    mean = F.avg("n_rows")
-    return picked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_files_sampled"), rounded(mean, 1).alias("mean_records_per_file"),
-        rounded(F.percentile("n_rows", 0.5), 1).alias("median_records_per_file"),
-        rounded(mean * (60.0 / F.max(nominal)), 1).alias("records_per_min"),
-        (mean * (60.0 / F.max(nominal))).alias("_per_min"))
+               sample: int | None = None) -> DataFrame:
+    """Records per file over all files of each source, or over its first `sample` files."""
+    keys = list(keys)
+    picked = files
+    if sample is not None:
+        first = F.row_number().over(W.partitionBy(*keys).orderBy("last_modified", "key"))
+        picked = files.withColumn("_k", first).where(F.col("_k") <= sample)
+    counted = picked.groupBy(*keys, "n_rows").agg(F.count(F.lit(1)).alias("_files"), F.max(nominal).alias("_nominal"))
+    median = exact_quantiles(counted, keys, "n_rows", {"_median": 0.5}, "_files").drop("n")
+    mean = F.sum(F.col("n_rows") * F.col("_files")) / F.sum("_files")
+    plain = counted.groupBy(*keys).agg(
+        F.sum("_files").alias("n_files_sampled"), rounded(mean, 1).alias("mean_records_per_file"),
+        rounded(mean * (60.0 / F.max("_nominal")), 1).alias("records_per_min"),
+        (mean * (60.0 / F.max("_nominal"))).alias("_per_min"))
+    return plain.join(median, keys).select(
+        *keys, "n_files_sampled", "mean_records_per_file", rounded("_median", 1).alias("median_records_per_file"),
+        "records_per_min", "_per_min")
 
 
 def files_per_cycle(files: DataFrame, nominal: Column, keys: Sequence[str] = ("source",), cycles: int = CYCLES,
@@ -116,14 +122,14 @@ def files_per_cycle(files: DataFrame, nominal: Column, keys: Sequence[str] = ("s
 
 
 def throughput_stats(files: DataFrame, nominal: Column, keys: Sequence[str] = ("source",),
-                     cycle_files: DataFrame | None = None) -> DataFrame:
+                     cycle_files: DataFrame | None = None, sample: int | None = None) -> DataFrame:
     """Throughput, and the records per minute over all files active in a cycle.
 
     `cycle_files` are the files of the sample day the cycles are counted on (default: all).
     """
     keys = list(keys)
     cycles = files_per_cycle(cycle_files if cycle_files is not None else files, nominal, keys)
-    joined = throughput(files, nominal, keys).join(cycles, keys, "left")
+    joined = throughput(files, nominal, keys, sample).join(cycles, keys, "left")
     return joined.withColumns({
         "aggregate_records_per_min": rounded(F.col("_per_min") * F.col("files_per_cycle"), 1),
         "files_per_cycle": rounded("files_per_cycle", 1),

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanpulse.fixed import OPTIONAL_WEATHER, TEMPERATURE_LIMITS
@@ -68,39 +69,47 @@ def flight_rows(flights: DataFrame, keys: Sequence[str] = (), unit: str = "minut
         F.lit(1).cast("bigint").alias("flight_activity"))
 
 
-def departure_known(trips: DataFrame) -> Column:
-    """Whether any trip has a departure, as a scalar subquery."""
-    return trips.select(F.coalesce(F.max(F.col("departure_timestamp") > 0), F.lit(False)).alias("k")).scalar()
+OWN_ACTIVITY = "_own_activity"
 
 
 def trip_rows(trips: DataFrame, keys: Sequence[str] = (), unit: str = "minute", clock: str = "auto") -> DataFrame:
     """Activity and delay measures of trips from a single scan.
 
-    Activity counts by departure minute; by timestamp when no trip has a departure (or as told
-    by `clock`). Delays sit on the departure, else the timestamp; implausible epochs are left
-    out. The two may fall in different minutes, so a trip gives a row for each.
+    Activity counts by departure minute, or by timestamp, as told by `clock`. With "auto" both are counted, the
+    second as `_own_activity`, for `by_known_clock` to choose from. Delays sit on the departure, else the timestamp;
+    implausible epochs are left out. The places may be different minutes, so a trip gives a row for each.
     """
     departure, own = F.col("departure_timestamp").cast("bigint"), epoch_seconds(F.col("timestamp"))
-    if clock == "auto":
-        activity = F.when(departure_known(trips), departure).otherwise(own)
-    else:
-        activity = departure if clock == "departure" else own
+    activity = own if clock == "own" else departure
     delay = F.when(departure > 0, departure).otherwise(own)
 
-    def row(epoch: Column, count: Column, late: Column, late_arrival: Column) -> Column:
+    def row(epoch: Column, count: Column, by_own: Column, late: Column, late_arrival: Column) -> Column:
         return F.struct(
-            epoch.alias("epoch"), count.cast("bigint").alias("public_transport_activity"),
+            epoch.alias("epoch"), count.cast("bigint").alias("public_transport_activity"), by_own.cast("bigint").alias(OWN_ACTIVITY),
             late.cast("double").alias("mean_delay_sec"), late_arrival.cast("double").alias("mean_arrival_delay_sec"))
 
     none = F.lit(None)
-    both = F.array(
-        row(F.when(activity > 0, activity), F.lit(1), none, none),
-        row(F.when(plausible_epoch(delay), delay), none, F.col("max_departure_delay_sec"),
-            optional(trips, "max_arrival_delay_sec", "double")))
-    placed = trips.select(*keys, F.explode(both).alias("r")).where(F.col("r.epoch").isNotNull())
+    places = [
+        row(F.when(activity > 0, activity), F.lit(1), none, none, none),
+        row(F.when(plausible_epoch(delay), delay), none, none, F.col("max_departure_delay_sec"),
+            optional(trips, "max_arrival_delay_sec", "double"))]
+    if clock == "auto":
+        places.append(row(F.when(own > 0, own), none, F.lit(1), none, none))
+    placed = trips.select(*keys, F.explode(F.array(*places)).alias("r")).where(F.col("r.epoch").isNotNull())
     return placed.select(
         *keys, bucket(F.timestamp_seconds("r.epoch"), unit).alias("minute"), "r.public_transport_activity",
-        "r.mean_delay_sec", "r.mean_arrival_delay_sec")
+        *([f"r.{OWN_ACTIVITY}"] if clock == "auto" else []), "r.mean_delay_sec", "r.mean_arrival_delay_sec")
+
+
+def by_known_clock(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Transit activity by departure where the key (a period) has any trip with a departure, else by timestamp.
+
+    The table has one row per minute and key, so the calendar bounds the window.
+    """
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    known = F.max(F.col("public_transport_activity").isNotNull()).over(whole)
+    return wide.withColumn(
+        "public_transport_activity", F.when(known, F.col("public_transport_activity")).otherwise(F.col(OWN_ACTIVITY))).drop(OWN_ACTIVITY)
 
 
 def travel_rows(travel: DataFrame, keys: Sequence[str] = (), unit: str = "minute") -> DataFrame:
@@ -148,8 +157,10 @@ def minute_fact(feeds: dict[str, DataFrame], keys: Sequence[str] = (), unit: str
     stacked = stacked.withColumns(missing) if missing else stacked
     wide = stacked.groupBy(*keys, "minute").agg(
         *[F.avg(c).alias(c) for c in AVERAGED if c in stacked.columns],
-        *[F.sum(c).alias(c) for c in SUMMED if c in stacked.columns],
+        *[F.sum(c).alias(c) for c in (*SUMMED, OWN_ACTIVITY) if c in stacked.columns],
     )
+    if OWN_ACTIVITY in wide.columns:
+        wide = by_known_clock(wide, keys)
     return wide.where(F.col("road_temperature").isNotNull())
 
 
@@ -204,7 +215,17 @@ def with_zone(weather: DataFrame, location_zone: DataFrame) -> DataFrame:
     return weather.join(location_zone.select("location", "zone"), "location", "left")
 
 
-def coverage(fact: DataFrame, feeds: dict[str, DataFrame] | None = None) -> DataFrame:
+def records_per_source(feeds: dict[str, DataFrame], unit: str = "minute") -> DataFrame:
+    """Per feed its usable records and the minutes they fall in, whether or not those minutes have weather."""
+    makers = {"road_weather": weather_rows, "bikes": bike_rows, "flights": flight_rows, "travel_times": travel_rows,
+              "situations": incident_rows, "trips": lambda df, keys, unit: trip_rows(df, keys, unit, "own").where("public_transport_activity = 1")}
+    parts = [makers[name](df, (), unit).groupBy("minute").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"), F.count("minute").alias("n_minutes")).select(
+        F.lit(name).alias("source"), "n_records", "n_minutes") for name, df in feeds.items() if name in makers]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def coverage(fact: DataFrame) -> DataFrame:
     """First and last minute, minutes, and the minutes each measure covers."""
     measures = [c for c in (*AVERAGED, *SUMMED) if c in fact.columns]
     return fact.agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from urbanpulse.fixed import Period
 from urbanpulse.functions.times import is_weekday
 
+# Longer lists are joined as a table instead of being tested inside the row.
 MAX_LITERAL_PERIODS = 200
 
 
@@ -67,7 +69,10 @@ def with_periods(df: DataFrame, ts: Column, periods: Sequence[Period], folder: C
     date must lie inside the period as well.
     """
     if len(periods) > MAX_LITERAL_PERIODS:
-        raise ValueError("use with_period_table for long period lists")
+        rows = [(p.name, p.start, p.end, p.weekday_only, p.weekend_only) for p in (utc_period(p) for p in periods)]
+        long = df.sparkSession.createDataFrame(
+            rows, "name string, start_date timestamp, end_date timestamp, weekday_only boolean, weekend_only boolean")
+        return with_period_table(df, ts, long, folder)
 
     def name_if_inside(p: Period) -> Column:
         inside = in_window(ts, p.start, p.end, p.weekday_only, p.weekend_only)
@@ -80,7 +85,13 @@ def with_periods(df: DataFrame, ts: Column, periods: Sequence[Period], folder: C
     return df.where(span).withColumn("period", F.explode(names))
 
 
-def with_period_table(df: DataFrame, ts: Column, periods: DataFrame) -> DataFrame:
+def utc_period(p: Period) -> Period:
+    """The period with its time zone named, as Python's own clocks would otherwise read it as local."""
+    aware = lambda d: d if d.tzinfo else d.replace(tzinfo=timezone.utc)
+    return replace(p, start=aware(p.start), end=aware(p.end))
+
+
+def with_period_table(df: DataFrame, ts: Column, periods: DataFrame, folder: Column | None = None) -> DataFrame:
     """Long period tables (name, start_date, end_date, flags): an equi join on days, then the exact test."""
     days = periods.withColumn(
         "_day", F.explode(F.sequence(F.col("start_date").cast("date"), F.col("end_date").cast("date")))
@@ -92,5 +103,8 @@ def with_period_table(df: DataFrame, ts: Column, periods: DataFrame) -> DataFram
         F.col("_ts").between(F.col("start_date"), F.col("end_date"))
         & F.when(flag["weekday_only"], weekday).when(flag["weekend_only"], ~weekday).otherwise(True)
     )
-    joined = df.withColumns({"_ts": ts, "_day": ts.cast("date")}).join(days, "_day").where(keep)
+    own = {"_ts": ts, "_day": ts.cast("date")} | ({"_folder": folder} if folder is not None else {})
+    if folder is not None:
+        keep = keep & F.col("_folder").between(F.col("start_date").cast("date"), F.col("end_date").cast("date"))
+    joined = df.withColumns(own).join(days, "_day").where(keep)
     return joined.select(*df.columns, F.col("name").alias("period"))

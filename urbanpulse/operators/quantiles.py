@@ -24,8 +24,9 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, picks: dict[s
                      weight: str | None = None, rounds: int | None = None) -> DataFrame:
     """Per group: `n` and, for each pick, the value at its 0-based rank (a function of n).
 
-    `weight` says how many times a row counts. Null and NaN values are left out. The rounds
-    follow from the largest group unless given: each divides what is left by the bucket count.
+    `weight` says how many times a row counts. Null and NaN values are left out. Rounds go on
+    until no interval holds more than FEW rows of different values, as counted, unless their number
+    is given. Buckets shrink to the values they hold, so an outlier costs one round.
     """
     by = list(by)
     v = F.col(value).cast("double")
@@ -34,17 +35,16 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, picks: dict[s
     )
     span = materialise(rows.groupBy(*by).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("n"), F.count(F.lit(1)).alias("_rows")))
-    if rounds is None:
-        largest, rounds = span.agg(F.max("_rows")).first()[0] or 0, 0
-        while largest > FEW:
-            largest, rounds = largest // BUCKETS, rounds + 1
     wanted = F.array(*[
         F.struct(F.lit(name).alias("pick"), rank(F.col("n")).cast("bigint").alias("rank"))
         for name, rank in picks.items()
     ])
     # one row per interval still searched, with the picks it holds; `_id` tells a group's intervals apart
     state = span.select(*by, F.lit(0).cast("bigint").alias("_id"), "n", "_lo", "_hi", F.lit(0).cast("bigint").alias("_before"),
-                        wanted.alias("_picks"))
+                        wanted.alias("_picks"), "_rows")
+
+    def crowded() -> bool:
+        return not state.where((F.col("_rows") > FEW) & (F.col("_lo") < F.col("_hi"))).isEmpty()
 
     def inside() -> DataFrame:
         """Rows inside an interval; the intervals of a group are one short array."""
@@ -63,15 +63,17 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, picks: dict[s
         here = F.filter("_picks", lambda p: (p["rank"] >= start) & (p["rank"] < F.col("_through")))
         return through.withColumns({"_start": start, "_here": here}).where(F.size("_here") > 0)
 
-    for _ in range(rounds):
+    done = 0
+    while done < rounds if rounds is not None else crowded():
+        done += 1
         share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
         place = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1)).alias("_bucket")
         counted = inside().groupBy(*by, "_id", place).agg(
-            F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+            F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_rows"))
         kept = locate(counted, "_bucket")
         state = materialise(kept.select(
             *by, (F.col("_id") * BUCKETS + F.col("_bucket")).alias("_id"), "n", "_lo", "_hi",
-            F.col("_start").alias("_before"), F.col("_here").alias("_picks")))
+            F.col("_start").alias("_before"), F.col("_here").alias("_picks"), "_rows"))
     final = inside().groupBy(*by, "_id", "_v").agg(F.sum("_w").alias("_w"))
     found = locate(final, "_v").select(*by, "n", "_v", F.explode("_here").alias("_p"))
     return found.groupBy(*by).agg(

@@ -98,11 +98,18 @@ def period_status(spark: SparkSession, fact: DataFrame, periods: Sequence[Period
 
 
 def analyse_table(spark: SparkSession, base: str, periods: Sequence[Period], **options) -> Impact:
-    """Analyse the normalized table; only the date partitions of the periods are read."""
+    """Analyse the normalized table; only the date partitions of the periods are read.
+
+    If no feed has a partition in the periods, all of them are read and placed by the rows' own time.
+    """
     span = (min(p.start for p in periods).strftime("%Y-%m-%d"), max(p.end for p in periods).strftime("%Y-%m-%d"))
     names = ("road_weather", "bikes", "flights", "trips", "travel_times", "situations")
-    feeds = {n: read_normalized_table(spark, base, n, span) for n in names}
-    return analyse(spark, {n: df for n, df in feeds.items() if not df.isEmpty()}, periods, **options)
+    inside = F.col("date").between(F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date"))
+    stored = {n: read_normalized_table(spark, base, n) for n in names}
+    feeds = {n: df for n, d in stored.items() if not (df := d.where(inside)).isEmpty()}
+    if not feeds:
+        feeds = {n: df.drop("date") for n, df in stored.items() if not df.isEmpty()}
+    return analyse(spark, feeds, periods, **options)
 
 
 def summary_row(correlations: DataFrame, hours: str = "") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,18 +20,22 @@ from urbanpulse.operators.unify import project
 from urbanpulse.session import materialise
 from urbanpulse.sources.schemas import NORMALIZED
 from urbanpulse.sources.sinks import (
+    drop_other_runs,
+    end_run,
     in_interval,
     mark_processed,
     not_processed,
+    open_runs,
+    plan_run,
     read_ledger,
-    run_name,
+    read_plan,
+    record_unread,
     with_file_date,
     write_normalized,
 )
-from urbanpulse.sources.snapshots import FILE, FOLDER_DATE, any_of, listing, scan_feed
+from urbanpulse.sources.snapshots import FILE, FOLDER_DATE, any_of, latest_file, listing, scan_feed
 
 FEEDS = ("flights", "bikes", "road_weather", "travel_times", "situations", "trips")
-MAX_NAMED_FILES = 20_000
 
 
 def new_files(spark: SparkSession, raw: str, feed: str, ledger: str, start: str | None, end: str | None,
@@ -47,8 +53,10 @@ def normalized(spark: SparkSession, raw: str, feed: str, rows: DataFrame) -> Dat
     if feed == "flights":
         out = NORMALIZERS[feed](latest_flights(rows))
     elif feed == "bikes":
-        info = scan_feed(spark, raw, "bike_stations")
-        out = normalize_bikes(rows, None if info.isEmpty() else station_capacity(info))
+        folder, patterns = RAW_LAYOUT["bike_stations"]
+        newest = latest_file(listing(spark, f"{raw.rstrip('/')}/{folder}", any_of(patterns))).first()
+        info = scan_feed(spark, raw, "bike_stations", files=[newest["key"]]) if newest and newest["key"] else None
+        out = normalize_bikes(rows, None if info is None else station_capacity(info))
     elif feed == "trips":
         out = NORMALIZERS[feed](rows)
         out = latest_trips(out, dedup_clock(out))
@@ -62,31 +70,56 @@ def normalized(spark: SparkSession, raw: str, feed: str, rows: DataFrame) -> Dat
     return declared.withColumnRenamed("_folder_date", "date")
 
 
+class Files(NamedTuple):
+    """Files of a feed that a run read, and those that gave no rows."""
+
+    read: int
+    unread: int
+
+
 def normalize_feed(spark: SparkSession, raw: str, out: str, ledger: str, feed: str, start: str | None = None,
-                   end: str | None = None, rerun_all: bool = False, all_dates: bool = False) -> int:
-    """Process the new files of a feed; returns how many there were.
+                   end: str | None = None, rerun_all: bool = False, all_dates: bool = False) -> Files:
+    """Process the new files of a feed.
 
-    The file list is fixed first. Its digest names the run, so a run repeated after a crash
-    between data and ledger overwrites its own output instead of doubling it. A usual run names
-    its files to the reader, so processed ones are not opened; a very long list is joined.
+    A run's file list is written down before its data, and its digest names the run. Runs that did not
+    end are repeated first, with the same list, and overwrite their own output; only then are new
+    files planned. So neither a crash nor files that arrive after it double or lose rows. With `rerun_all`
+    the run replaces what earlier runs wrote for its dates.
     """
+    done = [process(spark, raw, out, ledger, feed, run) for run in open_runs(spark, ledger, feed)]
     files = materialise(new_files(spark, raw, feed, ledger, start, end, rerun_all, all_dates))
-    count = files.count()
-    if count == 0:
-        return 0
-    span = files.agg(F.min("date").cast("string").alias("lo"), F.max("date").cast("string").alias("hi")).first()
-    if count <= MAX_NAMED_FILES:
-        rows = scan_feed(spark, raw, feed, files=[r["key"] for r in files.select("key").toLocalIterator()])
-    else:
-        rows = scan_feed(spark, raw, feed, (span["lo"], span["hi"]))
-        rows = rows.join(files.select(F.col("key").alias(FILE)), FILE, "left_semi")
-    write_normalized(normalized(spark, raw, feed, rows), out, run_name(files), feed)
-    mark_processed(files, ledger, feed)
-    return count
+    if not files.isEmpty():
+        done.append(process(spark, raw, out, ledger, feed, plan_run(files, ledger, feed, rerun_all)))
+    return Files(sum(d.read for d in done), sum(d.unread for d in done))
+
+
+def process(spark: SparkSession, raw: str, out: str, ledger: str, feed: str, run: str) -> Files:
+    """Carry out a planned run.
+
+    Its files are named to the reader, so others are not opened. A look at their footers tells which can be read;
+    these are then read strictly, so that an error of the store fails the run instead of losing rows.
+    """
+    plan = materialise(read_plan(spark, ledger, feed, run))
+    keys = [r["key"] for r in plan.select("key").toLocalIterator()]
+    sound = scan_feed(spark, raw, feed, files=keys).groupBy(FILE).agg(F.count(F.lit(1)).alias("n_rows"))
+    seen = materialise(plan.join(sound.withColumnRenamed(FILE, "key"), "key", "left"))
+    readable = seen.where("n_rows > 0")
+    unread = seen.where("n_rows IS NULL").withColumn("reason", F.lit("unreadable or without rows"))
+    names = [r["key"] for r in readable.select("key").toLocalIterator()]
+    if names:
+        write_normalized(normalized(spark, raw, feed, scan_feed(spark, raw, feed, files=names, skip_corrupt=False)), out, run, feed)
+        if plan.first()["replaces"]:
+            drop_other_runs(spark, out, feed, [r["date"] for r in readable.select("date").distinct().toLocalIterator()], run)
+        mark_processed(readable, ledger, feed)
+    lost = len(keys) - len(names)
+    if lost:
+        record_unread(unread, ledger, feed, run)
+    end_run(spark, ledger, feed, run)
+    return Files(len(names), lost)
 
 
 def normalize_all(spark: SparkSession, raw: str, out: str, ledger: str, start: str | None = None,
                   end: str | None = None, rerun_all: bool = False, all_dates: bool = False,
-                  only_trips: bool = False) -> dict[str, int]:
+                  only_trips: bool = False) -> dict[str, Files]:
     feeds = ("trips",) if only_trips else FEEDS
     return {f: normalize_feed(spark, raw, out, ledger, f, start, end, rerun_all, all_dates) for f in feeds}

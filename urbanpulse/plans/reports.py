@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanpulse.fixed import CELL_KM, KMEANS_ZONES, LATENCY_DAYS, MIN_STOPS_PER_CELL, PERMUTATIONS, Period
+from urbanpulse.fixed import CELL_KM, KMEANS_ZONES, MIN_STOPS_PER_CELL, PERMUTATIONS, Period
 from urbanpulse.functions.geo import in_box
 from urbanpulse.functions.rounding import rounded
 from urbanpulse.functions.stats import pair_count, safe_corr
@@ -85,11 +85,13 @@ def anomaly_report(features: DataFrame, names: Sequence[str], row_id: str = "hou
 
 
 def health_report(spark: SparkSession, files: DataFrame, periods: Sequence[Period], nominal: Column,
-                  events: DataFrame | None = None) -> dict[str, DataFrame]:
+                  events: DataFrame | None = None, throughput_files: int | None = None,
+                  latency_days: int | None = None) -> dict[str, DataFrame]:
     """Robustness, throughput and (given event times) latency per window and source.
 
     `files` has source, key, last_modified and n_rows; `events` has source, event_epoch and
-    arrival. Latency looks at the first days of each window.
+    arrival. All files and days count, unless the caller asks for the first files of a source
+    or the first days of a window.
     """
     key = ("period", "source")
     placed = materialise(with_periods(files, F.col("last_modified"), periods))
@@ -97,12 +99,13 @@ def health_report(spark: SparkSession, files: DataFrame, periods: Sequence[Perio
     sample_day = placed.join(first_day, "period").where(F.col("last_modified").cast("date") == F.col("_first"))
     out = {
         "robustness": health.gap_stats(placed, nominal, key),
-        "throughput": health.throughput_stats(placed, nominal, key, sample_day),
+        "throughput": health.throughput_stats(placed, nominal, key, sample_day, throughput_files),
     }
     if events is not None:
-        begin = spark.createDataFrame([(p.name, p.start.date()) for p in periods], "period string, _begin date")
-        early = with_periods(events, F.col("arrival"), periods).join(begin, "period").where(
-            F.date_diff(F.col("arrival").cast("date"), F.col("_begin")) < LATENCY_DAYS)
+        early = with_periods(events, F.col("arrival"), periods)
+        if latency_days is not None:
+            begin = spark.createDataFrame([(p.name, p.start.date()) for p in periods], "period string, _begin date")
+            early = early.join(begin, "period").where(F.date_diff(F.col("arrival").cast("date"), F.col("_begin")) < latency_days)
         samples = health.latencies(early, F.col("event_epoch"), F.col("arrival"), key)
         out["latency"] = health.latency_stats(samples, key)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -36,12 +37,14 @@ def local_session(cores: str = "*", app: str = "urbanpulse") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a temporary one only where none is set."""
+    """The shared checkpoint folder named by the cluster; a temporary one only in local mode."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="urbanpulse-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -56,6 +59,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders inside a folder; none if it does not exist."""
+    system, target = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
     system, target = _file_system(spark, path)
     return system.getContentSummary(target).getLength()

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanpulse.functions.times import folder_date
-from urbanpulse.session import path_exists
+from urbanpulse.session import child_names, path_exists, remove
 from urbanpulse.sources.schemas import each, struct
 
 LEDGER = struct(each("source key"))
+PLAN = struct(each("key date")).add("replaces", "boolean")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -60,6 +61,49 @@ def mark_processed(files: DataFrame, path: str, source: str) -> None:
     fresh.write.mode("append").parquet(path)
 
 
+def plan_run(files: DataFrame, ledger: str, source: str, replaces: bool) -> str:
+    """Write down which files a run takes (key, date) before it begins; returns its name."""
+    name = run_name(files)
+    rows = files.select("key", F.col("date").cast("string").alias("date"), F.lit(replaces).alias("replaces"))
+    rows.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}-plans/{source}/{name}")
+    return name
+
+
+def open_runs(spark: SparkSession, ledger: str, source: str) -> list[str]:
+    """Runs that were planned and did not end."""
+    return sorted(child_names(spark, f"{ledger.rstrip('/')}-plans/{source}"))
+
+
+def read_plan(spark: SparkSession, ledger: str, source: str, run: str) -> DataFrame:
+    return spark.read.schema(PLAN).parquet(f"{ledger.rstrip('/')}-plans/{source}/{run}")
+
+
+def end_run(spark: SparkSession, ledger: str, source: str, run: str) -> None:
+    remove(spark, f"{ledger.rstrip('/')}-plans/{source}/{run}")
+
+
+def record_unread(files: DataFrame, ledger: str, source: str, run: str) -> None:
+    """Files of a run that gave no rows, with the reason. They stay out of the ledger, so the next run tries them again."""
+    rows = files.select(F.lit(source).alias("source"), "key", F.lit(run).alias("run"), "reason")
+    rows.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}-unread/{source}/{run}")
+
+
+def read_unread(spark: SparkSession, ledger: str) -> DataFrame:
+    path, schema = f"{ledger.rstrip('/')}-unread", struct(each("source key run reason"))
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def drop_other_runs(spark: SparkSession, base: str, feed: str, dates: Iterable[str], run: str) -> None:
+    """Remove what earlier runs wrote for these dates."""
+    for date in dates:
+        folder = f"{base.rstrip('/')}/{feed}/date={date}"
+        for name in child_names(spark, folder):
+            if name.startswith("run=") and name != f"run={run}":
+                remove(spark, f"{folder}/{name}")
+
+
 def not_processed(files: DataFrame, ledger: DataFrame, rerun_all: bool = False) -> DataFrame:
     """Files the ledger does not hold."""
     return files if rerun_all else files.join(ledger.select("key"), "key", "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,12 @@ ROW = "_row"
 FOLDER_DATE = "_folder_date"
 
 
+def plain_path(path: Column) -> Column:
+    """A path as file listings spell it: `_metadata` gives it URL-encoded and with empty authority."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
 def with_file_columns(df: DataFrame, row_index: bool = True) -> DataFrame:
     """Add where each row came from: path, modification time, in-file position and folder date.
 
@@ -26,7 +33,7 @@ def with_file_columns(df: DataFrame, row_index: bool = True) -> DataFrame:
     """
     meta = F.col("_metadata")
     extra = {
-        FILE: meta.getField("file_path"),
+        FILE: plain_path(meta.getField("file_path")),
         FILE_TIME: meta.getField("file_modification_time"),
         FOLDER_DATE: folder_date(meta.getField("file_path"), meta.getField("file_modification_time")),
     }
@@ -43,15 +50,15 @@ def any_of(patterns: Iterable[str]) -> str:
 
 def scan(spark: SparkSession, folder: str | list[str], schema: T.StructType | None = None,
          patterns: Iterable[str] = ("*.parquet",), dates: tuple[str, str] | None = None,
-         skip_normalized: bool = True) -> DataFrame:
+         skip_normalized: bool = True, skip_corrupt: bool = True) -> DataFrame:
     """Parquet snapshots under a folder (or named files), pruned by globs and an inclusive folder-date range.
 
-    Unreadable files are skipped. Folder dates and names are file metadata, so Spark drops
+    Unreadable files are skipped unless `skip_corrupt` is off; then they fail the query. Folder dates and names are file metadata, so Spark drops
     the files before opening them.
     """
     reader = (
         utc(spark).read.option("recursiveFileLookup", True).option("pathGlobFilter", any_of(patterns))
-        .option("ignoreCorruptFiles", True)
+        .option("ignoreCorruptFiles", skip_corrupt)
     )
     reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", True)
     df = with_file_columns(reader.parquet(*([folder] if isinstance(folder, str) else folder)))
@@ -63,10 +70,11 @@ def scan(spark: SparkSession, folder: str | list[str], schema: T.StructType | No
 
 
 def scan_feed(spark: SparkSession, base: str, feed: str, dates: tuple[str, str] | None = None,
-              files: list[str] | None = None) -> DataFrame:
+              files: list[str] | None = None, skip_corrupt: bool = True) -> DataFrame:
     """Raw rows of one feed by its landing layout and declared schema (situations keep their own columns)."""
     folder, patterns = RAW_LAYOUT[feed]
-    return scan(spark, files or f"{base.rstrip('/')}/{folder}", RAW.get(feed), patterns, dates)
+    named = [re.sub(r"([\\*?\[\]{}])", r"\\\1", f) for f in files] if files else None  # names, not globs
+    return scan(spark, named or f"{base.rstrip('/')}/{folder}", RAW.get(feed), patterns, dates, skip_corrupt=skip_corrupt)
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.parquet",
@@ -76,7 +84,7 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*.parquet",
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern).load(folder)
-        .select(F.col("path").alias("key"), F.col("modificationTime").alias("last_modified"),
+        .select(F.regexp_replace("path", "^file:/+", "file:/").alias("key"), F.col("modificationTime").alias("last_modified"),
                 F.col("length").alias("bytes"))
     )
     return files.where(~F.col("key").contains("normalized")) if skip_normalized else files
