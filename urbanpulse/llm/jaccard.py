@@ -12,11 +12,12 @@ than that file the empty ones too, so two such documents still meet. The allocat
 one: a signature costs one row and the rows it is expected to meet, which follow from the number of documents of
 the band and the tokens of a segment.
 
-Documents with the same set are one class. Classes that share a signature are candidates: first each with one
-leader of the signature. Where such a pair turns out not to be linked, the classes around its leader are looked at again:
-in each of their signatures the components found so far are compared through a second leader, and at last all pairs
-of different components. Pairs are verified exactly on the words. So large groups of near copies cost a few pairs
-for each class, and no link between components is missed.
+Documents with the same set are one class. Classes that share a signature are candidates, and each is paired with
+one leader of the signature. These pairs are verified exactly on the words. Where all are links, all classes of a
+signature are one component already. Where a pair is none, the cluster of classes that the pairs connect is looked at
+as a whole: similar classes share a signature, hence a leader, hence a cluster. Its classes are compared in blocks, so that
+neither candidates nor links leave a task, but only the links that join components. Blocks within one component found before are
+skipped. So large groups of near copies cost a few pairs for each class, and no link between components is missed.
 
 Texts without words, and null texts, have no shingles and link with nothing. Rows that repeat a doc_id are
 joined each; a null doc_id takes part, but names a component only if no other does (null then). Only doc_id and text are read; an
@@ -41,7 +42,8 @@ from urbanpulse.session import materialise
 WORDS, PERCENT = 3, 90
 RARITY = 3.0
 SLICE_CHARS = 1_000_000
-LEADER, SECOND, ALL = range(3)  # how the classes of a signature are paired
+BLOCK = 256  # classes of a block
+COLUMNS = 4_096  # tokens compared at a time
 
 
 class Rule:
@@ -154,74 +156,36 @@ def signatures(tokens: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.
     return np.unique(np.concatenate(out)) if two else out[0]
 
 
-def filed(sets, rule: Rule, plans: dict[int, tuple[int, int, int]], parts: int):
-    """One packed row for each part, from (class, component, set) triples."""
-    names, owners, components_ = [], [], []
-    for name, component, tokens in sets:
-        band = rule.band(len(tokens))
-        for scheme in (band, band - 1):
-            if scheme in plans:
-                own = signatures(tokens, scheme, plans[scheme])
-                names.append(own)
-                owners.append(np.full(len(own), name))
-                components_.append(np.full(len(own), component))
-    if names:
-        sig = np.concatenate(names)
-        more = np.concatenate(components_).view(np.uint64)
-        yield packed_parts((sig % np.uint64(parts)).astype(np.int64), sig, more, np.concatenate(owners))
-
-
 def signature_rows(batches, rule: Rule, plans: dict[int, tuple[int, int, int]], parts: int):
-    """Signatures of the different sets of each batch."""
+    """Signatures of the different sets of each batch, packed by part."""
     memory = Memory(word_names)
     for batch in batches:
-        seen: dict[int, np.ndarray] = {}
+        seen, names, owners = set(), [], []
         for _, tokens in sets_of(batch, memory, rule.words):
-            if len(tokens):
-                seen.setdefault(class_name(tokens), tokens)
-        yield from filed(((c, 0, s) for c, s in seen.items()), rule, plans, parts)
-
-
-def signature_rows_again(batches, rule: Rule, plans: dict[int, tuple[int, int, int]], parts: int):
-    """Signatures of (class, component, text), texts compressed."""
-    memory, unsqueeze = Memory(word_names), zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        texts = pa.array([unsqueeze(t) for t in batch.column("text").to_pylist()], pa.binary())
-        rows = pa.RecordBatch.from_arrays([texts], ["text"])
-        names, parts_ = batch.column("class").to_pylist(), batch.column("component").to_pylist()
-        yield from filed(((names[i], parts_[i], s) for i, s in sets_of(rows, memory, rule.words)), rule, plans, parts)
-
-
-def candidate_rows(batches, how: int):
-    """Different pairs (u, v), u > v, of classes that share a signature and lie in different components."""
-    for sig, component, name in whole_parts(batches):
+            if not len(tokens) or (name := class_name(tokens)) in seen:
+                continue
+            seen.add(name)
+            band = rule.band(len(tokens))
+            for scheme in (band, band - 1):
+                if scheme in plans:
+                    own = signatures(tokens, scheme, plans[scheme])
+                    names.append(own)
+                    owners.append(np.full(len(own), name))
+        if names:
+            sig = np.concatenate(names)
+            yield packed_parts((sig % np.uint64(parts)).astype(np.int64), sig, np.zeros(len(sig), np.uint64), np.concatenate(owners))
+
+
+def candidate_rows(batches):
+    """Different pairs (u, v), u > v, of each class and the leader (the smallest one) of a signature it has."""
+    for sig, _, name in whole_parts(batches):
         order = np.lexsort((name, sig))
-        sig, component, name = sig[order], component[order], name[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])
-        sig, component, name = sig[fresh], component[fresh], name[fresh]
+        sig, name = sig[order], name[order]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
-        starts, group = np.flatnonzero(first), np.cumsum(first) - 1
-        if how == ALL:
-            several = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts) if len(starts) else starts
-            ends = np.append(starts[1:], len(sig))
-            for k in np.flatnonzero(several).tolist():
-                own, parts = name[starts[k]:ends[k]], component[starts[k]:ends[k]]
-                for i in range(1, len(own)):
-                    other = own[:i][parts[:i] != parts[i]]
-                    if len(other):
-                        yield pair_batch(np.full(len(other), own[i]), other)
-            continue
-        if how == LEADER:
-            chosen = starts
-        else:  # the last one in an order of their own
-            rank = np.lexsort((mix(name.view(np.uint64), name.view(np.uint64)), group))
-            chosen = rank[np.append(starts[1:], len(sig)) - 1] if len(starts) else starts
-        leader = chosen[group] if len(starts) else group
-        pairs = (name != name[leader]) if how == LEADER else (component != component[leader])
-        u, v = np.maximum(name, name[leader])[pairs], np.minimum(name, name[leader])[pairs]
-        both = np.unique(np.stack([u, v]), axis=1)
+        leader = name[np.flatnonzero(first)][np.cumsum(first) - 1]
+        pairs = name != leader
+        both = np.unique(np.stack([name[pairs], leader[pairs]]), axis=1)
         yield pair_batch(both[0], both[1])
 
 
@@ -248,6 +212,93 @@ def verified(batches, rule: Rule):
         yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
+def block_rows(batches):
+    """Groups of rows sorted by `group`, each whole."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        group = table.column("group").to_numpy()
+        bounds = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if len(group) else np.zeros(1, np.int64)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            yield table.slice(a, b - a)
+        rest = table.slice(int(bounds[-1]))
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, from the tokens that several sets have, some columns at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], place[column[keep]]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for begin in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (begin, begin + COLUMNS))
+        matrix = np.zeros((len(sets), COLUMNS), np.float32)
+        matrix[owner[a:b], column[a:b] - begin] = 1
+        total += matrix @ matrix.T
+    return total
+
+
+def joining_links(batches, rule: Rule):
+    """(u, v): verified links in pairs of blocks that join different components."""
+    memory, unsqueeze = Memory(word_names), zstandard.ZstdDecompressor().decompress
+    for table in block_rows(batches):
+        name, side, component = (table.column(c).to_numpy() for c in ("class", "side", "component"))
+        texts = [unsqueeze(t) for t in table.column("text").to_pylist()]
+        rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+        sets = [s for _, s in sets_of(rows, memory, rule.words)]
+        size = np.array([len(s) for s in sets], np.float32)
+        common = common_tokens(sets)
+        similar = 100 * common >= rule.percent * (size[:, None] + size[None, :] - common)
+        similar &= component[:, None] != component[None, :]
+        if side.any():
+            similar &= side[:, None] != side[None, :]
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        u, v = np.nonzero(np.triu(similar, 1))
+        joined = []
+        for i, j in zip(u.tolist(), v.tolist()):
+            a, b = find(int(component[i])), find(int(component[j]))
+            if a != b and rule.linked(word_set(texts[i], rule.words), word_set(texts[j], rule.words)):
+                root[max(a, b)] = min(a, b)
+                joined.append((max(name[i], name[j]), min(name[i], name[j])))
+        yield pair_batch(np.array([x for x, _ in joined], np.int64), np.array([y for _, y in joined], np.int64))
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """(group, side, class, component, text): the pairs of blocks of each cluster, without those inside one component.
+
+    A component of many classes has blocks of its own; classes of small ones are dealt into common blocks.
+    """
+    of_component = members.groupBy("cluster", "component").agg(F.count("*").alias("own"))
+    small = F.sum(F.when(F.col("own") < BLOCK, F.col("own")).otherwise(0))
+    of_cluster = of_component.groupBy("cluster").agg(F.ceil(small / BLOCK).alias("common"))
+    large = of_component.where(F.col("own") >= BLOCK).select("cluster", "component", F.ceil(F.col("own") / BLOCK).alias("blocks"))
+    kinds = large.select("cluster", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).union(
+        of_cluster.where("common > 0").select("cluster", F.lit(None).cast("long"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("common") - 1))))
+    kinds = kinds.select("cluster", F.col("component").alias("theirs"), F.col("block").alias("their_block"))
+    placed = members.join(large, ["cluster", "component"], "left").join(of_cluster, "cluster").select(
+        "cluster", "class", "component", "text", F.when(F.col("blocks").isNotNull(), F.col("component")).alias("mine"),
+        F.pmod(F.xxhash64("class"), F.coalesce("blocks", "common")).alias("my_block"))
+    pairs = placed.join(kinds, "cluster").where(~F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False)))
+    me, they = F.struct("mine", "my_block"), F.struct(F.col("theirs").alias("mine"), F.col("their_block").alias("my_block"))
+    key = lambda x: F.xxhash64(F.coalesce(x["mine"], F.lit(0)), x["mine"].isNull(), x["my_block"])
+    a, b = key(me), key(they)
+    return pairs.select(
+        F.xxhash64("cluster", F.least(a, b), F.greatest(a, b)).alias("group"), (a > b).cast("int").alias("side"), "class", "component", "text")
+
+
 def squeezed_class_texts(batches, n: int):
     """Texts of the rows whose class is the one asked for, or any if none is."""
     memory, squeeze = Memory(word_names), zstandard.ZstdCompressor(3).compress
@@ -279,11 +330,8 @@ def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     plans = plans_of(sets, rule)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    def candidates(packed: DataFrame, how: int) -> DataFrame:
-        return materialise(dealt(packed, partitions).mapInArrow(lambda b: candidate_rows(b, how), "u long, v long").distinct())
-
     packed = texts.select("text").mapInArrow(lambda b: signature_rows(b, rule, plans, 2 * partitions), "part int, blob binary")
-    tested = candidates(packed, LEADER)
+    tested = materialise(dealt(packed, partitions).mapInArrow(candidate_rows, "u long, v long").distinct())
     asked = tested.select(F.explode(F.array("u", "v")).alias("class")).distinct()
     wanted = asked.join(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
     rows = texts.where("doc_id IS NOT NULL").join(wanted, "doc_id")
@@ -298,24 +346,17 @@ def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     found = materialise(verify(tested))
     parts = components(found)
-    # signatures with a failed pair have its leader v; all their classes were paired with it or are it
-    failed = tested.join(found, ["u", "v"], "left_anti")
-    ends = failed.select(F.explode(F.array("u", "v")).alias("class")).distinct()
-    around = tested.select(F.col("u").alias("class"), F.col("v").alias("other")).union(tested.select("v", "u"))
-    again = materialise(around.join(ends.withColumnRenamed("class", "other"), "other", "left_semi").select("class").union(ends).distinct())
-    if again.isEmpty():
+    failed = materialise(tested.join(found, ["u", "v"], "left_anti"))
+    if failed.isEmpty():
         return parts
-    open_texts = known.join(again, "class", "left_semi")
-    for how in (SECOND, ALL):
-        own = open_texts.join(parts.withColumnRenamed("u", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"), "text")
-        packed = own.mapInArrow(lambda b: signature_rows_again(b, rule, plans, 2 * partitions), "part int, blob binary")
-        pairs = materialise(candidates(packed, how).join(tested, ["u", "v"], "left_anti"))
-        more = materialise(verify(pairs))
-        if not more.isEmpty():
-            found = found.union(more)
-            parts = components(found)
-        tested = tested.union(pairs)
-    return parts
+    clusters = components(tested)
+    clusters = clusters.union(clusters.select("component", "component")).distinct().toDF("class", "cluster")
+    open_ = failed.join(clusters.withColumnRenamed("class", "u"), "u").select("cluster").distinct()
+    members = known.join(clusters.join(open_, "cluster"), "class").join(parts.withColumnRenamed("u", "class"), "class", "left")
+    members = materialise(members.withColumn("component", F.coalesce("component", "class")))
+    grouped = in_blocks(members).repartition(partitions, "group").sortWithinPartitions("group")
+    more = materialise(grouped.mapInArrow(lambda b: joining_links(b, rule), "u long, v long"))
+    return parts if more.isEmpty() else components(found.union(more))
 
 
 def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
