@@ -15,8 +15,8 @@ null or empty texts. Rows that repeat a doc_id or an item_id are treated each; f
 either table are ignored; empty tables give an empty result or one without findings. Items with a null item_id
 are not part of the result.
 
-Items are taken in blocks of ITEMS at most: each block is broadcast, and each is one pass over
-the documents. Nothing is shuffled but findings when there is more than one block.
+Items are taken in blocks of about ITEMS: each block is broadcast, and the tasks that read the documents search
+for one block after the other. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,28 +164,27 @@ class Items:
 
 
 def search_batches(batches, rows: list[tuple[int, str]]):
+    """Adds this block's items to those found before."""
     items = Items(rows)
     for part, texts in text_slices(batches, most=SLICE_CHARS):
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(items.search(texts), pa.list_(pa.int64()))], ["doc_id", "item_ids"])
+        found = [sorted(a + b) for a, b in zip(part.column("item_ids").to_pylist(), items.search(texts))]
+        yield part.set_column(2, "item_ids", pa.array(found, pa.list_(pa.int64())))
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -> DataFrame:
-    """doc_id, n_items, item_ids (sorted) and contaminated of every document.
-
-    `block` items at a time reach the driver and are broadcast; a larger benchmark takes more passes.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def broadcast_blocks(benchmark: DataFrame, block: int) -> Iterator[Broadcast]:
+    """The items, `block` of them at a time through the driver."""
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     blocks = max(1, -(-items.count() // block))
-    found = None
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
-        part = rows.mapInArrow(lambda b, sent=sent: search_batches(b, sent.value), "doc_id long, item_ids array<long>")
-        found = part if found is None else found.union(part)
-    if blocks > 1:
-        found = found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -> DataFrame:
+    """doc_id, n_items, item_ids (sorted) and contaminated of every document."""
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.array().cast("array<long>").alias("item_ids"))
+    for sent in broadcast_blocks(benchmark, block):
+        found = found.mapInArrow(lambda b, sent=sent: search_batches(b, sent.value), "doc_id long, text string, item_ids array<long>")
     return found.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
                         (F.size("item_ids") > 0).alias("contaminated"))
 
@@ -197,13 +197,8 @@ def clean_batches(batches, rows: list[tuple[int, str]], column: str):
 
 def without_items(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -> DataFrame:
     """The rows of `docs`, with all their columns whatever their names, whose text contains no item; nothing is shuffled."""
-    spark = docs.sparkSession
     left = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = f"c{[c.lower() for c in docs.columns].index('text')}"
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    blocks = max(1, -(-items.count() // block))
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
+    for sent in broadcast_blocks(benchmark, block):
         left = left.mapInArrow(lambda b, sent=sent: clean_batches(b, sent.value, text), left.schema)
     return left.toDF(*docs.columns)
