@@ -15,7 +15,9 @@ SLICE_CHARS = 3_000_000
 REMEMBERED = 400_000
 
 ODD_SPACES = re.compile("[\x1c-\x1f]")
-SPACE_RUN = re.compile("[\t-\r \x85\xa0  -     　]+")
+# Characters with the White_Space property; a fixed list.
+SPACES = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SPACE_RUN = re.compile(f"[{SPACES}]+")
 
 
 def kept(key: tuple, make: Callable[[], object]) -> object:

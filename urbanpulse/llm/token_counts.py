@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanpulse.llm.bpe import vocabulary
-from urbanpulse.llm.text import Memory, ragged_sum, text_slices
+from urbanpulse.llm.text import SPACES, Memory, ragged_sum, text_slices
 
 # The pattern of byte-level vocabularies; a fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # A blank between two visible characters begins a pre-token whatever stands around it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-SPACES = "\t-\r \x85\xa0  -     　"
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
