@@ -44,6 +44,7 @@ RARITY = 3.0
 SLICE_CHARS = 1_000_000
 BLOCK = 256  # classes of a block
 COLUMNS = 4_096  # tokens compared at a time
+HELD = 500_000  # signatures packed at a time
 
 
 class Rule:
@@ -159,8 +160,13 @@ def signatures(tokens: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.
 def signature_rows(batches, rule: Rule, plans: dict[int, tuple[int, int, int]], parts: int):
     """Signatures of the different sets of each batch, packed by part."""
     memory = Memory(word_names)
+
+    def packed() -> pa.RecordBatch:
+        sig = np.concatenate(names)
+        return packed_parts((sig % np.uint64(parts)).astype(np.int64), sig, np.zeros(len(sig), np.uint64), np.concatenate(owners))
+
     for batch in batches:
-        seen, names, owners = set(), [], []
+        seen, names, owners, held = set(), [], [], 0
         for _, tokens in sets_of(batch, memory, rule.words):
             if not len(tokens) or (name := class_name(tokens)) in seen:
                 continue
@@ -171,9 +177,12 @@ def signature_rows(batches, rule: Rule, plans: dict[int, tuple[int, int, int]],
                     own = signatures(tokens, scheme, plans[scheme])
                     names.append(own)
                     owners.append(np.full(len(own), name))
+                    held += len(own)
+            if held > HELD:
+                yield packed()
+                names, owners, held = [], [], 0
         if names:
-            sig = np.concatenate(names)
-            yield packed_parts((sig % np.uint64(parts)).astype(np.int64), sig, np.zeros(len(sig), np.uint64), np.concatenate(owners))
+            yield packed()
 
 
 def candidate_rows(batches):
