@@ -118,6 +118,37 @@ def test_near_vectors(spark, monkeypatch):
     assert neighbours.near_duplicates(frame.limit(0)).count() == 0
 
 
+def near(rng, v, cosine):
+    """A vector with this cosine to the unit vector v."""
+    side = rng.standard_normal(len(v))
+    side -= side @ v * v
+    return cosine * v + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+
+
+def exact(rows):
+    """(component, links) of each id by brute force."""
+    x = np.array([v for _, v in rows])
+    close = x @ x.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1) >= 0.9
+    ids = [i for i, _ in rows]
+    least = groups(set(ids), [(ids[a], ids[b]) for a, b in zip(*np.nonzero(close))])
+    return {i: (least[i], n - 1) for i, n in zip(ids, close.sum(axis=1).tolist())}
+
+
+def vector_frame(spark, rows):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+
+
+def test_tight_groups_that_link_across(spark):
+    rng = np.random.default_rng(2)
+    a = near(rng, np.eye(64)[0], 0.5)
+    b = near(rng, a, 0.925)
+    rows = [(i, near(rng, a if i < 12 else b, 0.9975)) for i in range(24)] + [(100 + i, rng.standard_normal(64)) for i in range(300)]
+    want = exact(rows)
+    assert {want[i][0] for i in range(24)} == {0} and min(want[i][1] for i in range(24)) > 12
+    got = {r.vec_id: (r.component_id, r.n_links) for r in neighbours.near_duplicates(vector_frame(spark, rows)).collect()}
+    assert got == want
+
+
 def brute_repeats(rows):
     first, out = {}, {}
     for doc, raw in sorted(rows, key=lambda r: r[0]):

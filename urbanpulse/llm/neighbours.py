@@ -2,13 +2,12 @@
 
 A graph of the K nearest neighbours found so far is begun from random-projection trees and refined: the
 neighbours of a vector, both those it lists and those that list it, are compared with each other,
-and every vector keeps the best K it has met. Pairs with cosine >= threshold are links.
+and every vector keeps the best K it has met. Pairs with cosine >= threshold are links; what a comparison joins by
+links stays joined, also where a list has no room for the pair.
 
-A list whose K-th neighbour is still a link is saturated: there may be more. Such lists are enlarged to their
-whole component: its vectors are compared in blocks, and only the number of links of each leaves a task.
-All links within a component are counted this way, not only those of saturated lists. Recall is audited:
-the links of a bounded sample of vectors are counted against all vectors by brute force, and while
-fewer than RECALL of them are known, further trees and rounds follow.
+A list whose K-th neighbour is still a link is saturated: there may be more. Then the search is repeated outside the
+components found, so that lists hold vectors of other components only, until no list is saturated. Within a component
+the vectors are compared in blocks, and only the number of links of each leaves a task, so all its links are counted.
 
 Equal vectors are one class, compared once and counted by their number, so copies do not grow the work. Groups
 that meet in a task are bounded: crowded tree leaves and long lists of listers are dealt into chunks by hash.
@@ -55,7 +54,7 @@ def packed(batches):
 
 
 def leaves(batches, trees: list[int], depth: int):
-    """(leaf, id, vec, least): each vector in one leaf of every tree, the signs of `depth` random projections."""
+    """(leaf, id, home, vec, least): each vector in one leaf of every tree, the signs of `depth` random projections."""
     planes: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         raw = batch.column("vec").to_pylist()
@@ -69,10 +68,10 @@ def leaves(batches, trees: list[int], depth: int):
                     planes[key] = np.random.default_rng([tree, size]).standard_normal((x.shape[1], depth))
                 code = ((x @ planes[key]) > 0) @ (1 << np.arange(depth, dtype=np.int64))
                 leaf = (code * 1_000 + tree) * 65_536 + size // 8 % 65_536
-                ids = batch.column("id").take(pa.array(at))
+                ids, home = (batch.column(c).take(pa.array(at)) for c in ("id", "home"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf), ids, pa.array([raw[i] for i in at], pa.binary()), pa.array(np.full(len(at), -2.0))],
-                    ["pivot", "id", "vec", "least"])
+                    [pa.array(leaf), ids, home, pa.array([raw[i] for i in at], pa.binary()), pa.array(np.full(len(at), -2.0))],
+                    ["pivot", "id", "home", "vec", "least"])
 
 
 def whole_groups(batches):
@@ -89,10 +88,11 @@ def whole_groups(batches):
         yield rest.combine_chunks()
 
 
-def local_join(batches, k: int):
-    """For each member of a group its best k fellows that beat its least neighbour: (u, v, cosine)."""
+def local_join(batches, k: int, threshold: float):
+    """(u, v, cosine, link): for each member of a group its best k fellows of other homes that beat its least neighbour,
+    and the first member it is joined with by links of the group (cosine -2)."""
     for table in whole_groups(batches):
-        group, ids, least = (table.column(c).to_numpy() for c in ("group", "id", "least"))
+        group, ids, home, least = (table.column(c).to_numpy() for c in ("group", "id", "home", "least"))
         raw = table.column("vec").to_pylist()
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sizes = np.diff(np.append(starts, len(group)))
@@ -101,50 +101,76 @@ def local_join(batches, k: int):
             mine = np.flatnonzero((sizes <= width) & (sizes > width // 2) & (sizes > 1))
             for some in np.array_split(mine, max(1, len(mine) * width * width // 400_000)) if len(mine) else ():
                 for size in np.unique(length[starts[some]]).tolist():
-                    yield from best_fellows(some[length[starts[some]] == size], width, starts, sizes, ids, least, raw, k)
+                    yield best_fellows(some[length[starts[some]] == size], width, starts, sizes, ids, home, least, raw, k, threshold)
 
 
-def best_fellows(groups, width, starts, sizes, ids, least, raw, k):
+def best_fellows(groups, width, starts, sizes, ids, home, least, raw, k, threshold):
     place = np.arange(width)
     there = place < sizes[groups][:, None]
     at = np.where(there, starts[groups][:, None] + place, starts[groups][:, None])
     x = unit([raw[i] for i in at.ravel()]).reshape(len(groups), width, -1)
     cosine = x @ x.transpose(0, 2, 1)
-    own = ids[at]
-    cosine[~(there[:, None, :] & there[:, :, None]) | (own[:, :, None] == own[:, None, :])] = -3
+    own, homes = ids[at], home[at]
+    cosine[~(there[:, None, :] & there[:, :, None]) | (homes[:, :, None] == homes[:, None, :])] = -3
     top = min(k, width - 1)
     fellow = np.argpartition(-cosine, top - 1, axis=2)[:, :, :top]
     value = np.take_along_axis(cosine, fellow, 2)
-    g, u, _ = np.nonzero((value > least[at][:, :, None]) & (value > -2))
-    v = fellow[(value > least[at][:, :, None]) & (value > -2)]
-    value = value[(value > least[at][:, :, None]) & (value > -2)]
-    yield pa.RecordBatch.from_arrays([pa.array(own[g, u]), pa.array(own[g, v]), pa.array(value)], ["u", "v", "cosine"])
-
-
-def compared(members: DataFrame, chunk: int, k: int) -> DataFrame:
-    """Compare the members (pivot, id, vec, least) of each pivot, crowded ones in chunks dealt by hash."""
+    better = (value > least[at][:, :, None]) & (value > -2)
+    g, u, _ = np.nonzero(better)
+    v, value = fellow[better], value[better]
+    first = first_joined(cosine >= threshold)
+    h, w = np.nonzero(first != place)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([own[g, u], own[h, w]])), pa.array(np.concatenate([own[g, v], own[h, first[h, w]]])),
+         pa.array(np.concatenate([value, np.full(len(h), -2.0)])), pa.array(np.concatenate([value >= threshold, np.full(len(h), True)]))],
+        ["u", "v", "cosine", "link"])
+
+
+def first_joined(close: np.ndarray) -> np.ndarray:
+    """The first place that each place of a group is joined with, directly or through others."""
+    width = close.shape[-1]
+    first = np.broadcast_to(np.arange(width), close.shape[:-1]).copy()
+    while True:
+        least = np.minimum(first, np.where(close, first[:, None, :], width).min(axis=2))
+        if (least == first).all():
+            return first
+        first = least
+
+
+def compared(members: DataFrame, chunk: int, k: int, threshold: float) -> DataFrame:
+    """Compare the members (pivot, id, home, vec, least) of each pivot, crowded ones in chunks dealt by hash."""
     spark = members.sparkSession
     crowd = members.groupBy("pivot").agg(F.count("*").alias("n"))
     dealt = members.join(crowd, "pivot").withColumn(
         "group", F.xxhash64("pivot", F.pmod(F.xxhash64("id", "pivot"), F.ceil(F.col("n") / chunk))))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.select("group", "id", "vec", "least").repartition(n, "group").sortWithinPartitions("group")
-    return rows.mapInArrow(lambda b: local_join(b, k), "u long, v long, cosine double")
+    rows = dealt.select("group", "id", "home", "vec", "least").repartition(n, "group").sortWithinPartitions("group")
+    return rows.mapInArrow(lambda b: local_join(b, k, threshold), "u long, v long, cosine double, link boolean")
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """(u, v, cosine, link, listed): the lists of the best k, and links that no list has room for."""
     best = Window.partitionBy("u").orderBy(F.desc("cosine"), "v")
-    return materialise(pairs.groupBy("u", "v").agg(F.max("cosine").alias("cosine"))
-                       .withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth"))
+    return materialise(pairs.groupBy("u", "v").agg(F.max("cosine").alias("cosine"), F.max("link").alias("link"))
+                       .withColumn("listed", (F.row_number().over(best) <= k) & (F.col("cosine") > -2)).where("listed OR link"))
 
 
-def refined(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def refined(graph: DataFrame, vectors: DataFrame, k: int, threshold: float) -> DataFrame:
     """One round: neighbours of neighbours, in both directions."""
-    least = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(-2.0).alias("least"))
-    known = vectors.join(least.withColumnRenamed("u", "id"), "id", "left").select("id", "vec", F.coalesce("least", F.lit(-2.0)).alias("least"))
-    lists = graph.select(F.col("u").alias("pivot"), F.col("v").alias("id")).union(graph.select("v", "u")).distinct()
-    members = lists.join(known, "id").union(known.select("id", F.col("id").alias("pivot"), "vec", "least"))
-    return nearest(graph.union(compared(members.select("pivot", "id", "vec", "least"), CHUNK, k)), k)
+    listed = graph.where("listed")
+    least = listed.groupBy("u").agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(-2.0).alias("least"))
+    known = vectors.join(least.withColumnRenamed("u", "id"), "id", "left").select("id", "home", "vec", F.coalesce("least", F.lit(-2.0)).alias("least"))
+    lists = listed.select(F.col("u").alias("pivot"), F.col("v").alias("id")).union(listed.select("v", "u")).distinct()
+    members = lists.join(known, "id").select("pivot", "id", "home", "vec", "least")
+    members = members.union(known.select(F.col("id").alias("pivot"), "id", "home", "vec", "least"))
+    return nearest(graph.drop("listed").union(compared(members, CHUNK, k, threshold)), k)
+
+
+def outside(graph: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The listed pairs of different homes."""
+    home = vectors.select("id", "home")
+    pairs = graph.where("listed").drop("listed").join(home.toDF("u", "hu"), "u").join(home.toDF("v", "hv"), "v")
+    return pairs.where("hu <> hv").select("u", "v", "cosine", "link")
 
 
 def block_links(batches, threshold: float):
@@ -215,18 +241,21 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int
     vectors = materialise(valid.groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
     count = vectors.count()
     depth = max(1, min(40, int(np.ceil(np.log2(max(count, 2) / LEAF)))))
-    graph, recall, attempt = None, 0.0, 0
-    while recall < RECALL and attempt <= RETRIES:
+    graph, parts, recall, saturated, attempt = None, None, 0.0, True, 0
+    while (saturated or recall < RECALL) and attempt <= RETRIES:
         trees = list(range(attempt * TREES, (attempt + 1) * TREES))
-        begun = compared(vectors.select("id", "vec").mapInArrow(
-            lambda b, t=trees: leaves(b, t, depth), "pivot long, id long, vec binary, least double"), LEAF, k)
-        graph = nearest(begun if graph is None else begun.union(graph), k)
+        apart = vectors.withColumn("home", F.col("id")) if parts is None else materialise(
+            vectors.join(parts, "id", "left").withColumn("home", F.coalesce("component", "id")))
+        begun = compared(apart.select("id", "home", "vec").mapInArrow(
+            lambda b, t=trees: leaves(b, t, depth), "pivot long, id long, home long, vec binary, least double"), LEAF, k, threshold)
+        graph = nearest(begun if graph is None else begun.union(outside(graph, apart)), k)
         for _ in range(ROUNDS):
-            graph = refined(graph, vectors, k)
-        parts = components(graph.where(F.col("cosine") >= threshold).select("u", "v")).withColumnRenamed("u", "id")
+            graph = refined(graph, apart, k, threshold)
+        edges = graph.where("link").select("u", "v")
+        parts = components(edges if parts is None else edges.union(parts)).withColumnRenamed("u", "id")
+        saturated = not graph.where("listed AND link").groupBy("u").count().where(F.col("count") >= k).isEmpty()
         ends = parts.union(parts.select("component", "component")).distinct()
-        held = vectors.join(ends, "id")
-        counted = materialise(links_within(held, threshold))
+        counted = materialise(links_within(vectors.join(ends, "id"), threshold))
         recall = audited(vectors, counted, threshold)
         attempt += 1
     named = vectors.join(parts, "id", "left").join(counted, "id", "left").select(
