@@ -149,6 +149,34 @@ def test_tight_groups_that_link_across(spark):
     assert got == want
 
 
+def with_a_large_group(seed):
+    """A large group of near copies, 20 pairs and other vectors."""
+    rng = np.random.default_rng(seed)
+    hot = near(rng, np.eye(64)[0], 0.5)
+    rows = [(i, near(rng, hot, 0.999)) for i in range(200)] + [(1_000 + i, near(rng, np.eye(64)[i], 0.95)) for i in range(20)]
+    return rows + [(2_000 + i, np.eye(64)[i]) for i in range(20)] + [(3_000 + i, rng.standard_normal(64)) for i in range(200)]
+
+
+def test_audit_sees_pairs_beside_a_large_group(spark):
+    rows = with_a_large_group(4)
+    vectors = spark.createDataFrame([(i, v.tobytes(), 1) for i, v in rows], "id long, vec binary, copies long")
+    links = [(i, n) for i, (_, n) in exact(rows).items() if n]
+    for known, recall in ((links, 1.0), ([x for x in links if x[0] < 200], 0.0)):
+        counted = spark.createDataFrame(known, "id long, links long")
+        assert neighbours.audited(vectors, counted, 0.9) == recall
+
+
+def test_exact_where_the_search_finds_too_little(spark, monkeypatch):
+    rows = with_a_large_group(5)
+    compared = neighbours.compared
+    monkeypatch.setattr(neighbours, "compared", lambda *a: compared(*a).where("u < 1000 AND v < 1000"))
+    monkeypatch.setattr(neighbours, "ATTEMPTS", 1, raising=False)
+    monkeypatch.setattr(neighbours, "RETRIES", 0, raising=False)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    got = {r.vec_id: (r.component_id, r.n_links) for r in neighbours.near_duplicates(vector_frame(spark, rows)).collect()}
+    assert got == exact(rows)
+
+
 def brute_repeats(rows):
     first, out = {}, {}
     for doc, raw in sorted(rows, key=lambda r: r[0]):

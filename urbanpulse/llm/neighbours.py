@@ -9,6 +9,11 @@ A list whose K-th neighbour is still a link is saturated: there may be more. The
 components found, so that lists hold vectors of other components only, until no list is saturated. Within a component
 the vectors are compared in blocks, and only the number of links of each leaves a task, so all its links are counted.
 
+Recall is audited: the links of a bounded sample of vectors are counted by brute force. The share known is averaged over
+vectors, apart for those with few and with many links, so a large group does not hide small ones. While any of these
+shares is below RECALL, further trees follow, more of them the deeper they are. If ATTEMPTS do not reach it, all
+vectors are compared with all others in blocks, which is exact.
+
 Equal vectors are one class, compared once and counted by their number, so copies do not grow the work. Groups
 that meet in a task are bounded: crowded tree leaves and long lists of listers are dealt into chunks by hash.
 
@@ -31,9 +36,10 @@ from urbanpulse.session import materialise
 THRESHOLD = 0.9
 K = 10
 TREES, ROUNDS = 6, 3
-LEAF, CHUNK, BLOCK = 48, 40, 512
-AUDIT = 1_024  # vectors in the audit
-RECALL, RETRIES = 0.97, 3
+LEAF, CHUNK, BLOCK, WIDE = 48, 40, 512, 8_192
+SHARED = 0.856  # chance that a plane has both ends of a pair at cosine 0.9 on one side
+AUDIT = 1_024  # vectors in the audit for each power of two of links found
+RECALL, ATTEMPTS = 0.97, 4
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -173,33 +179,55 @@ def outside(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.where("hu <> hv").select("u", "v", "cosine", "link")
 
 
-def block_links(batches, threshold: float):
-    """(id, links) of the rows of each pair of blocks: `side` 0 is compared with side 1, or with itself if there is none."""
+def block_links(batches, threshold: float, joined: bool):
+    """(id, links, first) of the rows of each pair of blocks: `side` 0 is compared with side 1, or with itself if there is none.
+    first: a row that this one is joined with by links of the pair of blocks, the same for all so joined (itself if not `joined`)."""
     for table in whole_groups(batches):
         group = table.column("group").to_numpy()
         bounds = np.flatnonzero(np.diff(group, prepend=group[0] - 1, append=group[-1] + 1)) if len(group) else []
         for a, b in zip(bounds[:-1], bounds[1:]):
             ids, copies, side = (table.column(c).slice(a, b - a).to_numpy() for c in ("id", "copies", "side"))
-            close = unit(table.column("vec").slice(a, b - a).to_pylist())
-            close = close @ close.T >= threshold
-            if side.any():
-                close &= side[:, None] != side[None, :]
-            else:
-                np.fill_diagonal(close, False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(close @ copies)], ["id", "links"])
-
-
-def links_within(parts: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): copies of other classes linked with each, from parts (id, component, vec, copies)."""
+            x = unit(table.column("vec").slice(a, b - a).to_pylist())
+            links, first = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for at in range(0, len(ids), BLOCK):
+                close = x[at:at + BLOCK] @ x.T >= threshold
+                own = np.arange(at, at + len(close))
+                if side.any():
+                    close &= side[own][:, None] != side[None, :]
+                else:
+                    close[np.arange(len(own)), own] = False
+                links[own] = close @ copies
+                for row in np.flatnonzero(close.any(axis=1)) if joined else ():
+                    met = np.unique(np.append(first[close[row]], first[at + row]))
+                    if len(met) > 1:
+                        first[np.isin(first, met)] = met[0]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(ids[first])], ["id", "links", "first"])
+
+
+def block_pairs(parts: DataFrame, threshold: float, block: int, joined: bool) -> DataFrame:
+    """(id, links, first) for each pair of blocks of each component, from parts (id, component, vec, copies)."""
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = parts.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = pairs.select(
         F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("group"),
         (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "vec", "copies")
-    found = rows.repartition(n, "group").sortWithinPartitions("group").mapInArrow(lambda b: block_links(b, threshold), "id long, links long")
-    return found.groupBy("id").agg(F.sum("links").alias("links"))
+    rows = rows.repartition(n, "group").sortWithinPartitions("group")
+    return rows.mapInArrow(lambda b: block_links(b, threshold, joined), "id long, links long, first long")
+
+
+def links_within(parts: DataFrame, threshold: float) -> DataFrame:
+    """(id, links): copies of other classes linked with each, from parts (id, component, vec, copies)."""
+    return block_pairs(parts, threshold, BLOCK, False).groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def exact_links(vectors: DataFrame, count: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, component) and (id, links) from all pairs of vectors of one length."""
+    block = max(BLOCK, min(WIDE, count // 32))
+    found = materialise(block_pairs(vectors.withColumn("component", F.length("vec")), threshold, block, True))
+    parts = components(found.where("first <> id").select(F.col("id").alias("u"), F.col("first").alias("v"))).withColumnRenamed("u", "id")
+    return parts, found.groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def brute_links(batches, asked: list[tuple[int, bytes]], threshold: float):
@@ -222,15 +250,28 @@ def brute_links(batches, asked: list[tuple[int, bytes]], threshold: float):
 
 
 def audited(vectors: DataFrame, counted: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the links of a bounded sample that `counted` (id, links) has, against brute force."""
-    asked = [(r.id, bytes(r.vec)) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
-    if not asked:
+    """Share of the links of a vector that `counted` (id, links) has, against brute force: the least of the averages over
+    vectors with about the same number of links. About `sample` vectors for each power of two of links found are asked."""
+    power = lambda links: F.floor(F.log2(links + 1)).cast("int")
+    held = vectors.join(counted, "id", "left").select("id", "vec", F.coalesce("links", F.lit(0)).alias("links")).withColumn("power", power(F.col("links")))
+    share = {r.power: min(1.0, sample / r["count"]) for r in held.groupBy("power").count().collect()}
+    if not share:
+        return 1.0
+    of_power = F.element_at(F.create_map(*[F.lit(x) for item in share.items() for x in item]), F.col("power"))
+    drawn = held.withColumn("share", of_power).where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    rows = drawn.select("id", "vec", "links", "share").collect()
+    if not rows:
         return 1.0
-    sent = vectors.sparkSession.sparkContext.broadcast(asked)
+    sent = vectors.sparkSession.sparkContext.broadcast([(r.id, bytes(r.vec)) for r in rows])
     true = vectors.select("id", "vec", "copies").mapInArrow(lambda b: brute_links(b, sent.value, threshold), "id long, links long")
-    true = true.groupBy("id").agg(F.sum("links").alias("true"))
-    row = true.join(counted, "id", "left").agg(F.sum("true").alias("true"), F.sum(F.coalesce("links", F.lit(0))).alias("found")).first()
-    return row.found / row.true if row.true else 1.0
+    true = {r.id: r.true for r in true.groupBy("id").agg(F.sum("links").alias("true")).collect()}
+    sums: dict[int, list[float]] = {}
+    for r in rows:
+        if true[r.id]:
+            of = sums.setdefault((true[r.id] + 1).bit_length(), [0.0, 0.0])
+            of[0] += min(1.0, r.links / true[r.id]) / r.share
+            of[1] += 1 / r.share
+    return min((known / n for known, n in sums.values()), default=1.0)
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
@@ -241,9 +282,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int
     vectors = materialise(valid.groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
     count = vectors.count()
     depth = max(1, min(40, int(np.ceil(np.log2(max(count, 2) / LEAF)))))
-    graph, parts, recall, saturated, attempt = None, None, 0.0, True, 0
-    while (saturated or recall < RECALL) and attempt <= RETRIES:
-        trees = list(range(attempt * TREES, (attempt + 1) * TREES))
+    each = max(TREES, int(np.ceil(SHARED**-depth)))
+    graph, parts = None, None
+    for attempt in range(ATTEMPTS):
+        trees = list(range(attempt * each, (attempt + 1) * each))
         apart = vectors.withColumn("home", F.col("id")) if parts is None else materialise(
             vectors.join(parts, "id", "left").withColumn("home", F.coalesce("component", "id")))
         begun = compared(apart.select("id", "home", "vec").mapInArrow(
@@ -256,8 +298,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int
         saturated = not graph.where("listed AND link").groupBy("u").count().where(F.col("count") >= k).isEmpty()
         ends = parts.union(parts.select("component", "component")).distinct()
         counted = materialise(links_within(vectors.join(ends, "id"), threshold))
-        recall = audited(vectors, counted, threshold)
-        attempt += 1
+        if not saturated and audited(vectors, counted, threshold) >= RECALL:
+            break
+    else:
+        parts, counted = exact_links(vectors, count, threshold)
     named = vectors.join(parts, "id", "left").join(counted, "id", "left").select(
         "class", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = given.join(named, "class", "left")
