@@ -56,6 +56,20 @@ def test_surrogates_differ_and_are_no_entities(spark):
     assert not {(r.kind, r.surrogate) for r in table} & set(many)
 
 
+def test_families_have_one_surrogate(spark):
+    given = [f"{a}{b}o" for a in ("Ba", "Ce", "Di", "Fo", "Gu") for b in ("la", "me", "ni", "ro", "su", "ta", "ve", "xi")]
+    texts = ["Mr. Smith and Mrs. Smith and Ms. Jones", "г-н Смит и г-жа Смит", "г-жа Анна Смит"]
+    texts += [f"{title} {g} {f}" for title in ("Mr.", "Mrs.") for g in given for f in ("Smith", "Jones")]
+    got = {i: r.text for i, r in replaced(spark, texts).items()}
+    mr, mrs, jones = re.findall(r"M\w+\. (\w+)", got[0])
+    assert mr == mrs != jones
+    people = [got[i].split(" ") for i in range(3, len(texts))]
+    assert {p[2] for p in people[::2]} == {mr} and {p[2] for p in people[1::2]} == {jones}
+    assert len({tuple(p[1:]) for p in people}) == len(people)  # 40 given names of each family and gender, from 20
+    him, her = re.findall(r"г-(?:н|жа) (\w+)", got[1])
+    assert her == him + "а" and got[2].split()[2] == her
+
+
 def test_odd_texts_and_all_columns(spark):
     docs = odd.documents(spark, [*odd.TEXTS, *TEXTS, TEXTS[0]])
     out = privacy.replaced(docs)

@@ -6,10 +6,11 @@ the separators of numbers do not count) gets one surrogate, drawn from SHA-256 o
 the same surrogate in every document (coreference). Digits stay digits, letters letters of their script and case, separators
 and top-level domains stay; cards keep their first digit and whether their check digit is right; octets stay octets; phone numbers
 keep their country code; names keep the title, the gender it tells, their script and letter case, and a family name
-has one surrogate wherever it stands.
+has one surrogate wherever it stands: families are entities of their own, and Mr. and Mrs. X share theirs (Cyrillic ones
+take the ending of the gender).
 
 Collisions are checked over the corpus: a surrogate that another entity of its kind has, or that is
-itself an entity found, is drawn anew until all differ. Only documents with findings are shuffled, with
+itself an entity found, is drawn anew until all differ. Of a full name only the given name is drawn anew. Only documents with findings are shuffled, with
 their findings; an entity in a third of all documents is one row of the table of surrogates, and the join with it may split.
 
 Null and empty texts stay as they are; rows that repeat are replaced each, also under a null doc_id;
@@ -115,23 +116,40 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, b: a + b) % 10
 
 
-def named(canon: Column, key: str, attempt: Column) -> Column:
-    """Given and family name, or the family name alone, in the letter case of names."""
-    words = F.split(F.substring(canon, F.lit(3), F.length(canon)), " ")
-    family, female = F.element_at(words, -1), canon.startswith("f:")
-    own, first = digest("family", family, attempt, key=key), digest("given", F.element_at(words, 1), key=key)
+def words_of(canon: Column) -> Column:
+    """Given and family name, or the family name alone, of a canonical name."""
+    return F.split(F.substring(canon, F.lit(3), F.length(canon)), " ")
+
+
+def syllables(script: str, hexed: Column, n: int, skip: int = 0) -> list[Column]:
+    return [pick(SYLLABLES[script], number(hexed, F.lit(1 + 4 * (skip + k)))) for k in range(n)]
+
+
+def family_name(family: Column, key: str, attempt: Column) -> Column:
+    """A family name, the male form of a Cyrillic one."""
+    own = digest("family", family, attempt, key=key)
+    latin, cyrillic = (F.initcap(F.concat(*syllables(script, own, 4))) for script in ("latin", "cyrillic"))
+    return F.when(script_of(family) == "latin", latin).otherwise(F.concat(cyrillic, F.lit("ов")))
+
+
+def of_gender(canon: Column, family: Column) -> Column:
+    return F.when(canon.startswith("f:") & (script_of(family) == "cyrillic"), F.concat(family, F.lit("а"))).otherwise(family)
+
+
+def full_name(canon: Column, family: Column, key: str, attempt: Column) -> Column:
+    """A given name before the family's surrogate; later attempts lengthen it, so common families do not run out of them."""
+    given, female = F.element_at(words_of(canon), 1), canon.startswith("f:")
+    first = F.when(attempt == 0, digest("given", given, key=key)).otherwise(digest("given", canon, attempt.cast("string"), key=key))
     drawn = []
     for script in ("latin", "cyrillic"):
-        name = F.initcap(F.concat(*[pick(SYLLABLES[script], number(own, F.lit(1 + 4 * k))) for k in range(4)]))
-        if script == "cyrillic":
-            name = F.concat(name, F.when(female, "ова").otherwise("ов"))
-        given = F.when(female, pick(FEMALE[script], number(first, F.lit(1)))).otherwise(pick(MALE[script], number(first, F.lit(1))))
-        drawn.append(F.when(F.size(words) > 1, F.concat(given, F.lit(" "), name)).otherwise(name))
-    return F.when(script_of(canon) == "latin", drawn[0]).otherwise(drawn[1])
+        name = F.when(female, pick(FEMALE[script], number(first, F.lit(1)))).otherwise(pick(MALE[script], number(first, F.lit(1))))
+        more = F.slice(F.array(*syllables(script, first, 4, 1)), F.lit(1), F.greatest(F.least(attempt - 1, F.lit(4)), F.lit(0)))
+        drawn.append(F.concat(name, F.array_join(more, "")))
+    return F.concat(F.when(script_of(given) == "latin", drawn[0]).otherwise(drawn[1]), F.lit(" "), of_gender(canon, family))
 
 
 def draw(entities: DataFrame, key: str) -> DataFrame:
-    """kind, canon, attempt -> surrogate, in canonical form (names: as written)."""
+    """kind, canon, family (the surrogate, of full names), attempt -> surrogate, in canonical form (names: as written)."""
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt").cast("string")
     blocks = F.sequence(F.lit(0), F.floor(F.length(canon) / 16).cast("int"))
     stream = F.array_join(F.transform(blocks, lambda k: digest(kind, canon, attempt, k.cast("string"), key=key)), "")
@@ -143,26 +161,46 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     card = F.concat(head, ((right + F.when(luhn(canon) == 0, 0).otherwise(1)) % 10).cast("string"))
     return (entities.withColumn("stream", stream).withColumn("drawn", redrawn(kind, canon, F.col("stream")))
             .withColumn("surrogate", F.when(kind == "ip", ip).when(kind == "card", card)
-                        .when(kind == "name", named(canon, key, attempt)).otherwise(F.col("drawn"))).drop("stream", "drawn"))
+                        .when(kind == "family", family_name(canon, key, attempt))
+                        .when(kind == "name", full_name(canon, F.col("family"), key, F.col("attempt"))).otherwise(F.col("drawn"))).drop("stream", "drawn"))
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, canon, surrogate of distinct entities; surrogates of a kind differ from each other and from all its entities."""
-    settled, open_ = None, entities.select("kind", "canon", F.lit(0).alias("attempt"))
-    real = entities.select("kind", F.when(F.col("kind") == "name", F.substring("canon", 3, 1_000)).otherwise(F.col("canon")).alias("same")).distinct()
+    """kind, canon, surrogate of distinct entities; surrogates of a kind differ from each other and from all its entities,
+    but for family names alone, which differ by family."""
+    none = F.lit(None).cast("string").alias("family")
+    names = entities.where("kind = 'name'").select("kind", "canon", words_of(F.col("canon")).alias("words"))
+    names = names.select("kind", "canon", (F.size("words") > 1).alias("full"), F.element_at("words", -1).alias("of"))
+    others = entities.where("kind <> 'name'").select("kind", "canon", none)
+    families = names.select(F.lit("family").alias("kind"), F.col("of").alias("canon"), none).distinct()
+    # no ending of a Cyrillic surrogate may give a family found
+    real = others.union(families).select("kind", F.when(
+        F.col("kind") == "family", F.regexp_replace("canon", "(?<=ов)а$", "")).otherwise(F.col("canon")).alias("same")).distinct()
+    settled = distinct_draws(others.union(families), real, key)
+    found = settled.where("kind = 'family'").select(F.col("canon").alias("of"), F.col("surrogate").alias("family"))
+    names = materialise(names.join(found, "of").select("kind", "canon", "full", "family"))
+    alone = names.where("NOT full").select("kind", "canon", of_gender(F.col("canon"), F.col("family")).alias("surrogate"))
+    full = names.where("full").select("kind", "canon", "family")
+    real = full.select("kind", F.substring("canon", 3, 1_000).alias("same")).distinct()
+    return settled.where("kind <> 'family'").union(alone).union(distinct_draws(full, real, key))
+
+
+def distinct_draws(entities: DataFrame, real: DataFrame, key: str) -> DataFrame:
+    """kind, canon, surrogate of entities (kind, canon, family): drawn anew while two are alike or one is in `real`."""
+    settled, open_ = None, entities.withColumn("attempt", F.lit(0))
     for _ in range(ATTEMPTS):
         drawn = draw(open_, key).withColumn("same", F.lower("surrogate"))
         taken = real if settled is None else real.union(settled.select("kind", F.lower("surrogate")))
         first = drawn.groupBy("kind", "same").agg(F.min("canon").alias("first"))
         checked = materialise(
             drawn.join(first, ["kind", "same"]).join(taken.withColumn("taken", F.lit(True)), ["kind", "same"], "left")
-            .select("kind", "canon", "attempt", "surrogate", (F.col("taken").isNull() & (F.col("canon") == F.col("first"))).alias("good")))
+            .select("kind", "canon", "family", "attempt", "surrogate", (F.col("taken").isNull() & (F.col("canon") == F.col("first"))).alias("good")))
         good = checked.where("good").select("kind", "canon", "surrogate")
         settled = good if settled is None else settled.union(good)
         rest = checked.where("NOT good")
         if rest.isEmpty():
             return settled
-        open_ = rest.select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
+        open_ = rest.select("kind", "canon", "family", (F.col("attempt") + 1).alias("attempt"))
     raise ValueError(f"more entities of a kind than surrogates: {rest.first()}")
 
 
