@@ -70,6 +70,18 @@ def test_families_have_one_surrogate(spark):
     assert her == him + "а" and got[2].split()[2] == her
 
 
+def test_long_entities_are_replaced_whole(spark):
+    secret, local = "0f3a9c" * 86, "".join(f"part{i}." for i in range(30)) + "end"
+    texts = [f"key {secret} end", f"to {local}@b.org now", "Mr. B" + "a" * 50 + " left", "a@bc.de_x@fg.hi", "x" * 300_000 + " 1", "a" * 31 + "1 b"]
+    got = {i: r.text for i, r in replaced(spark, texts).items()}
+    new = got[0].split()[1]
+    assert re.fullmatch("[0-9a-f]{516}", new) and sum(a == b for a, b in zip(new, secret)) < 100
+    assert re.fullmatch(r"to \S+@\S\.org now", got[1]) and "part" not in got[1] and len(got[1]) == len(texts[1])
+    assert "aaa" not in got[2] and got[2].endswith(" left")
+    assert "x@fg" not in got[3] and got[3].endswith(".hi") and ".de" in got[3]
+    assert got[4] == texts[4] and got[5] != texts[5]
+
+
 def test_odd_texts_and_all_columns(spark):
     docs = odd.documents(spark, [*odd.TEXTS, *TEXTS, TEXTS[0]])
     out = privacy.replaced(docs)

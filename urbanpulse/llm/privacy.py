@@ -40,11 +40,12 @@ SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma
              "cyrillic": "ба бо ва ве го да де жа ка ко ла ле ло ма ме мо на не но па по ра ре ро са со та те то ша".split()}
 
 TITLES = "|".join(sorted(FEMALE_TITLES + MALE_TITLES, key=len, reverse=True))
-WORD = r"\p{Lu}[\p{Ll}'’-]{1,30}"
+WORD = r"\p{Lu}[\p{Ll}'’-]++"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}",
+    # the local part begins where its characters begin, or the last finding ended, so that a long run is read once
+    "email": r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?=[0-9A-Fa-f]{0,200}[0-9])(?:[0-9a-f]{32,200}|[0-9A-F]{32,200})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?=[A-Fa-f]*+[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![\p{L}\p{N}]|\.[0-9])",
     "card": r"(?<![\p{L}\p{N}])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
