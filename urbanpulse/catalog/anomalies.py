@@ -133,9 +133,11 @@ def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @register()
 def iforest_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Forests over the vectors of each label, a table whose groups grow with the data."""
-    rows = table(spark, sf, "embeddings").select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(4)])
-    out = anomaly.detect_anomalies(rows, ("label",), [f"d{i}" for i in range(4)], "vec_id", bounded=False, trees=50)
+    """Forests over all dimensions of the vectors of each label, a table whose groups grow with the data."""
+    vectors = table(spark, sf, "embeddings")
+    names = [f"d{i}" for i in range(vectors.agg(F.max(F.size("embedding"))).first()[0] or 1)]
+    rows = vectors.select("label", "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(names)])
+    out = anomaly.detect_anomalies(rows, ("label",), names, "vec_id", bounded=False)
     return out.select("label", "vec_id", r6(F.col("if_score"), "if_score"), "if_label")
 
 

@@ -204,11 +204,12 @@ def lisa_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @register()
 def kmeans_stop_zones(spark: SparkSession, sf: str) -> DataFrame:
-    """k-means on the first two dimensions of all vectors, zones named along the second."""
-    points = table(spark, sf, "embeddings").select(
-        F.col("vec_id").cast("string").alias("stop_id"), F.col("embedding")[0].cast("double").alias("stop_lat"),
-        F.col("embedding")[1].cast("double").alias("stop_lon"))
-    return kmeans_zones(points).groupBy("zone").agg(F.count(F.lit(1)).alias("n_stops"), F.avg("stop_lon").alias("lon"))
+    """k-means on all dimensions of all vectors, zones named along the second."""
+    vectors = table(spark, sf, "embeddings")
+    names = ["stop_lat", "stop_lon", *[f"d{i}" for i in range(2, vectors.agg(F.max(F.size("embedding"))).first()[0] or 2)]]
+    points = vectors.select(F.col("vec_id").cast("string").alias("stop_id"),
+                            *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(names)])
+    return kmeans_zones(points, features=names).groupBy("zone").agg(F.count(F.lit(1)).alias("n_stops"), F.avg("stop_lon").alias("lon"))
 
 
 @register()
@@ -217,7 +218,7 @@ def zonal_report(spark: SparkSession, sf: str) -> DataFrame:
     up = updates(spark, sf).withColumn("minute", F.date_trunc("month", "minute"))
     temperature = table(spark, sf, "orders").groupBy(
         F.date_trunc("month", F.col("o_orderdate").cast("timestamp")).alias("minute")).agg(F.avg("o_totalprice").alias("road_temperature"))
-    return zonal_correlations(up, stops(spark, sf).select("stop_id", "stop_lat", "stop_lon"), temperature, starts=3)[0]
+    return zonal_correlations(up, stops(spark, sf).select("stop_id", "stop_lat", "stop_lon"), temperature)[0]
 
 
 @register()
@@ -225,8 +226,7 @@ def city_window_report(spark: SparkSession, sf: str) -> DataFrame:
     """Global Moran's I of activity, delay and peak ratio for all cities in two windows."""
     windows = (days("first", "1995-01-01", "1998-06-30"), days("second", "1998-07-01", "2001-12-31"))
     by_city = stops(spark, sf)
-    return spatial_report(updates(spark, sf), by_city, zones.city_table(spark), windows, permutations=99, cell_km=CELL_KM,
-                          min_stops=MIN_STOPS)["global"]
+    return spatial_report(updates(spark, sf), by_city, zones.city_table(spark), windows, cell_km=CELL_KM, min_stops=MIN_STOPS)["global"]
 
 
 QUERIES, ORACLES = register.queries, register.oracles
