@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from urbanpulse.llm import (
-    decontaminate, jaccard, language, neighbours, privacy, quality, repeats, token_counts, tokens, toxicity)
+    decontaminate, jaccard, language, licenses, neighbours, privacy, quality, repeats, token_counts, tokens, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,9 +56,13 @@ def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents"))
 
 
+def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_bpe_codes, op2_near_vectors, op3_jaccard_join, op4_surrogates, op5_languages, op6_benchmark_leaks, op7_toxicity,
-    op8_quality, op9_token_counts, op10_repeated_bytes)}
+    op8_quality, op9_token_counts, op10_repeated_bytes, op11_licenses)}
 # Words of five-word shingles: between white space, lower-cased, letters and digits only.
 LEAKS_SQL = """
 WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'),
@@ -75,4 +79,29 @@ SELECT doc_id, count(item_id) AS n_items, coalesce(list(item_id ORDER BY item_id
        count(item_id) > 0 AS contaminated
 FROM documents LEFT JOIN hit USING (doc_id) GROUP BY doc_id
 """
-ORACLES: dict[str, str] = {"op6_benchmark_leaks": LEAKS_SQL}
+TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{phrase}')" for i, (phrase, label) in enumerate(licenses.TEMPLATES.items()))
+LICENSES_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+base AS (SELECT doc_id, i - 1 AS place, CASE WHEN w[i] = 'mit' THEN 'mit' WHEN w[i] = 'apache' THEN 'apache' ELSE 'gpl' END AS label
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+         WHERE (w[i] IN ('mit', 'apache') AND w[i + 1] = 'license') OR (w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license')),
+t AS (SELECT id, label, string_split(words, ' ') AS w FROM (VALUES {TEMPLATE_ROWS}) v(id, label, words)),
+tg AS (SELECT id, label, len(w) AS n, least(len(w), 3) AS k, i - 1 AS q, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS g
+       FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM t)),
+dg AS (SELECT doc_id, k, i - 1 AS p, array_to_string(w[i:i + k - 1], ' ') AS g
+       FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT unnest([2, 3]) AS k) WHERE len(w) >= k)),
+hit AS (SELECT DISTINCT doc_id, id, label, n, q, p - q AS diagonal FROM dg JOIN tg USING (k, g)),
+along AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, id ORDER BY diagonal) > (CASE WHEN n > 3 THEN 3 ELSE 0 END), true) AS b
+          FROM (SELECT DISTINCT doc_id, id, n, diagonal FROM hit)),
+span AS (SELECT *, sum(b::INT) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS s FROM along),
+found AS (SELECT doc_id, id, label, s, count(DISTINCT q) / (n - least(n, 3) + 1) AS cover
+          FROM hit JOIN span USING (doc_id, id, n, diagonal) GROUP BY doc_id, id, label, n, s HAVING cover >= 0.6),
+b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+             array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM base GROUP BY doc_id),
+m AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op6_benchmark_leaks": LEAKS_SQL, "op11_licenses": LICENSES_SQL}
