@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from urbanpulse.llm import (
-    decontaminate, jaccard, language, licenses, neighbours, privacy, quality, repeats, token_counts, tokens, toxicity)
+    decontaminate, jaccard, language, licenses, neighbours, privacy, quality, repeats, resample, token_counts, tokens, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,9 +60,14 @@ def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op12_importance_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_bpe_codes, op2_near_vectors, op3_jaccard_join, op4_surrogates, op5_languages, op6_benchmark_leaks, op7_toxicity,
-    op8_quality, op9_token_counts, op10_repeated_bytes, op11_licenses)}
+    op8_quality, op9_token_counts, op10_repeated_bytes, op11_licenses,
+    op12_importance_resample)}
 # Words of five-word shingles: between white space, lower-cased, letters and digits only.
 LEAKS_SQL = """
 WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'),
@@ -104,4 +109,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
        coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
 """
-ORACLES: dict[str, str] = {"op6_benchmark_leaks": LEAKS_SQL, "op11_licenses": LICENSES_SQL}
+# CRC-32 (reflected, 0xEDB88320) of UTF-8 bytes by its table of 256 remainders.
+CRC_TABLE = """tbl AS (SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)
+                 ORDER BY b) AS t FROM range(256) r(b))"""
+
+
+def crc_sql(text: str, crc_table: str = "t") -> str:
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(0, octet_length(encode({text}))::INT), lambda i: ('0x' || substr({digits}, (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, {crc_table}[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+RESAMPLE_SQL = f"""
+WITH {CRC_TABLE},
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+f AS (SELECT side, id, unnest(w) AS f FROM w UNION ALL
+      SELECT side, id, w[i] || ' ' || w[i + 1] FROM (SELECT side, id, w, unnest(range(1, len(w))) AS i FROM w)),
+hashed AS (SELECT f, {crc_sql("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM f), tbl),
+counted AS (SELECT side, id, bucket, count(*) AS n FROM f JOIN hashed USING (f) GROUP BY ALL),
+buckets AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM counted GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+          FROM (SELECT bucket, s, t, sum(s) OVER ()::BIGINT AS all_s, sum(t) OVER ()::BIGINT AS all_t FROM buckets)),
+weights AS (SELECT id, sum(n) AS n, floor(sum(n * gain) / sum(n))::BIGINT AS weight
+            FROM counted JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight, len(w.w) AS n_words,
+                  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+           FROM documents d JOIN w ON w.side = 'd' AND w.id = d.doc_id LEFT JOIN weights ON weights.id = d.doc_id),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= n * 25 // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op12_importance_resample": RESAMPLE_SQL, "op6_benchmark_leaks": LEAKS_SQL, "op11_licenses": LICENSES_SQL}
