@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from urbanpulse.llm import (
-    decontaminate, jaccard, language, licenses, neighbours, privacy, quality, repeats, resample, token_counts, tokens, toxicity)
+    decontaminate, jaccard, language, licenses, neighbours, prefixes, privacy, quality, repeats, resample, token_counts, tokens, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,10 +64,14 @@ def op12_importance_resample(spark: SparkSession, folder: str) -> DataFrame:
     return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_bpe_codes, op2_near_vectors, op3_jaccard_join, op4_surrogates, op5_languages, op6_benchmark_leaks, op7_toxicity,
     op8_quality, op9_token_counts, op10_repeated_bytes, op11_licenses,
-    op12_importance_resample)}
+    op12_importance_resample, op13_prefix_trie)}
 # Words of five-word shingles: between white space, lower-cased, letters and digits only.
 LEAKS_SQL = """
 WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'),
@@ -140,4 +144,22 @@ scored AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weigh
 ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= n * 25 // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
 """
-ORACLES: dict[str, str] = {"op12_importance_resample": RESAMPLE_SQL, "op6_benchmark_leaks": LEAKS_SQL, "op11_licenses": LICENSES_SQL}
+TRIE_SQL = f"""
+WITH {CRC_TABLE},
+turns AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST,
+            sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+          FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT a.conv_id, a.own, b.own AS base, ({crc_sql("a.conv_id::VARCHAR")}) % 6 AS h
+          FROM turns a LEFT JOIN turns b ON b.conv_id = a.conv_id - a.conv_id % 100, tbl),
+whole AS (SELECT conv_id, list_concat(coalesce(base, [])[1:h], own[h + 1:]) AS p FROM heads),
+steps AS (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM whole),
+nodes AS (SELECT p[1:d] AS k, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 string_agg(conv_id, ',' ORDER BY conv_id) FILTER (d = len(p)) AS ends FROM steps GROUP BY p[1:d], d),
+own AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(k[d].x) END AS saved,
+               (SELECT count(*) FROM nodes c WHERE c.d = nodes.d + 1 AND c.k[1:nodes.d] = nodes.k) AS n_children FROM nodes),
+below AS (SELECT a.k, a.d, sum(b.saved)::BIGINT AS saved_tokens, count(*) FILTER (b.n_children = 0) AS n_leaves
+          FROM own a JOIN (SELECT k, saved, n_children, unnest(range(0, d + 1)) AS up FROM own) b ON b.up = a.d AND b.k[1:b.up] = a.k GROUP BY a.k, a.d)
+SELECT o.conv_id, o.d AS depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, sha256(coalesce(o.ends, '')) AS ends_sha256
+FROM own o JOIN below USING (k, d) LEFT JOIN nodes u ON u.d = o.d - 1 AND u.k = o.k[1:o.d - 1]
+"""
+ORACLES: dict[str, str] = {"op13_prefix_trie": TRIE_SQL, "op12_importance_resample": RESAMPLE_SQL, "op6_benchmark_leaks": LEAKS_SQL, "op11_licenses": LICENSES_SQL}
