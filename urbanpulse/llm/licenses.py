@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from urbanpulse.session import small_side
+
 GRAM = 3
 DRIFT = 3
 COVER = 0.6
@@ -95,10 +97,11 @@ def with_grams(rows: DataFrame, keys: list[str], known: Sequence[int] | None = N
 
 def template_grams(spark, templates: Mapping[str, str]) -> DataFrame:
     """template, label, grams, drift, k, q, hash, gram: the grams that templates are searched by; bounded by the literals."""
-    rows = [(i, label, len(phrase.split()), phrase.split()) for i, (phrase, label) in enumerate(templates.items())]
-    if any(n < 2 for _, _, n, _ in rows):
+    if any(len(phrase.split()) < 2 for phrase in templates):
         raise ValueError("a template needs two words")
-    own = spark.createDataFrame(rows, "template int, label string, n int, words array<string>").coalesce(1)
+    rows = [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.array(*map(F.lit, phrase.split())).alias("words"))
+            for i, (phrase, label) in enumerate(templates.items())]
+    own = spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows))).withColumn("n", F.size("words"))
     k = F.least(F.col("n"), F.lit(GRAM))
     grams = with_grams(own, ["template", "label", "n"]).where(F.size("gram") == k)
     return grams.select("template", "label", (F.col("n") - k + 1).alias("grams"), F.when(F.col("n") > GRAM, DRIFT).otherwise(0).alias("drift"),
@@ -152,7 +155,8 @@ def scan(docs: DataFrame) -> DataFrame:
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("first_word"))).alias("first_word"),
         F.max(F.when(base, F.col("first_word"))).alias("last_word"), *listed, F.max("cover").alias("score"))
     told = own.select("doc_id", "digest", F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words"))
-    return told.join(found, "digest", "left").select(
+    # written first, so that the join deals both sides anew and can split a text that many rows share
+    return told.join(small_side(found), "digest", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"))
