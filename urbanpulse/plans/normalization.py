@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanpulse.fixed import RAW_LAYOUT
+from urbanpulse.functions.times import folder_date
 from urbanpulse.operators.dedup import dedup_clock, latest_flights, latest_trips
 from urbanpulse.operators.normalize import (
     NORMALIZERS,
@@ -18,31 +19,38 @@ from urbanpulse.operators.normalize import (
 )
 from urbanpulse.operators.unify import project
 from urbanpulse.session import materialise
+from urbanpulse.sources import commits
 from urbanpulse.sources.schemas import NORMALIZED
 from urbanpulse.sources.sinks import (
-    drop_other_runs,
     end_run,
     in_interval,
     mark_processed,
     not_processed,
     open_runs,
-    plan_run,
+    plan_runs,
     read_ledger,
+    read_outcome,
     read_plan,
     record_unread,
     with_file_date,
     write_normalized,
+    write_outcome,
 )
-from urbanpulse.sources.snapshots import FILE, FOLDER_DATE, any_of, latest_file, listing, scan_feed
+from urbanpulse.sources.snapshots import FILE, FOLDER_DATE, any_of, latest_file, listing, scan_feed, table_schema
 
 FEEDS = ("flights", "bikes", "road_weather", "travel_times", "situations", "trips")
+# Files of a run, unless one date has more: their names pass through the driver.
+RUN_FILES = 50_000
 
 
 def new_files(spark: SparkSession, raw: str, feed: str, ledger: str, start: str | None, end: str | None,
               rerun_all: bool, all_dates: bool) -> DataFrame:
-    """Files of a feed inside the interval that the ledger does not hold."""
+    """Files of a feed inside the interval that the ledger does not hold; date folders outside it are not listed."""
     folder, patterns = RAW_LAYOUT[feed]
-    dated = with_file_date(listing(spark, f"{raw.rstrip('/')}/{folder}", any_of(patterns)))
+    if start is None and end is None and not all_dates:
+        start = end = str(spark.range(1).select(F.current_date()).first()[0])
+    span = None if all_dates else (start, end)
+    dated = with_file_date(listing(spark, f"{raw.rstrip('/')}/{folder}", any_of(patterns), dates=span))
     if not all_dates:
         dated = dated.where(in_interval(F.col("date"), start, end))
     return not_processed(dated, read_ledger(spark, ledger, feed), rerun_all)
@@ -81,41 +89,117 @@ def normalize_feed(spark: SparkSession, raw: str, out: str, ledger: str, feed: s
                    end: str | None = None, rerun_all: bool = False, all_dates: bool = False) -> Files:
     """Process the new files of a feed.
 
-    A run's file list is written down before its data, and its digest names the run. Runs that did not
-    end are repeated first, with the same list, and overwrite their own output; only then are new
-    files planned. So neither a crash nor files that arrive after it double or lose rows. With `rerun_all`
-    the run replaces what earlier runs wrote for its dates.
+    A run's file list is written down before its data. Its rows count once a version of the table names
+    them, so a reader sees a run whole or not at all. Runs that did not end are repeated first: those whose rows
+    count are only entered in the ledger, the others begin anew. So neither a crash nor files that arrive after it double or
+    lose rows. With `rerun_all` a run replaces the dates of which it could read all files again.
     """
+    commits.begin(spark, table_of(out, feed))
     done = [process(spark, raw, out, ledger, feed, run) for run in open_runs(spark, ledger, feed)]
     files = materialise(new_files(spark, raw, feed, ledger, start, end, rerun_all, all_dates))
-    if not files.isEmpty():
-        done.append(process(spark, raw, out, ledger, feed, plan_run(files, ledger, feed, rerun_all)))
+    mark = f"v{commits.versions(spark, table_of(out, feed))[-1]}"
+    for run in plan_runs(files, ledger, feed, rerun_all, mark, RUN_FILES):
+        done.append(process(spark, raw, out, ledger, feed, run))
     return Files(sum(d.read for d in done), sum(d.unread for d in done))
 
 
+def table_of(out: str, feed: str) -> str:
+    return f"{out.rstrip('/')}/{feed}"
+
+
 def process(spark: SparkSession, raw: str, out: str, ledger: str, feed: str, run: str) -> Files:
     """Carry out a planned run.
 
-    Its files are named to the reader, so others are not opened. A look at their footers tells which can be read;
-    these are then read strictly, so that an error of the store fails the run instead of losing rows.
+    A look at the footers of its files tells which can be opened; these are read strictly. If that fails, the files that
+    break are found, set aside with the reason, and the others are read; an error that no file
+    brings about fails the run, which is repeated next time.
     """
-    plan = materialise(read_plan(spark, ledger, feed, run))
+    table, plan = table_of(out, feed), materialise(read_plan(spark, ledger, feed, run))
+    first, told = plan.first(), commits.holds(spark, table, run)
+    if told and (outcome := read_outcome(spark, ledger, feed, run)) is not None:  # it only lacks its ledger entry
+        return settle(outcome, ledger, feed, run)
     keys = [r["key"] for r in plan.select("key").toLocalIterator()]
     sound = scan_feed(spark, raw, feed, files=keys).groupBy(FILE).agg(F.count(F.lit(1)).alias("n_rows"))
-    seen = materialise(plan.join(sound.withColumnRenamed(FILE, "key"), "key", "left"))
-    readable = seen.where("n_rows > 0")
-    unread = seen.where("n_rows IS NULL").withColumn("reason", F.lit("unreadable or without rows"))
-    names = [r["key"] for r in readable.select("key").toLocalIterator()]
+    seen = plan.join(sound.withColumnRenamed(FILE, "key"), "key", "left")
+    reason = F.when(F.col("n_rows").isNull(), "unreadable or without rows")
+    state = materialise(seen.withColumn("reason", reason))
+    if told:  # another ledger entered it
+        return settle(state, ledger, feed, run)
+    commits.clear(spark, table, run, [r["date"] for r in plan.select("date").distinct().toLocalIterator()])
+    names = [r["key"] for r in state.where("reason IS NULL").select("key").toLocalIterator()]
     if names:
-        write_normalized(normalized(spark, raw, feed, scan_feed(spark, raw, feed, files=names, skip_corrupt=False)), out, run, feed)
-        if plan.first()["replaces"]:
-            drop_other_runs(spark, out, feed, [r["date"] for r in readable.select("date").distinct().toLocalIterator()], run)
-        mark_processed(readable, ledger, feed)
-    lost = len(keys) - len(names)
+        try:
+            write_rows(spark, raw, out, feed, run, names)
+        except Exception:
+            broken = broken_files(spark, raw, feed, names)
+            if not broken:
+                raise
+            bad = spark.createDataFrame(sorted(broken.items()), "key string, why string")
+            state = materialise(state.join(bad, "key", "left").withColumn("reason", F.coalesce("reason", "why")).drop("why"))
+            names = [r["key"] for r in state.where("reason IS NULL").select("key").toLocalIterator()]
+            commits.clear(spark, table, run, [r["date"] for r in plan.select("date").distinct().toLocalIterator()])
+            if names:
+                write_rows(spark, raw, out, feed, run, names)
+    good, unread = state.where("reason IS NULL"), state.where("reason IS NOT NULL")
+    if first["replaces"]:
+        lost = read_ledger(spark, ledger, feed).join(good, "key", "left_anti")
+        kept = lost.select(F.coalesce("date", folder_date(F.col("key")).cast("string")).alias("date")).distinct()
+        unread = unread.unionByName(good.join(kept, "date", "left_semi").withColumn(
+            "reason", F.lit("its date was not replaced, as not all of the date's files could be read")))
+        good = good.join(kept, "date", "left_anti")
+    write_outcome(good.unionByName(unread), ledger, feed, run)
+    outcome = read_outcome(spark, ledger, feed, run)
+    dates = [r["date"] for r in outcome.where("reason IS NULL").select("date").distinct().toLocalIterator()]
+    if dates:
+        commits.add_run(spark, table, run, commits.written_dates(spark, table, run, dates), dates if first["replaces"] else ())
+    return settle(outcome, ledger, feed, run)
+
+
+def settle(outcome: DataFrame, ledger: str, feed: str, run: str) -> Files:
+    """Enter what became of a run's files, once its rows count, and end the run."""
+    unread = outcome.where("reason IS NOT NULL")
+    read, lost = outcome.where("reason IS NULL").count(), unread.count()
+    if read:
+        mark_processed(outcome.where("reason IS NULL"), ledger, feed)
     if lost:
         record_unread(unread, ledger, feed, run)
-    end_run(spark, ledger, feed, run)
-    return Files(len(names), lost)
+    end_run(outcome.sparkSession, ledger, feed, run)
+    return Files(read, lost)
+
+
+def write_rows(spark: SparkSession, raw: str, out: str, feed: str, run: str, names: list[str]) -> None:
+    rows = scan_feed(spark, raw, feed, files=names, skip_corrupt=False)
+    write_normalized(normalized(spark, raw, feed, rows), out, run, feed)
+
+
+def broken_files(spark: SparkSession, raw: str, feed: str, names: list[str]) -> dict[str, str]:
+    """The files that cannot be read to their end, with the reason.
+
+    One pass reads every page and skips the rest of a file that breaks: files with fewer rows than their footers
+    tell are broken. Errors that Spark does not skip are cornered by halving the files that fail.
+    """
+    try:
+        whole = scan_feed(spark, raw, feed, files=names).groupBy(FILE).agg(F.count(F.lit(1)).alias("n"))
+        rows = scan_feed(spark, raw, feed, files=names)
+        pages = rows.groupBy(FILE).agg(F.count(F.lit(1)).alias("read"), F.bit_xor(F.xxhash64(*rows.columns)).alias("all_columns"))
+        short = whole.join(pages, FILE, "left").where("n > coalesce(read, 0) OR (read > 0 AND all_columns IS NULL)")
+        return {r[FILE]: f"{r['read'] or 0} of {r['n']} rows could be read" for r in short.toLocalIterator()}
+    except Exception as error:
+        if len(names) == 1:
+            return {names[0]: f"{type(error).__name__}: {str(error).splitlines()[0][:200]}"}
+        middle = len(names) // 2
+        return broken_files(spark, raw, feed, names[:middle]) | broken_files(spark, raw, feed, names[middle:])
+
+
+def compact_feed(spark: SparkSession, out: str, feed: str, target: int = commits.TARGET_BYTES, dates: list[str] | None = None) -> list[str]:
+    """Pack the small files of a feed's table; returns the dates whose files changed."""
+    commits.begin(spark, table_of(out, feed))
+    return commits.compact(spark, table_of(out, feed), table_schema(feed), target, dates)
+
+
+def sweep_feed(spark: SparkSession, out: str, ledger: str, feed: str, keep: int = 10) -> int:
+    """Remove what the last versions of a feed's table do not hold."""
+    return commits.sweep(spark, table_of(out, feed), open_runs(spark, ledger, feed), keep)
 
 
 def normalize_all(spark: SparkSession, raw: str, out: str, ledger: str, start: str | None = None,

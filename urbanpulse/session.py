@@ -70,6 +70,14 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Move a file or folder to a name that is free; False if the name is taken."""
+    system, target = _file_system(spark, new)
+    if system.exists(target):
+        return False
+    return system.rename(spark._jvm.org.apache.hadoop.fs.Path(old), target)
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
     system, target = _file_system(spark, path)
     return system.getContentSummary(target).getLength()

@@ -11,7 +11,7 @@ from urbanpulse.functions.times import folder_date
 from urbanpulse.session import child_names, path_exists, remove
 from urbanpulse.sources.schemas import each, struct
 
-LEDGER = struct(each("source key"))
+LEDGER = struct(each("source key date"))
 PLAN = struct(each("key date")).add("replaces", "boolean")
 
 
@@ -24,10 +24,9 @@ def write_documents(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_normalized(df: DataFrame, base: str, run: str, feed: str, date_column: str = "date") -> None:
-    """Append one run of a feed to its table, under <base>/<feed>/date=/run=.
+    """Write one run of a feed under <base>/<feed>/date=/run=; it counts once `commits.add_run` says so.
 
-    The run name is derived from its input files, and only the partitions of this run are
-    overwritten: repeating a run that died half-way replaces its own output.
+    Only the partitions of this run are overwritten.
     """
     out = df.withColumns({"run": F.lit(run), "date": F.col(date_column).cast("date")})
     (
@@ -46,7 +45,7 @@ def overwrite_csv(df: DataFrame, path: str) -> None:
 
 
 def read_ledger(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
-    """Files already processed; an absent ledger is empty."""
+    """Files already processed, with their dates where they were told; an absent ledger is empty."""
     if path_exists(spark, path):
         ledger = spark.read.schema(LEDGER).parquet(path)
     else:
@@ -57,29 +56,60 @@ def read_ledger(spark: SparkSession, path: str, source: str | None = None) -> Da
 def mark_processed(files: DataFrame, path: str, source: str) -> None:
     """Add keys to the ledger; keys it holds already are not added again."""
     known = read_ledger(files.sparkSession, path, source)
-    fresh = files.select(F.lit(source).alias("source"), "key").distinct().join(known, ["source", "key"], "left_anti")
-    fresh.write.mode("append").parquet(path)
+    date = F.col("date").cast("string") if "date" in files.columns else F.lit(None).cast("string")
+    fresh = files.select(F.lit(source).alias("source"), "key", date.alias("date")).dropDuplicates(["key"])
+    fresh.join(known, ["source", "key"], "left_anti").write.mode("append").parquet(path)
 
 
-def plan_run(files: DataFrame, ledger: str, source: str, replaces: bool) -> str:
-    """Write down which files a run takes (key, date) before it begins; returns its name."""
-    name = run_name(files)
-    rows = files.select("key", F.col("date").cast("string").alias("date"), F.lit(replaces).alias("replaces"))
-    rows.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}-plans/{source}/{name}")
-    return name
+def plan_runs(files: DataFrame, ledger: str, source: str, replaces: bool, mark: str, most: int) -> list[str]:
+    """Write down which files (key, date) each run takes before it begins; returns the runs' names.
+
+    A run takes whole dates, at most `most` files of them unless one date has more, so that a run's file names fit
+    the driver. Its name is a digest of its files; runs that replace others add `mark`, so that they never write where rows count.
+    """
+    spark, names, dates, held = files.sparkSession, [], [], 0
+
+    def plan(own: list) -> None:
+        taken = files.where(F.col("date").isin(own))
+        names.append(run_name(taken) + (f"-{mark}" if replaces else ""))
+        rows = taken.select("key", F.col("date").cast("string").alias("date"), F.lit(replaces).alias("replaces"))
+        rows.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}-plans/{source}/{names[-1]}")
+
+    for r in files.groupBy("date").agg(F.count(F.lit(1)).alias("n")).orderBy("date").toLocalIterator():
+        if dates and held + r["n"] > most:
+            plan(dates)
+            dates, held = [], 0
+        dates.append(r["date"])
+        held += r["n"]
+    if dates:
+        plan(dates)
+    return names
 
 
 def open_runs(spark: SparkSession, ledger: str, source: str) -> list[str]:
-    """Runs that were planned and did not end."""
-    return sorted(child_names(spark, f"{ledger.rstrip('/')}-plans/{source}"))
+    """Runs that were planned and did not end; a plan that was not written to its end is none."""
+    plans = f"{ledger.rstrip('/')}-plans/{source}"
+    return sorted(n for n in child_names(spark, plans) if path_exists(spark, f"{plans}/{n}/_SUCCESS"))
 
 
 def read_plan(spark: SparkSession, ledger: str, source: str, run: str) -> DataFrame:
     return spark.read.schema(PLAN).parquet(f"{ledger.rstrip('/')}-plans/{source}/{run}")
 
 
+def write_outcome(files: DataFrame, ledger: str, source: str, run: str) -> None:
+    """What became of each file of a run (reason: null if its rows are written), noted before the rows count."""
+    rows = files.select("key", "date", "reason")
+    rows.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}-outcomes/{source}/{run}")
+
+
+def read_outcome(spark: SparkSession, ledger: str, source: str, run: str) -> DataFrame | None:
+    path = f"{ledger.rstrip('/')}-outcomes/{source}/{run}"
+    return spark.read.schema(struct(each("key date reason"))).parquet(path) if path_exists(spark, f"{path}/_SUCCESS") else None
+
+
 def end_run(spark: SparkSession, ledger: str, source: str, run: str) -> None:
     remove(spark, f"{ledger.rstrip('/')}-plans/{source}/{run}")
+    remove(spark, f"{ledger.rstrip('/')}-outcomes/{source}/{run}")
 
 
 def record_unread(files: DataFrame, ledger: str, source: str, run: str) -> None:
@@ -95,15 +125,6 @@ def read_unread(spark: SparkSession, ledger: str) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
-def drop_other_runs(spark: SparkSession, base: str, feed: str, dates: Iterable[str], run: str) -> None:
-    """Remove what earlier runs wrote for these dates."""
-    for date in dates:
-        folder = f"{base.rstrip('/')}/{feed}/date={date}"
-        for name in child_names(spark, folder):
-            if name.startswith("run=") and name != f"run={run}":
-                remove(spark, f"{folder}/{name}")
-
-
 def not_processed(files: DataFrame, ledger: DataFrame, rerun_all: bool = False) -> DataFrame:
     """Files the ledger does not hold."""
     return files if rerun_all else files.join(ledger.select("key"), "key", "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 
 from urbanpulse.fixed import FILE_NAME_TESTS, RAW_LAYOUT, REQUIRED_COLUMNS
 from urbanpulse.functions.times import bucket, folder_date
-from urbanpulse.session import path_exists, utc
+from urbanpulse.session import child_names, path_exists, utc
+from urbanpulse.sources.commits import parts, read_parts, versions
 from urbanpulse.sources.schemas import NORMALIZED, RAW
 
 FILE = "_file"
@@ -73,17 +75,46 @@ def scan_feed(spark: SparkSession, base: str, feed: str, dates: tuple[str, str]
               files: list[str] | None = None, skip_corrupt: bool = True) -> DataFrame:
     """Raw rows of one feed by its landing layout and declared schema (situations keep their own columns)."""
     folder, patterns = RAW_LAYOUT[feed]
-    named = [re.sub(r"([\\*?\[\]{}])", r"\\\1", f) for f in files] if files else None  # names, not globs
+    named = [literal(f) for f in files] if files else None
     return scan(spark, named or f"{base.rstrip('/')}/{folder}", RAW.get(feed), patterns, dates, skip_corrupt=skip_corrupt)
 
 
-def listing(spark: SparkSession, folder: str, pattern: str = "*.parquet",
-            skip_normalized: bool = True) -> DataFrame:
-    """One row per file: key, last_modified and bytes, from the file index alone (no content is read)."""
+def dated_folders(spark: SparkSession, folder: str, dates: tuple[str | None, str | None]) -> list[str]:
+    """What to list of a landing folder for an interval of dates: its date folders inside it and all that has no date in its name."""
+    first, last = dates
+
+    def wanted(name: str) -> bool:
+        return not real_date(name) or ((first is None or name >= first) and (last is None or name <= last))
+
+    return [f"{folder.rstrip('/')}/{literal(n)}" for n in child_names(spark, folder) if wanted(n)]
+
+
+def real_date(name: str) -> bool:
+    """Whether a name is a date in the way that folder dates are told."""
+    try:
+        return len(name) == 10 and date.fromisoformat(name) is not None
+    except ValueError:
+        return False
+
+
+def literal(name: str) -> str:
+    """A file or folder name as a glob that only it fits."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*.parquet", skip_normalized: bool = True,
+            dates: tuple[str | None, str | None] | None = None) -> DataFrame:
+    """One row per file: key, last_modified and bytes, from the file index alone (no content is read).
+
+    With `dates`, an inclusive interval with open ends, folders of other dates are not listed.
+    """
     utc(spark)
+    paths = [folder] if dates is None else dated_folders(spark, folder, dates)
+    if not paths:
+        return spark.createDataFrame([], "key string, last_modified timestamp, bytes long")
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).load(folder)
+        .option("pathGlobFilter", pattern).load(paths)
         .select(F.regexp_replace("path", "^file:/+", "file:/").alias("key"), F.col("modificationTime").alias("last_modified"),
                 F.col("length").alias("bytes"))
     )
@@ -157,19 +188,30 @@ def read_normalized_files(spark: SparkSession, folder: str, feed: str,
 
 def read_normalized_table(spark: SparkSession, base: str, feed: str,
                           dates: tuple[str, str] | None = None) -> DataFrame:
-    """A feed's normalized table, partitioned by date: the window prunes partitions, else all are read.
+    """A feed's normalized table as its newest version has it: only folders of the window are read, else all are.
 
-    A feed that was never written is empty.
+    A feed that was never written is empty; a table without versions, as older releases wrote it, is read whole.
     """
     path = f"{base.rstrip('/')}/{feed}"
-    schema = T.StructType([f for f in NORMALIZED[feed].fields if f.name != "date"]).add("date", "date").add("run", "string")
+    schema = table_schema(feed)
     if not path_exists(utc(spark), path):
         return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema).parquet(path)
+    if not versions(spark, path):
+        df = spark.read.schema(schema).parquet(path)
+        if dates:
+            inside = df.where(F.col("date").between(F.lit(dates[0]).cast("date"), F.lit(dates[1]).cast("date")))
+            return df if inside.isEmpty() else inside
+        return df
+    now = parts(spark, path)
     if dates:
-        inside = df.where(F.col("date").between(F.lit(dates[0]).cast("date"), F.lit(dates[1]).cast("date")))
-        return df if inside.isEmpty() else inside
-    return df
+        inside = now.where(F.col("date").between(F.lit(dates[0]), F.lit(dates[1])))
+        now = now if inside.isEmpty() else inside
+    return read_parts(spark, path, schema, now)
+
+
+def table_schema(feed: str) -> T.StructType:
+    """Columns of a feed's normalized table, with the two of its folders."""
+    return T.StructType([f for f in NORMALIZED[feed].fields if f.name != "date"]).add("date", "date").add("run", "string")
 
 
 def stop_rows(trips: DataFrame, operator: str | None = None) -> DataFrame:
