@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from urbanpulse.llm.components import components
 from urbanpulse.llm.packing import dealt, mix, packed_parts, whole_parts
 from urbanpulse.llm.text import Memory, slices
-from urbanpulse.session import materialise
+from urbanpulse.session import materialise, small_side
 
 WORDS, PERCENT = 3, 90
 RARITY = 3.0
@@ -342,7 +342,7 @@ def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     packed = texts.select("text").mapInArrow(lambda b: signature_rows(b, rule, plans, 2 * partitions), "part int, blob binary")
     tested = materialise(dealt(packed, partitions).mapInArrow(candidate_rows, "u long, v long").distinct())
     asked = tested.select(F.explode(F.array("u", "v")).alias("class")).distinct()
-    wanted = asked.join(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
+    wanted = small_side(asked.join(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class"))
     rows = texts.where("doc_id IS NOT NULL").join(wanted, "doc_id")
     if not wanted.where("doc_id IS NULL").isEmpty():  # classes of rows without a doc_id only
         rows = rows.unionByName(texts.where("doc_id IS NULL").withColumn("class", F.lit(None).cast("long")))
