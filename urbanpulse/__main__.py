@@ -1,4 +1,4 @@
-"""Command line, for spark-submit: normalize, analyze, inspect."""
+"""Command line, for spark-submit: normalize, compact, analyze, inspect."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from urbanpulse.fixed import PERIOD_SETS, Period
 from urbanpulse.operators.periods import day_end, window_bounds
 from urbanpulse.plans.impact import Impact, analyse_table, summary_row
-from urbanpulse.plans.normalization import FEEDS, normalize_all
+from urbanpulse.plans.normalization import FEEDS, compact_feed, normalize_all, sweep_feed
 from urbanpulse.session import utc
 from urbanpulse.sources.sinks import append_csv
 from urbanpulse.sources.snapshots import profile, read_normalized_table
@@ -41,6 +41,11 @@ def parser() -> argparse.ArgumentParser:
     n.add_argument("--all", action="store_true", help="all dates instead of today")
     n.add_argument("--re-run-all", action="store_true", help="take all files again and replace what their dates hold")
     n.add_argument("--only-trips", action="store_true", help="transit delays only")
+    c = commands.add_parser("compact", help="pack small files of the normalized tables and remove what no longer counts")
+    c.add_argument("--tables", required=True)
+    c.add_argument("--ledger", required=True)
+    c.add_argument("--target-mb", type=int, default=128)
+    c.add_argument("--keep-versions", type=int, default=10)
     a = commands.add_parser("analyze", help="weather impact for one window or a set of periods")
     a.add_argument("--tables", required=True)
     a.add_argument("--mode", choices=("single", "compare"), default="single")
@@ -80,6 +85,11 @@ def main(argv: Sequence[str] | None = None) -> None:
                              args.re_run_all, args.all, args.only_trips)
         for feed, files in done.items():
             print(f"{feed}: {files.read} files" + f", {files.unread} unread" * (files.unread > 0))
+    elif args.command == "compact":
+        for feed in FEEDS:
+            dates = compact_feed(spark, args.tables, feed, args.target_mb << 20)
+            gone = sweep_feed(spark, args.tables, args.ledger, feed, args.keep_versions)
+            print(f"{feed}: {len(dates)} dates packed, {gone} old parts removed")
     elif args.command == "inspect":
         for feed in FEEDS:
             print(feed)

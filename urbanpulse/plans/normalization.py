@@ -18,7 +18,7 @@ from urbanpulse.operators.normalize import (
     station_capacity,
 )
 from urbanpulse.operators.unify import project
-from urbanpulse.session import materialise
+from urbanpulse.session import materialise, path_exists
 from urbanpulse.sources import commits
 from urbanpulse.sources.schemas import NORMALIZED
 from urbanpulse.sources.sinks import (
@@ -193,6 +193,8 @@ def broken_files(spark: SparkSession, raw: str, feed: str, names: list[str]) ->
 
 def compact_feed(spark: SparkSession, out: str, feed: str, target: int = commits.TARGET_BYTES, dates: list[str] | None = None) -> list[str]:
     """Pack the small files of a feed's table; returns the dates whose files changed."""
+    if not path_exists(spark, table_of(out, feed)):
+        return []
     commits.begin(spark, table_of(out, feed))
     return commits.compact(spark, table_of(out, feed), table_schema(feed), target, dates)
 

@@ -78,8 +78,28 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
     return system.rename(spark._jvm.org.apache.hadoop.fs.Path(old), target)
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file, whole."""
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    system, target = _file_system(spark, path)
+    stream = system.create(target, True)
+    stream.write(bytearray(data))
+    stream.close()
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, target = _file_system(spark, path)
+    system.mkdirs(target)
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files in a folder; 0 if it does not exist."""
     system, target = _file_system(spark, path)
+    if not system.exists(target):
+        return 0
     return system.getContentSummary(target).getLength()
 
 
