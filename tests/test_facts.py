@@ -14,6 +14,7 @@ from urbanpulse.functions.stats import safe_corr
 from urbanpulse.operators import correlate, peak
 from urbanpulse.operators.minute_fact import minute_fact, records_per_source, valid_temperature, with_index, with_variants
 from urbanpulse.operators.periods import day_end, in_window, part_of_day, window_bounds, with_period_table, with_periods
+from urbanpulse.operators import quantiles
 from urbanpulse.operators.quantiles import exact_quantiles
 from urbanpulse.plans.impact import analyse, period_fact
 from urbanpulse.session import materialise
@@ -154,16 +155,17 @@ def test_welch_degenerate(spark):
     assert peak.peak_offpeak(two, {"bikes": "bikes_in_use"}).first()["ratio"] is None
 
 
-def test_exact_quantiles_with_weights_ties_and_outliers(spark):
+def test_exact_quantiles_with_weights_ties_and_outliers(spark, monkeypatch):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.integers(0, 50, 3000), rng.normal(size=2000) * 1e-3, [1e12, -1e12]])
     rows = spark.createDataFrame([("g", float(v), 2) for v in values] + [(None, 1.0, 1)], "g string, v double, w bigint")
-    for rounds in (0, 1, 3):
-        out = {r["g"]: r for r in exact_quantiles(rows, ["g"], "v", {"m": 0.5, "p95": 0.95, "p1": 0.01}, rounds=rounds).collect()}
+    for few in (50_000, 100):
+        monkeypatch.setattr(quantiles, "FEW", few)
+        out = {r["g"]: r for r in exact_quantiles(rows, ["g"], "v", {"m": 0.5, "p95": 0.95, "p1": 0.01}).collect()}
         assert [out["g"][c] for c in ("m", "p95", "p1")] == pytest.approx(list(np.percentile(values, [50, 95, 1])), abs=1e-12)
         assert out[None]["m"] == 1.0
-    doubled = exact_quantiles(rows.where("g = 'g'"), ["g"], "v", {"m": 0.4}, "w").first()
-    assert doubled["n"] == 2 * len(values) and doubled["m"] == pytest.approx(np.percentile(np.repeat(values, 2), 40), abs=1e-12)
+        doubled = exact_quantiles(rows.where("g = 'g'"), ["g"], "v", {"m": 0.4}, "w").first()
+        assert doubled["n"] == 2 * len(values) and doubled["m"] == pytest.approx(np.percentile(np.repeat(values, 2), 40), abs=1e-12)
 
 
 def test_whole_analysis(spark):
@@ -213,14 +215,29 @@ def test_rounding_at_both_ends(spark):
     assert tuple(row) == (1e27, -2.5e300, 1.3, None, None, 0.0)
 
 
-def test_quantiles_with_one_outlier_stay_split(spark, monkeypatch):
-    from urbanpulse.operators import quantiles
-
+def test_quantiles_count_few_values_of_large_groups(spark, monkeypatch):
+    """An outlier, ties and infinities do not widen the brackets."""
     monkeypatch.setattr(quantiles, "FEW", 500)
-    values = np.append(np.random.default_rng(0).random(20_000), 1e9)
-    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
-    seen = []
-    monkeypatch.setattr(quantiles, "materialise", lambda d: seen.append(out := materialise(d)) or out)
-    got = exact_quantiles(df, ["g"], "v", {"q": 0.5}).first()["q"]
-    assert got == pytest.approx(np.quantile(values, 0.5), abs=0)
-    assert seen[-1].agg(F.max("_rows")).first()[0] <= 500
+    rng = np.random.default_rng(0)
+    for spoiled in ([1e9], [float("inf")] * 3 + [float("-inf")] * 2, [0.5] * 15_000, [-1.7e308, 1.7e308]):
+        values = np.append(rng.random(20_000), spoiled)
+        df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
+        got = exact_quantiles(df, ["g"], "v", {"q": 0.5, "low": 0.001, "high": 0.999}).first()
+        want = np.sort(values)
+        for name, p in (("q", 0.5), ("low", 0.001), ("high", 0.999)):
+            at = (len(want) - 1) * p
+            low, high = want[int(at)], want[int(np.ceil(at))]
+            assert got[name] == pytest.approx(low if low == high else low + (high - low) * (at - int(at)), abs=1e-12)
+        b = quantiles.brackets(df.select("g", F.col("v").alias("_v")), ["g"], [0.5]).first()["_b"][0]
+        assert sum(b["lo"] <= v <= b["hi"] for v in set(values)) < 60
+
+
+def test_quantiles_of_infinities(spark, monkeypatch):
+    inf = float("inf")
+    groups = {"a": [inf], "b": [1.0, inf], "c": [-inf, 1.0], "d": [-inf, inf], "e": [inf, inf, 1.0], "f": [float("nan"), None, 2.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    out = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert (out["a"], out["b"], out["c"], out["e"], out["f"]) == (inf, inf, -inf, inf, 2.0) and np.isnan(out["d"])
+    arrivals = spark.createDataFrame([("g", v, 10) for v in (1.0, inf, inf, 2.0) for _ in range(30)], "g string, v double, w bigint")
+    monkeypatch.setattr(quantiles, "FEW", 20)
+    assert exact_quantiles(arrivals, ["g"], "v", {"m": 0.5, "low": 0.1}, "w").first().asDict() == {"g": "g", "n": 1200, "m": inf, "low": 1.0}

@@ -102,6 +102,22 @@ def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return anomaly.score_histogram(events(spark, sf), ("event_type",), "value")
 
 
+@register(f"""WITH {EV}, long AS (SELECT event_type, k < 10 AS anomaly, 'value' AS feature, value AS v FROM ev
+  UNION ALL SELECT event_type, k < 10, 'user', user_id FROM ev),
+s AS (SELECT event_type, feature, anomaly, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-9::DOUBLE) AS v FROM long WINDOW w AS (PARTITION BY event_type, feature)),
+q AS (SELECT event_type, feature, anomaly, count(v) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM s GROUP BY ALL)
+SELECT event_type, feature, anomaly, CAST(any_value(n) AS BIGINT) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
+  round(min(v) FILTER (v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS whisker_low,
+  round(max(v) FILTER (v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
+  CAST(count(*) FILTER (NOT v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS BIGINT) AS n_outliers
+FROM s JOIN q USING (event_type, feature, anomaly) GROUP BY ALL""")
+def box_stats_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes over all events of a type, groups that grow with the data."""
+    rows = events(spark, sf).select("event_type", (F.col("k") < 10).alias("anomaly"), "value", F.col("user_id").alias("user"))
+    out = anomaly.box_stats(rows, ("value", "user"), ("event_type",))
+    return out.select("event_type", "feature", "anomaly", "n", *[r6(F.col(c), c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")], "n_outliers")
+
+
 @register(f"""{ZSCORED}, long AS (SELECT mode, anomaly, 'load' AS feature, hourly.load AS v FROM hourly JOIN flagged USING (period, mode, hour)
   UNION ALL SELECT mode, anomaly, 'headway', hourly.headway FROM hourly JOIN flagged USING (period, mode, hour)),
 s AS (SELECT mode, feature, anomaly, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-9::DOUBLE) AS v FROM long WINDOW w AS (PARTITION BY mode, feature)),
@@ -137,7 +153,7 @@ def iforest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     names = [f"d{i}" for i in range(vectors.agg(F.max(F.size("embedding"))).first()[0] or 1)]
     rows = vectors.select("label", "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(names)])
-    out = anomaly.detect_anomalies(rows, ("label",), names, "vec_id", bounded=False)
+    out = anomaly.detect_anomalies(rows, ("label",), names, "vec_id")
     return out.select("label", "vec_id", r6(F.col("if_score"), "if_score"), "if_label")
 
 

@@ -42,6 +42,18 @@ def gap_stats_ties(spark: SparkSession, sf: str) -> DataFrame:
     return health.gap_stats(rows, F.lit(43200))
 
 
+@register("""WITH late AS (SELECT event_type AS source, CASE WHEN event_id % 997 = 0 THEN ts + INTERVAL 400 DAY ELSE ts END AS ts FROM events),
+  gaps AS (SELECT source, count(*) OVER (PARTITION BY source) AS nf,
+  (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY source ORDER BY ts)) / 1e6::DOUBLE AS g FROM late) """
+          + GAP_STATS.format(keys="source", i=INTERVAL))
+def gap_stats_outage(spark: SparkSession, sf: str) -> DataFrame:
+    """A year without arrivals: one gap is a hundred thousand times the others."""
+    far = F.col("ts") + F.make_dt_interval(F.lit(400))
+    rows = events(spark, sf).select(
+        F.col("event_type").alias("source"), F.when(F.col("event_id") % 997 == 0, far).otherwise(F.col("ts")).alias("last_modified"))
+    return health.gap_stats(rows, F.lit(INTERVAL))
+
+
 @register("""SELECT source, round(g, 6) AS gap_s, CAST(count(*) AS BIGINT) AS n FROM (SELECT o_orderstatus AS source,
   (epoch_us(o_orderdate) - lag(epoch_us(o_orderdate)) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate)) / 1e6::DOUBLE AS g FROM orders)
 WHERE g IS NOT NULL GROUP BY ALL""")

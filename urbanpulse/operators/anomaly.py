@@ -15,14 +15,8 @@ from urbanpulse.operators.quantiles import exact_quantiles
 from urbanpulse.session import beside, materialise
 
 
-def medians(rows: DataFrame, group: Sequence[str], features: Sequence[str], bounded: bool = True) -> DataFrame:
-    """Median of each feature per group.
-
-    `bounded` groups (hours of a period) use the built-in exact percentile; others the
-    bucketed search, which never holds a group's values together.
-    """
-    if bounded:
-        return rows.groupBy(*group).agg(*[F.percentile(c, 0.5).alias(f"_median_{c}") for c in features])
+def medians(rows: DataFrame, group: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Median of each feature per group, whatever the size of a group."""
     long = rows.select(*group, F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])).alias("f")
     ).select(*group, "f.feature", "f.value")
@@ -31,11 +25,13 @@ def medians(rows: DataFrame, group: Sequence[str], features: Sequence[str], boun
         *[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"_median_{c}") for c in features])
 
 
-def standardise(rows: DataFrame, group: Sequence[str], features: Sequence[str], bounded: bool = True,
-                suffix: str = "_z") -> DataFrame:
-    """Median for gaps, then z-scores with the population deviation; a constant feature is divided by 1."""
+def standardise(rows: DataFrame, group: Sequence[str], features: Sequence[str], suffix: str = "_z") -> DataFrame:
+    """Median for gaps, then z-scores with the population deviation; a constant feature is divided by 1.
+
+    A group without any value of a feature has no median, and that feature stays null there.
+    """
     group = list(group)
-    filled = beside(rows, medians(rows, group, features, bounded), group)
+    filled = beside(rows, medians(rows, group, features), group, "left")
     filled = filled.select(*rows.columns, *[
         F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}")).alias(f"_fill_{c}") for c in features])
     moments = filled.groupBy(*group).agg(
@@ -47,13 +43,12 @@ def standardise(rows: DataFrame, group: Sequence[str], features: Sequence[str],
         for c in features])
 
 
-def detect_anomalies(rows: DataFrame, group: Sequence[str], features: Sequence[str], row_id: str,
-                     bounded: bool = True, **forest) -> DataFrame:
+def detect_anomalies(rows: DataFrame, group: Sequence[str], features: Sequence[str], row_id: str, **forest) -> DataFrame:
     """Impute, standardise, fit and score, for every group at once.
 
     The standardised rows are written once: sampling and scoring both read them.
     """
-    ready = materialise(standardise(rows, group, features, bounded))
+    ready = materialise(standardise(rows, group, features))
     scored = detect(ready, group, [f"{c}_z" for c in features], row_id, **forest)
     return scored.drop(*[f"{c}_z" for c in features])
 
@@ -109,7 +104,7 @@ def box_stats(rows: DataFrame, features: Sequence[str], group: Sequence[str] = (
               flag: str = "anomaly") -> DataFrame:
     """Box-plot data of min-max scaled features, split by the anomaly flag.
 
-    Quartiles are exact; whiskers end at the furthest value within 1.5 quartile ranges.
+    Quartiles are exact for groups of any size; whiskers end at the furthest value within 1.5 quartile ranges.
     """
     group = list(group)
     long = rows.select(*group, flag, F.explode(F.array(*[
@@ -119,14 +114,14 @@ def box_stats(rows: DataFrame, features: Sequence[str], group: Sequence[str] = (
     span = long.groupBy(*key).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     scaled = beside(long, span, key).select(
         *key, flag, ((F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + BOX_EPSILON)).alias("v"))
-    quartiles = scaled.groupBy(*key, flag).agg(
-        F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.count("v").alias("n"))
-    reach = BOX_WHISKER * (F.col("_q")[2] - F.col("_q")[0])
-    inside = F.col("v").between(F.col("_q")[0] - reach, F.col("_q")[2] + reach)
-    return scaled.join(quartiles, [*key, flag]).groupBy(*key, flag).agg(
-        F.first("n").alias("n"), F.first("_q")[0].alias("q1"), F.first("_q")[1].alias("median"),
-        F.first("_q")[2].alias("q3"), F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("v"))).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"))
+    cells = [*key, flag]
+    quartiles = exact_quantiles(scaled, cells, "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    reach = BOX_WHISKER * (F.col("q3") - F.col("q1"))
+    inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
+    return beside(scaled, quartiles, cells).groupBy(*cells).agg(
+        F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
+        F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
+        F.count_if(~inside).alias("n_outliers"))
 
 
 def rolling_density(scored: DataFrame, group: Sequence[str] = ("period", "mode"), hour: str = "hour",

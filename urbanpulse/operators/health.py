@@ -115,7 +115,7 @@ def files_per_cycle(files: DataFrame, nominal: Column, keys: Sequence[str] = ("s
     """Files in a few cycles from the middle arrival, per cycle; null below the minimum of files."""
     keys = list(keys)
     timed = files.select(*keys, F.unix_micros(F.col("last_modified").cast("timestamp")).alias("_t"), nominal.alias("_i"))
-    middle = order_statistics(timed, keys, "_t", {"_mid": lambda n: F.floor(n / 2)})
+    middle = order_statistics(timed, keys, "_t", {"_mid": (0.5, lambda n: F.floor(n / 2))})
     span = F.col("_t").between(F.col("_mid"), F.col("_mid") + F.col("_i") * (cycles * 1_000_000))
     return beside(timed, middle, keys).groupBy(*keys).agg(
         F.when(F.max("n") >= min_files, F.count_if(span) / F.lit(float(cycles))).alias("files_per_cycle"))
@@ -144,10 +144,7 @@ def latencies(rows: DataFrame, event_epoch: Column, arrival: Column, keys: Seque
 
 
 def latency_stats(samples: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
-    """Count, median, mean, 95th percentile and maximum, rounded to one digit.
-
-    All values lie in the one-hour band, so buckets separate them well.
-    """
+    """Count, median, mean, 95th percentile and maximum, rounded to one digit."""
     keys = list(keys)
     plain = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_records"), rounded(F.avg("latency_s"), 1).alias("mean_latency_s"),

@@ -135,11 +135,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
 
 
-def beside(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+def beside(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Put a group table (one row per key) beside every row of its group; null keys match.
 
-    The rows are not exchanged while the group table is small.
+    The rows are not exchanged while the group table is small. Rows of groups without an entry stay if `how` is "left".
     """
     right = small_side(table).withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    return df.join(right, reduce(lambda a, b: a & b, same)).drop(*[f"_right_{k}" for k in keys])
+    return df.join(right, reduce(lambda a, b: a & b, same), how).drop(*[f"_right_{k}" for k in keys])
