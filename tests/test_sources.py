@@ -12,7 +12,7 @@ from urbanpulse.fixed import Period, days
 from urbanpulse.operators.health import nominal_interval
 from urbanpulse.plans.normalization import normalize_all, normalize_feed
 from urbanpulse.plans.reports import health_report
-from urbanpulse.sources import feeds, sinks, snapshots
+from urbanpulse.sources import commits, feeds, sinks, snapshots
 from urbanpulse.sources.schemas import RAW, each, rows, struct
 from urbanpulse.streaming import feeds as streams
 
@@ -289,3 +289,101 @@ def test_streams_over_batches(spark, tmp_path):
     assert streams.last_seen(spark, f"{out}/last", ["source"], ["ts", "id"]).first()["id"] == 4
     alarms = streams.read_batches(spark, f"{out}/gaps").collect()
     assert len(alarms) == 1 and alarms[0]["gap_s"] == pytest.approx(7110)
+
+
+def landing(spark, tmp_path):
+    """A folder that rows are put into, and a run of a stream over it."""
+    folder, schema = tmp_path / "landing", spark.createDataFrame([], ARRIVAL).schema
+    folder.mkdir()
+
+    def put_rows(name, *rows):
+        parquet(spark, folder / f"{name}.parquet", [(s, i, datetime(2026, 1, 31, *t)) for s, i, t in rows], ARRIVAL)
+
+    def run(path, checkpoint="checkpoint", **options):
+        stream = streams.stream_snapshots(spark, str(folder), schema)
+        streams.run_available(stream, f"{tmp_path}/{path}", f"{tmp_path}/{path}-{checkpoint}", **options)
+
+    return put_rows, run
+
+
+def test_late_rows_shorten_and_withdraw_alarms(spark, tmp_path):
+    put_rows, run = landing(spark, tmp_path)
+    each = streams.gap_alarms(["source"], "ts", F.lit(120), f"{tmp_path}/state", lateness="2 hours")  # gaps above 20 minutes
+
+    def standing():
+        rows = streams.standing_alarms(spark, f"{tmp_path}/out", ["source"]).collect()
+        return sorted((r["source"], f"{r['since']:%H:%M}", r["until"] and f"{r['until']:%H:%M}") for r in rows)
+
+    def batch(name, *rows):
+        put_rows(name, *rows)
+        run("out", each=each)
+        return standing()
+
+    assert batch("a", ("s", 1, (10, 0)), ("s", 2, (10, 15)), ("t", 3, (10, 0))) == []
+    assert batch("b", ("s", 4, (10, 55))) == [("s", "10:15", "10:55"), ("t", "10:00", None)]  # t is silent
+    assert batch("c", ("s", 5, (10, 32)), ("t", 6, (10, 50))) == [("s", "10:32", "10:55"), ("t", "10:00", "10:50")]
+    assert batch("d", ("s", 7, (10, 40)), ("s", 7, (10, 32))) == [("t", "10:00", "10:50")]
+    assert batch("e", ("s", 8, (13, 0)), ("t", 9, (12, 59))) == [
+        ("s", "10:55", "13:00"), ("t", "10:00", "10:50"), ("t", "10:50", "12:59")]
+    # what lies behind the lateness stands, and the state no longer holds it
+    query = streams.query_id(spark, f"{tmp_path}/out-checkpoint")
+    assert spark.read.parquet(streams.part_of(f"{tmp_path}/state", query, 4)).count() == 4
+    assert batch("f", ("s", 10, (13, 1))) == standing()
+
+
+def test_a_batch_costs_the_same_however_old_the_stream(spark, tmp_path, monkeypatch):
+    """Parts are merged in tiers; only the last row of a key is left of them."""
+    monkeypatch.setattr(streams, "FANOUT", 3)
+    put_rows, run = landing(spark, tmp_path)
+    for i in range(10):
+        put_rows(f"f{i:02d}", ("s", i, (10, i)), (f"k{i % 2}", i, (10, i)))
+        run("last", each=streams.last_seen_batch(["source"], ["ts"]), merge=streams.newest(["source"], ["ts"]))
+        got = {r["source"]: r["id"] for r in streams.last_seen(spark, f"{tmp_path}/last", ["source"], ["ts"]).collect()}
+        assert got == {"s": i, **{f"k{j % 2}": j for j in range(max(0, i - 1), i + 1)}}
+    assert commits.parts(spark, f"{tmp_path}/last").count() <= 4 and streams.read_batches(spark, f"{tmp_path}/last").count() <= 9
+    assert streams.forget(spark, f"{tmp_path}/last", keep=1) >= 9
+    assert streams.last_seen(spark, f"{tmp_path}/last", ["source"], ["ts"]).count() == 3
+
+
+def test_a_renewed_checkpoint_loses_and_doubles_nothing(spark, tmp_path):
+    put_rows, run = landing(spark, tmp_path)
+    put_rows("a", ("s", 1, (10, 0)))
+    run("rows")
+    put_rows("b", ("s", 2, (10, 1)))
+    run("rows")
+    before = streams.read_batches(spark, f"{tmp_path}/rows")
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        run("rows", "renewed", each=crash)
+    assert sorted(r["id"] for r in streams.read_batches(spark, f"{tmp_path}/rows").collect()) == [1, 2]
+    put_rows("c", ("s", 3, (10, 2)))
+    run("rows", "renewed")
+    assert sorted(r["id"] for r in streams.read_batches(spark, f"{tmp_path}/rows").collect()) == [1, 2, 3] and before.count() == 2
+    run("rows", "renewed")
+    assert streams.read_batches(spark, f"{tmp_path}/rows").count() == 3
+
+
+def test_rows_behind_the_watermark_are_kept_aside_and_added(spark, tmp_path):
+    put_rows, run = landing(spark, tmp_path)
+    partial, merge = streams.minute_partials("ts", ["source"]), streams.summed(["minute", "source"])
+    each = streams.on_time("ts", f"{tmp_path}/late", "30 minutes", partial)
+
+    def counts():
+        return sorted((f"{r['minute']:%H:%M}", r["n"]) for r in merge(streams.read_batches(spark, f"{tmp_path}/n")).collect())
+
+    put_rows("a", ("s", 1, (10, 0)), ("s", 2, (11, 0)))  # not behind the watermark of its own batch
+    run("n", each=each, merge=merge)
+    put_rows("b", ("s", 3, (10, 29)), ("s", 4, (10, 30)), ("s", 5, (12, 0)))
+    run("n", each=each, merge=merge)
+    assert counts() == [("10:00", 1), ("10:30", 1), ("11:00", 1), ("12:00", 1)]
+    assert [r["id"] for r in streams.read_batches(spark, f"{tmp_path}/late").collect()] == [3]
+    for n in (1, 0):
+        assert streams.add_late_rows(spark, f"{tmp_path}/n", f"{tmp_path}/late", partial) == n
+        assert counts() == [("10:00", 1), ("10:29", 1), ("10:30", 1), ("11:00", 1), ("12:00", 1)]
+    put_rows("c", ("s", 6, (10, 29)), ("s", 7, (12, 1)))
+    run("n", each=each, merge=merge)
+    assert streams.add_late_rows(spark, f"{tmp_path}/n", f"{tmp_path}/late", partial) == 1
+    assert counts() == [("10:00", 1), ("10:29", 2), ("10:30", 1), ("11:00", 1), ("12:00", 1), ("12:01", 1)]

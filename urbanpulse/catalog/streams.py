@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanpulse.catalog import Register
-from urbanpulse.catalog.standins import EV, clock, r6, table
+from urbanpulse.catalog.standins import EV, clock, events, r6, table
 from urbanpulse.session import checkpoint_dir, utc
 from urbanpulse.streaming import feeds as s
 
@@ -35,7 +35,7 @@ FROM events GROUP BY ALL""")
 def stream_minute_counts(spark: SparkSession, sf: str) -> DataFrame:
     out = run_folder(spark)
     counts = s.minute_counts(stream(spark, sf), F.col("ts"), ["event_type"], LATE)
-    s.run_available(counts, f"{out}/data", f"{out}/checkpoint", "update")
+    s.run_available(counts, f"{out}/data", f"{out}/checkpoint", "update", merge=s.newest(["window_start", "event_type"]))
     now = s.latest(spark, f"{out}/data", ["window_start", "event_type"])
     return now.select(clock(F.col("window_start")), "event_type", "n")
 
@@ -45,7 +45,7 @@ def stream_minute_counts(spark: SparkSession, sf: str) -> DataFrame:
 def stream_keep_last(spark: SparkSession, sf: str) -> DataFrame:
     out, keys, order = run_folder(spark), ["user_id", "day"], ["ts", "event_id"]
     rows = stream(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    s.run_available(rows, f"{out}/data", f"{out}/checkpoint", each=s.last_seen_batch(keys, order))
+    s.run_available(rows, f"{out}/data", f"{out}/checkpoint", each=s.last_seen_batch(keys, order), merge=s.newest(keys, order))
     return s.last_seen(spark, f"{out}/data", keys, order).select("user_id", "day", "event_id", "event_type")
 
 
@@ -62,10 +62,35 @@ def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
   FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)) WHERE gap > 3600""")
 def stream_gap_alarms(spark: SparkSession, sf: str) -> DataFrame:
     out = run_folder(spark)
-    each = s.gap_alarms(["event_type"], "ts", F.lit(360), f"{out}/state")
-    s.run_available(stream(spark, sf), f"{out}/data", f"{out}/checkpoint", each=each)
-    return s.read_batches(spark, f"{out}/data").select(
-        "event_type", clock(F.col("since"), "since"), clock(F.col("until"), "until"), r6(F.col("gap_s"), "gap_s"))
+    each = s.gap_alarms(["event_type"], "ts", F.lit(360), f"{out}/state", lateness=LATE)
+    for part in landed_by_lateness(spark, sf, f"{out}/landing"):
+        part()
+        s.run_available(s.stream_snapshots(spark, f"{out}/landing", events(spark, sf).schema), f"{out}/data", f"{out}/checkpoint", each=each)
+    now = s.standing_alarms(spark, f"{out}/data", ["event_type"]).where("until IS NOT NULL")
+    return now.select("event_type", clock(F.col("since"), "since"), clock(F.col("until"), "until"), r6(F.col("gap_s"), "gap_s"))
+
+
+def landed_by_lateness(spark: SparkSession, sf: str, folder: str):
+    """Steps that land the events: two thirds of them, then those that come late by up to the whole span."""
+    ev = events(spark, sf)
+    late = F.pmod(F.hash("event_id"), F.lit(3)) == 0
+    return [lambda keep=keep: ev.where(keep).write.mode("append").parquet(folder) for keep in (~late, late)]
+
+
+@register("""SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute, event_type, CAST(count(*) AS BIGINT) AS n
+FROM events GROUP BY ALL""")
+def stream_counts_with_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of all events arrive up to a month after the others; those behind the watermark are added afterwards."""
+    out, keys = run_folder(spark), ["event_type"]
+    partial = s.minute_partials("ts", keys)
+    each = s.on_time("ts", f"{out}/late", "2 hours", partial)
+    for part in landed_by_lateness(spark, sf, f"{out}/landing"):
+        part()
+        s.run_available(s.stream_snapshots(spark, f"{out}/landing", events(spark, sf).schema), f"{out}/data", f"{out}/checkpoint",
+                        each=each, merge=s.summed(["minute", *keys]))
+    s.add_late_rows(spark, f"{out}/data", f"{out}/late", partial)
+    now = s.summed(["minute", *keys])(s.read_batches(spark, f"{out}/data"))
+    return now.select(clock(F.col("minute")), "event_type", "n")
 
 
 @register(f"""WITH {EV}, slots AS (SELECT date_trunc('hour', ts) + to_hours(CAST(d AS INTEGER)) AS window_end, event_type, k >= 90 AS flag
@@ -75,7 +100,7 @@ SELECT strftime(window_end, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, roun
 def stream_rolling_density(spark: SparkSession, sf: str) -> DataFrame:
     out = run_folder(spark)
     density = s.rolling_density(stream(spark, sf), F.col("ts"), F.col("k") >= 90, ["event_type"], LATE)
-    s.run_available(density, f"{out}/data", f"{out}/checkpoint", "update")
+    s.run_available(density, f"{out}/data", f"{out}/checkpoint", "update", merge=s.newest(["window_end", "event_type"]))
     now = s.latest(spark, f"{out}/data", ["window_end", "event_type"])
     return now.select(clock(F.col("window_end"), "window_end"), "event_type", r6(F.col("density"), "density"), "n")
 

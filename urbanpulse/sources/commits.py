@@ -1,10 +1,10 @@
-"""Which parts of a normalized table count: a log of versions.
+"""Which parts of a table count: a log of versions.
 
 A run writes its rows under <table>/date=/run=, where nobody looks yet. Then a version is added to <table>/_versions:
 one small Parquet file with a row for each part that counts, put in place by one rename. Readers take the
 newest version and open its folders only, so they see a run whole or not at all, and a replaced run until its
 replacement counts. `run` is the run that brought the rows, `place` the folder that holds them now, which compaction
-changes. Parts that no longer count stay until `sweep` removes them, so a reader that began before keeps its files.
+changes. Tables of streams use the same log with query= and batch= as their two levels of folders. Parts that no longer count stay until `sweep` removes them, so a reader that began before keeps its files.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from urbanpulse.session import child_names, materialise, path_bytes, path_exists
 from urbanpulse.sources.schemas import each, struct
 
 VERSIONS = "_versions"
+LEVELS = ("date", "run")  # names of the two levels of folders
 PARTS = struct(each("date run place"))
 TARGET_BYTES = 128 << 20
 ATTEMPTS = 20
@@ -42,14 +43,20 @@ def parts(spark: SparkSession, table: str, version: int | None = None) -> DataFr
     return spark.read.schema(PARTS).parquet(_file(table, known[-1] if version is None else version))
 
 
-def begin(spark: SparkSession, table: str) -> None:
+def begin(spark: SparkSession, table: str, levels: tuple[str, str] = LEVELS) -> None:
     """Give a table its first version; what older releases wrote there without versions counts."""
     if not versions(spark, table):
-        found = [(d[5:], r[4:], r[4:]) for d in child_names(spark, table) if d.startswith("date=")
-                 for r in child_names(spark, f"{table}/{d}") if r.startswith("run=")]
+        found = [(d, r, r) for d, r in written_parts(spark, table, levels)]
         _put(spark, table, 0, spark.createDataFrame(found, PARTS))
 
 
+def written_parts(spark: SparkSession, table: str, levels: tuple[str, str] = LEVELS) -> list[tuple[str, str]]:
+    """Values of the two levels of all folders of a table, whether they count or not."""
+    outer, inner = (f"{x}=" for x in levels)
+    return [(d.removeprefix(outer), r.removeprefix(inner)) for d in child_names(spark, table) if d.startswith(outer)
+            for r in child_names(spark, f"{table}/{d}") if r.startswith(inner)]
+
+
 def _put(spark: SparkSession, table: str, version: int, rows: DataFrame) -> bool:
     """Write a version beside the others and rename it into place; False if another writer was first."""
     draft = f"{table}/{VERSIONS}/_draft-{uuid.uuid4().hex}"
@@ -60,10 +67,10 @@ def _put(spark: SparkSession, table: str, version: int, rows: DataFrame) -> bool
     return done
 
 
-def change(spark: SparkSession, table: str, step: Callable[[DataFrame], DataFrame | None]) -> bool:
+def change(spark: SparkSession, table: str, step: Callable[[DataFrame], DataFrame | None], keep: int | None = None) -> bool:
     """Add the version that `step` makes of the newest one; tried again on a newer one if another writer was first.
 
-    `step` gives None if nothing is to change.
+    `step` gives None if nothing is to change. With `keep`, versions older than so many are removed (their parts are not).
     """
     for _ in range(ATTEMPTS):
         known = versions(spark, table)
@@ -71,6 +78,8 @@ def change(spark: SparkSession, table: str, step: Callable[[DataFrame], DataFram
         if rows is None:
             return False
         if _put(spark, table, known[-1] + 1, rows):
+            for v in known[:1 - keep] if keep else ():
+                remove(spark, _file(table, v))
             return True
     raise RuntimeError(f"{table}: other writers were first {ATTEMPTS} times")
 
@@ -86,9 +95,9 @@ def add_run(spark: SparkSession, table: str, run: str, dates: Iterable[str], rep
     return change(spark, table, lambda now: (now.where(~F.col("date").isin(old)) if old else now).where(F.col("run") != run).union(new))
 
 
-def folders(table: str, rows: DataFrame) -> list[str]:
+def folders(table: str, rows: DataFrame, levels: tuple[str, str] = LEVELS) -> list[str]:
     """The folders that hold parts; as many as there are dates and runs not yet compacted."""
-    return [f"{table}/date={r['date']}/run={r['place']}" for r in rows.select("date", "place").distinct().toLocalIterator()]
+    return [f"{table}/{levels[0]}={r['date']}/{levels[1]}={r['place']}" for r in rows.select("date", "place").distinct().toLocalIterator()]
 
 
 def written_dates(spark: SparkSession, table: str, run: str, dates: Iterable[str]) -> list[str]:
@@ -150,7 +159,7 @@ def compact(spark: SparkSession, table: str, schema: T.StructType, target: int =
     return done
 
 
-def sweep(spark: SparkSession, table: str, open_runs: Iterable[str] = (), keep: int = 1) -> int:
+def sweep(spark: SparkSession, table: str, open_runs: Iterable[str] = (), keep: int = 1, levels: tuple[str, str] = LEVELS) -> int:
     """Remove parts that none of the last `keep` versions has and no open run is writing, and older versions; returns how many parts.
 
     Readers of removed versions lose their files, so `keep` should cover the longest query.
@@ -158,11 +167,10 @@ def sweep(spark: SparkSession, table: str, open_runs: Iterable[str] = (), keep:
     known = versions(spark, table)
     counted = {(r["date"], r["place"]) for v in known[-keep:] for r in parts(spark, table, v).toLocalIterator()}
     busy, gone = set(open_runs), 0
-    for d in child_names(spark, table):
-        for r in child_names(spark, f"{table}/{d}") if d.startswith("date=") else ():
-            if r.startswith("run=") and r[4:] not in busy and (d[5:], r[4:]) not in counted:
-                remove(spark, f"{table}/{d}/{r}")
-                gone += 1
+    for date, run in written_parts(spark, table, levels):
+        if run not in busy and (date, run) not in counted:
+            remove(spark, f"{table}/{levels[0]}={date}/{levels[1]}={run}")
+            gone += 1
     for v in known[:-keep]:
         remove(spark, _file(table, v))
     return gone
