@@ -45,6 +45,7 @@ SLICE_CHARS = 1_000_000
 BLOCK = 256  # classes of a block
 COLUMNS = 4_096  # tokens compared at a time
 HELD = 500_000  # signatures packed at a time
+PARTS = 8  # of signatures for each task that looks for candidates, one in memory at a time
 
 
 class Rule:
@@ -339,7 +340,7 @@ def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     plans = plans_of(sets, rule)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    packed = texts.select("text").mapInArrow(lambda b: signature_rows(b, rule, plans, 2 * partitions), "part int, blob binary")
+    packed = texts.select("text").mapInArrow(lambda b: signature_rows(b, rule, plans, PARTS * partitions), "part int, blob binary")
     tested = materialise(dealt(packed, partitions).mapInArrow(candidate_rows, "u long, v long").distinct())
     asked = tested.select(F.explode(F.array("u", "v")).alias("class")).distinct()
     wanted = small_side(asked.join(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class"))
