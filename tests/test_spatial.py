@@ -90,8 +90,38 @@ def test_cells_and_minimum(spark):
     assert inside.where("stop_id = 'edge'").count() == 0 and inside.count() == 29
     row = inside.where("stop_id = 'a0'").first()
     assert (row["cx"], row["cy"]) == (int((60.001 - 59.9375) / (1 / 111)), int((10.001 - 9.875) / (1 / (111 * np.cos(np.radians(60.0))))))
-    with pytest.raises(ValueError):
-        zones.city_table(spark, (("huge", "OP", 0.0, 0.0, 90.0, 180.0),))
+
+
+def test_islands_of_a_wide_city_find_their_nearest(spark):
+    """A city of any extent: cells that lie in clumps, far apart and on a line."""
+    rng = np.random.default_rng(2)
+    cells = {(int(x) * 3, int(y) * 3): 1 for x, y in rng.integers(0, 400, (300, 2))} | {(5000 + 7 * k, 0): 1 for k in range(60)}
+    got = {(r["i"], r["j"]) for r in m.edges(grid(spark, cells)).collect()}
+    assert got == brute_links(list(cells), {c: (c[0] * 0.01, c[1] * 0.01) for c in cells})
+
+
+def test_permutations_are_orders_by_md5(spark):
+    """Counts against the plain definition, with ties, a hub and an island."""
+    import hashlib
+
+    cells = {**board(4, lambda x, y: (x * y) % 3), (9, 9): 5, (9, 12): 2, (12, 9): 0}
+    frame = grid(spark, cells)
+    z = m.centred(frame, "v")
+    lag = m.lagged(z, m.edges(z))
+    rows = {r["zone_id"]: r for r in lag.collect()}
+    names = sorted(rows)
+    reached, local = 0, dict.fromkeys(names, 0)
+    total = lambda v: sum(v[a] * np.mean([v[b] for b in rows[a]["neighbours"]]) for a in names)
+    value = {a: rows[a]["z"] for a in names}
+    for p in range(1, 50):
+        order = sorted(names, key=lambda a: hashlib.md5(f"7:{p}:{a}".encode()).hexdigest())
+        reached += total({a: value[o] for a, o in zip(names, order)}) + 1e-9 >= total(value)
+        for a in names:
+            mean = np.mean([value[o] for o in order if o != a][:rows[a]["degree"]])
+            local[a] += value[a] * mean + 1e-9 >= value[a] * rows[a]["lag"]
+    got = {r["zone_id"]: r for r in m.permutation_counts(m.materialise(lag), permutations=49, seed=7).collect()}
+    assert {a: r["local_reached"] for a, r in got.items()} == local
+    assert {(r["global_reached"], r["draws"]) for r in got.values()} == {(reached, 49)}
 
 
 def test_only_own_operator_counts(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanpulse.catalog import Register
-from urbanpulse.catalog.standins import r6, table
+from urbanpulse.catalog.standins import corr_sql, r6, table
 from urbanpulse.fixed import CITIES, days
 from urbanpulse.functions.geo import in_box, tile_corner, tile_x, tile_y
 from urbanpulse.operators import moran as m
@@ -28,7 +28,7 @@ BOX = {"lat_min": 59.85, "lat_max": 60.00, "lon_min": 10.60, "lon_max": 10.85}
 
 
 def stops(spark: SparkSession, sf: str) -> DataFrame:
-    city = zones.city_table(spark, CITIES, CELL_KM).withColumn(
+    city = zones.city_table(spark, CITIES).withColumn(
         "n", F.coalesce(*[F.when(F.col("city") == c[0], i) for i, c in enumerate(CITIES)]))
     placed = table(spark, sf, "customer").withColumn("n", (F.col("c_nationkey") % 6).cast("int")).join(F.broadcast(city), "n")
     return placed.select(
@@ -38,7 +38,7 @@ def stops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    return zones.grid_zones(stops(spark, sf), zones.city_table(spark, CITIES, CELL_KM), CELL_KM, MIN_STOPS)
+    return zones.grid_zones(stops(spark, sf), zones.city_table(spark, CITIES), CELL_KM, MIN_STOPS)
 
 
 def updates(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +75,7 @@ def grid_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"""WITH {CELLS} SELECT city, zone_id, cx, cy, round(centroid_lat, 6) AS centroid_lat, round(centroid_lon, 6) AS centroid_lon, n_stops FROM zones""")
 def zone_summary(spark: SparkSession, sf: str) -> DataFrame:
-    inside = zones.with_cells(stops(spark, sf), zones.city_table(spark, CITIES, CELL_KM), CELL_KM)
+    inside = zones.with_cells(stops(spark, sf), zones.city_table(spark, CITIES), CELL_KM)
     out = zones.zone_summary(inside, MIN_STOPS)
     return out.select("city", "zone_id", "cx", "cy", r6(F.col("centroid_lat"), "centroid_lat"), r6(F.col("centroid_lon"), "centroid_lon"), "n_stops")
 
@@ -86,7 +86,7 @@ def zone_summary(spark: SparkSession, sf: str) -> DataFrame:
   round(lon_c - dlon + (cy + 1) * ({CELL_KM} / (111.0::DOUBLE * cos(radians(lat_c)))), 6) AS east
 FROM (SELECT DISTINCT zone_id, cx, cy, lat_c, lon_c, dlat, dlon FROM kept)""")
 def zone_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    boxed = zones.zone_boxes(zones.zone_summary(cells(spark, sf)), zones.city_table(spark, CITIES, CELL_KM), CELL_KM)
+    boxed = zones.zone_boxes(zones.zone_summary(cells(spark, sf)), zones.city_table(spark, CITIES), CELL_KM)
     return boxed.select("zone_id", *[r6(F.col(c), c) for c in ("south", "north", "west", "east")])
 
 
@@ -190,29 +190,95 @@ def lisa_local(spark: SparkSession, sf: str) -> DataFrame:
     return m.local_moran(lagged(spark, sf)).select("city", "zone_id", "degree", r6(F.col("local_i"), "local_i"), "quadrant")
 
 
-@register()
+def significance_sql(metric: str) -> str:
+    """WITH body that ends in `tested`: zones with the counts of 999 permutations that reach what is observed."""
+    lag = LAG.replace("activity::DOUBLE AS y", f"{metric}::DOUBLE AS y").replace(
+        "FROM zones JOIN act ON act.zone_id = zones.zone_id)", f"FROM zones JOIN act ON act.zone_id = zones.zone_id WHERE {metric} IS NOT NULL)")
+    return f"""{lag},
+perm AS MATERIALIZED (SELECT city, zone_id, z, lag, degree, p, row_number() OVER (PARTITION BY city, p ORDER BY md5('42:' || p || ':' || zone_id)) AS r
+  FROM lag, range(1, 1000) t(p)),
+place AS (SELECT city, zone_id, row_number() OVER (PARTITION BY city ORDER BY zone_id) AS k FROM lag),
+ends AS (SELECT l.city, a.k AS ka, b.k AS kb, d.degree FROM links l JOIN place a ON a.zone_id = l.i JOIN place b ON b.zone_id = l.j JOIN lag d ON d.zone_id = l.i),
+total AS (SELECT e.city, x.p, sum(x.z * y.z / e.degree) AS t FROM ends e JOIN perm x ON x.city = e.city AND x.r = e.ka
+  JOIN perm y ON y.city = e.city AND y.p = x.p AND y.r = e.kb GROUP BY ALL),
+seen AS (SELECT city, sum(z * lag) AS t FROM lag GROUP BY city),
+whole AS (SELECT city, count(*) FILTER (total.t + 1e-9 * (1 + abs(seen.t)) >= seen.t) AS reached FROM total JOIN seen USING (city) GROUP BY city),
+pre AS MATERIALIZED (SELECT city, p, r, sum(z) OVER (PARTITION BY city, p ORDER BY r) AS s FROM perm),
+loc AS (SELECT q.city, q.zone_id, count(*) FILTER (q.z * ((pre.s - CASE WHEN q.r <= q.degree THEN q.z ELSE 0 END) / q.degree)
+    + 1e-9 * (1 + abs(q.z * q.lag)) >= q.z * q.lag) AS reached
+  FROM perm q JOIN pre ON pre.city = q.city AND pre.p = q.p AND pre.r = q.degree + CASE WHEN q.r <= q.degree THEN 1 ELSE 0 END GROUP BY ALL),
+tested AS (SELECT lag.*, whole.reached AS g, loc.reached AS l FROM lag JOIN whole USING (city) JOIN loc ON loc.zone_id = lag.zone_id)"""
+
+
+@register(f"""{significance_sql("activity")} SELECT city, 'activity' AS metric, CAST(count(*) AS BIGINT) AS n_zones, round(avg(degree), 2) AS avg_neighbours,
+  round(sum(z * lag) / sum(z * z), 4) AS "I", round(-1.0 / (count(*) - 1), 4) AS "EI", (least(any_value(g), 999 - any_value(g)) + 1) / 1000 AS p_sim
+FROM tested GROUP BY city""")
 def moran_significance(spark: SparkSession, sf: str) -> DataFrame:
     """Global I with its permutation p-value."""
     return m.moran(activity_zones(spark, sf), "activity")[0]
 
 
-@register()
+@register(f"""{significance_sql("activity")} SELECT city, zone_id, round((n - 1) * z * lag / sum(z * z) OVER (PARTITION BY city), 6) AS local_i,
+  (least(l, 999 - l) + 1) / 1000 AS p_sim, CASE WHEN (least(l, 999 - l) + 1) / 1000 >= 0.05 THEN 'ns' WHEN z > 0 AND lag > 0 THEN 'HH' WHEN lag > 0 THEN 'LH'
+  WHEN z > 0 THEN 'HL' ELSE 'LL' END AS cluster FROM tested""")
+def lisa_significance(spark: SparkSession, sf: str) -> DataFrame:
+    """Local I of every zone with its conditional permutation p-value."""
+    out = m.moran(activity_zones(spark, sf), "activity")[1]
+    return out.select("city", "zone_id", r6(F.col("local_i"), "local_i"), "p_sim", "cluster")
+
+
+@register(f"""{significance_sql("delay")}, named AS (SELECT city, CASE WHEN (least(l, 999 - l) + 1) / 1000 >= 0.05 THEN 'ns' WHEN z > 0 AND lag > 0 THEN 'HH'
+  WHEN lag > 0 THEN 'LH' WHEN z > 0 THEN 'HL' ELSE 'LL' END AS c FROM tested)
+SELECT city, 'delay' AS metric, {", ".join(f"CAST(count(*) FILTER (c = '{q}') AS BIGINT) AS {q}" for q in ("HH", "LH", "LL", "HL", "ns"))}
+FROM named GROUP BY city""")
 def lisa_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Zones per cluster label after the conditional permutation test."""
     return m.cluster_counts(m.moran(activity_zones(spark, sf), "delay")[1])
 
 
-@register()
+def kmeans_sql(points: str, axis: int, rounds: int = 60, k: int = 6, starts: int = 10, seed: int = 42) -> str:
+    """CTEs from `pts(id, x)` to `zoned(id, zone)`: k-means++ by exponential races on MD5, then rounds of nearest centre and mean."""
+    sql = [points, f"st AS (SELECT unnest(range({starts})) AS s)"]
+    race = "-ln((('0x' || substr(md5('{seed}:' || s || ':{c}:' || id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+    for c in range(k):
+        if not c:
+            sql.append(f"i0 AS MATERIALIZED (SELECT s, [arg_min(x, {race.format(seed=seed, c=0)})] AS cs FROM pts, st GROUP BY s)")
+        else:
+            sql.append(f"""i{c} AS MATERIALIZED (SELECT s, list_append(any_value(cs), arg_min(x, {race.format(seed=seed, c=c)} / d)) AS cs
+  FROM (SELECT s, id, x, cs, list_min(list_transform(cs, lambda c: list_distance(c, x) ** 2)) AS d FROM pts JOIN i{c - 1} ON true) WHERE d > 0 GROUP BY s)""")
+    before = f"i{k - 1}"
+    for r in range(rounds):
+        sql.append(f"""a{r} AS MATERIALIZED (SELECT s, id, x, list_position(ds, list_min(ds)) AS c FROM (
+  SELECT s, id, x, list_transform(cs, lambda c: list_distance(c, x)) AS ds FROM pts JOIN {before} ON true)),
+r{r} AS MATERIALIZED (SELECT s, list(m ORDER BY c) AS cs FROM (SELECT s, c, list(v ORDER BY j) AS m FROM (
+  SELECT s, c, j, avg(v) AS v FROM (SELECT s, c, unnest(x) AS v, unnest(range(len(x))) AS j FROM a{r}) GROUP BY ALL) GROUP BY ALL) GROUP BY s)""")
+        before = f"r{r}"
+    return ",\n".join(sql) + f""",
+cost AS (SELECT s, sum(list_min(list_transform(cs, lambda c: list_distance(c, x) ** 2))) AS cost FROM pts JOIN {before} ON true GROUP BY s),
+best AS (SELECT cs FROM {before} JOIN cost USING (s) ORDER BY round(cost, 9), s LIMIT 1),
+named AS (SELECT c, row_number() OVER (ORDER BY c[{axis}]) - 1 AS z FROM (SELECT unnest(cs) AS c FROM best)),
+zoned AS (SELECT id, 'zone_' || arg_min(z, list_distance(c, x)) AS zone FROM pts, named GROUP BY id)"""
+
+
+@register(f"""WITH {kmeans_sql("pts AS MATERIALIZED (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS x FROM embeddings)", 2)}
+SELECT zone, CAST(count(*) AS BIGINT) AS n_stops, round(avg(x[2]), 6) AS lon FROM zoned JOIN pts USING (id) GROUP BY zone""")
 def kmeans_stop_zones(spark: SparkSession, sf: str) -> DataFrame:
     """k-means on all dimensions of all vectors, zones named along the second."""
     vectors = table(spark, sf, "embeddings")
     names = ["stop_lat", "stop_lon", *[f"d{i}" for i in range(2, vectors.agg(F.max(F.size("embedding"))).first()[0] or 2)]]
     points = vectors.select(F.col("vec_id").cast("string").alias("stop_id"),
-                            *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(names)])
-    return kmeans_zones(points, features=names).groupBy("zone").agg(F.count(F.lit(1)).alias("n_stops"), F.avg("stop_lon").alias("lon"))
-
-
-@register()
+                            *[F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(names)])
+    zoned = kmeans_zones(points, features=names)
+    return zoned.groupBy("zone").agg(F.count(F.lit(1)).alias("n_stops"), r6(F.avg("stop_lon"), "lon"))
+
+
+@register(f"""WITH {STOPS}, {UPDATES}, per AS (SELECT stop_id, date_trunc('month', minute) AS minute, arrival_delay FROM upd),
+{kmeans_sql("pts AS MATERIALIZED (SELECT stop_id AS id, [stop_lat, stop_lon] AS x FROM stops WHERE stop_id IN (SELECT stop_id FROM per))", 2)},
+monthly AS (SELECT zone, minute, CAST(count(*) AS DOUBLE) AS activity, avg(arrival_delay) AS delay FROM per JOIN zoned ON id = stop_id GROUP BY ALL),
+warm AS (SELECT date_trunc('month', o_orderdate) AS minute, avg(o_totalprice) AS t FROM orders GROUP BY ALL)
+SELECT zone, CAST(count(*) AS BIGINT) AS n_pt_activity, CASE WHEN count(*) >= 4 THEN round({corr_sql("t", "activity")}, 3) END AS r_pt_activity,
+  CAST(count(delay) AS BIGINT) AS n_pt_delay_mean, CASE WHEN count(delay) >= 4 THEN round({corr_sql("t", "delay")}, 3) END AS r_pt_delay_mean
+FROM monthly JOIN warm USING (minute) GROUP BY zone""")
 def zonal_report(spark: SparkSession, sf: str) -> DataFrame:
     """k-means zones of all stops against the mean order price as temperature."""
     up = updates(spark, sf).withColumn("minute", F.date_trunc("month", "minute"))

@@ -82,6 +82,7 @@ ZONE_SEED = 42
 ISLAND_NEIGHBOURS = 2
 KMEANS_ZONES = 6
 KMEANS_STARTS = 10
+KMEANS_ITERATIONS = 300
 
 CITY_BOX = {"lat_min": 59.85, "lat_max": 60.00, "lon_min": 10.60, "lon_max": 10.85}
 

@@ -1,26 +1,30 @@
 """Global and local Moran's I over grid zones.
 
-Neighbours come from an equi join on the eight shifted cell indices, never from pairs of
-zones. The statistics are joins and sums. Permutations run on executors, one group per
-(city, window, metric, block of permutations): a city's box bounds its zones, so each
-group is small whatever the data size, and blocks spread the work.
+Neighbours come from an equi join on the eight shifted cell indices, never from pairs of zones; cells without any look
+for the nearest centroids in squares that grow until they must hold them. The statistics are joins and sums.
+
+Permutations are orders of a group's zones by MD5 of seed, number and zone, so any engine draws the same. A permutation is one
+group of rows: its values in order are one array, whose products along the links are summed where they are, and whose first
+values stand in for a zone's neighbours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanpulse.fixed import ISLAND_NEIGHBOURS, LISA_ALPHA, MIN_ZONES, PERMUTATIONS, ZONE_SEED
 from urbanpulse.functions.rounding import rounded
-from urbanpulse.session import materialise
+from urbanpulse.session import beside, materialise
 
-BLOCK = 37
-ZONE_CHUNK = 4096
+# Squares of the first search hold about so many zones if these lie evenly.
+NEAR_ZONES = 8
+# Sums that differ by less count as equal: their order of adding differs.
+TOLERANCE = 1e-9
 QUADRANTS = ("HH", "LH", "LL", "HL")
 
 
@@ -38,31 +42,59 @@ def queen_edges(zones: DataFrame, group: Sequence[str] = ("city",)) -> DataFrame
         *group, "i", "j")
 
 
-def _link_islands(group: Sequence[str], nearest: int):
-    """Order-dependent fallback of one group's zones (bounded by its box).
+def nearest_centroids(islands: DataFrame, zones: DataFrame, group: Sequence[str], nearest: int) -> DataFrame:
+    """(group, i, j, rank): the nearest other zones of each island, ties in cell order.
 
-    Islands are taken by cell order; one that an earlier island already linked gets no own links.
+    Zones are joined by squares of a side that doubles: what lies within a side of an island is in its own or a neighbouring square, so
+    an island whose last wanted neighbour is that near is done.
+    """
+    group = list(group)
+    extent = zones.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.greatest(F.max("centroid_lat") - F.min("centroid_lat"), F.max("centroid_lon") - F.min("centroid_lon")).alias("_span"))
+    side = F.greatest(F.col("_span") * F.sqrt(NEAR_ZONES / F.col("_n")), F.lit(1e-12))
+    sized = extent.select(*group, F.least(F.lit(nearest), F.col("_n") - 1).alias("_want"), side.alias("_side"), "_span")
+    left = materialise(beside(islands.select(*group, F.col("zone_id").alias("i"), "centroid_lat", "centroid_lon"), sized, group).where("_want > 0"))
+    done = None
+    sized = materialise(sized)
+    while not left.isEmpty():
+        square = lambda c: F.floor(F.col(c) / F.col("_side"))
+        around = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)]))
+        asking = left.withColumn("_a", around).select(
+            *group, "i", "centroid_lat", "centroid_lon", "_want", "_side", "_span",
+            (square("centroid_lat") + F.col("_a.x")).alias("_x"), (square("centroid_lon") + F.col("_a.y")).alias("_y"))
+        # a round's side is the same for all islands of a group that are left
+        sides = left.groupBy(*group).agg(F.first("_side").alias("_side"))
+        placed = beside(zones.select(*group, F.col("zone_id").alias("j"), "cx", "cy", F.col("centroid_lat").alias("_lat"),
+                                     F.col("centroid_lon").alias("_lon")), sides, group)
+        placed = placed.select(*group, "j", "cx", "cy", "_lat", "_lon", F.floor(F.col("_lat") / F.col("_side")).alias("_x"),
+                               F.floor(F.col("_lon") / F.col("_side")).alias("_y"))
+        met = asking.join(placed, [*group, "_x", "_y"]).where("i <> j")
+        away = (F.pow(F.col("_lat") - F.col("centroid_lat"), F.lit(2.0)) + F.pow(F.col("_lon") - F.col("centroid_lon"), F.lit(2.0)))
+        order = W.partitionBy(*group, "i").orderBy("_away", "cx", "cy")
+        close = met.withColumn("_away", away).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("_want"))
+        whole = F.count(F.lit(1)).over(W.partitionBy(*group, "i")) == F.col("_want")
+        near = (F.max("_away").over(W.partitionBy(*group, "i")) < F.col("_side") * F.col("_side")) | (F.col("_side") > F.col("_span"))
+        found = materialise(close.withColumn("_done", whole & near).where("_done").select(*group, "i", "j", "rank"))
+        done = found if done is None else done.unionByName(found)
+        left = materialise(left.join(found.select(*group, "i").distinct(), [*group, "i"], "left_anti").withColumn("_side", F.col("_side") * 2))
+    return done if done is not None else zones.limit(0).select(*group, F.lit("").alias("i"), F.lit("").alias("j"), F.lit(0).alias("rank"))
+
+
+def _first_come(group: Sequence[str]):
+    """Which islands link: taken by cell order, one that an earlier island already linked gets no own links.
+
+    Its rows are the nearest zones of a group's islands, a few for each.
     """
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cx", "cy"], kind="stable").reset_index(drop=True)
-        lat, lon = pdf["centroid_lat"].to_numpy(), pdf["centroid_lon"].to_numpy()
-        linked = pdf["linked"].to_numpy().copy()
-        out = []
-        for i in np.flatnonzero(~pdf["linked"].to_numpy()):
-            if linked[i]:
+        linked, kept = set(), []
+        for (_, _, i), own in pdf.sort_values(["cx", "cy", "rank"], kind="stable").groupby(["cx", "cy", "i"], sort=False):
+            if i in linked:
                 continue
-            away = (lat - lat[i]) ** 2 + (lon - lon[i]) ** 2
-            away[i] = np.inf
-            close = np.argsort(away, kind="stable")[: min(nearest, len(pdf) - 1)]
-            out += [(i, j) for j in close] + [(j, i) for j in close]
-            linked[i] = True
-            linked[close] = True
-        pairs = sorted(set(out))
-        ids = pdf["zone_id"].to_numpy()
-        made = pd.DataFrame({"i": [ids[a] for a, _ in pairs], "j": [ids[b] for _, b in pairs]}, dtype="object")
-        for name in reversed(group):
-            made.insert(0, name, pdf[name].iloc[0])
-        return made
+            linked.update([i, *own["j"]])
+            kept.append(own)
+        out = pd.concat(kept) if kept else pdf.iloc[:0]
+        return out[[*group, "i", "j"]]
 
     return link
 
@@ -71,12 +103,17 @@ def edges(zones: DataFrame, group: Sequence[str] = ("city",), nearest: int = ISL
     """Queen neighbours, and for cells without any the nearest centroids, linked both ways."""
     group = list(group)
     queen = queen_edges(zones, group)
-    touching = queen.select(*group, F.col("i").alias("zone_id")).distinct().withColumn("linked", F.lit(True))
-    marked = zones.select(*group, "zone_id", "cx", "cy", "centroid_lat", "centroid_lon").join(
-        touching, [*group, "zone_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    touching = queen.select(*group, F.col("i").alias("zone_id")).distinct()
+    islands = materialise(zones.select(*group, "zone_id", "cx", "cy", "centroid_lat", "centroid_lon").join(
+        touching, [*group, "zone_id"], "left_anti"))
+    if islands.isEmpty():
+        return queen
+    near = nearest_centroids(islands, zones, group, nearest).join(
+        islands.select(*group, F.col("zone_id").alias("i"), "cx", "cy"), [*group, "i"])
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in zones.select(*group).schema.fields])
-    islands = marked.groupBy(*group).applyInPandas(_link_islands(group, nearest), f"{schema}, i string, j string")
-    return queen.unionByName(islands).distinct()
+    made = near.groupBy(*group).applyInPandas(_first_come(group), f"{schema}, i string, j string")
+    back = made.select(*group, F.col("j").alias("i"), F.col("i").alias("j"))
+    return queen.unionByName(made).unionByName(back).distinct()
 
 
 def weights(links: DataFrame, group: Sequence[str] = ("city",)) -> DataFrame:
@@ -130,63 +167,50 @@ def local_moran(lag: DataFrame, group: Sequence[str] = ("city",)) -> DataFrame:
         quadrant.alias("quadrant"))
 
 
-def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Deviations and neighbour positions of a group in zone order."""
-    place = {zone: k for k, zone in enumerate(pdf["zone_id"])}
-    near = [np.array([place[j] for j in (row if row is not None else ())], dtype=int) for row in pdf["neighbours"]]
-    return pdf["z"].to_numpy(dtype=float), near
-
-
-def _permute_block(keys: Sequence[str], seed: int, permutations: int):
-    """Permutations of one block: how many random I reach the observed one, global and per zone."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("zone_id", kind="stable").reset_index(drop=True)
-        block = int(pdf["_block"].iloc[0])
-        draws = min(BLOCK, permutations - block * BLOCK)
-        z, near = _dense(pdf)
-        n = len(z)
-        rng = np.random.default_rng([seed, block, n])
-        rows = np.concatenate([np.full(len(k), i) for i, k in enumerate(near)] or [np.array([], int)]).astype(int)
-        cols = np.concatenate(near or [np.array([], int)]).astype(int)
-        degree = np.bincount(rows, minlength=n)
-        w = 1.0 / degree[rows]
-        observed = float(z[rows] @ (w * z[cols]))
-        reached = 0
-        for _ in range(draws):
-            p = z[rng.permutation(n)]
-            reached += float(p[rows] @ (w * p[cols])) >= observed
-        # each zone keeps its own value; its neighbours are drawn from the others, the same draws for all zones
-        widest = int(degree.max(initial=1))
-        picks = np.stack([rng.permutation(n - 1)[:widest] for _ in range(draws)])
-        lag = np.bincount(rows, weights=w * z[cols], minlength=n)
-        local_reached = np.zeros(n, dtype=int)
-        for start in range(0, n, ZONE_CHUNK):
-            i = np.arange(start, min(start + ZONE_CHUNK, n))
-            drawn = z[picks[None] + (picks[None] >= i[:, None, None])]
-            used = np.arange(widest) < degree[i][:, None]
-            mean = (drawn * used[:, None, :]).sum(axis=2) / np.maximum(degree[i], 1)[:, None]
-            local_reached[i] = (z[i][:, None] * mean >= (z[i] * lag[i])[:, None]).sum(axis=1)
-        out = pdf[[*keys, "zone_id"]].copy()
-        out["draws"], out["global_reached"], out["local_reached"] = draws, reached, local_reached
-        return out
-
-    return run
+def permuted(lag: DataFrame, group: Sequence[str], permutations: int, seed: int) -> DataFrame:
+    """(group, zone_id, z, lag, degree, p, rank): every zone's place in each permutation, from 1."""
+    drawn = lag.select(*group, "zone_id", "z", "lag", "degree").withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    name = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("p").cast("string"), "zone_id").cast("binary"))
+    return drawn.withColumn("rank", F.row_number().over(W.partitionBy(*group, "p").orderBy(name, "zone_id")))
+
+
+def reaches(value: Column, observed: Column) -> Column:
+    return value + TOLERANCE * (1 + F.abs(observed)) >= observed
 
 
 def permutation_counts(lag: DataFrame, group: Sequence[str] = ("city",), permutations: int = PERMUTATIONS,
                        seed: int = ZONE_SEED) -> DataFrame:
-    """Counts of random statistics at least as large as the observed, per zone."""
+    """Counts of random statistics at least as large as the observed: (group, zone_id, draws, global_reached, local_reached).
+
+    In a permutation the zone that comes k-th by name has the value of the zone with rank k. For the local test a zone keeps its
+    own value, and the first of the others stand in for its neighbours.
+    """
     group = list(group)
-    blocks = -(-permutations // BLOCK)
-    spread = lag.select(*group, "zone_id", "z", "neighbours").withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in lag.select(*group).schema.fields])
-    counted = spread.groupBy(*group, "_block").applyInPandas(
-        _permute_block(group, seed, permutations),
-        f"{schema}, zone_id string, draws bigint, global_reached bigint, local_reached bigint")
-    return counted.groupBy(*group, "zone_id").agg(
-        F.sum("draws").alias("draws"), F.sum("global_reached").alias("global_reached"),
-        F.sum("local_reached").alias("local_reached"))
+    drawn = permuted(lag, group, permutations, seed)
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("rank", "z"))), lambda r: r["z"])
+    values = materialise(drawn.groupBy(*group, "p").agg(in_order.alias("_v"), F.max("degree").alias("_widest"),
+                                                        F.sum(F.col("z") * F.coalesce("lag", F.lit(0.0))).alias("_observed")))
+    # products along the links, by the places of their ends in the order of names
+    place = lag.select(*group, F.col("zone_id"), F.row_number().over(W.partitionBy(*group).orderBy("zone_id")).alias("at"))
+    links = lag.where("degree > 0").select(*group, "zone_id", "degree", F.explode("neighbours").alias("j"))
+    ends = links.join(place, [*group, "zone_id"]).join(
+        place.select(*group, F.col("zone_id").alias("j"), F.col("at").alias("at_j")), [*group, "j"])
+    near = ends.groupBy(*group, "at", "degree").agg(F.collect_list("at_j").alias("ats"))
+    lists = near.groupBy(*group).agg(F.collect_list(F.struct("at", "degree", "ats")).alias("_near"))
+    v = lambda i: F.get("_v", i - 1)
+    of_zone = lambda n: v(n["at"]) * F.aggregate(n["ats"], F.lit(0.0), lambda t, j: t + v(j)) / n["degree"]
+    total = F.aggregate("_near", F.lit(0.0), lambda t, n: t + of_zone(n))
+    global_reached = beside(values, lists, group).groupBy(*group).agg(
+        F.count_if(reaches(total, F.col("_observed"))).alias("global_reached"))
+    first = F.transform(F.sequence(F.lit(0), F.col("_widest") + 1), lambda k: F.aggregate(
+        F.slice("_v", F.lit(1), k.cast("int")), F.lit(0.0), lambda t, x: t + x))
+    starts = values.select(*group, "p", first.alias("_first"))
+    d = F.coalesce("degree", F.lit(0))
+    others = F.when(F.col("rank") <= d, F.get("_first", d + 1) - F.col("z")).otherwise(F.get("_first", d))
+    mean, own = F.coalesce(F.try_divide(others, d), F.lit(0.0)), F.coalesce("lag", F.lit(0.0))
+    local = drawn.join(starts, [*group, "p"]).groupBy(*group, "zone_id").agg(
+        F.count(F.lit(1)).alias("draws"), F.count_if(reaches(F.col("z") * mean, F.col("z") * own)).alias("local_reached"))
+    return local.join(global_reached, group, "left").withColumn("global_reached", F.coalesce("global_reached", F.col("draws")))
 
 
 def folded_p(reached: Column, draws: Column) -> Column:

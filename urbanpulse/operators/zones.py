@@ -7,23 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanpulse.fixed import CELL_KM, CITIES, KM_PER_DEGREE, MIN_STOPS_PER_CELL
+from urbanpulse.fixed import CELL_KM, CITIES, MIN_STOPS_PER_CELL
 from urbanpulse.functions.geo import cell_box, cell_index, lat_step, lon_step, near_centre, zone_name
 from urbanpulse.functions.times import is_peak
 from urbanpulse.session import small_side
 from urbanpulse.sources.schemas import REAL, each, struct
 
 CITY_SCHEMA = struct({**each("city operator"), **each("lat_c lon_c dlat dlon", REAL)})
-MAX_CELLS_PER_CITY = 100_000
 
 
-def city_table(spark: SparkSession, cities: Sequence[tuple] = CITIES, cell_km: float = CELL_KM) -> DataFrame:
-    """City boxes. A city's box fixes how many zones it can have, however much data there is;
-    boxes with more cells than the limit are refused, so per-city groups stay small."""
-    for name, _, _, _, dlat, dlon in cities:
-        cells = (2 * dlat * KM_PER_DEGREE / cell_km + 1) * (2 * dlon * KM_PER_DEGREE / cell_km + 1)
-        if cells > MAX_CELLS_PER_CITY:
-            raise ValueError(f"{name}: about {cells:.0f} cells; use larger cells or a smaller box")
+def city_table(spark: SparkSession, cities: Sequence[tuple] = CITIES) -> DataFrame:
+    """City boxes."""
     return spark.createDataFrame([tuple(c) for c in cities], CITY_SCHEMA)
 
 
