@@ -45,6 +45,7 @@ SLICE_CHARS = 1_000_000
 BLOCK = 256  # classes of a block
 COLUMNS = 4_096  # tokens compared at a time
 HELD = 500_000  # signatures packed at a time
+REMEMBERED = 100_000  # words whose names a task keeps; others are named again
 PARTS = 8  # of signatures for each task that looks for candidates, one in memory at a time
 
 
@@ -131,7 +132,7 @@ def class_name(tokens: np.ndarray) -> int:
 
 
 def set_rows(batches, n: int):
-    memory = Memory(word_names)
+    memory = Memory(word_names, REMEMBERED)
     for batch in batches:
         rows = [(len(s), class_name(s) if len(s) else None) for _, s in sets_of(batch, memory, n)]
         size, name = zip(*rows) if rows else ((), ())
@@ -160,7 +161,7 @@ def signatures(tokens: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.
 
 def signature_rows(batches, rule: Rule, plans: dict[int, tuple[int, int, int]], parts: int):
     """Signatures of the different sets of each batch, packed by part."""
-    memory = Memory(word_names)
+    memory = Memory(word_names, REMEMBERED)
 
     def packed() -> pa.RecordBatch:
         sig = np.concatenate(names)
@@ -257,7 +258,7 @@ def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
 
 def joining_links(batches, rule: Rule):
     """(u, v): verified links in pairs of blocks that join different components."""
-    memory, unsqueeze = Memory(word_names), zstandard.ZstdDecompressor().decompress
+    memory, unsqueeze = Memory(word_names, REMEMBERED), zstandard.ZstdDecompressor().decompress
     for table in block_rows(batches):
         name, side, component = (table.column(c).to_numpy() for c in ("class", "side", "component"))
         texts = [unsqueeze(t) for t in table.column("text").to_pylist()]
@@ -311,7 +312,7 @@ def in_blocks(members: DataFrame) -> DataFrame:
 
 def squeezed_class_texts(batches, n: int):
     """Texts of the rows whose class is the one asked for, or any if none is."""
-    memory, squeeze = Memory(word_names), zstandard.ZstdCompressor(3).compress
+    memory, squeeze = Memory(word_names, REMEMBERED), zstandard.ZstdCompressor(3).compress
     for batch in batches:
         names = [class_name(s) if len(s) else None for _, s in sets_of(batch, memory, n)]
         same = [c is not None and c == (c if asked is None else asked) for c, asked in zip(names, batch.column("class").to_pylist())]
