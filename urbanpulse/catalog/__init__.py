@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("facts", "statistics", "normalizing", "spatial", "anomalies", "feedhealth", "streams", "runs")
+MODULES = ("facts", "statistics", "normalizing", "spatial", "anomalies", "feedhealth", "streams", "landing", "runs")
 
 
 def queries() -> dict[str, Query]:

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanpulse.catalog import Register
+from urbanpulse.catalog.landing import land
 from urbanpulse.catalog.standins import events
 from urbanpulse.plans import normalization
-from urbanpulse.session import checkpoint_dir, child_names, make_folder, path_bytes, read_bytes, remove, rename, write_bytes
+from urbanpulse.session import checkpoint_dir, path_bytes, read_bytes, remove, write_bytes
 from urbanpulse.sources.commits import begin
 from urbanpulse.sources.sinks import plan_runs, read_unread
 from urbanpulse.sources.snapshots import read_normalized_table
@@ -25,19 +26,12 @@ FEED = "flights"
 BROKEN, BROKEN_LATER = ("2024-01-10", 1), ("2024-01-20", 0)
 
 
-def land(flights: DataFrame, folder: str, number: int) -> None:
-    """Write rows as one file a day, named after its number, into the days' landing folders."""
-    spark, draft = flights.sparkSession, f"{folder}-draft-{number}"
-    flights.repartition("day").write.partitionBy("day").parquet(draft)
-    for day in (n for n in child_names(spark, draft) if n.startswith("day=")):
-        make_folder(spark, f"{folder}/{day[4:]}")
-        for name in (n for n in child_names(spark, f"{draft}/{day}") if n.startswith("part-")):
-            rename(spark, f"{draft}/{day}/{name}", file_of(folder, day[4:], number))
-    remove(spark, draft)
+def file_of(folder: str, day: str, number: int) -> str:
+    return f"{folder}/{day}/{name_of(number)}"
 
 
-def file_of(folder: str, day: str, number: int) -> str:
-    return f"{folder}/{day}/OSL_{number:02d}0000.parquet"
+def name_of(number: int) -> str:
+    return f"OSL_{number:02d}0000.parquet"
 
 
 def spoil(spark: SparkSession, file: str) -> bool:
@@ -70,7 +64,7 @@ def run_ledger(spark: SparkSession, sf: str) -> DataFrame:
         normalization.normalize_feed(spark, raw, out, ledger, FEED, all_dates=True, **options)
 
     for number in (0, 1):
-        land(flights.where(F.col("part") == number).drop("part"), landing, number)
+        land(flights.where(F.col("part") == number).drop("part"), landing, name_of(number))
     spoil(spark, file_of(landing, *BROKEN))
     # a run that dies with its plan written and some of its rows
     begin(spark, normalization.table_of(out, FEED))
@@ -78,9 +72,9 @@ def run_ledger(spark: SparkSession, sf: str) -> DataFrame:
     name = plan_runs(files, ledger, FEED, False, "", normalization.RUN_FILES)[0]
     some = [r["key"] for r in files.where(F.col("key").contains("OSL_00")).toLocalIterator()]
     normalization.write_rows(spark, raw, out, FEED, name, some)
-    land(flights.where(F.col("part") == 2).drop("part"), landing, 2)
+    land(flights.where(F.col("part") == 2).drop("part"), landing, name_of(2))
     run()
-    land(flights.where(F.col("part") == 3).drop("part"), landing, 3)
+    land(flights.where(F.col("part") == 3).drop("part"), landing, name_of(3))
     run()
     spoil(spark, file_of(landing, *BROKEN_LATER))
     run(rerun_all=True)

@@ -305,10 +305,12 @@ def summary_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _round_correlations(summary_row(correlate.weather_correlations(fact, KEY), hours="06-18"))
 
 
-@register()
+@register(f"""{fact_sql("minute")} SELECT strftime(minute, '%Y-%m-%d %H:%M:%S') AS minute, round(road_temperature, 6) AS road_temperature, round(bikes_in_use, 6) AS bikes_in_use
+FROM fact ORDER BY md5(CAST(epoch(minute) AS BIGINT) || ':42'), minute LIMIT 5000""")
 def plot_sample(spark: SparkSession, sf: str) -> DataFrame:
     fact = minute_fact(feeds(events(spark, sf)))
-    return correlate.plot_sample(fact).select(clock(F.col("minute")), "road_temperature", "bikes_in_use")
+    return correlate.plot_sample(fact).select(
+        clock(F.col("minute")), r6(F.col("road_temperature"), "road_temperature"), r6(F.col("bikes_in_use"), "bikes_in_use"))
 
 
 QUERIES, ORACLES = register.queries, register.oracles

@@ -145,6 +145,9 @@ RAW_LAYOUT = {
     "trips": ("entur", ("*_siri_et_*.parquet", "*trip-updates*.parquet")),
 }
 
+# Fixed path of the weather-site reference table.
+WEATHER_SITES = "vegvesen/reference/weather_site_table.parquet"
+
 # Substrings that find the time, type and location column of a flattened situation record.
 SITUATION_TIME_NEEDLES = ("creationtime", "overallstarttime", "timevalue", "startofperiod")
 SITUATION_TYPE_NEEDLES = ("situationtype", "reporttype", "situationrecordtype")

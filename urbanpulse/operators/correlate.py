@@ -223,5 +223,6 @@ def interpretations(correlations: DataFrame, keys: Sequence[str] = ()) -> DataFr
 
 def plot_sample(fact: DataFrame, rows: int = 5000, seed: int = 42) -> DataFrame:
     """A reproducible sample of minutes in time order: smallest hashes first, then sorted."""
-    picked = fact.orderBy(F.xxhash64("minute", F.lit(seed)), "minute").limit(rows)
+    name = F.concat_ws(":", F.unix_seconds("minute").cast("string"), F.lit(seed).cast("string"))
+    picked = fact.orderBy(F.md5(name.cast("binary")), "minute").limit(rows)
     return picked.orderBy("minute")

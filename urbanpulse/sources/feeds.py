@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from urbanpulse.functions.nested import clean_lists, flatten
 from urbanpulse.functions.times import iso_timestamp
-from urbanpulse.session import utc
+from urbanpulse.session import path_exists, utc
 from urbanpulse.sources.schemas import RAW, TEXT, WHOLE, each, rows, struct
 
 # Child tags of a flight element; `status` carries attributes.
@@ -29,6 +29,9 @@ JOURNEY = struct({
 })
 
 
+TRAVEL_TIMES = "ns2:messageContainer.ns2:payload.ns10:physicalQuantity"
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
@@ -152,9 +155,11 @@ def read_bike_feed(spark: SparkSession, path: str, station: T.StructType = RAW["
     return bikes_from(documents, station)
 
 
-def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON document; a missing file gives an empty table."""
-    return spark.read.schema(schema).option("multiLine", True).option("ignoreMissingFiles", True).json(path)
+def read_document(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """A JSON document (or a folder of them, one a line); a missing one gives an empty table."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", not lines).option("ignoreMissingFiles", True).json(path)
 
 
 def situation_records(situations: DataFrame, records: str) -> DataFrame:
@@ -186,10 +191,14 @@ def site_measurement_schema() -> T.StructType:
     })
 
 
+def road_weather_from(sites: DataFrame) -> DataFrame:
+    """Site measurements with their nested names joined by dots."""
+    return flatten(sites)
+
+
 def read_road_weather(spark: SparkSession, path: str) -> DataFrame:
     """Site measurements, one row per site, nested names joined by dots."""
-    found = xml(spark, path, "ns10:siteMeasurements", site_measurement_schema(), False, "@")
-    return flatten(found)
+    return road_weather_from(xml(spark, path, "ns10:siteMeasurements", site_measurement_schema(), False, "@"))
 
 
 def read_weather_sites(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -198,13 +207,17 @@ def read_weather_sites(spark: SparkSession, path: str, schema: T.StructType) ->
     return flatten(clean_lists(found))
 
 
+def travel_time_schema() -> T.StructType:
+    return struct({"ns10:physicalQuantity": RAW["travel_times"][TRAVEL_TIMES].dataType})
+
+
+def travel_times_from(payloads: DataFrame) -> DataFrame:
+    return payloads.select(F.col("`ns10:physicalQuantity`").alias(TRAVEL_TIMES))
+
+
 def read_travel_times(spark: SparkSession, path: str) -> DataFrame:
     """The whole travel-time document as one row that holds the list of quantities."""
-    name = "ns2:messageContainer.ns2:payload.ns10:physicalQuantity"
-    quantity = RAW["travel_times"][name].dataType
-    payload = struct({"ns10:physicalQuantity": quantity})
-    found = xml(spark, path, "ns2:payload", payload, False, "@")
-    return found.select(F.col("`ns10:physicalQuantity`").alias(name))
+    return travel_times_from(xml(spark, path, "ns2:payload", travel_time_schema(), False, "@"))
 
 
 def read_stops(spark: SparkSession, path: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanpulse.fixed import WEATHER_SITES
 from urbanpulse.functions.times import folder_date
-from urbanpulse.session import child_names, path_exists, remove
+from urbanpulse.session import child_names, path_exists, remove, rename
 from urbanpulse.sources.schemas import each, struct
 
 LEDGER = struct(each("source key date"))
@@ -19,6 +21,25 @@ def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Put a table in place of what stands at a fixed path: written beside it, then renamed, so a failed write leaves the old one."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}-{mark}")
+    if path_exists(spark, path):
+        rename(spark, path, f"{path}-old-{mark}")
+    rename(spark, f"{path}-{mark}", path)
+    remove(spark, f"{path}-old-{mark}")
+
+
+def replace_weather_sites(sites: DataFrame, base: str) -> None:
+    """The weather-site reference table at its fixed path."""
+    replace_table(sites, f"{base.rstrip('/')}/{WEATHER_SITES}")
+
+
+def read_weather_sites_table(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.parquet(f"{base.rstrip('/')}/{WEATHER_SITES}")
+
+
 def write_documents(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
