@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import odd
+import pandas as pd
 import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
@@ -31,6 +32,16 @@ def test_ids_and_decoded_text_equal_the_library(spark, words):
         assert mine.decoded_sha256 == hashlib.sha256(library.decode(code.ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_every_character_alone_and_after_a_letter(spark):
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    characters = [chr(c) for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [c for ch in characters for c in (ch, f"a{ch}", f"{ch}1'S{ch}")]
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    got = {r["doc_id"]: bytes(r["ids"]) for r in tokens.encode(docs, tokens.build_lexicon(docs)).toLocalIterator()}
+    want = [np.array(c.ids, "<u4").tobytes() for c in library.encode_batch(texts, add_special_tokens=False)]
+    assert [hex(ord(texts[i][-1])) for i, ids in enumerate(want) if got[i] != ids] == []
+
+
 def test_counts_equal_the_library(spark):
     library = Tokenizer.from_file(path("byte_bpe_50k.json"))
     docs = all_documents(spark)

@@ -13,7 +13,6 @@ columns, whatever their names, do not matter; an empty table gives an empty resu
 from __future__ import annotations
 
 import re
-import unicodedata
 import uuid
 from collections import Counter
 
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from urbanpulse.llm.bpe import Vocabulary, vocabulary
 from urbanpulse.llm.lexicon import Lexicon, compile_lexicon
+from urbanpulse.llm.spelling import Spelling, spelling
 from urbanpulse.llm.text import Memory, runs, space_split, text_slices
 from urbanpulse.session import checkpoint_dir, materialise
 
@@ -40,28 +40,20 @@ COUNTED = 200_000  # distinct pieces counted by a task before it hands them on
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")
 
 
-def words_of(piece: str) -> list[str]:
-    return [piece] if piece.isalpha() else WORDS.findall(piece)
-
-
-def normalise(text: str) -> str:
-    """NFC, then lower case character by character (no final sigma)."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
-
 def special_pattern(vocab: Vocabulary) -> re.Pattern | None:
     names = sorted(vocab.specials, key=len, reverse=True)
     return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
 
-def pieces_of(text: str, special: re.Pattern | None) -> list[str]:
+def pieces_of(text: str, special: re.Pattern | None, spelled: Spelling) -> list[str]:
     """The white-space pieces of a text, normalised; special tokens stand in it as they are."""
     if special is None or not special.search(text):
-        return space_split(normalise(text))
-    return [p for k, part in enumerate(special.split(text)) for p in ([part] if k % 2 else space_split(normalise(part)))]
+        return space_split(spelled.normalise(text))
+    parts = enumerate(special.split(text))
+    return [p for k, part in parts for p in ([part] if k % 2 else space_split(spelled.normalise(part)))]
 
 
-def count_words(batches, path: str):
+def count_words(batches, path: str, spelled: Spelling):
     special = special_pattern(vocabulary(path))
     specials = vocabulary(path).specials
     counts: Counter[str] = Counter()
@@ -69,14 +61,14 @@ def count_words(batches, path: str):
     def flush():
         words: Counter[str] = Counter()
         for piece, n in counts.items():
-            for word in words_of(piece) if piece not in specials else ():
+            for word in spelled.cut(piece, WORDS) if piece not in specials else ():
                 words[word] += n
         counts.clear()
         return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
     for _, texts in text_slices(batches, most=SLICE_CHARS):
         for text in texts:
-            counts.update(pieces_of(text, special))
+            counts.update(pieces_of(text, special, spelled))
         if len(counts) > COUNTED:
             yield flush()
     yield flush()
@@ -87,7 +79,9 @@ def frequent_words(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> li
 
     Counts are first tallied in logarithmic bins, so that only words of the bins taken reach the driver.
     """
-    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lambda b: count_words(b, path), "word string, n long")
+    spelled = spelling()
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    partial = texts.mapInArrow(lambda b: count_words(b, path, spelled), "word string, n long")
     counts = materialise(partial.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
                          .withColumn("bin", F.floor(F.log2("n") * 16).cast("int")))
     least, taken = None, 0
@@ -123,8 +117,8 @@ def build_lexicon(docs: DataFrame, path: str | None = None, words: int = LEXICON
 class WordIds:
     """Ids of distinct pieces as rows of packed bytes: the transducer's, or exactly merged ones."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon):
-        self.vocab, self.lexicon = vocab, lexicon
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, spelled: Spelling):
+        self.vocab, self.lexicon, self.spelled = vocab, lexicon, spelled
         self.words = Memory(self.encode, REMEMBERED)
 
     def encode(self, words: list[str]) -> np.ndarray:
@@ -142,7 +136,7 @@ class WordIds:
 
     def __call__(self, pieces: list[str]) -> np.ndarray:
         out = np.empty(len(pieces), object)
-        cut = [[] if p in self.vocab.specials else words_of(p) for p in pieces]
+        cut = [[] if p in self.vocab.specials else self.spelled.cut(p, WORDS) for p in pieces]
         flat = self.words([w for ws in cut for w in ws]).tolist() if any(cut) else []
         at = 0
         for i, (piece, words) in enumerate(zip(pieces, cut)):
@@ -151,12 +145,12 @@ class WordIds:
         return out
 
 
-def encode_batches(batches, path: str, lexicon: str):
+def encode_batches(batches, path: str, lexicon: str, spelled: Spelling):
     vocab = vocabulary(path)
     special = special_pattern(vocab)
-    memory = Memory(WordIds(vocab, Lexicon(SparkFiles.get(lexicon))), REMEMBERED)
+    memory = Memory(WordIds(vocab, Lexicon(SparkFiles.get(lexicon)), spelled), REMEMBERED)
     for part, texts in text_slices(batches, most=SLICE_CHARS):
-        pieces = [pieces_of(t, special) for t in texts]
+        pieces = [pieces_of(t, special, spelled) for t in texts]
         packed = memory([p for ps in pieces for p in ps]).tolist() if any(pieces) else []
         rows, at = [], 0
         for own in pieces:
@@ -169,7 +163,8 @@ def encode(docs: DataFrame, lexicon: str, path: str | None = None) -> DataFrame:
     """doc_id and ids: the ids as little-endian unsigned 32-bit integers, packed."""
     file = path or tokenizer_path("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lambda b: encode_batches(b, file, lexicon), "doc_id long, ids binary")
+    spelled = spelling()
+    return rows.mapInArrow(lambda b: encode_batches(b, file, lexicon, spelled), "doc_id long, ids binary")
 
 
 def decode_batches(batches, path: str):
