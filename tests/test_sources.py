@@ -202,6 +202,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(periods_of(parser().parse_args(["analyze", "--tables", "x", "--mode", "compare", "--periods", "four_windows"]))) == 4
 
 
+def test_reports_from_what_is_stored(spark, tmp_path):
+    """Cities, zones and feed health on the command line, over raw snapshots, the stop register and the tables."""
+    import os
+
+    from urbanpulse.__main__ import main
+    from urbanpulse.fixed import CITIES, PERIOD_SETS
+
+    raw, out, ledger = tmp_path / "raw", str(tmp_path / "n"), str(tmp_path / "l")
+    raw_zone(spark, raw)
+    city, operator, lat, lon = CITIES[0][:4]
+    stops = [(f"s{i}", lat + (i % 4) * 0.02, lon + (i // 4 % 4) * 0.03) for i in range(16 * 15)]
+    put(tmp_path / "stops.csv", "stop_id,stop_lat,stop_lon\n" + "".join(f"{s},{y},{x}\n" for s, y, x in stops))
+    day = PERIOD_SETS["wa1_wa2_wb_wc"][0].start.date()
+    updates = [(s, i % 7, None, None, None, None, None) for i, (s, _, _) in enumerate(stops) for _ in range(1 + i % 4)]
+    path = raw / f"entur/{day}/{operator}_siri_et_100000.parquet"
+    parquet(spark, path, [("t", "x", "t", "r", 1769850000, f"{day:%Y%m%d}", "10:00:00", updates, None, None, None, None)], RAW["trips"])
+    noon = datetime(day.year, day.month, day.day, 12).timestamp()
+    os.utime(path, (noon, noon))
+    normalize_all(spark, str(raw), out, ledger, str(day), str(day))
+    common = ["--raw", str(raw), "--periods", "wa1_wa2_wb_wc"]
+    main(["cities", *common, "--stops", str(tmp_path / "stops.csv"), "--output-dir", str(tmp_path / "cities")])
+    zones = spark.read.parquet(str(tmp_path / "cities/zones"))
+    assert zones.select("city").distinct().first()["city"] == city and zones.agg(F.sum("activity")).first()[0] == len(updates)
+    assert spark.read.parquet(str(tmp_path / "cities/global")).where("metric = 'activity'").first()["n_zones"] == 16
+    main(["zones", *common, "--tables", out, "--stops", str(tmp_path / "stops.csv"), "--output-dir", str(tmp_path / "zones")])
+    assert spark.read.parquet(str(tmp_path / "zones/centroids")).agg(F.sum("n_stops")).first()[0] > 0
+    main(["health", *common, "--output-dir", str(tmp_path / "health")])
+    assert spark.read.parquet(str(tmp_path / "health/robustness")).where("source = 'trips'").first()["n_files"] == 1
+
+
 def test_listing_and_names(spark, tmp_path):
     raw_zone(spark, tmp_path)
     put(tmp_path / "avinor/normalized/x.parquet", "junk")

@@ -1,4 +1,4 @@
-"""Command line, for spark-submit: normalize, compact, analyze, inspect."""
+"""Command line, for spark-submit: normalize, compact, analyze, cities, zones, health, inspect."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import argparse
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from urbanpulse.fixed import PERIOD_SETS, Period
 from urbanpulse.operators.periods import day_end, window_bounds
-from urbanpulse.plans.impact import Impact, analyse_table, summary_row
+from urbanpulse.plans.impact import analyse_table, summary_row
 from urbanpulse.plans.normalization import FEEDS, compact_feed, normalize_all, sweep_feed
+from urbanpulse.plans.stored import city_report, feed_health, zone_report
 from urbanpulse.session import utc
 from urbanpulse.sources.sinks import append_csv
 from urbanpulse.sources.snapshots import profile, read_normalized_table
@@ -58,6 +59,18 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--part-of-day", type=hours)
     a.add_argument("--output-dir")
     a.add_argument("--summary-csv")
+    reports = {
+        "cities": "zone metrics and Moran's I of all cities", "zones": "clustered stop zones against temperature",
+        "health": "gaps, throughput and latency of the feeds"}
+    for name, text in reports.items():
+        r = commands.add_parser(name, help=text)
+        r.add_argument("--raw", required=True)
+        r.add_argument("--periods", choices=sorted(PERIOD_SETS), default="wa1_wa2_wb_wc")
+        r.add_argument("--output-dir", required=True)
+        if name != "health":
+            r.add_argument("--stops", required=True, help="stop register (CSV)")
+        if name == "zones":
+            r.add_argument("--tables", required=True)
     i = commands.add_parser("inspect", help="profile the normalized tables")
     i.add_argument("--tables", required=True)
     return top
@@ -70,9 +83,9 @@ def periods_of(args: argparse.Namespace) -> Sequence[Period]:
     return (Period("window", start, end, args.weekday_only, args.weekend_only),)
 
 
-def save(impact: Impact, folder: str) -> None:
+def save(tables: dict[str, DataFrame | None], folder: str) -> None:
     """Every result table as Parquet under its own name."""
-    for name, table in vars(impact).items():
+    for name, table in tables.items():
         if table is not None:
             table.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
 
@@ -90,6 +103,12 @@ def main(argv: Sequence[str] | None = None) -> None:
             dates = compact_feed(spark, args.tables, feed, args.target_mb << 20)
             gone = sweep_feed(spark, args.tables, args.ledger, feed, args.keep_versions)
             print(f"{feed}: {len(dates)} dates packed, {gone} old parts removed")
+    elif args.command == "cities":
+        save(city_report(spark, args.raw, args.stops, PERIOD_SETS[args.periods]), args.output_dir)
+    elif args.command == "zones":
+        save(zone_report(spark, args.raw, args.tables, args.stops, PERIOD_SETS[args.periods]), args.output_dir)
+    elif args.command == "health":
+        save(feed_health(spark, args.raw, PERIOD_SETS[args.periods]), args.output_dir)
     elif args.command == "inspect":
         for feed in FEEDS:
             print(feed)
@@ -102,7 +121,7 @@ def main(argv: Sequence[str] | None = None) -> None:
             label = "{}-{}".format(*args.part_of_day) if args.part_of_day else ""
             append_csv(summary_row(impact.correlations, hours=label), args.summary_csv)
         if args.output_dir:
-            save(impact, args.output_dir)
+            save(vars(impact), args.output_dir)
 
 
 if __name__ == "__main__":
