@@ -401,6 +401,17 @@ def situation_record_rows(spark: SparkSession, sf: str) -> DataFrame:
         (F.count(F.lit(1)) / 2).cast("bigint").alias("n"), r6(F.sum("amount"), "total"))
 
 
+@register("""SELECT l_returnflag AS severity, l_linestatus AS version, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 6) AS total
+FROM lineitem WHERE l_linenumber > 1 GROUP BY ALL""")
+def situation_lone_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Situations with a lone record instead of a list; those without any have no row."""
+    line = table(spark, sf, "lineitem")
+    record = F.when(F.col("l_linenumber") > 1, F.struct(F.col("l_linestatus").alias("version"), F.col("l_quantity").alias("amount")))
+    parents = line.select(F.col("l_returnflag").alias("severity"), F.lit("parent").alias("version"), record.alias("records"))
+    return situation_records(parents, "records").groupBy("severity", "version").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("amount"), "total"))
+
+
 # ---- schemas, nesting, listings ----------------------------------------------------------------
 
 @register("""SELECT kind, key, balance, nation FROM (

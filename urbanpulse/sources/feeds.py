@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanpulse.functions.nested import clean_lists, flatten
+from urbanpulse.functions.nested import as_list, clean_lists, flatten
 from urbanpulse.functions.times import iso_timestamp
 from urbanpulse.session import path_exists, utc
 from urbanpulse.sources.schemas import RAW, TEXT, WHOLE, each, rows, struct
@@ -165,12 +165,13 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType, lines: b
 def situation_records(situations: DataFrame, records: str) -> DataFrame:
     """One flat row per record of a situation: parent fields are copied down, a record's own field wins.
 
-    The record column is an array by declaration, so a lone record is a list of one.
+    The record column may be a list or a lone record, which counts as a list of one.
     """
-    child = situations.schema[records].dataType.elementType
+    kind = situations.schema[records].dataType
+    child = kind.elementType if isinstance(kind, T.ArrayType) else kind
     own = set(child.fieldNames())
     parents = [F.col(f"`{c}`") for c in situations.columns if c != records and c not in own]
-    exploded = situations.select(*parents, F.explode(F.col(f"`{records}`")).alias("_record"))
+    exploded = situations.select(*parents, F.explode(as_list(F.col(f"`{records}`"), kind)).alias("_record"))
     flat = exploded.select(*parents, *[F.col("_record").getField(n).alias(n) for n in child.fieldNames()])
     return flatten(clean_lists(flat))
 
