@@ -43,13 +43,23 @@ def test_samples_are_bounded_and_blocks_agree(spark):
     assert both.count() == 3000 and both.where(F.abs(F.col("if_score") - F.col("other")) > 1e-12).count() == 0
 
 
-def test_large_groups_draw_from_a_pool(spark, monkeypatch):
-    monkeypatch.setattr(forest, "POOL_PER_SAMPLE", 1)
-    big = spark.range(5000).select(F.lit("g").alias("g"), F.col("id"), F.rand(1).alias("x"))
-    drawn = forest.draw_samples(big, ["g"], "id", trees=10, sample=64).persist()
-    sizes = [r["count"] for r in drawn.groupBy("tree").count().collect()]
-    assert len(sizes) == 10 and max(sizes) <= 64 and min(sizes) >= 60
-    assert 300 < drawn.select("id").distinct().count() <= 640
+def test_trees_of_a_large_group_draw_alike(spark):
+    """Every row is as likely for every tree, and trees do not share their draws."""
+    big = spark.range(20_000).select(F.lit("g").alias("g"), F.col("id"))
+    drawn = forest.draw_samples(big, ["g"], "id", trees=40, sample=64).persist()
+    sizes = {r["tree"]: r["count"] for r in drawn.groupBy("tree").count().collect()}
+    assert sorted(sizes) == list(range(40)) and max(sizes.values()) <= 64 and min(sizes.values()) >= 60
+    n = drawn.count()
+    assert 0.85 * n < drawn.select("id").distinct().count() <= n  # 40 trees of 64 rows hit few rows twice
+    assert abs(drawn.agg(F.avg("id")).first()[0] - 10_000) < 500
+    offered = big.select(F.explode(forest.offered_trees("id", F.lit(0.01), 40, 7)).alias("t")).groupBy("t").count().collect()
+    assert len(offered) == 40 and all(130 < r["count"] < 280 for r in offered)
+
+
+def test_small_groups_give_all_rows_to_all_trees(spark):
+    small = spark.range(30).select(F.lit("g").alias("g"), F.col("id"))
+    assert forest.draw_samples(small, ["g"], "id", trees=7, sample=64).count() == 210
+    assert forest.draw_samples(small, ["g"], "id", trees=1, sample=64).count() == 30
 
 
 def test_average_path():

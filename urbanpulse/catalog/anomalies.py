@@ -140,14 +140,49 @@ def rolling_density(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*GROUP, clock(F.col("hour"), "hour"), "hour_offset", r6(F.col("density"), "density"))
 
 
-@register()
+def forest_sql(points: str, levels: int = 8, trees: int = 200, sample: int = 256, seed: int = 42) -> str:
+    """CTEs from `pts(g, id, x)` to `scored(g, id, if_score)`: isolation trees grown level by level, draws by MD5."""
+    u = "(('0x' || substr(md5('{seed}:' || t || ':' || node || ':{kind}'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+    path = "CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2 * ({n} - 1.0::DOUBLE) / {n} END"
+    sql = [points, f"""drawn AS MATERIALIZED (SELECT g, t, id, x FROM (SELECT *, row_number() OVER (PARTITION BY g, t ORDER BY md5('{seed}:' || t || ':' || id), id) AS k
+  FROM pts, range({trees}) r(t)) WHERE k <= {sample})""",
+           "sizes AS MATERIALIZED (SELECT g, t, count(*) AS size, ceil(log2(greatest(count(*), 2))) AS high FROM drawn GROUP BY ALL)",
+           "l0 AS MATERIALIZED (SELECT g, t, 1::BIGINT AS node, id, x FROM drawn)"]
+    for d in range(levels + 1):
+        sql.append(f"""n{d} AS MATERIALIZED (SELECT g, t, node, n, nv > 0 AND n > 1 AND {d} < high AS split, f, lo + cut * (hi - lo) AS cut FROM (
+  SELECT g, t, node, n, nv, high, cut, vf[CAST(floor(pick * nv) AS BIGINT) + 1] AS f, lows[vf[CAST(floor(pick * nv) AS BIGINT) + 1]] AS lo,
+    highs[vf[CAST(floor(pick * nv) AS BIGINT) + 1]] AS hi FROM (
+    SELECT *, len(vf) AS nv, {u.format(seed=seed, kind="feature")} AS pick, {u.format(seed=seed, kind="cut")} AS cut FROM (
+      SELECT g, t, node, max(n) AS n, list(lo ORDER BY j) AS lows, list(hi ORDER BY j) AS highs, coalesce(list(j ORDER BY j) FILTER (hi > lo), []) AS vf FROM (
+        SELECT g, t, node, j, count(*) AS n, min(v) AS lo, max(v) AS hi FROM (SELECT g, t, node, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS j FROM l{d}) GROUP BY ALL)
+      GROUP BY ALL) JOIN sizes USING (g, t))))""")
+        sql.append(f"""l{d + 1} AS MATERIALIZED (SELECT g, t, 2 * node + CASE WHEN x[f] <= cut THEN 0 ELSE 1 END AS node, id, x FROM l{d} JOIN n{d} USING (g, t, node) WHERE split)""")
+    sql.append("w0 AS (SELECT g, t, 1::BIGINT AS node, id, x FROM pts JOIN sizes USING (g))")
+    leaves = []
+    for d in range(levels + 1):
+        leaves.append(f"SELECT g, id, {d} + {path.format(n='n')} AS depth FROM w{d} JOIN n{d} USING (g, t, node) WHERE NOT split")
+        sql.append(f"w{d + 1} AS MATERIALIZED (SELECT g, t, 2 * node + CASE WHEN x[f] <= cut THEN 0 ELSE 1 END AS node, id, x FROM w{d} JOIN n{d} USING (g, t, node) WHERE split)")
+    sql.append(f"""scored AS (SELECT g, id, 0.5 - pow(2, -avg(depth) / any_value({path.format(n='most')})) AS if_score
+  FROM ({" UNION ALL ".join(leaves)}) JOIN (SELECT g, max(size) AS most FROM sizes GROUP BY g) USING (g) GROUP BY g, id)""")
+    return ",\n".join(sql)
+
+
+HOURLY_FOREST = f"""{ZSCORED}, {forest_sql("pts AS MATERIALIZED (SELECT period || '/' || mode AS g, strftime(hour, '%Y-%m-%d %H:%M:%S') AS id, [round(load_z, 9), round(delay_z, 9), round(headway_z, 9)] AS x FROM z)")},
+found AS (SELECT period, mode, hour, if_score FROM z JOIN scored ON g = period || '/' || mode AND id = strftime(hour, '%Y-%m-%d %H:%M:%S'))"""
+
+
+@register(f"""{HOURLY_FOREST} SELECT period, mode, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, round(if_score, 6) AS if_score,
+  CASE WHEN if_score < 0 THEN -1 ELSE 1 END AS if_label, if_score < 0 AS anomaly FROM found""")
 def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Detection over all windows and modes of the hourly features."""
     out = anomaly.detect_anomalies(hourly(spark, sf), GROUP, FEATURES, "hour")
     return out.select(*GROUP, clock(F.col("hour"), "hour"), r6(F.col("if_score"), "if_score"), "if_label", "anomaly")
 
 
-@register()
+@register(f"""WITH dims AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS j FROM embeddings),
+z AS (SELECT label, vec_id, j, CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - avg(v) OVER w) / stddev_pop(v) OVER w ELSE 0.0 END AS v FROM dims WINDOW w AS (PARTITION BY label, j)),
+{forest_sql("pts AS MATERIALIZED (SELECT label AS g, vec_id AS id, list(round(v, 9) ORDER BY j) AS x FROM z GROUP BY label, vec_id)")}
+SELECT g AS label, id AS vec_id, round(if_score, 6) AS if_score, CASE WHEN if_score < 0 THEN -1 ELSE 1 END AS if_label FROM scored""")
 def iforest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Forests over all dimensions of the vectors of each label, a table whose groups grow with the data."""
     vectors = table(spark, sf, "embeddings")
@@ -157,7 +192,9 @@ def iforest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("label", "vec_id", r6(F.col("if_score"), "if_score"), "if_label")
 
 
-@register()
+@register(f"""{HOURLY_FOREST} SELECT period, mode, CAST(count(*) AS BIGINT) AS hours, CAST(count(*) FILTER (if_score < 0) AS BIGINT) AS anomalies,
+  round(count(*) FILTER (if_score < 0) * 100.0 / count(*), 2) AS anomaly_rate_pct, round(avg(if_score), 4) + 0.0 AS score_mean,
+  round(stddev_samp(if_score), 4) AS score_std, round(min(if_score), 4) AS score_min, CAST(NULL AS DOUBLE) AS precision FROM found GROUP BY ALL""")
 def detection_summary(spark: SparkSession, sf: str) -> DataFrame:
     return anomaly_report(hourly(spark, sf), FEATURES)["summary"]
 

@@ -14,6 +14,8 @@ from urbanpulse.operators.forest import detect
 from urbanpulse.operators.quantiles import exact_quantiles
 from urbanpulse.session import beside, materialise
 
+DIGITS = 9  # of z-scores that forests see
+
 
 def medians(rows: DataFrame, group: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Median of each feature per group, whatever the size of a group."""
@@ -46,9 +48,11 @@ def standardise(rows: DataFrame, group: Sequence[str], features: Sequence[str],
 def detect_anomalies(rows: DataFrame, group: Sequence[str], features: Sequence[str], row_id: str, **forest) -> DataFrame:
     """Impute, standardise, fit and score, for every group at once.
 
-    The standardised rows are written once: sampling and scoring both read them.
+    The standardised rows are written once: sampling and scoring both read them. Scores are rounded to DIGITS, so that values
+    which differ by the order of adding only count as equal.
     """
-    ready = materialise(standardise(rows, group, features))
+    z = standardise(rows, group, features)
+    ready = materialise(z.withColumns({f"{c}_z": rounded(F.col(f"{c}_z"), DIGITS) for c in features}))
     scored = detect(ready, group, [f"{c}_z" for c in features], row_id, **forest)
     return scored.drop(*[f"{c}_z" for c in features])
 

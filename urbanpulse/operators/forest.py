@@ -1,13 +1,15 @@
 """Isolation forest over long feature tables, one forest per group.
 
-Training needs at most 256 rows per tree. They are drawn by hash inside the scan: a row
-is sent on only for the trees it may belong to, so the exchange holds the samples and not
-the data. Each (group, block of trees) is built in its own task. Scoring leaves rows where
-they are while the model is small, and else splits a group of any size over blocks.
+Training needs at most 256 rows per tree. They are drawn inside the scan: a hash of the row tells how many trees it is
+passed over before the first it is offered to, so in a large group nearly all rows cost one hash, and the exchange holds the samples
+and not the data. Of the rows a tree is offered, those with the smallest MD5 of seed, tree and row are taken. Splits
+are drawn by MD5 of seed, tree and node, so any engine grows the same trees. Each (group, block of trees) is built in its own
+task. Scoring leaves rows where they are while the model is small, and else splits a group of any size over blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -21,7 +23,6 @@ from urbanpulse.fixed import FOREST_SAMPLE, FOREST_SEED, FOREST_THRESHOLD, FORES
 from urbanpulse.session import BROADCAST_BYTES, beside, path_bytes, written
 
 BLOCK_ROWS = 20_000
-POOL_PER_SAMPLE = 4
 EULER = 0.5772156649015329
 TREE_BLOCK = 25
 BLOCK = ("tree_block int, trees int, sample bigint, feature array<int>, cut array<double>, `left` array<int>, "
@@ -41,39 +42,50 @@ def hash_share(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / float(1 << 40)
 
 
+def offered_trees(row_id: str, share: Column, trees: int, seed: int) -> Column:
+    """The trees a row is offered to, each with probability `share` and independently: skips between them are geometric."""
+    def skip(step: Column) -> Column:
+        u = hash_share(F.col(row_id), step, F.lit(seed))
+        return F.when(share >= 1, 0).otherwise(F.floor(F.log(1 - u) / F.log(1 - F.least(share, F.lit(0.999999))))).cast("bigint")
+
+    first = skip(F.lit(0))
+    state = F.struct(first.alias("t"), F.array(first).alias("ts"))
+
+    def step(s: Column, k: Column) -> Column:
+        t = s["t"] + 1 + skip(k)
+        return F.struct(t.alias("t"), F.when(t < trees, F.concat(s["ts"], F.array(t))).otherwise(s["ts"]).alias("ts"))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(trees - 1)) if trees > 1 else F.array().cast("array<int>"), state, step)["ts"]
+    return F.when(first < trees, walked)
+
+
 def draw_samples(rows: DataFrame, group: Sequence[str], row_id: str, trees: int = FOREST_TREES,
                  sample: int = FOREST_SAMPLE, seed: int = FOREST_SEED) -> DataFrame:
-    """Up to `sample` rows per group and tree: those with the smallest hash of (row, tree).
-
-    In a large group the trees draw from a common random pool, told by one hash per row, so
-    nearly all rows cost no more than that. A pool row passes on to a tree only below a
-    threshold that lets about sample + 8 sqrt(sample) rows through; the exact smallest are
-    then ranked among those few.
-    """
+    """Up to `sample` rows per group and tree: a tree is offered about sample + 8 sqrt(sample) rows, and takes those with the smallest MD5."""
     group = list(group)
     size = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    pool = F.least(F.col("_n"), F.lit(POOL_PER_SAMPLE * trees * sample)).cast("double")
-    pooled = beside(rows, size, group).where(hash_share(F.col(row_id), F.lit(seed)) * F.col("_n") < pool)
-    reach = F.lit(float(sample + 8 * math.sqrt(sample))) / pool
-    offers = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                    lambda t: F.struct(t.alias("tree"), hash_share(F.col(row_id), t, F.lit(seed)).alias("h"))),
-        lambda o: o["h"] < reach,
-    )
-    offered = pooled.withColumn("_o", F.explode(offers)).select(
-        *rows.columns, F.col("_o.tree").alias("tree"), F.col("_o.h").alias("_h"))
-    rank = F.row_number().over(W.partitionBy(*group, "tree").orderBy("_h", row_id))
-    return offered.withColumn("_k", rank).where(F.col("_k") <= sample).drop("_k", "_h")
-
-
-def _grow(x: np.ndarray, tree: np.ndarray, trees: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    share = F.lit(float(sample + 8 * math.sqrt(sample))) / F.col("_n")
+    offered = beside(rows, size, group).withColumn("tree", F.explode(offered_trees(row_id, share, trees, seed))).drop("_n")
+    offered = offered.withColumn("tree", F.col("tree").cast("int"))
+    name = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("tree").cast("string"), F.col(row_id).cast("string")).cast("binary"))
+    rank = F.row_number().over(W.partitionBy(*group, "tree").orderBy(name, row_id))
+    return offered.withColumn("_k", rank).where(F.col("_k") <= sample).drop("_k")
+
+
+def node_draw(seed: int, tree: int, node: int, kind: str) -> float:
+    """A number between 0 and 1 for a node; nodes are numbered as in a heap, the root is 1."""
+    return (int(hashlib.md5(f"{seed}:{tree}:{node}:{kind}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+
+
+def _grow(x: np.ndarray, tree: np.ndarray, numbers: Sequence[int], seed: int) -> dict[str, np.ndarray]:
     """Isolation trees in shared arrays, all trees growing level by level.
 
-    Node t is the root of tree t; a leaf has feature -1 and its expected depth.
+    Node t is the root of the t-th tree; a leaf has feature -1 and its expected depth.
     """
+    trees = len(numbers)
     size = np.bincount(tree, minlength=trees)
     limit = np.ceil(np.log2(np.maximum(size, 2)))
-    node, owner = tree.copy(), np.arange(trees)
+    node, owner, heap = tree.copy(), np.arange(trees), [1] * trees
     first, level, parts = 0, 0, []
     while len(owner):
         here, width = node - first, len(owner)
@@ -84,11 +96,12 @@ def _grow(x: np.ndarray, tree: np.ndarray, trees: int, rng: np.random.Generator)
         varies = high > low
         split = varies.any(axis=1) & (count > 1) & (level < limit[owner])
         # the k-th varying feature, k drawn evenly, and an even draw inside its span
-        k = np.floor(rng.random(width) * varies.sum(axis=1)) + 1
+        drawn = [[node_draw(seed, int(numbers[t]), h, kind) for t, h in zip(owner.tolist(), heap)] for kind in ("feature", "cut")]
+        k = np.floor(np.array(drawn[0]) * varies.sum(axis=1)) + 1
         feature = np.argmax(np.cumsum(varies, axis=1) >= k[:, None], axis=1)
         lo, hi = low[np.arange(width), feature], high[np.arange(width), feature]
         with np.errstate(invalid="ignore"):
-            cut = np.where(split, lo + rng.random(width) * (hi - lo), 0.0)
+            cut = np.where(split, lo + np.array(drawn[1]) * (hi - lo), 0.0)
         cut = np.where(split & (cut >= hi), np.nextafter(hi, -np.inf), cut)
         child = first + width + 2 * (np.cumsum(split) - 1)
         parts.append((np.where(split, feature, -1), cut, np.where(split, child, -1), np.where(split, child + 1, -1),
@@ -97,6 +110,7 @@ def _grow(x: np.ndarray, tree: np.ndarray, trees: int, rng: np.random.Generator)
         x, here = x[moving], here[moving]
         below = x[np.arange(len(x)), feature[here]] <= cut[here]
         node = np.where(below, child[here], child[here] + 1)
+        heap = [2 * h + side for h, s in zip(heap, split.tolist()) if s for side in (0, 1)]
         first, level, owner = first + width, level + 1, np.repeat(owner[split], 2)
     return dict(zip(("feature", "cut", "left", "right", "depth"), (np.concatenate(p) for p in zip(*parts))))
 
@@ -106,7 +120,7 @@ def _build(group: Sequence[str], features: Sequence[str], row_id: str, seed: int
         pdf = pdf.sort_values(["tree", row_id], kind="stable")
         numbers, tree = np.unique(pdf["tree"].to_numpy(), return_inverse=True)
         block = int(pdf["tree_block"].iloc[0])
-        arrays = _grow(pdf[list(features)].to_numpy(dtype=float), tree, len(numbers), np.random.default_rng([seed, block]))
+        arrays = _grow(pdf[list(features)].to_numpy(dtype=float), tree, numbers.tolist(), seed)
         out = {g: [pdf[g].iloc[0]] for g in group}
         out |= {"tree_block": [block], "trees": [len(numbers)], "sample": [int(np.bincount(tree).max())]}
         return pd.DataFrame(out | {name: [values] for name, values in arrays.items()})
