@@ -25,6 +25,8 @@ from urbanpulse.llm.samples import hash_sample
 from urbanpulse.llm.text import Memory, ragged_sum, text_slices
 
 SAMPLE = 4_000  # documents that train the scorer
+SLICE_CHARS = 1_000_000  # of texts looked at at a time
+REMEMBERED = 100_000  # words whose properties a task keeps; others are looked at again
 BINS = 2_048
 ROUNDS = 60
 GOOD, BAD = 1, 2
@@ -116,8 +118,8 @@ class Pieces:
 
 
 def vote_batches(batches, shares: bool):
-    memory = Memory(describe)
-    for _, texts in text_slices(batches, most=1_000_000 if shares else 3_000_000):
+    memory = Memory(describe, REMEMBERED)
+    for _, texts in text_slices(batches, most=SLICE_CHARS):
         own = Pieces(memory, texts)
         pattern = pa.array((own.votes() * 3 ** np.arange(len(LABELLERS))).sum(axis=1), pa.int64())
         if shares:
@@ -176,8 +178,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 
 def score_batches(batches, weights: np.ndarray, column: str):
-    memory = Memory(describe)
-    for part, texts in text_slices(batches, column):
+    memory = Memory(describe, REMEMBERED)
+    for part, texts in text_slices(batches, column, SLICE_CHARS):
         own = Pieces(memory, texts)
         score = 1 / (1 + np.exp(-np.clip(own.weighed(weights) + weights[-1], -500, 500)))
         score = np.where(own.lengths > 0, score, 0.0)
