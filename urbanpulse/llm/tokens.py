@@ -183,8 +183,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS) -> DataFrame:
-    """doc_id, ids, decoded of every document."""
-    return decode(encode(docs, build_lexicon(docs, path, words), path), path)
+    """doc_id, ids, decoded of every document: `decode` of `encode`, in one Python worker a task."""
+    file = path or tokenizer_path("word_bpe_49k.json")
+    lexicon, spelled = build_lexicon(docs, path, words), spelling()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(lambda b: decode_batches(encode_batches(b, file, lexicon, spelled), file), "doc_id long, ids binary, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:
