@@ -15,7 +15,7 @@ from urbanpulse.llm import decontaminate, jaccard
 from urbanpulse.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "benchmark", "labels", "conversations")
 
 
 def test_stages(spark, tmp_path):
