@@ -26,6 +26,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -335,6 +336,12 @@ def plans_of(sets: DataFrame, rule: Rule) -> dict[int, tuple[int, int, int]]:
     return plans
 
 
+def release(df: DataFrame) -> None:
+    """Let the shuffle files of plans that nothing refers to any more go now: Spark removes them when the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(u, component) of the classes that have links, joined by all links between similar classes."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -343,6 +350,8 @@ def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     packed = texts.select("text").mapInArrow(lambda b: signature_rows(b, rule, plans, PARTS * partitions), "part int, blob binary")
     tested = materialise(dealt(packed, partitions).mapInArrow(candidate_rows, "u long, v long").distinct())
+    del packed
+    release(docs)
     asked = tested.select(F.explode(F.array("u", "v")).alias("class")).distinct()
     wanted = small_side(asked.join(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class"))
     rows = texts.where("doc_id IS NOT NULL").join(wanted, "doc_id")
@@ -356,6 +365,7 @@ def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         return pairs.join(u, "u").join(v, "v").mapInArrow(lambda b: verified(b, rule), "u long, v long")
 
     found = materialise(verify(tested))
+    release(docs)
     parts = components(found)
     failed = materialise(tested.join(found, ["u", "v"], "left_anti"))
     if failed.isEmpty():
