@@ -61,6 +61,38 @@ def test_jaccard_join(spark, words, percent):
     assert jaccard.join_documents(docs.limit(0)).count() == 0 and jaccard.join_documents(docs).count() == docs.count()
 
 
+def chained(n):
+    """Each text shares its second half with the next one's first half, so all are chained by candidates; every third has a near copy."""
+    halves = [" ".join(f"w{i}x{k}" for k in range(25)) for i in range(n + 1)]
+    texts = [f"{a} {b}" for a, b in zip(halves, halves[1:])]
+    return texts + [t.rsplit(" ", 1)[0] + " other" for t in texts[::3]]
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_chained_candidates_are_no_cluster(spark, monkeypatch, crowd):
+    monkeypatch.setattr(jaccard, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    compared, blocks = [], jaccard.in_blocks
+    monkeypatch.setattr(jaccard, "in_blocks", lambda members: compared.append(members.count()) or blocks(members))
+    texts = chained(60)
+    got = odd.by_id(jaccard.join_documents(odd.documents(spark, texts), 5, 80))
+    rule = jaccard.Rule(5, 80)
+    sets = [jaccard.word_set(t.encode(), 5) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if rule.linked(sets[a], sets[b])]
+    assert len(links) == 20 and {i: r.component_id for i, r in got.items()} == groups(range(len(texts)), links)
+    assert bool(compared) == (crowd == 2)  # small groups are never compared as a whole
+
+
+def test_links_beside_the_leader(spark):
+    rows = [(g, c, 10 * g) for g in range(50) for c in (10 * g, 10 * g + 1, 10 * g + 2, 10 * g + 10)]  # each group has the next one's leader
+    members = jaccard.in_several(spark.createDataFrame(rows, "group long, class long, leader long"), spark.createDataFrame([(11, 10)], "u long, component long"))
+    known = spark.createDataFrame([(c, 10 if c % 10 < 2 else 9) for c in {r[1] for r in rows}], "class long, size long")
+    want = {(b, a) for g in range(50) for a, b in itertools.combinations((10 * g, 10 * g + 1, 10 * g + 2, 10 * g + 10), 2)} - {(11, 10)}
+    assert {r.classes for r in members.collect()} == {4}
+    assert {tuple(r) for r in jaccard.pairs_across(members, known, jaccard.Rule(5, 90)).collect()} == want
+    assert {tuple(r) for r in jaccard.pairs_across(members, known, jaccard.Rule(5, 95)).collect()} == {p for p in want if (p[0] % 10 < 2) == (p[1] % 10 < 2)}
+
+
 def test_bands_hold_all_partners():
     for words, percent in ((3, 90), (5, 80), (1, 50)):
         rule = jaccard.Rule(words, percent)

@@ -12,12 +12,14 @@ than that file the empty ones too, so two such documents still meet. The allocat
 one: a signature costs one row and the rows it is expected to meet, which follow from the number of documents of
 the band and the tokens of a segment.
 
-Documents with the same set are one class. Classes that share a signature are candidates, and each is paired with
-one leader of the signature. These pairs are verified exactly on the words. Where all are links, all classes of a
-signature are one component already. Where a pair is none, the cluster of classes that the pairs connect is looked at
-as a whole: similar classes share a signature, hence a leader, hence a cluster. Its classes are compared in blocks, so that
-neither candidates nor links leave a task, but only the links that join components. Blocks within one component found before are
-skipped. So large groups of near copies cost a few pairs for each class, and no link between components is missed.
+Documents with the same set are one class. Classes that share a signature are a group of candidates, and each is paired with
+one leader of the group. These pairs are verified exactly on the words. Where all are links, all classes of a group are one
+component already. Similar classes share a signature, hence a group, so only groups that hold several components are looked at
+again. In groups of at most CROWD classes, the pairs of partner sizes in different components are verified. Larger ones that share
+classes are a cluster, whose classes are compared in blocks, so that neither candidates nor links leave a task, but only the
+links that join components; blocks within one component found before are skipped. So large groups of near copies cost a few
+pairs for each class, and no link between components is missed. Pairs grow with the square of a group, never of a corpus whose
+groups are chained by classes that share little.
 
 Texts without words, and null texts, have no shingles and link with nothing. Rows that repeat a doc_id are
 joined each; a null doc_id takes part, but names a component only if no other does (null then). Only doc_id and text are read; an
@@ -44,6 +46,7 @@ WORDS, PERCENT = 3, 90
 RARITY = 3.0
 SLICE_CHARS = 1_000_000
 BLOCK = 256  # classes of a block
+CROWD = 64  # classes of a group whose pairs are verified one by one
 COLUMNS = 4_096  # tokens compared at a time
 HELD = 500_000  # signatures packed at a time
 REMEMBERED = 100_000  # words whose names a task keeps; others are named again
@@ -189,16 +192,24 @@ def signature_rows(batches, rule: Rule, plans: dict[int, tuple[int, int, int]],
 
 
 def candidate_rows(batches):
-    """Different pairs (u, v), u > v, of each class and the leader (the smallest one) of a signature it has."""
+    """Different groups of classes that share a signature: (group, class, leader), the leader is the smallest class."""
     for sig, _, name in whole_parts(batches):
         order = np.lexsort((name, sig))
         sig, name = sig[order], name[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])
+        sig, name = sig[new], name[new]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
-        leader = name[np.flatnonzero(first)][np.cumsum(first) - 1]
-        pairs = name != leader
-        both = np.unique(np.stack([name[pairs], leader[pairs]]), axis=1)
-        yield pair_batch(both[0], both[1])
+        start, at = np.flatnonzero(first), np.cumsum(first) - 1
+        count = np.diff(start, append=len(sig))
+        names = mix(name.view(np.uint64), name.view(np.uint64))
+        group = mix(np.add.reduceat(names, start), count.astype(np.uint64))
+        chosen = np.zeros(len(start), bool)
+        chosen[np.unique(group, return_index=True)[1]] = True
+        rows = (chosen & (count > 1))[at]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(group[at[rows]].view(np.int64)), pa.array(name[rows]), pa.array(name[start][at[rows]])], ["group", "class", "leader"])
 
 
 def pair_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -311,15 +322,32 @@ def in_blocks(members: DataFrame) -> DataFrame:
         F.xxhash64("cluster", F.least(a, b), F.greatest(a, b)).alias("group"), (a > b).cast("int").alias("side"), "class", "component", "text")
 
 
+def in_several(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """(group, class, leader, component, classes) of the groups whose classes lie in several components; classes: how many they are."""
+    named = groups.join(parts.withColumnRenamed("u", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    own = named.groupBy("group").agg(F.count("*").alias("classes"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return named.join(own.where("low <> high").select("group", "classes"), "group")
+
+
+def pairs_across(members: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
+    """Different pairs (u, v), u > v, of classes of a group that lie in different components and whose sizes allow a link."""
+    sized = members.join(known.select("class", "size"), "class").select("group", "class", "component", "size")
+    a, b = sized.toDF("group", "u", "u_component", "u_size"), sized.toDF("group", "v", "v_component", "v_size")
+    sizes = 100 * F.least("u_size", "v_size") >= rule.percent * F.greatest("u_size", "v_size")
+    return a.join(b, "group").where("u > v AND u_component <> v_component").where(sizes).select("u", "v").distinct()
+
+
 def squeezed_class_texts(batches, n: int):
     """Texts of the rows whose class is the one asked for, or any if none is."""
     memory, squeeze = Memory(word_names, REMEMBERED), zstandard.ZstdCompressor(3).compress
     for batch in batches:
-        names = [class_name(s) if len(s) else None for _, s in sets_of(batch, memory, n)]
+        found = [(len(s), class_name(s) if len(s) else None) for _, s in sets_of(batch, memory, n)]
+        sizes, names = zip(*found) if found else ((), ())
         same = [c is not None and c == (c if asked is None else asked) for c, asked in zip(names, batch.column("class").to_pylist())]
         texts = [squeeze(t) for t in batch.column("text").filter(pa.array(same, pa.bool_())).cast(pa.binary()).to_pylist()]
         kept = [c for c, s in zip(names, same) if s]
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(texts, pa.binary())], ["class", "text"])
+        own = [n for n, s in zip(sizes, same) if s]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(own, pa.int64()), pa.array(texts, pa.binary())], ["class", "size", "text"])
 
 
 def plans_of(sets: DataFrame, rule: Rule) -> dict[int, tuple[int, int, int]]:
@@ -349,15 +377,16 @@ def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     packed = texts.select("text").mapInArrow(lambda b: signature_rows(b, rule, plans, PARTS * partitions), "part int, blob binary")
-    tested = materialise(dealt(packed, partitions).mapInArrow(candidate_rows, "u long, v long").distinct())
+    groups = materialise(dealt(packed, partitions).mapInArrow(candidate_rows, "group long, class long, leader long").distinct())
     del packed
+    tested = materialise(groups.where("class <> leader").select(F.col("class").alias("u"), F.col("leader").alias("v")).distinct())
     release(docs)
     asked = tested.select(F.explode(F.array("u", "v")).alias("class")).distinct()
     wanted = small_side(asked.join(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class"))
     rows = texts.where("doc_id IS NOT NULL").join(wanted, "doc_id")
     if not wanted.where("doc_id IS NULL").isEmpty():  # classes of rows without a doc_id only
         rows = rows.unionByName(texts.where("doc_id IS NULL").withColumn("class", F.lit(None).cast("long")))
-    known = materialise(rows.mapInArrow(lambda b: squeezed_class_texts(b, rule.words), "class long, text binary").dropDuplicates(["class"]))
+    known = materialise(rows.mapInArrow(lambda b: squeezed_class_texts(b, rule.words), "class long, size long, text binary").dropDuplicates(["class"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         u = known.select(F.col("class").alias("u"), F.col("text").alias("u_text"))
@@ -367,16 +396,18 @@ def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     found = materialise(verify(tested))
     release(docs)
     parts = components(found)
-    failed = materialise(tested.join(found, ["u", "v"], "left_anti"))
-    if failed.isEmpty():
+    several = materialise(in_several(groups, parts))
+    if several.isEmpty():
         return parts
-    clusters = components(tested)
-    clusters = clusters.union(clusters.select("component", "component")).distinct().toDF("class", "cluster")
-    open_ = failed.join(clusters.withColumnRenamed("class", "u"), "u").select("cluster").distinct()
-    members = known.join(clusters.join(open_, "cluster"), "class").join(parts.withColumnRenamed("u", "class"), "class", "left")
-    members = materialise(members.withColumn("component", F.coalesce("component", "class")))
-    grouped = in_blocks(members).repartition(partitions, "group").sortWithinPartitions("group")
-    more = materialise(grouped.mapInArrow(lambda b: joining_links(b, rule), "u long, v long"))
+    few, many = several.where(F.col("classes") <= CROWD), several.where(F.col("classes") > CROWD)
+    more = materialise(verify(pairs_across(few, known, rule).join(tested, ["u", "v"], "left_anti")))
+    release(docs)
+    if not many.isEmpty():
+        clusters = components(many.select(F.col("class").alias("u"), F.col("leader").alias("v")))
+        clusters = clusters.union(clusters.select("component", "component")).distinct().toDF("class", "cluster")
+        members = clusters.join(many.select("class", "component").distinct(), "class").join(known.select("class", "text"), "class")
+        grouped = in_blocks(materialise(members)).repartition(partitions, "group").sortWithinPartitions("group")
+        more = more.union(materialise(grouped.mapInArrow(lambda b: joining_links(b, rule), "u long, v long")))
     return parts if more.isEmpty() else components(found.union(more))
 
 
