@@ -29,6 +29,9 @@ from urbanpulse.sources.snapshots import FOLDER_DATE, feed_of, latest_file
 
 register = Register()
 
+# Documents are written on one line: every indentation would be an event of the parser.
+FLAT = {"indent": ""}
+
 
 def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
@@ -90,7 +93,7 @@ def xml_flights(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").cast("string").alias("_uniqueID"),
         F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")).alias("airline"),
         (F.col("user_id") % 7).cast("string").alias("gate"), F.lit(" ").alias("airport"), coded.alias("status"))
-    text = events(spark, sf).select(F.to_xml(element, {"rowTag": "flight"}).alias("x"))
+    text = events(spark, sf).select(F.to_xml(element, FLAT | {"rowTag": "flight"}).alias("x"))
     parsed = parsed_once(F.from_xml("x", flight_schema(), {"rowTag": "flight"}), text)
     flights = flights_from(parsed).where(F.col("airport").isNull())
     return flights.groupBy("airline", F.col("gate").cast("bigint").alias("gate")).agg(
@@ -230,13 +233,15 @@ def xml_journeys(spark: SparkSession, sf: str) -> DataFrame:
                  F.when(F.col("l_linenumber") < 7, F.col("l_orderkey").cast("string")).otherwise(" ").alias("DatedVehicleJourneyRef")
                  ).alias("FramedVehicleJourneyRef"),
         F.struct(F.array(call).alias("EstimatedCall")).alias("EstimatedCalls"))
-    text = line.select(F.to_xml(journey, {"rowTag": "EstimatedVehicleJourney"}).alias("x"))
+    text = line.select(F.to_xml(journey, FLAT | {"rowTag": "EstimatedVehicleJourney"}).alias("x"))
     parsed = parsed_once(F.from_xml("x", JOURNEY, {"rowTag": "EstimatedVehicleJourney"}), text)
     update = F.col("stop_time_updates")[0]
+    # digits as numbers: an aggregate of texts would sort all rows first
+    first, last = F.min(F.col("start_date").cast("int")), F.max(F.translate("start_time", ":", "").cast("int"))
     return trips_from(parsed).groupBy("route_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(update["arrival_delay"]).alias("arrival_delay"),
-        F.sum(update["departure_delay"]).alias("departure_delay"), F.min("start_date").alias("first_date"),
-        F.max("start_time").alias("last_time"))
+        F.sum(update["departure_delay"]).alias("departure_delay"), F.lpad(first.cast("string"), 8, "0").alias("first_date"),
+        F.regexp_replace(F.lpad(last.cast("string"), 6, "0"), r"(\d\d)(\d\d)(\d\d)", "$1:$2:$3").alias("last_time"))
 
 
 # ---- bikes -------------------------------------------------------------------------------------
