@@ -18,8 +18,7 @@ component already. Similar classes share a signature, hence a group, so only gro
 again. In groups of at most CROWD classes, the pairs of partner sizes in different components are verified. Larger ones that share
 classes are a cluster, whose classes are compared in blocks, so that neither candidates nor links leave a task, but only the
 links that join components; blocks within one component found before are skipped. So large groups of near copies cost a few
-pairs for each class, and no link between components is missed. Pairs grow with the square of a group, never of a corpus whose
-groups are chained by classes that share little.
+pairs for each class, and no link between components is missed. Small groups that share classes are not chained; large ones are.
 
 Texts without words, and null texts, have no shingles and link with nothing. Rows that repeat a doc_id are
 joined each; a null doc_id takes part, but names a component only if no other does (null then). Only doc_id and text are read; an
