@@ -93,6 +93,85 @@ def test_links_beside_the_leader(spark):
     assert {tuple(r) for r in jaccard.pairs_across(members, known, jaccard.Rule(5, 95)).collect()} == {p for p in want if (p[0] % 10 < 2) == (p[1] % 10 < 2)}
 
 
+def token_sets(seed, n=60):
+    """Sets of many sizes, in runs of which each differs a little from the one before."""
+    rng, sets = np.random.default_rng(seed), []
+    while len(sets) < n:
+        own = rng.integers(0, 2**63, int(rng.choice([1, 3, 10, 40, 200, 900]))).astype(np.uint64)
+        for _ in range(6):
+            sets.append(np.unique(own))
+            own = np.where(rng.random(len(own)) < rng.choice([0.02, 0.1, 0.2]), rng.integers(0, 2**63, len(own)).astype(np.uint64), own)
+            own = own[: max(1, len(own) - int(rng.integers(0, 1 + len(own) // 10)))]
+    return sets
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    sets = token_sets(1)
+    for percent in (50, 80, 90):
+        rule = jaccard.Rule(5, percent)
+        sketches = jaccard.Sketches([jaccard.sketch(s, rule.sketch_bits(len(s))) for s in sets])
+        i, j = (np.array(x) for x in zip(*itertools.combinations(range(len(sets)), 2)))
+        apart, size = sketches.apart(i, j), np.array([len(s) for s in sets])
+        assert all(d <= len(np.setxor1d(sets[a], sets[b])) for a, b, d in zip(i, j, apart))
+        linked = np.array([rule.linked(set(sets[a].tolist()), set(sets[b].tolist())) for a, b in zip(i, j)])
+        may = rule.may_link(size[i], size[j], apart)
+        assert linked.any() and may[linked].all() and may.sum() < len(may) / 4
+
+
+@pytest.mark.parametrize("crowd, block", [(64, 256), (4, 256), (4, 8)])
+def test_unlike_classes_of_a_group_are_no_pairs(spark, monkeypatch, crowd, block):
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rule, sets = jaccard.Rule(5, 80), token_sets(2)
+    known = spark.createDataFrame(
+        [(c, len(s), bytearray(jaccard.sketch(s, rule.sketch_bits(len(s))))) for c, s in enumerate(sets)], "class long, size long, sketch binary")
+    groups = spark.createDataFrame([(g, c, 0) for g in (1, 2) for c in range(len(sets))], "group long, class long, leader long")
+    members = jaccard.in_several(groups, spark.createDataFrame([(c, c // 2 * 2) for c in range(1, 60, 2)], "u long, component long"))
+    got = {tuple(r) for r in jaccard.pairs_across(members, known, rule).collect()}
+    across = {(b, a) for a, b in itertools.combinations(range(len(sets)), 2) if a // 2 != b // 2}
+    want = {(b, a) for b, a in across if rule.linked(set(sets[a].tolist()), set(sets[b].tolist()))}
+    assert want and want <= got <= across and len(got) < len(across) / 4
+    few = {tuple(r) for r in jaccard.pairs_across(members, known, rule, 1).collect()}
+    assert (None, None) in few and few - {(None, None)} < got
+    assert {(b // 2, a // 2) for b, a in few - {(None, None)}} == {(b // 2, a // 2) for b, a in got}
+
+
+def test_near_copies_join_by_few_links(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(2):
+            copy[rng.randrange(300)] = f"new{i}"
+        texts.append(" ".join(copy))
+    edges, joined = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links: edges.append(links.distinct().count()) or joined(links))
+    got = odd.by_id(jaccard.join_documents(odd.documents(spark, texts), 3, 90))
+    rule = jaccard.Rule(3, 90)
+    sets = [jaccard.word_set(t.encode(), 3) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if rule.linked(sets[a], sets[b])]
+    assert len(links) > 5_000 and {i: r.component_id for i, r in got.items()} == groups(range(len(texts)), links)
+    assert max(edges) < 1.2 * len(texts)
+
+
+def test_pairs_beyond_the_most_alike(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "KEPT", 1, raising=False)
+    rng, texts = random.Random(3), []
+    for walk in range(6):
+        words = [f"w{walk}x{k}" for k in range(120)]
+        for step in range(30):
+            texts.append(" ".join(words))
+            for _ in range(rng.choice([1, 2, 3, 4])):
+                words[rng.randrange(120)] = f"n{walk}x{step}"
+    got = odd.by_id(jaccard.join_documents(odd.documents(spark, texts), 5, 80))
+    rule = jaccard.Rule(5, 80)
+    sets = [jaccard.word_set(t.encode(), 5) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if rule.linked(sets[a], sets[b])]
+    want = groups(range(len(texts)), links)
+    assert 6 < len(set(want.values())) < 150 and {i: r.component_id for i, r in got.items()} == want
+
+
 def test_bands_hold_all_partners():
     for words, percent in ((3, 90), (5, 80), (1, 50)):
         rule = jaccard.Rule(words, percent)

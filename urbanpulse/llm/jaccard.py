@@ -12,13 +12,16 @@ than that file the empty ones too, so two such documents still meet. The allocat
 one: a signature costs one row and the rows it is expected to meet, which follow from the number of documents of
 the band and the tokens of a segment.
 
-Documents with the same set are one class. Classes that share a signature are a group of candidates, and each is paired with
-one leader of the group. These pairs are verified exactly on the words. Where all are links, all classes of a group are one
-component already. Similar classes share a signature, hence a group, so only groups that hold several components are looked at
-again. In groups of at most CROWD classes, the pairs of partner sizes in different components are verified. Larger ones that share
-classes are a cluster, whose classes are compared in blocks, so that neither candidates nor links leave a task, but only the
-links that join components; blocks within one component found before are skipped. So large groups of near copies cost a few
-pairs for each class, and no link between components is missed. Small groups that share classes are not chained; large ones are.
+Documents with the same set are one class. Classes that share a signature are a group of candidates; its smallest class is its leader.
+Each class has a sketch, the parities of its tokens hashed into bits: two sets differ in at least as many tokens as their
+sketches do in bits (of the same width; folding halves it). So pairs whose sketches differ too much are no links, and only the
+others are verified exactly on the words. First each class is paired with the smallest of its leaders whose sketch allows a link.
+Where all are links, all classes of a group are one component already. Similar classes share a signature, hence a group, so only
+groups that hold several components are looked at again: the sketches of classes in different components are compared within a
+task, those of groups of more than CROWD classes in blocks, without the blocks inside one component. Of the pairs that may be
+links a group gives the KEPT most alike for each two components; where there were more, this is repeated with the components
+found and more pairs, at last all. So neither candidates nor texts of unlike classes travel, large groups of near copies cost
+a few pairs for each class, and no link between components is missed.
 
 Texts without words, and null texts, have no shingles and link with nothing. Rows that repeat a doc_id are
 joined each; a null doc_id takes part, but names a component only if no other does (null then). Only doc_id and text are read; an
@@ -37,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanpulse.llm.components import components
+from urbanpulse.llm.neighbours import whole_groups
 from urbanpulse.llm.packing import dealt, mix, packed_parts, whole_parts
 from urbanpulse.llm.text import Memory, slices
 from urbanpulse.session import materialise, small_side
@@ -45,8 +49,10 @@ WORDS, PERCENT = 3, 90
 RARITY = 3.0
 SLICE_CHARS = 1_000_000
 BLOCK = 256  # classes of a block
-CROWD = 64  # classes of a group whose pairs are verified one by one
-COLUMNS = 4_096  # tokens compared at a time
+CROWD = 64  # classes of a group that is compared at once
+KEPT = 16  # pairs verified for two components of a group, 64 times as many each time that is not enough
+SKETCH_BITS = 1 << 16  # widest sketch; sets that need more pass more often
+COMPARED = 1 << 20  # words of sketches compared at a time
 HELD = 500_000  # signatures packed at a time
 REMEMBERED = 100_000  # words whose names a task keeps; others are named again
 PARTS = 8  # of signatures for each task that looks for candidates, one in memory at a time
@@ -69,6 +75,16 @@ class Rule:
         high = self.lows[band] * 100 // self.percent
         return (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
+    def may_link(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Whether sets of these sizes that differ in at least `apart` tokens can be linked."""
+        near = apart.astype(np.int64) * (100 + self.percent) <= (a + b) * (100 - self.percent)
+        return near & (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b))
+
+    def sketch_bits(self, size: int) -> int:
+        """A power of two, several times the tokens in which partners of a set of this size may differ."""
+        differ = (size + size * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+        return min(SKETCH_BITS, 64 << max(0, (8 * differ - 1) // 64).bit_length())
+
     def linked(self, a: set, b: set) -> bool:
         both = len(a & b)
         return bool(both) and 100 * both >= self.percent * (len(a) + len(b) - both)
@@ -234,75 +250,84 @@ def verified(batches, rule: Rule):
         yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def block_rows(batches):
-    """Groups of rows sorted by `group`, each whole."""
-    rest = None
+def sketch(tokens: np.ndarray, bits: int) -> bytes:
+    """Bit by bit whether an odd number of tokens falls on it."""
+    place = (mix(np.uint64(1), tokens) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """The sketches of some rows, folded to a common width when two are compared."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw, self.width, self.folded = raw, np.array([len(r) // 8 for r in raw], np.int64), {}
+
+    def of_width(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Folded sketches of the rows that are at least as wide, and where each row's is."""
+        if words not in self.folded:
+            rows = np.flatnonzero(self.width >= words)
+            out, at = np.empty((len(rows), words), np.uint64), np.zeros(len(self.raw), np.int64)
+            at[rows] = np.arange(len(rows))
+            for k, r in enumerate(rows.tolist()):
+                out[k] = np.bitwise_xor.reduce(np.frombuffer(self.raw[r], np.uint64).reshape(-1, words), axis=0)
+            self.folded[words] = out, at
+        return self.folded[words]
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of rows i and j differ."""
+        out, words = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for w in np.unique(words).tolist():
+            own, (folded, at) = np.flatnonzero(words == w), self.of_width(w)
+            for some in np.array_split(own, 1 + len(own) * w // COMPARED):
+                out[some] = np.bitwise_count(folded[at[i[some]]] ^ folded[at[j[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def alike_leaders(batches, rule: Rule):
+    """The pairs whose sketches allow a link."""
     for batch in batches:
-        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        group = table.column("group").to_numpy()
-        bounds = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if len(group) else np.zeros(1, np.int64)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            yield table.slice(a, b - a)
-        rest = table.slice(int(bounds[-1]))
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
-def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, from the tokens that several sets have, some columns at a time."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    place = np.cumsum(shared) - 1
-    keep = shared[column]
-    owner, column = owner[keep], place[column[keep]]
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for begin in range(0, int(shared.sum()), COLUMNS):
-        a, b = np.searchsorted(column, (begin, begin + COLUMNS))
-        matrix = np.zeros((len(sets), COLUMNS), np.float32)
-        matrix[owner[a:b], column[a:b] - begin] = 1
-        total += matrix @ matrix.T
-    return total
-
-
-def joining_links(batches, rule: Rule):
-    """(u, v): verified links in pairs of blocks that join different components."""
-    memory, unsqueeze = Memory(word_names, REMEMBERED), zstandard.ZstdDecompressor().decompress
-    for table in block_rows(batches):
-        name, side, component = (table.column(c).to_numpy() for c in ("class", "side", "component"))
-        texts = [unsqueeze(t) for t in table.column("text").to_pylist()]
-        rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
-        sets = [s for _, s in sets_of(rows, memory, rule.words)]
-        size = np.array([len(s) for s in sets], np.float32)
-        common = common_tokens(sets)
-        similar = 100 * common >= rule.percent * (size[:, None] + size[None, :] - common)
-        similar &= component[:, None] != component[None, :]
-        if side.any():
-            similar &= side[:, None] != side[None, :]
-        root = {c: c for c in component.tolist()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        u, v = np.nonzero(np.triu(similar, 1))
-        joined = []
-        for i, j in zip(u.tolist(), v.tolist()):
-            a, b = find(int(component[i])), find(int(component[j]))
-            if a != b and rule.linked(word_set(texts[i], rule.words), word_set(texts[j], rule.words)):
-                root[max(a, b)] = min(a, b)
-                joined.append((max(name[i], name[j]), min(name[i], name[j])))
-        yield pair_batch(np.array([x for x, _ in joined], np.int64), np.array([y for _, y in joined], np.int64))
+        n = batch.num_rows
+        both = Sketches(batch.column("u_sketch").to_pylist() + batch.column("v_sketch").to_pylist())
+        apart = both.apart(np.arange(n), np.arange(n, 2 * n))
+        alike = rule.may_link(batch.column("u_size").to_numpy(), batch.column("v_size").to_numpy(), apart)
+        yield batch.select(["u", "v"]).filter(pa.array(alike))
+
+
+def alike_pairs(batches, rule: Rule, most: int | None):
+    """(u, v), u > v, whose sketches allow a link and whose components differ, from rows sorted by group: the `most` most alike
+    ones (None: all) for each two components. A row of nulls says that there were more."""
+    for table in whole_groups(batches):
+        group, side, name, component, size = (table.column(c).to_numpy() for c in ("group", "side", "class", "component", "size"))
+        sketches, found = Sketches(table.column("sketch").to_pylist()), []
+        two_sided = np.isin(group, np.unique(group[side > 0]))
+        for step in range(1, len(group)):
+            same = group[step:] == group[:-step]
+            if not same.any():
+                break
+            i = np.flatnonzero(same & (component[step:] != component[:-step]) & ~(two_sided[step:] & (side[step:] == side[:-step])))
+            apart = sketches.apart(i, i + step)
+            alike = rule.may_link(size[i], size[i + step], apart)
+            found.append((i[alike], i[alike] + step, apart[alike]))
+        i, j, apart = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+        low, high = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+        order = np.lexsort((name[j], name[i], apart, high, low, group[i]))
+        i, j, low, high = i[order], j[order], low[order], high[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (group[i][1:] != group[i][:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        starts = np.flatnonzero(new)
+        rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+        keep = np.ones(len(i), bool) if most is None else rank < most
+        yield pair_batch(np.maximum(name[i], name[j])[keep], np.minimum(name[i], name[j])[keep])
+        if not keep.all():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["u", "v"])
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
-    """(group, side, class, component, text): the pairs of blocks of each cluster, without those inside one component.
+    """(group, side, class, component, size, sketch): the pairs of blocks of each group, without those inside one component.
 
     A component of many classes has blocks of its own; classes of small ones are dealt into common blocks.
     """
+    members = members.withColumnRenamed("group", "cluster")
     of_component = members.groupBy("cluster", "component").agg(F.count("*").alias("own"))
     small = F.sum(F.when(F.col("own") < BLOCK, F.col("own")).otherwise(0))
     of_cluster = of_component.groupBy("cluster").agg(F.ceil(small / BLOCK).alias("common"))
@@ -311,14 +336,14 @@ def in_blocks(members: DataFrame) -> DataFrame:
         of_cluster.where("common > 0").select("cluster", F.lit(None).cast("long"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("common") - 1))))
     kinds = kinds.select("cluster", F.col("component").alias("theirs"), F.col("block").alias("their_block"))
     placed = members.join(large, ["cluster", "component"], "left").join(of_cluster, "cluster").select(
-        "cluster", "class", "component", "text", F.when(F.col("blocks").isNotNull(), F.col("component")).alias("mine"),
+        "cluster", "class", "component", "size", "sketch", F.when(F.col("blocks").isNotNull(), F.col("component")).alias("mine"),
         F.pmod(F.xxhash64("class"), F.coalesce("blocks", "common")).alias("my_block"))
     pairs = placed.join(kinds, "cluster").where(~F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False)))
     me, they = F.struct("mine", "my_block"), F.struct(F.col("theirs").alias("mine"), F.col("their_block").alias("my_block"))
     key = lambda x: F.xxhash64(F.coalesce(x["mine"], F.lit(0)), x["mine"].isNull(), x["my_block"])
     a, b = key(me), key(they)
     return pairs.select(
-        F.xxhash64("cluster", F.least(a, b), F.greatest(a, b)).alias("group"), (a > b).cast("int").alias("side"), "class", "component", "text")
+        F.xxhash64("cluster", F.least(a, b), F.greatest(a, b)).alias("group"), (a > b).cast("int").alias("side"), "class", "component", "size", "sketch")
 
 
 def in_several(groups: DataFrame, parts: DataFrame) -> DataFrame:
@@ -328,25 +353,36 @@ def in_several(groups: DataFrame, parts: DataFrame) -> DataFrame:
     return named.join(own.where("low <> high").select("group", "classes"), "group")
 
 
-def pairs_across(members: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """Different pairs (u, v), u > v, of classes of a group that lie in different components and whose sizes allow a link."""
-    sized = members.join(known.select("class", "size"), "class").select("group", "class", "component", "size")
-    a, b = sized.toDF("group", "u", "u_component", "u_size"), sized.toDF("group", "v", "v_component", "v_size")
-    sizes = 100 * F.least("u_size", "v_size") >= rule.percent * F.greatest("u_size", "v_size")
-    return a.join(b, "group").where("u > v AND u_component <> v_component").where(sizes).select("u", "v").distinct()
+def pairs_across(members: DataFrame, known: DataFrame, rule: Rule, most: int | None = None) -> DataFrame:
+    """Different pairs (u, v), u > v, of classes of a group that lie in different components and whose sizes and sketches allow a link.
 
+    Of each two components of a group the `most` most alike ones (None: all), and one row of nulls if there are more. Classes
+    that have no sketches are compared by size.
+    """
+    sketches = known.select("class", "size", F.coalesce("sketch", F.lit(bytes(8))).alias("sketch") if "sketch" in known.columns else F.lit(bytes(8)).alias("sketch"))
+    sized = members.join(sketches, "class")
+    rows = sized.where(F.col("classes") <= CROWD).select("group", F.lit(0).alias("side"), "class", "component", "size", "sketch")
+    many = members.where(F.col("classes") > CROWD)
+    if not many.isEmpty():
+        large = materialise(sized.where(F.col("classes") > CROWD).select("group", "class", "component", "size", "sketch"))
+        rows = rows.unionByName(in_blocks(large))
+    grouped = rows.repartition(shuffle_parts(members), "group").sortWithinPartitions("group")
+    return grouped.mapInArrow(lambda b: alike_pairs(b, rule, most), "u long, v long").distinct()
 
-def squeezed_class_texts(batches, n: int):
-    """Texts of the rows whose class is the one asked for, or any if none is."""
+
+def class_rows(batches, rule: Rule):
+    """Size, sketch and text of the rows whose class is the one asked for, or any if none is."""
     memory, squeeze = Memory(word_names, REMEMBERED), zstandard.ZstdCompressor(3).compress
     for batch in batches:
-        found = [(len(s), class_name(s) if len(s) else None) for _, s in sets_of(batch, memory, n)]
-        sizes, names = zip(*found) if found else ((), ())
-        same = [c is not None and c == (c if asked is None else asked) for c, asked in zip(names, batch.column("class").to_pylist())]
-        texts = [squeeze(t) for t in batch.column("text").filter(pa.array(same, pa.bool_())).cast(pa.binary()).to_pylist()]
-        kept = [c for c, s in zip(names, same) if s]
-        own = [n for n, s in zip(sizes, same) if s]
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(own, pa.int64()), pa.array(texts, pa.binary())], ["class", "size", "text"])
+        kept, rows, asked = [], [], batch.column("class").to_pylist()
+        for row, tokens in sets_of(batch, memory, rule.words):
+            if len(tokens) and (name := class_name(tokens)) == (name if asked[row] is None else asked[row]):
+                kept.append(row)
+                rows.append((name, len(tokens), sketch(tokens, rule.sketch_bits(len(tokens)))))
+        texts = [squeeze(t) for t in batch.column("text").take(pa.array(kept, pa.int64())).cast(pa.binary()).to_pylist()]
+        names, sizes, sketches = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(texts, pa.binary())],
+                                         ["class", "size", "sketch", "text"])
 
 
 def plans_of(sets: DataFrame, rule: Rule) -> dict[int, tuple[int, int, int]]:
@@ -363,6 +399,10 @@ def plans_of(sets: DataFrame, rule: Rule) -> dict[int, tuple[int, int, int]]:
     return plans
 
 
+def shuffle_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def release(df: DataFrame) -> None:
     """Let the shuffle files of plans that nothing refers to any more go now: Spark removes them when the driver collects its garbage."""
     gc.collect()
@@ -371,43 +411,50 @@ def release(df: DataFrame) -> None:
 
 def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(u, component) of the classes that have links, joined by all links between similar classes."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = shuffle_parts(docs)
     plans = plans_of(sets, rule)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     packed = texts.select("text").mapInArrow(lambda b: signature_rows(b, rule, plans, PARTS * partitions), "part int, blob binary")
     groups = materialise(dealt(packed, partitions).mapInArrow(candidate_rows, "group long, class long, leader long").distinct())
     del packed
-    tested = materialise(groups.where("class <> leader").select(F.col("class").alias("u"), F.col("leader").alias("v")).distinct())
     release(docs)
-    asked = tested.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    asked = groups.select("class").distinct()
     wanted = small_side(asked.join(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class"))
     rows = texts.where("doc_id IS NOT NULL").join(wanted, "doc_id")
     if not wanted.where("doc_id IS NULL").isEmpty():  # classes of rows without a doc_id only
         rows = rows.unionByName(texts.where("doc_id IS NULL").withColumn("class", F.lit(None).cast("long")))
-    known = materialise(rows.mapInArrow(lambda b: squeezed_class_texts(b, rule.words), "class long, size long, text binary").dropDuplicates(["class"]))
+    known = materialise(rows.mapInArrow(
+        lambda b: class_rows(b, rule), "class long, size long, sketch binary, text binary").dropDuplicates(["class"]))
+
+    def sides(pairs: DataFrame, *columns: str) -> DataFrame:
+        """The pairs with these columns of both classes."""
+        for side in "uv":
+            pairs = pairs.join(known.select(F.col("class").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+        return pairs
 
     def verify(pairs: DataFrame) -> DataFrame:
-        u = known.select(F.col("class").alias("u"), F.col("text").alias("u_text"))
-        v = known.select(F.col("class").alias("v"), F.col("text").alias("v_text"))
-        return pairs.join(u, "u").join(v, "v").mapInArrow(lambda b: verified(b, rule), "u long, v long")
+        return materialise(sides(pairs, "text").mapInArrow(lambda b: verified(b, rule), "u long, v long"))
 
-    found = materialise(verify(tested))
+    leaders = groups.where("class <> leader").select(F.col("class").alias("u"), F.col("leader").alias("v")).distinct()
+    alike = sides(leaders, "size", "sketch").mapInArrow(lambda b: alike_leaders(b, rule), "u long, v long")
+    tested = materialise(alike.groupBy("u").agg(F.min("v").alias("v")))
+    links = verify(tested)
     release(docs)
-    parts = components(found)
-    several = materialise(in_several(groups, parts))
-    if several.isEmpty():
-        return parts
-    few, many = several.where(F.col("classes") <= CROWD), several.where(F.col("classes") > CROWD)
-    more = materialise(verify(pairs_across(few, known, rule).join(tested, ["u", "v"], "left_anti")))
-    release(docs)
-    if not many.isEmpty():
-        clusters = components(many.select(F.col("class").alias("u"), F.col("leader").alias("v")))
-        clusters = clusters.union(clusters.select("component", "component")).distinct().toDF("class", "cluster")
-        members = clusters.join(many.select("class", "component").distinct(), "class").join(known.select("class", "text"), "class")
-        grouped = in_blocks(materialise(members)).repartition(partitions, "group").sortWithinPartitions("group")
-        more = more.union(materialise(grouped.mapInArrow(lambda b: joining_links(b, rule), "u long, v long")))
-    return parts if more.isEmpty() else components(found.union(more))
+    parts, most = components(links), KEPT
+    while True:
+        several = materialise(in_several(groups, parts))
+        pairs = materialise(pairs_across(several, known, rule, most))
+        release(docs)
+        new = pairs.where("u IS NOT NULL").join(tested, ["u", "v"], "left_anti")
+        found = verify(new)
+        release(docs)
+        if not found.isEmpty():
+            links = links.union(found)
+            parts = components(links)
+        if pairs.where("u IS NULL").isEmpty():
+            return parts
+        tested, most = tested.union(pairs.where("u IS NOT NULL")).distinct(), most * 64 if most < 64 * KEPT else None
 
 
 def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
