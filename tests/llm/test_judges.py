@@ -3,11 +3,13 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import odd
 import pytest
 from pyspark.sql import functions as F
 
 from urbanpulse.llm import decontaminate, language, quality, toxicity
+from urbanpulse.llm.text import Memory
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -146,3 +148,15 @@ def test_contained_items(spark):
     assert clean.dtypes == own.dtypes and {r.doc_id for r in clean.collect()} == {None, *[i for i, w in enumerate(want) if not w]}
     assert decontaminate.contained_items(own.limit(0), items).count() == 0
     assert not any(itertools.chain.from_iterable(r.item_ids for r in decontaminate.contained_items(own, items.limit(0)).collect()))
+
+
+def test_sampled_shares_travel_without_zeros():
+    texts = ["Some plain words, said twice: some plain words!!", "the the the 12 12 A-b", "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    dense = quality.Pieces(Memory(quality.describe), [t or "" for t in texts]).shares()
+    (sent,) = quality.vote_batches([batch], True)
+    again = np.zeros_like(dense)
+    for row, bins, shares in zip(again, sent.column("bins").to_pylist(), sent.column("shares").to_pylist()):
+        row[np.frombuffer(bins, np.uint16)] = np.frombuffer(shares, np.float32)
+    assert dense.any() and np.array_equal(again, dense)
+    assert sent.nbytes < 0.05 * dense.nbytes

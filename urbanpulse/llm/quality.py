@@ -123,7 +123,11 @@ def vote_batches(batches, shares: bool):
         own = Pieces(memory, texts)
         pattern = pa.array((own.votes() * 3 ** np.arange(len(LABELLERS))).sum(axis=1), pa.int64())
         if shares:
-            yield pa.RecordBatch.from_arrays([pattern, pa.array([x.tobytes() for x in own.shares()], pa.binary())], ["pattern", "shares"])
+            rows = own.shares()
+            bins = [np.flatnonzero(x).astype(np.uint16) for x in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pattern, pa.array([b.tobytes() for b in bins], pa.binary()), pa.array([x[b].tobytes() for x, b in zip(rows, bins)], pa.binary())],
+                ["pattern", "bins", "shares"])
         else:
             yield pa.RecordBatch.from_arrays([pattern], ["pattern"])
 
@@ -150,9 +154,8 @@ def posteriors(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
     return dict(zip(patterns.tolist(), good.tolist()))
 
 
-def train(shares: np.ndarray, good: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the bins and, last, the constant: logistic regression by accelerated gradient steps, both classes weighed alike."""
-    x = np.hstack([shares, np.ones((len(shares), 1), np.float32)])
+def train(x: np.ndarray, good: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of the columns, the last of which is a constant 1: logistic regression by accelerated gradient steps, both classes weighed alike."""
     mass = np.where(good >= 0.5, 0.5 / max((good >= 0.5).sum(), 1), 0.5 / max((good < 0.5).sum(), 1)).astype(np.float32)
     weights = np.zeros(x.shape[1], np.float32)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
@@ -172,8 +175,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     if not counts:
         return np.zeros(BINS + 3)
     chance = posteriors(counts)
-    drawn = hash_sample(texts, sample).select("text").mapInArrow(lambda b: vote_batches(b, True), "pattern long, shares binary").collect()
-    shares = np.stack([np.frombuffer(bytes(r.shares), np.float32) for r in drawn])
+    drawn = hash_sample(texts, sample).select("text").mapInArrow(
+        lambda b: vote_batches(b, True), "pattern long, bins binary, shares binary").collect()  # a document has few of the bins
+    shares = np.zeros((len(drawn), BINS + 3), np.float32)
+    shares[:, -1] = 1
+    for row, r in zip(shares, drawn):
+        row[np.frombuffer(r.bins, np.uint16)] = np.frombuffer(r.shares, np.float32)
     return train(shares, np.array([chance[r.pattern] for r in drawn], np.float32))
 
 
