@@ -48,8 +48,8 @@ from urbanpulse.session import materialise, small_side
 WORDS, PERCENT = 3, 90
 RARITY = 3.0
 SLICE_CHARS = 1_000_000
-BLOCK = 256  # classes of a block
-CROWD = 64  # classes of a group that is compared at once
+BLOCK = 1_024  # classes of a block of sketches
+CROWD = 2_048  # classes of a group that is compared at once
 KEPT = 16  # pairs verified for two components of a group, 64 times as many each time that is not enough
 SKETCH_BITS = 1 << 16  # widest sketch; sets that need more pass more often
 COMPARED = 1 << 20  # words of sketches compared at a time
